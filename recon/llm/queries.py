@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op8_source_mixing
 from .simhash_dedup import op10_simhash_dedup
+from .token_output import op5_token_output
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_simhash_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_output, op8_source_mixing, op10_simhash_dedup)}
 
 ORACLE: dict[str, str] = {}

@@ -7,10 +7,9 @@ worker keeps the ids of words it has met in a bounded cache; a word it has not m
 from __future__ import annotations
 
 import re
+import sys
 from array import array
 
-import numpy as np
-
 #: A word that is one run of Latin letters and one run of marks: the library's own split puts the border between the two.
 _LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -23,9 +22,10 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class WordIds:
-    """Encodes words with the tokenizer of a file; ``room`` bounds the words kept by one Python worker."""
+    """Encodes words with the tokenizer of a file; ``room`` bounds the words kept by one Python worker,
+    three times as many their runs of letters or marks."""
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
@@ -38,7 +38,7 @@ class WordIds:
         if (ids := self.runs.get(letters)) is None:
             piece = letters if letters.isascii() else "".join(map(self.alphabet.__getitem__, letters.encode()))
             ids = array("H", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-            if len(self.runs) >= self.room:
+            if len(self.runs) >= 3 * self.room:
                 self.runs.clear()
             self.runs[letters] = ids
         return ids
@@ -56,5 +56,15 @@ class WordIds:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as little-endian unsigned 16-bit integers; none for null and for white space alone."""
-        get, missing = self.words.get, self.__missing
-        return b"".join([get(w) or missing(w) for w in (text or "").split(" ") for w in (w.split() if not w.isalnum() else (w,))])
+        get, missing, text = self.words.get, self.__missing, text or ""
+        for mark in "\n\t\r\x0b\x0c":
+            text = text.replace(mark, " ")
+        return b"".join([get(w) or missing(w) for w in text.split(" ") if w])
+
+
+def word_ids(path: str) -> WordIds:
+    """The encoder of this Python worker, which outlives a task."""
+    held = sys.__dict__.setdefault("_recon_word_ids", {})
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
