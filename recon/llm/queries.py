@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op9_decontamination
+from .language_id import op2_language_id
 from .mixing import op8_source_mixing
 from .simhash_dedup import op10_simhash_dedup
 from .token_output import op5_token_output
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_output, op8_source_mixing, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op5_token_output, op8_source_mixing, op9_decontamination, op10_simhash_dedup)}
 
 ORACLE: dict[str, str] = {}
