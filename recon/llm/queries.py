@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op9_decontamination
 from .language_id import op2_language_id
 from .mixing import op8_source_mixing
+from .pii import op7_pii_pseudonyms
+from .quality_rules import op4_quality_rules
 from .simhash_dedup import op10_simhash_dedup
 from .token_output import op5_token_output
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op5_token_output, op8_source_mixing, op9_decontamination, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op4_quality_rules, op5_token_output, op7_pii_pseudonyms, op8_source_mixing, op9_decontamination, op10_simhash_dedup)}
 
 ORACLE: dict[str, str] = {}
