@@ -60,7 +60,7 @@ class Table:
         return cls(n, bits)
 
 
-def encode(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, table: Table, lanes: int = 512, every: int = 256) -> bytes:
+def encode(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, table: Table, lanes: int = 1024, every: int = 256) -> bytes:
     lanes = max(1, min(lanes, len(ids)))
     span = lanes * every
     segments = [ids[at:at + span] for at in range(0, len(ids), span)]

@@ -22,36 +22,47 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class WordIds:
-    """Encodes words with the tokenizer of a file; ``room`` bounds the words kept by one Python worker,
-    three times as many their runs of letters or marks."""
+    """Encodes words with the tokenizer of a file. One Python worker keeps ``room`` words and ``runs`` runs of letters or marks at most.
 
-    def __init__(self, path: str, room: int = 300_000):
+    The first words met fill the room, and frequent words come early; if four times as many came in vain since, the words have
+    changed, and the room is cleared.
+    """
+
+    def __init__(self, path: str, room: int = 500_000, runs: int = 900_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.tokenizer, self.room, self.most_runs = Tokenizer.from_file(path), room, runs
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.in_vain = 0
         self.alphabet = _byte_alphabet()
 
     def _run(self, letters: str) -> bytes:
         """Ids of a run of lower-case letters or of a run of marks: one piece of the library's split, so its model can take it."""
-        if (ids := self.runs.get(letters)) is None:
-            piece = letters if letters.isascii() else "".join(map(self.alphabet.__getitem__, letters.encode()))
-            ids = array("H", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-            if len(self.runs) >= 3 * self.room:
-                self.runs.clear()
-            self.runs[letters] = ids
+        piece = letters if letters.isascii() else "".join(map(self.alphabet.__getitem__, letters.encode()))
+        ids = array("H", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        if len(self.runs) >= self.most_runs:
+            self.runs.clear()
+        self.runs[letters] = ids
         return ids
 
     def __missing(self, word: str) -> bytes:
         if m := _LETTERS_MARKS(word):
-            ids = self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"")
+            letters, marks = m.groups()
+            letters = letters.lower()
+            ids = self.runs.get(letters) or self._run(letters)
+            if marks:
+                ids += self.runs.get(marks) or self._run(marks)
         else:
             ids = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self.words) >= self.room:
+        if len(self.words) < self.room:
+            if len(word) <= 64:
+                self.words[word] = ids
+        else:
+            self.in_vain += 1
+            if self.in_vain > 4 * self.room:
                 self.words.clear()
-            self.words[word] = ids
+                self.in_vain = 0
         return ids
 
     def encode(self, text: str | None) -> bytes:
