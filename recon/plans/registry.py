@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import joins, tables, trees
+from .streams import BOOK as STREAMS
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_BOOKS = (trees.BOOK, joins.BOOK, tables.BOOK, STREAMS)
+QUERIES = {k: f for b in _BOOKS for k, f in b.queries.items()}
+ORACLE = {k: s for b in _BOOKS for k, s in b.sql.items()}
