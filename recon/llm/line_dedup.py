@@ -73,15 +73,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``line_id, key`` of each band of each line."""
+    """``lines`` with ``keys``, one for each band, in the place of their text."""
+    rest = [c for c in lines.columns if c != "line"]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                keys = bands(part.column(1).to_pylist()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))], ["line_id", "keys"])
+                keys = bands(part.column("line").to_pylist()).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), keys], [*rest, "keys"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name != "line")
+    return lines.select(*rest, "line").mapInArrow(sign, f"{schema}, keys array<bigint>")
 
-    return lines.select("line_id", "line").mapInArrow(sign, "line_id bigint, keys array<bigint>")
+
+def _side(table: DataFrame) -> DataFrame:
+    """A table of some numbers a row, to be broadcast if a count finds it small."""
+    return F.broadcast(table) if table.count() <= FEW else table
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -99,42 +108,59 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def tile_links(one: list[dict], two: list[dict]) -> list[tuple[int, int]]:
+    """Index pairs of similar lines of two tiles in different components, joining all that such pairs join.
+
+    Shared shingles are counted for a line and the whole other tile at once, over the lines that each shingle is in.
+    """
+    numbers: dict[int, int] = {}
+    label = np.array([numbers.setdefault(m["component"], len(numbers)) for m in [*one, *two]])
+    if len(numbers) < 2:
+        return []
+    mine, theirs, out = label[:len(one)], label[len(one):], []
+    lines_with: dict[str, list[int]] = {}
+    sets = [shingle_set(m["line"]) for m in two]
+    for j, known in enumerate(sets):
+        for s in known:
+            lines_with.setdefault(s, []).append(j)
+    held = {s: np.array(js, np.int32) for s, js in lines_with.items()}
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    for i, m in enumerate(one):
+        if (theirs == mine[i]).all():
+            continue
+        own = shingle_set(m["line"])
+        met = [held[s] for s in own if s in held]
+        if not met:
+            continue
+        shared = np.bincount(np.concatenate(met), minlength=len(two))
+        for j in np.flatnonzero((shared / (len(own) + sizes - shared) >= SIMILAR) & (theirs != mine[i])).tolist():
+            if theirs[j] != mine[i]:
+                out.append((i, j))
+                label[label == theirs[j]] = mine[i]
+    return out
+
+
 def across(tiles: DataFrame) -> DataFrame:
     """``a, b``: links between lines of two tiles that are in different components, joining all that such similar pairs join."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
             for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root: dict[int, int] = {}
-
-                def find(x: int) -> int:
-                    while (up := root.get(x, x)) != x:
-                        x = root[x] = root.get(up, up)
-                    return x
-
-                sets = [shingle_set(m["line"]) for m in two]
-                for m in one:
-                    mine = shingle_set(m["line"])
-                    for other, known in zip(two, sets):
-                        p, q = find(m["component"]), find(other["component"])
-                        if p != q and jaccard(mine, known) >= SIMILAR:
-                            root[p] = q
-                            left.append(m["line_id"]), right.append(other["line_id"])
+                for i, j in tile_links(one, two):
+                    left.append(one[i]["line_id"]), right.append(two[j]["line_id"])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return tiles.select("one", "two").mapInArrow(compare, "a bigint, b bigint")
 
 
-def line_classes(lines: DataFrame, kept: Kept) -> DataFrame:
-    """``line_id, component`` of the lines that are near-equal to another: the smallest line_id of their component."""
-    signed = kept.keep(signatures(lines))
+def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:
+    """``node, component`` of the lines that are near-equal to another: the smallest line_id of their component. ``signed``: the
+    lines' ids and keys."""
     keyed = signed.select("line_id", F.explode("keys").alias("key"))
     shared = kept.keep(keyed.groupBy("key").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).where("first <> last").select("key", "first"))
-    members = kept.keep(keyed.join(shared, "key").groupBy("key", "line_id").agg(F.first("first").alias("first")))
-    kept.drop(signed)
+    members = kept.keep(keyed.join(_side(shared), "key").groupBy("key", "line_id").agg(F.first("first").alias("first")))
     wanted = kept.keep(members.select("line_id").distinct())
-    side = wanted.withColumnRenamed("line_id", "w")
-    near = lines.select("line_id", "line").join(F.broadcast(side) if wanted.count() <= FEW else side, F.col("line_id") == F.col("w"), "left_semi")
+    near = lines.select("line_id", "line").join(_side(wanted.withColumnRenamed("line_id", "w")), F.col("line_id") == F.col("w"), "left_semi")
     texts = kept.keep(near.groupBy("line_id").agg(F.min("line").alias("line")))
 
     pairs = kept.keep(members.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct())
@@ -165,18 +191,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kept = Kept(spark, "lines")
     lines = lines_of(docs.select("doc_id", "text"))
-    found = line_classes(lines, kept)
-    each = kept.keep(lines.select("doc_id", "text_hash", "line_no", "line_id"))
-    named = each.join(found, each.line_id == found.node, "left").select("doc_id", "text_hash", "line_no", F.coalesce("component", "line_id").alias("class"))
+    each = kept.keep(signatures(lines))
+    found = _side(line_classes(lines, each.select("line_id", "keys"), kept))
+    named = each.join(found, F.col("line_id") == F.col("node"), "left").select("doc_id", "text_hash", "line_no", F.coalesce("component", "line_id").alias("class"))
     named = kept.keep(named)
+    kept.drop(each)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no")
     first = kept.keep(named.groupBy("class").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "at"))
-    judged = named.join(first, "class", "left")
+    judged = named.join(_side(first), "class", "left")
     # Copies of a row give a line twice at one place; they are one line here, and the copies are told apart below.
     gone = judged.where(F.col("at").isNotNull() & ~place.eqNullSafe(F.col("at"))).select("doc_id", "text_hash", F.struct("line_no", F.col("at.doc_id").alias("kept_doc")).alias("r"))
     gone = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("r")).alias("removed"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("bigint").alias("n_lines"))
-    rows = rows.groupBy("doc_id", "text_hash").agg(F.first("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("copies"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    counted = named.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_lines")).toDF("_d", "_h", "_lines")
+    rows = rows.join(counted, rows.doc_id.eqNullSafe(counted["_d"]) & (rows.text_hash == counted["_h"]), "left")
+    rows = rows.withColumn("n_lines", F.floor(F.coalesce("_lines", F.lit(0)) / F.col("copies")))
     g = gone.toDF("d", "h", "removed")
     rows = rows.join(g, rows.doc_id.eqNullSafe(g.d) & (rows.text_hash == g.h), "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     none = F.array().cast("array<struct<line_no:int,kept_doc:bigint>>")
