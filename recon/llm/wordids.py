@@ -28,7 +28,7 @@ class WordIds:
     changed, and the room is cleared.
     """
 
-    def __init__(self, path: str, room: int = 500_000, runs: int = 900_000):
+    def __init__(self, path: str, room: int = 200_000, runs: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.most_runs = Tokenizer.from_file(path), room, runs
