@@ -14,18 +14,23 @@ from .common import let, read
 
 ROUNDS, KEY = 8, "a key of your own"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Digits after the country code where a country's numbers all have as many: such a number ends there, whatever follows it.
+_NATIONAL = {8: "45|47|65|852", 9: "31|33|34|41|48|61|351|380|420|971|972", 10: "7|44|52|57|90|91", 11: "86"}
+_EXACT = "|".join([r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}", *(rf"\+(?:{c})(?:[ .-]?\(?\d\)?){{{n - 1}}}[ .-]?\d" for n, c in _NATIONAL.items())])
 #: Patterns by kind, in the order in which they are tried. Letters and digits may not touch a match.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "ip": rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}",
+    "phone": rf"(?:{_EXACT})(?![A-Za-z0-9])|\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{2,3}}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "date": r"(?:18|19|20|21)\d\d([-/.])\d\d\1\d\d|\d\d[./]\d\d[./](?:18|19|20|21)\d\d",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
 #: Dates of these years, in days: 286 times 295 of them.
 FIRST_DAY, LAST_DAY, DAY_HALVES = "1873-01-01", "2103-12-31", (286, 295)
-FOUND = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + r")(?![A-Za-z0-9])"
+#: Written shapes of cards, which are tried before other groupings; other runs of digits as long as a card's, in few groups.
+SHAPES = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3})$"
+FEW_GROUPS = r"^\d+(?:[ -]\d+){1,4}$"
 
 
 def digits(x: Column) -> Column:
@@ -147,6 +152,35 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "date", date)
 
 
+def valid_cards(text: Column) -> Column:
+    """Every run of 13 to 19 digits that begins and ends where a group of digits does and passes the check, the shorter first. Runs
+    may overlap: a neighbouring number hides no card."""
+    each = [F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9])(?=(\d(?:[ -]?\d){{{n - 1}}})(?![A-Za-z0-9]))"), F.lit(1)) for n in range(13, 20)]
+    return F.filter(F.array_distinct(F.flatten(F.array(*each))), lambda c: luhn(digits(c)))
+
+
+def found_pattern(cards: Column | None = None) -> Column:
+    """Pattern of all kinds for a text that holds these cards, as they are written there. No phone number begins with one of them."""
+    first, others = (PATTERNS["email"], PATTERNS["ip"]), (PATTERNS["phone"], PATTERNS["ssn"], PATTERNS["date"])
+    if cards is None:
+        return F.lit(r"(?<![A-Za-z0-9])(?:" + "|".join([*first, *others]) + r")(?![A-Za-z0-9])")
+    start = r"(?<![A-Za-z0-9])(?:" + "|".join(first) + r"|(?!\+(?:\d{1,3}[ .-]?)?(?:"
+    return let(F.array_join(cards, "|"), lambda c: F.concat(F.lit(start), c, F.lit(r")(?![A-Za-z0-9]))(?:" + "|".join(others) + ")|"), c, F.lit(r")(?![A-Za-z0-9])")))
+
+
+def text_pattern(text: Column) -> Column:
+    """What to look for in a text: cards in their written shapes first, then, in what the other kinds leave, cards in other groups."""
+    def pattern(cards: Column) -> Column:
+        return F.when(F.size(cards) > 0, found_pattern(cards)).otherwise(found_pattern())
+
+    def both(shaped: Column) -> Column:
+        rest = F.regexp_replace(text, pattern(shaped), F.lit("#"))
+        return let(rest, lambda r: let(F.regexp_extract_all(r, F.lit(r"(?<![A-Za-z0-9])" + PATTERNS["card"] + r"(?![A-Za-z0-9])"), F.lit(0)), lambda whole: pattern(
+            F.concat(shaped, F.filter(whole, lambda c: luhn(digits(c))), F.reverse(F.filter(valid_cards(r), lambda c: c.rlike(FEW_GROUPS)))))))
+
+    return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), let(F.filter(valid_cards(text), lambda c: c.rlike(SHAPES)), both)).otherwise(found_pattern())
+
+
 def pseudonymised(text: Column, key: str = KEY) -> Column:
     """``struct(text, found array<struct(kind, pseudonym)>)`` of a text: the same but for its valid matches.
 
@@ -156,16 +190,15 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     def judged(m: Column) -> Column:
         return let(kind_of(m), lambda kind: F.struct(m.alias("old"), kind.alias("kind"), F.when(kind.isNotNull(), pseudonym(m, kind, key)).alias("new")))
 
-    matches = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), judged)
-
-    def build(ms: Column) -> Column:
+    def build(ms: Column, pattern: Column) -> Column:
         # split() and regexp_extract_all() cut at the same places, so pieces and matches alternate.
         filled = F.concat(F.transform(ms, lambda m: F.coalesce(m["new"], m["old"])), F.array(F.lit("")))
-        joined = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, FOUND, -1).alias("p"), filled.alias("f")), lambda z: F.array(z["p"], z["f"]))), "")
+        joined = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("p"), filled.alias("f")), lambda z: F.array(z["p"], z["f"]))), "")
         return F.struct(joined.alias("text"), F.transform(F.filter(ms, lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("pseudonym"))).alias("found"))
 
     none = F.struct(text.alias("text"), F.array().cast("array<struct<kind:string,pseudonym:string>>").alias("found"))
-    return F.when(text.rlike("[0-9@]") & text.rlike(FOUND), let(matches, build)).otherwise(none)
+    done = let(text_pattern(text), lambda p: let(F.transform(F.regexp_extract_all(text, p, F.lit(0)), judged), lambda ms: F.when(F.size(ms) > 0, build(ms, p)).otherwise(none)))
+    return F.when(text.rlike("[0-9@]"), done).otherwise(none)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:

@@ -102,3 +102,27 @@ def test_cards_of_other_lengths(spark, n):
     _, found = run(spark, numbers)
     got = [f[0][1] for f in found]
     assert all(luhn(g) and len(g) == n and g[0] == d[0] for g, d in zip(got, numbers)) and len(set(got)) == 20
+
+
+CARD = "4111111111111111"
+
+
+@pytest.mark.parametrize("written", [CARD, "4111 1111 1111 1111", "4111-1111-1111-1111", "41111111 11111111"])
+def test_neighbouring_numbers_hide_no_card(spark, written):
+    around = ["{} 12/27", "77 {}", "2020 {} 123", "{} 2020-12-31", "7 {}-9", "{} {}", "12 {} 4 {} 5"]
+    around += ["+{}", "+1 {}"] if len(written.split(" ")) != 2 else []  # in two groups after a plus it may be a phone number
+    texts, found = run(spark, [written, *(a.replace("{}", written) for a in around)])
+    new = texts[0]
+    assert new != written and luhn("".join(c for c in new if c.isdigit()))
+    for a, t, f in zip(around, texts[1:], found[1:]):
+        assert [k for k, p in f if p == new] == ["card"] * a.count("{}"), (a, t)
+        if "2020-" not in a:
+            assert t == a.replace("{}", new)
+
+
+def test_neighbouring_numbers_do_not_change_phones(spark):
+    phones = ["+1 (743) 555-3824", "(743) 555-3824", "743-555-3824", "+44 20 7946 0958"]
+    alone, _ = run(spark, phones)
+    for a in ("{} 2020", "2020 {}", "{}-12", "{} 15 1234"):
+        texts, found = run(spark, [a.replace("{}", p) for p in phones])
+        assert texts == [a.replace("{}", n) for n in alone] and [[k for k, _ in f] for f in found] == [["phone"]] * 4
