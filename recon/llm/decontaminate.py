@@ -1,10 +1,11 @@
-"""Benchmark decontamination: windows of an item's size whose SimHash is near the item's, verified by weighted shingles.
+"""Benchmark decontamination: windows of an item's size whose weighted shingles are the item's to 0.8 or more.
 
 Similarity is the weighted Jaccard of two word runs: five-word shingles count as often as they occur (a run of fewer words is one
-shingle). A window that is similar to an item at all shares a shingle with it, so only windows over a shared shingle are
-fingerprinted; nothing is lost by that. Fingerprints are made of single words and word pairs and looked up in a multi-index: 64
-bits in five blocks, each block's table holding every value within two bits of an item's. Of five blocks one differs in at most two
-bits if all differ in 14, so every fingerprint within 14 bits is met; then the similarity itself is worked out.
+shingle). A window shares at most as many shingles with an item as it has places whose shingle the item holds. These are counted for
+all windows at once by running sums, and where they would suffice the similarity itself is worked out, so nothing is lost: recall is 1.
+``distance`` tells how many bits the window's SimHash differs in. Fingerprints choose no windows, since those of similar windows
+can be far apart; the multi-index (64 bits in five blocks, each block's table holding every value within two bits of an item's, which
+meets all within 14 bits) is built only for who looks fingerprints up.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,50 +69,71 @@ class Index:
         self.items = [(i, w) for i, t in items if (w := split_words(t))]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.shingles, self.sizes = [], [len(w) for _, w in self.items]
-        anchors: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
-        self.tables: dict[int, list[dict]] = defaultdict(lambda: [defaultdict(list) for _ in BLOCKS])
+        holders: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
         self.prints = np.zeros(len(self.items), np.uint64)
         for k, (_, words) in enumerate(self.items):
-            n, width = len(words), min(SHINGLE, len(words))
-            ids = np.array([self.vocabulary[w] for w in words], np.uint64)
-            grams = rolled(ids, width)
+            width = min(SHINGLE, len(words))
+            grams = rolled(np.array([self.vocabulary[w] for w in words], np.uint64), width)
             self.shingles.append(Counter(grams.tolist()))
-            for g in set(grams.tolist()):
-                anchors[width][g].add(n)
-            self.prints[k] = window_prints(word_hashes(words), np.array([0]), n)[0]
-            for values, table, bits in zip(block_values(self.prints[k:k + 1]), self.tables[n], BLOCKS):
+            own = np.unique(grams)
+            holders[width][0].append(own)
+            holders[width][1].append(np.full(len(own), k))
+            self.prints[k] = window_prints(word_hashes(words), np.array([0]), len(words))[0]
+        self.words, self.totals = np.array(self.sizes, np.int64), np.array([c.total() for c in self.shingles], np.int64)
+        #: For each width of shingle: the shingles, sorted, where each one's items begin, and the items.
+        self.holders = {}
+        for width, (grams, items_) in holders.items():
+            each, k = np.concatenate(grams), np.concatenate(items_)
+            order = np.argsort(each, kind="stable")
+            known, first = np.unique(each[order], return_index=True)
+            self.holders[width] = known, np.append(first, len(each)), k[order]
+
+    @cached_property
+    def tables(self) -> dict[int, list[dict]]:
+        """By size of item and block: the items whose fingerprint has a value or one within two bits of it."""
+        out: dict[int, list[dict]] = defaultdict(lambda: [defaultdict(list) for _ in BLOCKS])
+        for k, n in enumerate(self.sizes):
+            for values, table, bits in zip(block_values(self.prints[k:k + 1]), out[n], BLOCKS):
                 for flips in itertools.chain([()], ((a,) for a in range(bits)), itertools.combinations(range(bits), 2)):
                     table[int(values[0]) ^ sum(1 << f for f in flips)].append(k)
-        self.anchors = {w: (np.array(sorted(t), np.uint64), {g: sorted(s) for g, s in t.items()}) for w, t in anchors.items()}
-        self.tables = {n: [dict(t) for t in ts] for n, ts in self.tables.items()}
+        return {n: [dict(t) for t in ts] for n, ts in out.items()}
 
     def search(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         """``item_id, first word, words, similarity, distance`` of the best window for each item that the text holds."""
         words = split_words(text)
         ids = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.uint64, len(words))
-        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for width, (known, sizes) in self.anchors.items():
+        best: dict[int, tuple] = {}
+        for width, (known, first, items) in self.holders.items():
             if len(ids) < width:
                 continue
-            whole = np.flatnonzero(np.convolve(ids == 0, np.ones(width, np.int8), "valid") == 0)
-            grams = rolled(ids, width)[whole]
+            whole = np.convolve(ids == 0, np.ones(width, np.int8), "valid") == 0
+            if not whole.any():
+                continue
+            grams = rolled(ids, width)
             at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            for p, g in zip(whole[known[at] == grams].tolist(), grams[known[at] == grams].tolist()):
-                for n in sizes[g]:
-                    spans[n].append((max(0, p + width - n), min(p, max(0, len(ids) - n))))
-        best: dict[int, tuple] = {}
-        for n, found in spans.items():
-            size = min(n, len(ids))
-            starts = np.unique(np.concatenate([np.arange(a, z + 1) for a, z in merged(found)]))
-            low, high = int(starts[0]), int(starts[-1]) + size
-            prints = window_prints(word_hashes(words[low:high]), starts - low, size)
-            values = block_values(prints)
-            for j, start in enumerate(starts.tolist()):
-                for k in {k for v, t in zip(values, self.tables[n]) for k in t.get(int(v[j]), ())}:
-                    distance = int(np.bitwise_count(prints[j] ^ self.prints[k]))
-                    if distance <= RADIUS and (s := self.similarity(k, ids[start:start + size])) >= SIMILAR:
-                        best[k] = max(best.get(k, (0.0,)), (s, -distance, -start, size))
-        return [(self.items[k][0], -a, size, s, -d) for k, (s, d, a, size) in sorted(best.items())]
+            place = np.where(whole & (known[at] == grams), at, -1)  # number of the shingle at each word
+            met, often = np.unique(place[place >= 0], return_counts=True)
+            if not len(met):
+                continue
+            n = first[met + 1] - first[met]
+            held = items[np.repeat(first[met] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            total = np.bincount(held, np.repeat(often, n), len(self.items))
+            most = np.minimum(total, np.minimum(self.words, len(ids)) - width + 1)
+            for k in np.flatnonzero((total > 0) & (most >= SIMILAR * (np.minimum(self.words, len(ids)) - width + 1 + self.totals - most) - 1e-6)).tolist():
+                size = min(self.sizes[k], len(ids))
+                places, all_ = size - width + 1, size - width + 1 + self.shingles[k].total()
+                own = np.isin(place, np.searchsorted(known, np.fromiter(self.shingles[k], np.uint64)))
+                sums = np.concatenate([[0], np.cumsum(own)])
+                most = sums[places:] - sums[:-places]
+                starts = np.flatnonzero(most >= SIMILAR * (all_ - most) - 1e-6)
+                near = np.array([self.similarity(k, ids[a:a + size]) for a in starts.tolist()])
+                if len(near) and near.max() >= SIMILAR:
+                    starts = starts[near == near.max()]
+                    low, high = int(starts[0]), int(starts[-1]) + size
+                    distance = np.bitwise_count(window_prints(word_hashes(words[low:high]), starts - low, size) ^ self.prints[k])
+                    j = int(np.argmin(distance))
+                    best[k] = float(near.max()), int(distance[j]), int(starts[j]), size
+        return [(self.items[k][0], a, size, s, d) for k, (s, d, a, size) in sorted(best.items())]
 
     def similarity(self, item: int, ids: np.ndarray) -> float:
         own, width = self.shingles[item], min(SHINGLE, self.sizes[item])
@@ -129,16 +152,6 @@ def rolled(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, z in sorted(set(spans)):
-        if out and a <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """A row for each document and item it holds: ``doc_id, item_id, first_word, n_words, similarity, distance``.
 

@@ -76,3 +76,18 @@ def test_filter_keeps_clean_documents_whole(spark):
     assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == sorted(["clean", "clean text here " * 50])
     assert without_leaks(docs, items.limit(0)).count() == 5
     assert leaks(docs.limit(0), items).count() == 0
+
+
+def test_windows_just_above_the_limit_are_all_found():
+    rng = random.Random(21)
+    met = far = 0
+    for size, cut in ((50, 5), (100, 10), (300, 32)):
+        items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(size))) for k in range(150)]
+        index = Index(items)
+        for k, text in items:
+            words = text.split(" ")[:size - cut] + [f"x{rng.randrange(5000)}" for _ in range(cut)]
+            want = slow([(0, " ".join(words))], [(k, text)])[0, k]
+            got = {i: (s, d) for i, _, _, s, d in index.search("so it began " + " ".join(words) + " and ended")}
+            assert want < 0.82 and got[k][0] == want
+            met, far = met + 1, far + (got[k][1] > RADIUS)
+    assert met == 450 and far > 0
