@@ -19,6 +19,9 @@ from .common import Kept, read
 ORDER = 5
 #: Most n-grams of the highest order that a language keeps, the most frequent first; documents of a language used to calibrate.
 MAX_GRAMS, MAX_CALIBRATE = 250_000, 1500
+#: Characters from which each band of lengths begins. Texts are rejected above the usual excess of their band by so many robust standard
+#: deviations, and so many nats a character. A language with fewer texts in a band shares the limit of all languages there.
+BANDS, SPREADS, SLACK, FEW = (1, 16, 64, 256, 1024), 8, 0.5, 50
 _P, _BLANK = np.uint64(0x9E3779B97F4A7C15), 32
 _letters: list[np.ndarray] = []
 
@@ -166,18 +169,26 @@ class Models:
         return out, n
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Per language the usual cross-entropy and how far above it texts go, by length; and the temperature of the scores."""
+        """Per language the usual cross-entropy and how far above it texts go, by length; and the temperature of the scores. Texts of a
+        language that no text calibrates are not rejected."""
         parts = [self.entropies(texts[at:at + 50]) for at in range(0, len(texts), 50)]
         e, n = (np.concatenate(x) for x in zip(*parts)) if parts else self.entropies([])
         own = np.array([self.langs.index(x) for x in langs], int)
         ok = n > 0
         e, n, own = e[ok], n[ok], own[ok]
-        usual, above = np.full(len(self.langs), np.inf), np.full(len(self.langs), np.inf)
-        for k in range(len(self.langs)):
-            if (own == k).sum() >= 20:
-                mine, size = e[own == k, k], n[own == k]
-                usual[k] = np.average(mine, weights=size)
-                above[k] = 1.5 * max(0.5, ((mine - usual[k]) * np.sqrt(size)).max()) + 0.5
+        # A text that another language's model prefers is mislabelled or foreign and tells nothing about its own language.
+        true = e.argmin(axis=1) == own if len(own) else np.zeros(0, bool)
+        usual = np.full(len(self.langs), np.inf)
+        for k in set(own[true].tolist()):
+            usual[k] = _median(e[true & (own == k), k], np.minimum(n[true & (own == k)], 256))  # no long text outweighs the others
+        excess, band, whose = (e[true, own[true]] - usual[own[true]]) * np.sqrt(n[true]), _band(n[true]), own[true]
+        above = np.full((len(self.langs), len(BANDS)), np.inf)
+        for k in set(whose.tolist()):
+            for j in range(len(BANDS)):
+                for some in ((whose == k) & (band == j), band == j, band >= 0):
+                    if some.sum() >= FEW or some.all():
+                        above[k, j] = _limit(excess[some])
+                        break
         heats = 2.0 ** -np.arange(0, 9)
         loss = [-np.log(np.clip(_posterior(e, n, t)[np.arange(len(own)), own], 1e-9, 1)).mean() if len(own) else 0 for t in heats]
         self.calibrated = {"usual": usual, "above": above, "heat": heats[int(np.argmin(loss))]}
@@ -191,10 +202,26 @@ class Models:
         score = np.where(n > 0, _posterior(e, n, self.calibrated["heat"])[rows, best], 0.0)
         low = e[rows, best]
         with np.errstate(invalid="ignore"):
-            far = (low - self.calibrated["usual"][best]) * np.sqrt(n) > self.calibrated["above"][best] + 0.25 * np.sqrt(n)
+            far = (low - self.calibrated["usual"][best]) * np.sqrt(n) > self.calibrated["above"][best, _band(n)] + SLACK * np.sqrt(n)
         return [self.langs[b] if k else "und" for b, k in zip(best, n)], score, low, far | (n == 0)
 
 
+def _band(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BANDS[1:], n, side="right")
+
+
+def _median(values: np.ndarray, weights: np.ndarray) -> float:
+    order = np.argsort(values)
+    total = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(total, total[-1] / 2)])
+
+
+def _limit(excess: np.ndarray) -> float:
+    """The median and some robust standard deviations: up to half of the texts may be anything."""
+    middle = np.median(excess)
+    return float(middle + SPREADS * max(0.5, 1.4826 * np.median(np.abs(excess - middle))))
+
+
 def _posterior(e: np.ndarray, n: np.ndarray, heat: float) -> np.ndarray:
     z = -(e - e.min(axis=1, keepdims=True)) * (n * heat)[:, None]
     p = np.exp(z)

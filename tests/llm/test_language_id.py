@@ -132,3 +132,22 @@ def test_filter_and_empty_tables(spark, docs):
     alone = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in identify(alone).collect()} == {"und"}
     assert predict(docs.select("doc_id", "text"), fit(docs)).columns == ["doc_id", "lang_pred", "score", "entropy", "rejected"]
+
+
+def test_mislabelled_and_junk_texts_do_not_lift_the_limits():
+    rng = random.Random(3)
+    junk = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=n))
+    grams, counts = [], []
+    for lang in SYLLABLES:
+        chars, at, _ = normalised([prose(rng, lang, 40) for _ in range(60)])
+        _, first, n = np.unique(gram_hashes(chars, at, 5), return_index=True, return_counts=True)
+        grams.append(chars[at[first][:, None] + np.arange(-4, 1)])
+        counts.append(n)
+    models = Models(list(SYLLABLES), grams, counts)
+    few = {"aa": 200, "bb": 200, "cc": 8}
+    rows = [(prose(rng, lang, rng.choice([1, 5, 40, 300])), lang) for lang, n in few.items() for _ in range(n)]
+    clean = [prose(rng, lang, n) for lang in few for n in (1, 2, 5, 40, 300) for _ in range(40)]
+    short = [junk(n) for n in (40, 100, 1000) for _ in range(40)]
+    for odd in ([], [(junk(5000), "aa"), (junk(5000), "cc"), *((prose(rng, "bb", 300), "aa") for _ in range(10)), *((junk(200), "bb") for _ in range(4))]):
+        models.calibrate(*map(list, zip(*rows, *odd)))
+        assert models.judge(short)[3].all() and models.judge(clean)[3].mean() < 0.01
