@@ -87,9 +87,21 @@ def match_columns(wanted: DataFrame, columns: DataFrame, threshold: float = 0.55
     """
     a = wanted.select("name", header_key(F.col("name")).alias("_a")).distinct()
     b = columns.select("column", header_key(F.col("column")).alias("_b")).distinct()
-    # Names that share no two letters can't reach the threshold, so pairs meet over letter pairs.
-    pairs_of = lambda x: F.explode(F.when(F.length(x) < 2, F.array(x)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2))))))
-    met = a.withColumn("_g", pairs_of(F.col("_a"))).join(b.withColumn("_g", pairs_of(F.col("_b"))), "_g").select("name", "_a", "column", "_b").distinct()
+    # An edit breaks two letter pairs at most, so a pair is left unless, of an odd number of letters, every second one is edited; then
+    # the names begin and end alike, and above a threshold of a half they are short. Below it they share a letter. A name of one
+    # letter meets all that hold it.
+    letters = lambda x: F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
+    tagged = lambda tag, xs: F.transform(xs, lambda c: F.concat(F.lit(tag), c))
+    none = F.array().cast("array<string>")
+
+    def keys(x: Column, one: str, held: str) -> Column:
+        pairs = F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))).otherwise(F.array(x))
+        ends = F.when(F.length(x) * (2 * threshold - 1) <= 1 + 1e-6, F.array(F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1)))).otherwise(none) if threshold > 0.5 else letters(x)
+        return F.explode(F.array_distinct(F.concat(tagged("pair", pairs), tagged("ends", ends), tagged(held, letters(x)), F.when(F.length(x) == 1, tagged(one, F.array(x))).otherwise(none))))
+
+    # ``a`` looks up its one letter among those that ``b`` holds, and the other way round.
+    left, right = a.withColumn("_g", keys(F.col("_a"), "in b", "in a")), b.withColumn("_g", keys(F.col("_b"), "in a", "in b"))
+    met = left.join(right, "_g").select("name", "_a", "column", "_b").distinct()
     near = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"))
     score = F.when(F.col("_a") == F.col("_b"), 1.0).when(F.col("_a").contains(F.col("_b")) | F.col("_b").contains(F.col("_a")), F.greatest(F.lit(0.92), near)).otherwise(near)
     scored = met.withColumn("score", score).where(F.col("score") >= threshold)

@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,27 @@ def test_header_names_and_columns(spark):
     got = {r.name: r for r in profile.match_columns(wanted, columns).collect()}
     assert got["total amount"].column == "total_amount" and math.isclose(got["total amount"].score, 1.0)
     assert got["dept"].column in ("department", "depot")
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_short_names_meet_all_that_the_score_accepts(spark):
+    rng = random.Random(5)
+    names = lambda n: sorted({"".join(rng.choices("abcdxyz", k=rng.randrange(1, 10))) for _ in range(n)})
+    wanted, columns = ["abcde", "abcdefg", "q", "longq", *names(60)], ["axcxe", "axcxexg", "xqx", *names(60)]
+    score = lambda a, b: 1.0 if a == b else max(0.92 if a in b or b in a else 0, 1 - edits(a, b) / max(len(a), len(b)))
+    for threshold in (0.55, 0.4):
+        want = {}
+        for a in wanted:
+            ranked = sorted((-score(a, b), b) for b in columns if score(a, b) >= threshold)
+            if ranked:
+                want[a] = (ranked[0][1], round(-ranked[0][0], 6))
+        found = profile.match_columns(spark.createDataFrame([(x,) for x in wanted], "name string"), spark.createDataFrame([(x,) for x in columns], "column string"), threshold).collect()
+        assert {r.name: (r.column, round(r.score, 6)) for r in found} == want
