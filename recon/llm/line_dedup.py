@@ -1,9 +1,12 @@
 """Fuzzy line dedup by MinHash: one line of each group of near-equal lines stays.
 
 Lines are compared by their sets of character shingles. MinHash signatures are cut into bands; lines that agree in a band are
-candidates. Each is verified exactly against the first line of its bucket, and union-find joins what is similar. Buckets whose lines
-are one component by then are done. In the others every pair across components is verified, tile against tile, so no link that a
-bucket holds is lost, and no bucket's pairs are listed.
+candidates. A pair of candidates goes on if its signatures agree in enough minima, and is then verified exactly, once: every line
+of a bucket against the bucket's first one, joined by union-find; then, where the other lines of a bucket are still in several
+components, pairs across components, tile against tile, each in the first band that it shares. So no link that the signatures let
+through is lost, and no bucket's pairs are listed.
+
+Lines with one 64-bit hash (XXH64) count as equal; half a clash is expected among 2^32 distinct lines.
 """
 
 from __future__ import annotations
@@ -12,15 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Kept, components, read
 
 #: Characters of a shingle; Jaccard similarity from which lines are near-equal; bands and their rows: at 0.8, 99.5 % share a band.
-SHINGLE, SIMILAR, BANDS, ROWS = 9, 0.8, 10, 4
-#: Lines of a tile; candidates up to which their hashes are broadcast to find their texts.
-TILE, FEW = 512, 1_000_000
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 10, 4
+#: Agreeing minima from which a pair is verified: at 0.8, of 40 minima fewer agree in one pair of ten thousand.
+AGREE = 22
+#: Lines and characters of a tile; characters that are signed at once; lines up to which their hashes are broadcast.
+TILE, TILE_CHARS, SLICE, FEW = 512, 4_000_000, 65_536, 1_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 _P = np.uint32(0x9E3779B1)
 _SALTS = [(np.uint32(a), np.uint32(b)) for a, b in zip(np.random.default_rng(11).integers(1, 2**31, BANDS * ROWS) * 2 + 1, np.random.default_rng(12).integers(0, 2**32, BANDS * ROWS))]
@@ -37,34 +42,62 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """A 64-bit key for each band of each line: a hash of the band's number and its four minima."""
-    padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
-    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.fromiter(map(len, padded), np.int64, len(padded))
+def _minima(pieces: list[str]) -> np.ndarray:
+    """For each piece of a line the least of its shingles' hashes under each salt."""
+    c = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(size)
+    starts = ends - size
     n = len(c) - SHINGLE + 1
     h = np.zeros(n, np.uint32)
     for k in range(SHINGLE):
-        h = (h ^ c[k:k + n]) * _P
+        h ^= c[k:k + n]
+        h *= _P
         h ^= h >> np.uint32(15)
-    whole = np.ones(n, bool)
-    for k in range(1, SHINGLE):  # shingles that would reach into the next line
-        last = ends[:-1] - k
-        whole[last] = False
-    h = h[whole]
-    starts = np.concatenate([[0], np.cumsum(size - SHINGLE + 1)[:-1]])
-    out = np.empty((len(lines), BANDS), np.uint64)
+    # A shingle that would reach into the next piece counts as the first one of its own piece.
+    h[(ends[:-1, None] - 1) - np.arange(SHINGLE - 1)] = h[starts[:-1], None]
+    out, salted = np.empty((len(pieces), BANDS * ROWS), np.uint32), np.empty_like(h)
+    for j, (a, s) in enumerate(_SALTS):
+        np.bitwise_xor(h, s, out=salted)
+        np.multiply(salted, a, out=salted)
+        out[:, j] = np.minimum.reduceat(salted, starts)
+    return out
+
+
+def minima(lines: list[str]) -> np.ndarray:
+    """The minima of each line. Lines are taken in slices of bounded size; a longer line is cut, and the least of its pieces holds."""
+    out, pieces, first, n, room = [np.zeros((0, BANDS * ROWS), np.uint32)], [], [], 0, 0
+    for line in lines:
+        first.append(n)
+        padded = line if len(line) >= SHINGLE else line + "\0" * (SHINGLE - len(line))
+        for at in range(0, len(padded) - SHINGLE + 1, SLICE):
+            pieces.append(padded[at:at + SLICE + SHINGLE - 1])
+            n, room = n + 1, room + len(pieces[-1])
+            if room >= SLICE:
+                out.append(_minima(pieces))
+                pieces, room = [], 0
+    if pieces:
+        out.append(_minima(pieces))
+    return np.minimum.reduceat(np.concatenate(out), first, axis=0) if lines else out[0]
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each line: a hash of the band's number and its minima."""
+    out = np.empty((len(least), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(lines), b + 1, np.uint64)
-        for a, s in _SALTS[b * ROWS:(b + 1) * ROWS]:
-            least = np.minimum.reduceat((h ^ s) * a, starts)
-            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+        key = np.full(len(least), b + 1, np.uint64)
+        for j in range(b * ROWS, (b + 1) * ROWS):
+            key = (key ^ least[:, j]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         out[:, b] = key
     return out
 
 
+def marks(least: np.ndarray) -> np.ndarray:
+    """Eight bits of each minimum, eight minima to a number."""
+    return (least >> np.uint32(24)).astype(np.uint8).view(np.int64)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, line_no, line, line_id``: each line with a character that isn't blank, without blanks around it."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -73,19 +106,37 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``keys``, one for each band, in the place of their text."""
+    """``lines`` with ``keys``, one for each band, and ``marks`` of the minima in the place of their text. Of lines that are equal in
+    a batch of rows the first one is signed, the others have null."""
     rest = [c for c in lines.columns if c != "line"]
 
+    def listed(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
+        ends = np.zeros(n + 1, np.int32)
+        ends[rows + 1] = values.shape[1]
+        ends, none = np.cumsum(ends, dtype=np.int32), np.ones(n, bool)
+        none[rows] = False
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64).ravel()), mask=pa.array(none))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                keys = bands(part.column("line").to_pylist()).view(np.int64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), keys], [*rest, "keys"])
+            _, rows = np.unique(b.column("line_id").to_numpy(), return_index=True)
+            rows = np.sort(rows)
+            least = minima(b.column("line").take(pa.array(rows)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), listed(bands(least), rows, b.num_rows), listed(marks(least), rows, b.num_rows)], [*rest, "keys", "marks"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name != "line")
-    return lines.select(*rest, "line").mapInArrow(sign, f"{schema}, keys array<bigint>")
+    return lines.select(*rest, "line").mapInArrow(sign, f"{schema}, keys array<bigint>, marks array<bigint>")
+
+
+def agreeing(a: Column, b: Column) -> Column:
+    """How many of the minima behind two lines' ``marks`` agree: equal bytes of the numbers."""
+    def differing(x: Column) -> Column:
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(x)
+
+    n = BANDS * ROWS // 8
+    return F.lit(BANDS * ROWS) - sum((differing(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(n)), F.lit(0))
 
 
 def _side(table: DataFrame) -> DataFrame:
@@ -108,32 +159,46 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def tile_links(one: list[dict], two: list[dict]) -> list[tuple[int, int]]:
-    """Index pairs of similar lines of two tiles in different components, joining all that such pairs join.
+def tile_links(one: list[dict], two: list[dict], key: int) -> list[tuple[int, int]]:
+    """Index pairs of similar lines of two tiles of a bucket in different components, joining all that such pairs join.
 
-    Shared shingles are counted for a line and the whole other tile at once, over the lines that each shingle is in.
+    A pair counts if this bucket is the first that it shares and its signatures agree enough. Shared shingles are counted for a line
+    and the whole other tile at once, over the lines that each shingle is in.
     """
     numbers: dict[int, int] = {}
     label = np.array([numbers.setdefault(m["component"], len(numbers)) for m in [*one, *two]])
     if len(numbers) < 2:
         return []
-    mine, theirs, out = label[:len(one)], label[len(one):], []
+    keys, seen = (np.array([m[c] for m in [*one, *two]], np.int64) for c in ("keys", "marks"))
+    seen, n = seen.view(np.uint8), len(one)
+    open_ = label[:n, None] != label[None, n:]
+    for band in range(int(np.flatnonzero(keys[0] == key)[0])):
+        open_ &= keys[:n, band, None] != keys[None, n:, band]
+    alike = np.zeros(open_.shape, np.uint8)
+    for j in range(BANDS * ROWS):
+        alike += seen[:n, j, None] == seen[None, n:, j]
+    open_ &= alike >= AGREE
+    rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return []
     lines_with: dict[str, list[int]] = {}
-    sets = [shingle_set(m["line"]) for m in two]
-    for j, known in enumerate(sets):
+    sets = [shingle_set(two[j]["line"]) for j in columns]
+    for k, known in enumerate(sets):
         for s in known:
-            lines_with.setdefault(s, []).append(j)
-    held = {s: np.array(js, np.int32) for s, js in lines_with.items()}
+            lines_with.setdefault(s, []).append(k)
+    held = {s: np.array(ks, np.int32) for s, ks in lines_with.items()}
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    for i, m in enumerate(one):
-        if (theirs == mine[i]).all():
+    mine, theirs, out = label[:n], label[n:], []
+    for i in rows.tolist():
+        if not (open_[i, columns] & (theirs[columns] != mine[i])).any():
             continue
-        own = shingle_set(m["line"])
+        own = shingle_set(one[i]["line"])
         met = [held[s] for s in own if s in held]
         if not met:
             continue
-        shared = np.bincount(np.concatenate(met), minlength=len(two))
-        for j in np.flatnonzero((shared / (len(own) + sizes - shared) >= SIMILAR) & (theirs != mine[i])).tolist():
+        shared = np.bincount(np.concatenate(met), minlength=len(sets))
+        for k in np.flatnonzero(open_[i, columns] & (shared / (len(own) + sizes - shared) >= SIMILAR)).tolist():
+            j = int(columns[k])
             if theirs[j] != mine[i]:
                 out.append((i, j))
                 label[label == theirs[j]] = mine[i]
@@ -144,40 +209,50 @@ def across(tiles: DataFrame) -> DataFrame:
     """``a, b``: links between lines of two tiles that are in different components, joining all that such similar pairs join."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, j in tile_links(one, two):
-                    left.append(one[i]["line_id"]), right.append(two[j]["line_id"])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            for row in range(batch.num_rows):
+                key, one, two = (c[row].as_py() for c in batch.columns)
+                found = tile_links(one, two, key)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([one[i]["line_id"] for i, _ in found], pa.int64()), pa.array([two[j]["line_id"] for _, j in found], pa.int64())], ["a", "b"])
 
-    return tiles.select("one", "two").mapInArrow(compare, "a bigint, b bigint")
+    return tiles.select("key", "one", "two").mapInArrow(compare, "a bigint, b bigint")
 
 
 def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:
     """``node, component`` of the lines that are near-equal to another: the smallest line_id of their component. ``signed``: the
-    lines' ids and keys."""
+    lines' ids, keys and marks."""
+    signed = signed.where("keys is not null")
     keyed = signed.select("line_id", F.explode("keys").alias("key"))
     shared = kept.keep(keyed.groupBy("key").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).where("first <> last").select("key", "first"))
     members = kept.keep(keyed.join(_side(shared), "key").groupBy("key", "line_id").agg(F.first("first").alias("first")))
-    wanted = kept.keep(members.select("line_id").distinct())
-    near = lines.select("line_id", "line").join(_side(wanted.withColumnRenamed("line_id", "w")), F.col("line_id") == F.col("w"), "left_semi")
+    wanted = members.select(F.col("line_id").alias("w")).distinct()
+    marked = kept.keep(signed.join(_side(kept.keep(wanted)), F.col("line_id") == F.col("w")).groupBy("line_id").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks")))
+
+    pairs = members.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
+    own = marked.select("line_id", "marks")
+    pairs = pairs.join(own.toDF("a", "marks_a"), "a").join(own.toDF("b", "marks_b"), "b").where(agreeing(F.col("marks_a"), F.col("marks_b")) >= AGREE)
+    pairs = kept.keep(pairs.select("a", "b"))
+    # Beside the pairs, buckets of three lines or more may need texts: those of all lines but the first.
+    more = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
+    rest = kept.keep(members.where("line_id <> first").join(more, "key", "left_semi").select("key", "line_id"))
+    needed = kept.keep(pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(rest.select("line_id")).distinct())
+    near = lines.select("line_id", "line").join(_side(needed), F.col("line_id") == F.col("w"), "left_semi")
     texts = kept.keep(near.groupBy("line_id").agg(F.min("line").alias("line")))
 
-    pairs = kept.keep(members.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct())
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     links = kept.keep(verified(pairs.join(one, "a").join(two, "b").sortWithinPartitions("a")))
     parts = kept.keep(components(links, kept))
 
-    placed = members.select("key", "line_id").join(parts, members.line_id == parts.node, "left").select("key", "line_id", F.coalesce("component", "line_id").alias("component"))
-    placed = kept.keep(placed)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    mixed = kept.keep(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    open_ = placed.join(mixed, "key").join(texts, "line_id")
-    open_ = open_.withColumn("tile", F.pmod(F.xxhash64("line_id", F.lit(3)), F.col("tiles")).cast("int"))
-    tiles = kept.keep(open_.groupBy("key", "tile").agg(F.collect_list(F.struct("line_id", "component", "line")).alias("m")))
+    placed = kept.keep(rest.join(parts, rest.line_id == parts.node, "left").select("key", "line_id", F.coalesce("component", "line_id").alias("component")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ = kept.keep(placed.join(mixed, "key", "left_semi").join(texts, "line_id").join(marked, "line_id"))
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+    sizes = sizes.select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("chars") / TILE_CHARS)).cast("int").alias("tiles"))
+    open_ = open_.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("line_id", F.lit(3)), F.col("tiles")).cast("int"))
+    tiles = kept.keep(open_.groupBy("key", "tile").agg(F.collect_list(F.struct("line_id", "component", "keys", "marks", "line")).alias("m")))
     both = tiles.select("key", "tile", F.col("m").alias("one")).join(tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("two")), "key").where("tile <= other")
-    more = kept.keep(across(both))
-    return kept.keep(components(links.union(more), kept))
+    found = kept.keep(across(both))
+    return kept.keep(components(links.union(found), kept))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -192,7 +267,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = Kept(spark, "lines")
     lines = lines_of(docs.select("doc_id", "text"))
     each = kept.keep(signatures(lines))
-    found = _side(line_classes(lines, each.select("line_id", "keys"), kept))
+    found = _side(line_classes(lines, each.select("line_id", "keys", "marks"), kept))
     named = each.join(found, F.col("line_id") == F.col("node"), "left").select("doc_id", "text_hash", "line_no", F.coalesce("component", "line_id").alias("class"))
     named = kept.keep(named)
     kept.drop(each)

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from recon.llm.line_dedup import BANDS, SHINGLE, bands, dedup_lines, jaccard, shingle_set, without_lines
+from recon.llm.line_dedup import AGREE, BANDS, SHINGLE, agreeing, bands, dedup_lines, jaccard, marks, minima, shingle_set, tile_links, without_lines
 
 SCHEMA = "doc_id bigint, text string, removed string, copy string"
 
@@ -66,21 +66,118 @@ def test_components_are_those_of_brute_force(spark):
     assert all(r.n_kept == r.n_lines - len(r.removed) for r in got)
 
 
-def test_similar_lines_share_a_band():
+def test_similar_lines_share_a_band_and_agree():
     rng = random.Random(2)
     hits = total = 0
-    for _ in range(400):
-        a = "".join(rng.choices("abcdefghij", k=rng.choice([40, 120, 400])))
+    for _ in range(600):
+        a = "".join(rng.choices("abcdefghij", k=rng.choice([60, 120, 400])))
         b = list(a)
-        for _ in range(max(1, len(a) // 100)):
+        for _ in range(max(1, len(a) // 60)):
             b[rng.randrange(len(b))] = "Z"
         b = "".join(b)
         if jaccard(shingle_set(a), shingle_set(b)) >= 0.8:
-            x = bands([a, "other line", b])
-            total, hits = total + 1, hits + bool((x[0] == x[2]).any())
+            least = minima([a, "other line", b])
+            x, m = bands(least), marks(least)
+            same = (m[0].view(np.uint8) == m[2].view(np.uint8)).sum()
+            total, hits = total + 1, hits + bool((x[0] == x[2]).any() and same >= AGREE)
     assert total > 200 and hits / total > 0.985
-    alone = np.stack([bands([t])[0] for t in ("abc", "x" * 50, "é日🙂" * 9)])
-    assert (bands(["abc", "x" * 50, "é日🙂" * 9]) == alone).all() and alone.shape == (3, BANDS) and SHINGLE == 9
+    alone = np.stack([bands(minima([t]))[0] for t in ("abc", "x" * 50, "é日🙂" * 9)])
+    assert (bands(minima(["abc", "x" * 50, "é日🙂" * 9])) == alone).all() and alone.shape == (3, BANDS)
+
+
+def test_long_lines_are_cut_without_a_change(monkeypatch):
+    import recon.llm.line_dedup as module
+
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdef ", k=k)) for k in (1, 4, 5, 6, 99, 100, 101, 5000)]
+    whole = minima(lines)
+    monkeypatch.setattr(module, "SLICE", 96)
+    assert (minima(lines) == whole).all()
+
+
+def test_small_changes_in_short_lines_are_found(spark):
+    """A changed character in 50 letters or more, a changed word of six letters in 90 or more, are near-equal by their shingles."""
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    rows, expect = [], {}
+    for i in range(150):
+        ws = [word(6) for _ in range(rng.randrange(5, 14))]
+        line = " ".join(ws)
+        if i % 2:
+            at = rng.randrange(len(line))
+            other = line[:at] + "#" + line[at + 1:]
+        else:
+            ws[rng.randrange(len(ws))] = word(6)
+            other = " ".join(ws)
+        rows += [(2 * i, line), (2 * i + 1, other)]
+        expect[2 * i + 1] = jaccard(shingle_set(line), shingle_set(other)) >= 0.8
+        if len(line) >= (50 if i % 2 else 91):
+            assert expect[2 * i + 1]
+    got = {r.doc_id: r.n_kept == 0 for r in dedup_lines(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)).collect()}
+    missed = [i for i, near in expect.items() if near and not got[i]]
+    assert sum(expect.values()) > 60 and len(missed) <= 2
+    assert not [i for i, near in expect.items() if got[i] and not near]
+
+
+def test_agreement_in_columns_is_that_of_the_bytes(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**32, (40, BANDS * 4), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.5, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32)).astype(np.uint32)
+    want = (marks(a).view(np.uint8) == marks(b).view(np.uint8)).sum(axis=1)
+    rows = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(marks(a), marks(b))], "a array<bigint>, b array<bigint>")
+    assert [r[0] for r in rows.select(agreeing(F.col("a"), F.col("b"))).collect()] == want.tolist()
+
+
+def family(rng, n, base, changes):
+    """Variants of a line of words, each with some words changed: many pairs are just below or above the border."""
+    out = []
+    for _ in range(n):
+        ws = list(base)
+        for k in rng.sample(range(len(ws)), changes):
+            ws[k] = "".join(rng.choices("qrstuvw", k=5))
+        out.append(" ".join(ws))
+    return out
+
+
+def test_hot_buckets_of_several_tiles_lose_no_link(spark, monkeypatch):
+    """A family with so many variants that its buckets have many tiles. Every link that brute force finds among lines that share a
+    band and agree enough must be in one component, and no more."""
+    import recon.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "TILE", 16)
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(30)]
+    lines = sorted({*family(rng, 220, base, 3), *family(rng, 120, base, 5), *family(rng, 60, base, 1)})
+    rng.shuffle(lines)
+    least = minima(lines)
+    keys, seen, sets = bands(least), marks(least).view(np.uint8), [shingle_set(x) for x in lines]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and (seen[i] == seen[j]).sum() >= AGREE and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = Counter(find(i) for i in range(len(lines)))
+    got = dedup_lines(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(lines)], SCHEMA).repartition(4)).collect()
+    kept_doc = {r.doc_id: r.removed[0].kept_doc if r.removed else r.doc_id for r in got}
+    assert {i: find(i) for i in range(len(lines))} == kept_doc
+    assert 3 < len(want) < len(lines) and max(want.values()) > 64
+
+
+def test_a_pair_is_verified_in_its_first_band_alone():
+    line = "the same words again and again in one long line of text"
+    least = minima([line, line + "."])
+    keys, seen = bands(least).view(np.int64), marks(least)
+    one = [{"line_id": i, "component": i, "keys": keys[i].tolist(), "marks": seen[i].tolist(), "line": t} for i, t in enumerate([line, line + "."])]
+    shared = [k for k in keys[0].tolist() if k in keys[1].tolist()]
+    assert len(shared) > 1
+    assert [bool(tile_links(one[:1], one[1:], k)) for k in shared] == [True] + [False] * (len(shared) - 1)
 
 
 def test_copies_nulls_and_cleaned_texts(spark):
