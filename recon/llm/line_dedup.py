@@ -15,15 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Kept, components, read
 
-#: Characters of a shingle; Jaccard similarity from which lines are near-equal; bands and their rows: at 0.8, 99.5 % share a band.
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 10, 4
-#: Agreeing minima from which a pair is verified: at 0.8, of 40 minima fewer agree in one pair of ten thousand.
-AGREE = 22
+#: Characters of a shingle; Jaccard similarity from which lines are near-equal; bands and their rows: at 0.8, 99.4 % share a band.
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 13, 5
+#: Minima that are compared before a pair is verified, and how many must agree: at 0.8 fewer do in one pair of ten thousand.
+MARKED, AGREE = 64, 39
 #: Lines and characters of a tile; characters that are signed at once; lines up to which their hashes are broadcast.
 TILE, TILE_CHARS, SLICE, FEW = 512, 4_000_000, 65_536, 1_000_000
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,15 +32,55 @@ _P = np.uint32(0x9E3779B1)
 _SALTS = [(np.uint32(a), np.uint32(b)) for a, b in zip(np.random.default_rng(11).integers(1, 2**31, BANDS * ROWS) * 2 + 1, np.random.default_rng(12).integers(0, 2**32, BANDS * ROWS))]
 
 
-def shingle_set(line: str, n: int = SHINGLE) -> set[str]:
-    return {line[i:i + n] for i in range(max(1, len(line) - n + 1))}
+def shingle_codes(lines: list[str]) -> list[np.ndarray]:
+    """The set of shingles of each line as a sorted array of numbers, which are equal between these lines where the shingles are. A
+    line shorter than a shingle has itself as its only one."""
+    if not lines:
+        return []
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    if len(c) < 20_000:
+        letters, ids = np.unique(c, return_inverse=True)
+        n_letters = len(letters)
+    else:
+        present = np.zeros(0x110000, bool)
+        present[c] = True
+        n_letters, ids = int(present.sum()), (np.cumsum(present) - 1)[c]
+    # Each line gets as many marks of its end as the longest shingle could need; they are no letter.
+    length = np.maximum(size, SHINGLE)
+    ends = np.cumsum(length)
+    starts = ends - length
+    x = np.zeros(int(ends[-1]), np.uint64)
+    x[np.arange(len(c)) + np.repeat(starts - (np.cumsum(size) - size), size)] = ids.astype(np.uint64) + np.uint64(1)
+    n, bits = len(x) - SHINGLE + 1, n_letters.bit_length()
+
+    def joined(begin: int, end: int, width: int) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        for k in range(begin, end):
+            out = (out << np.uint64(width)) | x[k:k + n]
+        return out
+
+    if bits * SHINGLE <= 64:
+        codes = joined(0, SHINGLE, bits)
+    else:  # many letters: two halves, each numbered, make a number of their own
+        half = SHINGLE // 2
+        one, two = (np.unique(joined(a, z, 64 // (SHINGLE - half)), return_inverse=True)[1].astype(np.uint64) for a, z in ((0, half), (half, SHINGLE)))
+        codes = (one << np.uint64(32)) | two
+    out = []
+    for a, z in zip(starts.tolist(), (ends - SHINGLE + 1).tolist()):
+        own = np.sort(codes[a:z])
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if z - a > 1 else own)
+    return out
 
 
-def jaccard(a: set[str], b: set[str]) -> float:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``SIMILAR`` or more."""
     if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return 0.0
-    shared = len(a & b)
-    return shared / (len(a) + len(b) - shared)
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(a) + len(b) - shared) >= SIMILAR
 
 
 def _minima(pieces: list[str]) -> np.ndarray:
@@ -94,8 +135,8 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def marks(least: np.ndarray) -> np.ndarray:
-    """Eight bits of each minimum, eight minima to a number."""
-    return (least >> np.uint32(24)).astype(np.uint8).view(np.int64)
+    """Eight bits of each of the first minima, eight minima to a number."""
+    return (least[:, :MARKED] >> np.uint32(24)).astype(np.uint8).view(np.int64)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -135,8 +176,7 @@ def agreeing(a: Column, b: Column) -> Column:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
         return F.bit_count(x)
 
-    n = BANDS * ROWS // 8
-    return F.lit(BANDS * ROWS) - sum((differing(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(n)), F.lit(0))
+    return F.lit(MARKED) - sum((differing(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(MARKED // 8)), F.lit(0))
 
 
 def _side(table: DataFrame) -> DataFrame:
@@ -147,59 +187,70 @@ def _side(table: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame) -> DataFrame:
     """``a, b`` of the rows of ``pairs(a, b, text_a, text_b)`` whose texts are similar."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, known = None, set()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x != text:
-                    text, known = x, shingle_set(x)
-                keep.append(jaccard(known, shingle_set(y)) >= SIMILAR)
+            keep: list[bool] = []
+            x, y = batch.column(2), batch.column(3)
+            sizes = pc.add(pc.utf8_length(x), pc.utf8_length(y)).to_numpy()
+            slices = np.flatnonzero(np.diff(np.cumsum(sizes) // (4 * SLICE), prepend=-1)).tolist()
+            for at, end in zip(slices, [*slices[1:], batch.num_rows]):
+                left, right = x.slice(at, end - at).to_pylist(), y.slice(at, end - at).to_pylist()
+                place = {t: k for k, t in enumerate(dict.fromkeys([*left, *right]))}
+                sets = shingle_codes(list(place))
+                keep += [similar(sets[place[t]], sets[place[u]]) for t, u in zip(left, right)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def tile_links(one: list[dict], two: list[dict], key: int) -> list[tuple[int, int]]:
-    """Index pairs of similar lines of two tiles of a bucket in different components, joining all that such pairs join.
-
-    A pair counts if this bucket is the first that it shares and its signatures agree enough. Shared shingles are counted for a line
-    and the whole other tile at once, over the lines that each shingle is in.
+def _open_pairs(one: list[dict], two: list[dict], key: int, same: bool, label: np.ndarray) -> np.ndarray:
+    """Which pairs of two tiles are in different components, share this bucket first and agree enough in their marks."""
+    keys, seen = (np.array([m[c] for m in [*one, *two]], np.int64) for c in ("keys", "marks"))
+    seen, n = seen.view(np.uint8), len(one)
+    pairs = label[:n, None] != label[None, n:]
+    if same:
+        pairs = np.triu(pairs, 1)
+    for band in range(int(np.flatnonzero(keys[0] == key)[0])):
+        pairs &= keys[:n, band, None] != keys[None, n:, band]
+    if not pairs.any():
+        return pairs
+    step = max(1, 4096 // max(1, len(two)))
+    for at in range(0, n, step):
+        rows = slice(at, min(n, at + step))
+        pairs[rows] &= (seen[rows, None] == seen[None, n:]).sum(axis=2) >= AGREE
+    return pairs
+
+
+def tile_links(one: list[dict], two: list[dict], key: int, same: bool = False) -> list[tuple[int, int]]:
+    """Index pairs of similar lines of two tiles of a bucket in different components, joining all that such pairs join; ``same``: the
+    two are one tile. Where many pairs of a tile have to be verified, shared shingles are counted for a line and the whole other
+    tile at once, over the lines that each shingle is in.
     """
     numbers: dict[int, int] = {}
     label = np.array([numbers.setdefault(m["component"], len(numbers)) for m in [*one, *two]])
     if len(numbers) < 2:
         return []
-    keys, seen = (np.array([m[c] for m in [*one, *two]], np.int64) for c in ("keys", "marks"))
-    seen, n = seen.view(np.uint8), len(one)
-    open_ = label[:n, None] != label[None, n:]
-    for band in range(int(np.flatnonzero(keys[0] == key)[0])):
-        open_ &= keys[:n, band, None] != keys[None, n:, band]
-    alike = np.zeros(open_.shape, np.uint8)
-    for j in range(BANDS * ROWS):
-        alike += seen[:n, j, None] == seen[None, n:, j]
-    open_ &= alike >= AGREE
-    rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    pairs, out = _open_pairs(one, two, key, same, label), []
+    rows, columns = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
     if not len(rows):
         return []
-    lines_with: dict[str, list[int]] = {}
-    sets = [shingle_set(two[j]["line"]) for j in columns]
-    for k, known in enumerate(sets):
-        for s in known:
-            lines_with.setdefault(s, []).append(k)
-    held = {s: np.array(ks, np.int32) for s, ks in lines_with.items()}
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    mine, theirs, out = label[:n], label[n:], []
-    for i in rows.tolist():
-        if not (open_[i, columns] & (theirs[columns] != mine[i])).any():
-            continue
-        own = shingle_set(one[i]["line"])
-        met = [held[s] for s in own if s in held]
-        if not met:
-            continue
-        shared = np.bincount(np.concatenate(met), minlength=len(sets))
-        for k in np.flatnonzero(open_[i, columns] & (shared / (len(own) + sizes - shared) >= SIMILAR)).tolist():
+    sets = shingle_codes([one[i]["line"] for i in rows] + [two[j]["line"] for j in columns])
+    ours, others, mine, theirs = sets[:len(rows)], sets[len(rows):], label[:len(one)], label[len(one):]
+    many = pairs.sum() > 32 * len(columns)
+    if many:
+        flat, owner = np.concatenate(others), np.repeat(np.arange(len(others)), list(map(len, others)))
+        order = np.argsort(flat, kind="stable")
+        flat, owner, sizes = flat[order], owner[order], np.fromiter(map(len, others), np.int64, len(others))
+    for own, i in zip(ours, rows.tolist()):
+        left = np.flatnonzero(pairs[i, columns] & (theirs[columns] != mine[i]))
+        if many and len(left) > 32:
+            low = np.searchsorted(flat, own)
+            n = np.searchsorted(flat, own, "right") - low
+            met = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(owner[met], minlength=len(sizes))
+            left = left[(shared / (len(own) + sizes - shared))[left] >= SIMILAR]
+        for k in left.tolist():
             j = int(columns[k])
-            if theirs[j] != mine[i]:
+            if theirs[j] != mine[i] and similar(own, others[k]):
                 out.append((i, j))
                 label[label == theirs[j]] = mine[i]
     return out
@@ -211,11 +262,12 @@ def across(tiles: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 key, one, two = (c[row].as_py() for c in batch.columns)
-                found = tile_links(one, two, key)
+                found = tile_links(one, two or one, key, same=two is None)
+                two = two or one
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([one[i]["line_id"] for i, _ in found], pa.int64()), pa.array([two[j]["line_id"] for _, j in found], pa.int64())], ["a", "b"])
 
-    return tiles.select("key", "one", "two").mapInArrow(compare, "a bigint, b bigint")
+    return tiles.select("key", "one", F.when(F.col("tile") != F.col("other"), F.col("two")).alias("two")).mapInArrow(compare, "a bigint, b bigint")
 
 
 def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:

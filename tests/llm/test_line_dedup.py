@@ -4,11 +4,19 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from recon.llm.line_dedup import AGREE, BANDS, SHINGLE, agreeing, bands, dedup_lines, jaccard, marks, minima, shingle_set, tile_links, without_lines
+from recon.llm.line_dedup import AGREE, BANDS, ROWS, SHINGLE, agreeing, bands, dedup_lines, marks, minima, shingle_codes, similar, tile_links, without_lines
 
 SCHEMA = "doc_id bigint, text string, removed string, copy string"
 
 
+def shingle_set(line):
+    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def slow(rows):
     """Every line against every other; the first of each component stays."""
     lines = [((i is None, i or 0, t, k), i, x.strip(" \t\n\x0b\x0c\r")) for i, t in set(rows) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
@@ -95,6 +103,20 @@ def test_long_lines_are_cut_without_a_change(monkeypatch):
     assert (minima(lines) == whole).all()
 
 
+def test_codes_are_the_sets_of_shingles():
+    rng = random.Random(8)
+    wide = [chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(9000)]
+    for letters in ("ab", "abcdefghij é", wide, [chr(c) for c in range(0x20, 0x3000)] + ["🙂", "\0", "\ud800"]):
+        lines = ["".join(rng.choices(letters, k=rng.choice([1, 2, 4, 5, 6, 30, 300, 4000]))) for _ in range(60)]
+        lines += [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1:] for x in lines] + ["ab", "ab\0\0\0", "abc"]
+        codes, sets = shingle_codes(lines), [shingle_set(x) for x in lines]
+        assert [len(c) for c in codes] == [len(s) for s in sets]
+        for i in range(0, len(lines), 3):
+            for j in range(len(lines)):
+                assert similar(codes[i], codes[j]) == (jaccard(sets[i], sets[j]) >= 0.8), (lines[i], lines[j])
+    assert shingle_codes([]) == []
+
+
 def test_small_changes_in_short_lines_are_found(spark):
     """A changed character in 50 letters or more, a changed word of six letters in 90 or more, are near-equal by their shingles."""
     rng = random.Random(5)
@@ -121,7 +143,7 @@ def test_small_changes_in_short_lines_are_found(spark):
 
 def test_agreement_in_columns_is_that_of_the_bytes(spark):
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 2**32, (40, BANDS * 4), dtype=np.uint32)
+    a = rng.integers(0, 2**32, (40, BANDS * ROWS), dtype=np.uint32)
     b = np.where(rng.random(a.shape) < 0.5, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32)).astype(np.uint32)
     want = (marks(a).view(np.uint8) == marks(b).view(np.uint8)).sum(axis=1)
     rows = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(marks(a), marks(b))], "a array<bigint>, b array<bigint>")
