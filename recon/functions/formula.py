@@ -1,4 +1,8 @@
-"""Values of text formulas in thousand-won, as native expressions: factors are transformed and folded, a factor that isn't one makes null."""
+"""Values of text formulas in thousand-won, as native expressions.
+
+A text is cut into terms and factors; each factor is parsed once, into a struct of its sign, number, divisor and unit, and the structs
+are folded. A factor that isn't one makes null.
+"""
 
 from __future__ import annotations
 
@@ -7,55 +11,59 @@ from pyspark.sql import functions as F
 
 from .numbers import signed_number
 
-_TIMES, _NUMBER = "[×xX*]", r"([0-9,]+(?:\.[0-9]+)?)"
-_MAIN = _NUMBER + r"\s*(천원|원|%)?"
-_DELTA = r"([△▲-])?" + _NUMBER + r"(?:/" + _NUMBER + r")?(천원|원|%)?"
-
-
-def _factors(body: Column) -> Column:
-    return F.filter(F.transform(F.split(body, _TIMES), lambda p: F.regexp_replace(p, " ", "")), lambda p: p.rlike(r"\S"))
+# How numbers, signs and units are written, and the signs of multiplication.
+_NUMBER, _UNIT, _MINUS, _TIMES = r"[0-9,]+(?:\.[0-9]+)?", "천원|원|%", "△▲-", "×xX*"
+_FIELDS = ("sign", "number", "over", "unit")
+_FACTOR = f"([{_MINUS}]?)({_NUMBER})(?:/({_NUMBER}))?({_UNIT})?"
+_BARE = f"()({_NUMBER})()({_UNIT})?"
+_BREAK = "\n"
 
 
 def _plain(x: Column) -> Column:
-    return F.regexp_replace(x, ",", "").try_cast("double")
+    return F.translate(x, ",", "").try_cast("double")
 
 
-def _scaled(value: Column, unit: Column, first: Column) -> Column:
-    """A factor's value by its unit; the first one must be money or a percentage."""
-    return F.when(unit == "%", value / 100).when(~first, value).when(unit == "천원", value * 1000).when(unit == "원", value)
+def _values(term: Column, signs: bool) -> Column:
+    """The values of a term's factors, in won: what is money or a percentage first, plain numbers after it."""
+    texts = F.filter(F.split(F.regexp_replace(term, r"\s+", ""), f"[{_TIMES}]"), lambda p: p != "")
+    pattern = _FACTOR if signs else _BARE
+    parts = F.transform(texts, lambda p: F.struct(*[F.regexp_extract(p, pattern, k).alias(name) for k, name in enumerate(_FIELDS, 1)]))
+    read = F.transform(parts, lambda s: F.struct(s["unit"].alias("unit"), _plain(s["number"]).alias("n"), F.when(s["over"] != "", _plain(s["over"])).otherwise(1.0).alias("over"), F.when(s["sign"] != "", -1.0).otherwise(1.0).alias("sign")))
+    signed = F.transform(read, lambda s: F.struct(s["unit"].alias("unit"), (s["sign"] * s["n"] / F.nullif(s["over"], F.lit(0.0)) if signs else s["n"]).alias("n")))
+    return F.transform(signed, lambda s, i: F.when(s["unit"] == "%", s["n"] / 100).when(i > 0, s["n"]).when(s["unit"] == "천원", s["n"] * 1000).when(s["unit"] == "원", s["n"]))
 
 
-def _product(factors: Column) -> Column:
-    return F.when(F.size(factors) > 0, F.aggregate(factors, F.lit(1.0), lambda a, v: a * v) / 1000)
+def _product(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(1.0), lambda a, v: a * v) / 1000)
 
 
 def main_value(formula: Column) -> Column:
     """``4,000,000원×2명×50%`` is 4000: what is left of ``=``, its factors multiplied. No signs, no fractions."""
-    def value(p: Column, i: Column) -> Column:
-        return _scaled(_plain(F.regexp_extract(p, _MAIN, 1)), F.regexp_extract(p, _MAIN, 2), i == 0)
-
-    return _product(F.transform(_factors(F.substring_index(formula, "=", 1)), value))
-
-
-def _delta_product(term: Column) -> Column:
-    def value(p: Column, i: Column) -> Column:
-        over = F.regexp_extract(p, _DELTA, 3)
-        base = _plain(F.regexp_extract(p, _DELTA, 2)) / F.when(over == "", 1.0).otherwise(F.nullif(_plain(over), F.lit(0.0)))
-        return _scaled(F.when(F.regexp_extract(p, _DELTA, 1) != "", -base).otherwise(base), F.regexp_extract(p, _DELTA, 4), i == 0)
-
-    return _product(F.transform(_factors(term), value))
+    return _product(_values(F.substring_index(formula, "=", 1), signs=False))
 
 
 def delta_value(formula: Column) -> Column:
-    """As :func:`main_value` with signs (△), fractions (6/12), and terms added or taken away: ``△740천원×7명×6/12개월`` is -2590."""
-    body = F.trim(F.substring_index(formula, "=", 1))
-    between = r"\s*(?<=[^\s×xX*/(])\s*[+\-]\s*(?=[0-9△▲(])"
-    terms = F.transform(F.split(body, between), _delta_product)
-    signs = F.concat(F.array(F.lit("+")), F.transform(F.regexp_extract_all(body, F.lit(between), F.lit(0)), F.trim))
-    return F.aggregate(F.zip_with(terms, signs, lambda t, s: F.when(s == "-", -t).otherwise(t)), F.lit(0.0), lambda a, v: a + v)
+    """As :func:`main_value` with signs (△), fractions (6/12), and terms added or taken away: ``△740천원×7명×6/12개월`` is -2590.
+
+    A plus or minus begins a term if what goes before it is complete, i.e. no sign of multiplication, stroke or bracket that waits
+    for more, and if a number, sign or bracket follows. Terms are marked by a line break and then told by their first character.
+    """
+    body = F.regexp_replace(F.trim(F.substring_index(formula, "=", 1)), r"\s+", "")
+    marked = F.regexp_replace(body, rf"([^{_TIMES}/(])([+-])(?=[0-9(△▲])", rf"$1{_BREAK}$2")
+    # The first term's sign is its first factor's; of the others, the sign is cut off and the text is what follows.
+    terms = F.transform(F.split(marked, _BREAK), lambda t, i: F.struct(F.when((i > 0) & t.startswith("-"), -1.0).otherwise(1.0).alias("sign"), F.when(i > 0, F.substring(t, 2, 1 << 30)).otherwise(t).alias("text")))
+    values = F.transform(terms, lambda t: t["sign"] * _product(_values(t["text"], signs=True)))
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
 def basis_value(text: Column) -> Column:
     """The value of a basis text: a written zero, else the formula before its trailing ``=``."""
     body = F.trim(F.regexp_replace(text, r"\s*=\s*$", ""))
     return F.when(body.rlike("^0+$"), F.lit(0.0)).when(signed_number(body).isNotNull(), signed_number(body)).otherwise(delta_value(body))
+
+
+def basis_text(formula: Column, amount: Column) -> Column:
+    """How a basis is written in a load sheet: the formula with one ``=`` behind it; without a formula ``0=`` for an amount of zero
+    or none, else nothing."""
+    text = F.trim(F.coalesce(formula, F.lit("")))
+    return F.when(text == "", F.when(F.coalesce(amount.cast("double"), F.lit(0.0)) == 0, "0=").otherwise("")).when(text.endswith("="), text).otherwise(F.concat(text, F.lit("=")))

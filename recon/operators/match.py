@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,17 @@ def name_join(left: DataFrame, right: DataFrame, name: str, right_id: str, right
 def amount_join(left: DataFrame, right: DataFrame, left_id: str, left_amount: str, right_id: str, right_amount: str, tolerance: float = 1.0) -> DataFrame:
     """``left_id, right_id`` where exactly one right row is within the tolerance of the left amount.
 
-    An equi-join on buckets as wide as the tolerance: a left row goes to its bucket and both beside it.
+    An equi-join on buckets as wide as the tolerance: a left row goes to its bucket and both beside it. Null amounts match nothing;
+    left ids tell rows apart, repeated right rows are several answers, hence none; empty tables give none.
     """
+    bucket = lambda x: F.floor(x / tolerance)
     a = left.where(F.col(left_amount).isNotNull()).select(F.col(left_id).alias("_l"), F.col(left_amount).cast("double").alias("_a"))
-    a = a.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_a") / tolerance) + d)))
-    b = right.where(F.col(right_amount).isNotNull()).select(F.col(right_id).alias("_r"), F.col(right_amount).cast("double").alias("_v")).withColumn("_b", F.floor(F.col("_v") / tolerance))
+    a = a.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(F.col("_a")) + d)))
+    b = right.where(F.col(right_amount).isNotNull()).select(F.col(right_id).alias("_r"), F.col(right_amount).cast("double").alias("_v"))
+    # A popular amount is one row here, however many have it.
+    b = b.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"), F.min("_r").alias("_r")).withColumn("_b", bucket(F.col("_v")))
     near = a.join(b, "_b").where(F.abs(F.col("_a") - F.col("_v")) <= tolerance)
-    return near.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r")).where("_n = 1").select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+    return near.groupBy("_l").agg(F.sum("_c").alias("_n"), F.min("_r").alias("_r")).where("_n = 1").select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 
 def coverage(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, tolerance: float = 0.5) -> DataFrame:
@@ -76,9 +82,26 @@ def diff_one_to_one(made: DataFrame, got: DataFrame, keys: list[str], code: str)
     return lost.select(*keys, code, F.lit("made").alias("side")).unionByName(gone.select(*keys, code, F.lit("made").alias("side"))).unionByName(more.select(*keys, code, F.lit("got").alias("side")))
 
 
-def multiset_gap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other: the columns, and ``side``."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+def multiset_gap(left: DataFrame, right: DataFrame, amount: str | None = None, tolerance: float = 0.5) -> DataFrame:
+    """Rows that one side has more often than the other: the columns, and ``side``.
+
+    With ``amount`` rows are equal if their other columns are and their amounts, in order of size, are nearer than the tolerance:
+    rows that are equal in full answer each other first, what is left is paired by place among the rows of its key.
+    """
+    lost, more = left.exceptAll(right), right.exceptAll(left)
+    if amount:
+        keys = [c for c in left.columns if c != amount]
+
+        def placed(df: DataFrame, n: str) -> DataFrame:
+            return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(amount))).withColumn(n, F.col(amount)).drop(amount)
+
+        a, b = placed(lost, "_x"), placed(more, "_y")
+        on = reduce(lambda p, q: p & q, [a[c].eqNullSafe(b[c]) for c in [*keys, "_i"]])
+        both = a.join(b, on, "full_outer").where(~F.coalesce(F.abs(F.col("_x") - F.col("_y")) < tolerance, F.lit(False)))
+        mine = both.where(a["_i"].isNotNull()).select(*[a[c] for c in keys], F.col("_x").alias(amount))
+        theirs = both.where(b["_i"].isNotNull()).select(*[b[c] for c in keys], F.col("_y").alias(amount))
+        lost, more = mine.select(*left.columns), theirs.select(*left.columns)
+    return lost.withColumn("side", F.lit("left")).unionByName(more.withColumn("side", F.lit("right")))
 
 
 def families(one: DataFrame, two: DataFrame, keys: list[str], amount: str, tolerance: float = 1.0) -> DataFrame:
@@ -118,10 +141,34 @@ def explain_by_adjustment(findings: DataFrame, adjustments: DataFrame, key: str)
 
 
 def contained_join(orphans: DataFrame, candidates: DataFrame, name: str, other: str, amount: str) -> DataFrame:
-    """``name, other`` with equal rounded amounts, one name holding the other: what is left of a ledger after all keys failed."""
-    a = orphans.select(F.col(name), F.bround(amount).alias("_a"))
-    b = candidates.select(F.col(other), F.bround(amount).alias("_a"))
-    return a.join(b, "_a").where(F.col(name).contains(F.col(other)) | F.col(other).contains(F.col(name))).drop("_a")
+    """``name, other`` with equal rounded amounts, one name holding the other: what is left of a ledger after all keys failed.
+
+    Names meet by their amount and three characters in a row that both have, the rarest ones of the shorter name first; a shorter
+    name meets any name that holds it. So a very common amount, such as 0, isn't every name against every name. Null names and
+    amounts match nothing, an empty name is in every name of its amount; repeated rows are one.
+    """
+    a = orphans.select(F.col(name).alias("_n"), F.bround(amount).alias("_a")).where("_n is not null and _a is not null").distinct()
+    b = candidates.select(F.col(other).alias("_o"), F.bround(amount).alias("_a")).where("_o is not null and _a is not null").distinct()
+    held = holders(a, b, "_n", "_o").union(holders(b.toDF("_n", "_a"), a.toDF("_o", "_a"), "_n", "_o").select("_o", "_n", "_a"))
+    return held.distinct().select(F.col("_n").alias(name), F.col("_o").alias(other))
+
+
+def holders(long: DataFrame, short: DataFrame, l: str, s: str, size: int = 3) -> DataFrame:
+    """``l, s, _a`` where a name of ``long(l, _a)`` holds one of ``short(s, _a)``, both with one amount.
+
+    Every piece of ``size`` characters of a long name is a row, counted by amount; a short name looks for the one of its own pieces
+    that the fewest long names have. Names shorter than a piece look for themselves among the pieces of their length.
+    """
+    cut = lambda x, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, n)))
+    n = F.least(F.length(s), F.lit(size))
+    kinds = F.array(*[F.lit(k) for k in range(1, size + 1)])
+    pieces = long.select(l, "_a", F.explode(F.array_distinct(F.flatten(F.transform(kinds, lambda k: cut(F.col(l), k))))).alias("_p"))
+    often = pieces.groupBy("_a", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    wanted = short.where(F.length(s) > 0).select(s, "_a", F.explode(cut(F.col(s), n)).alias("_p"))
+    # A piece that no long name has rules the short name out: it is the rarest, with no row to meet.
+    rare = wanted.join(often, ["_a", "_p"], "left").groupBy(s, "_a").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_p").alias("p")))["p"].alias("_p"))
+    met = pieces.join(rare, ["_a", "_p"]).where(F.col(l).contains(F.col(s))).select(l, s, "_a")
+    return met.union(long.join(short.where(F.length(s) == 0), "_a").select(l, s, "_a"))
 
 
 def greedy_amounts(need: DataFrame, have: DataFrame, keys: list[str], amount: str, exact: list[str]) -> DataFrame:

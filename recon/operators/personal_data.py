@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tree import numbered
+
 # Patterns by kind with the group that holds the value, and the confidence of a match.
 RULES = [
     ("resident_id", r"(?<![0-9])[0-9]{6}[- ]?[1-8][0-9]{6}(?![0-9])", 0, 0.99, "resident_id"),
@@ -26,6 +28,7 @@ RULES = [
     ("address", r"(?:[가-힣]+(?:특별시|광역시|특별자치시|도)\s*)?[가-힣]+(?:시|군|구)\s+[가-힣0-9·.-]+(?:로|길|동|읍|면|리)\s*[0-9]+(?:-[0-9]+)?", 0, 0.72, ""),
     ("name", r"(?:성\s*명|이\s*름|신\s*청\s*인|담\s*당\s*자|대\s*표\s*자|예\s*금\s*주)\s*[:：]?\s*([가-힣]{2,6})", 1, 0.78, "name"),
 ]
+# Surnames, words of column headers, and weights of check digits.
 SURNAMES = "김이박최정강조윤장임한오서신권황안송전홍유고문양손배백허남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용"
 COMPOUND_SURNAMES = ("남궁", "황보", "제갈", "사공", "선우", "서문", "독고", "동방", "망절", "소봉", "어금", "장곡", "즙문", "강전")
 HEADER_WORDS = {
@@ -114,10 +117,16 @@ def select_confident(hits: DataFrame, least: float = 0.75) -> DataFrame:
 
 
 def aliases(hits: DataFrame) -> DataFrame:
-    """``kind, value_key, alias``: numbers of a kind's values by first appearance, over all documents at once."""
+    """``kind, value_key, alias``: numbers of a kind's values by first appearance, over all documents at once.
+
+    Values are numbered within a range of documents that they appear in first, after those of all ranges before it (ranges of whole
+    ids by their size, of others by their first characters), so no task holds all values of a kind. Null documents come first.
+    """
     first = hits.groupBy("kind", "value_key").agg(F.min(F.struct("doc_id", "location")).alias("_at"))
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("_at", "value_key"))
-    return first.select("kind", "value_key", F.format_string("[%s_%04d]", "kind", n).alias("alias"))
+    doc = F.col("_at.doc_id")
+    whole = hits.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    cells = [F.floor(doc / (1 << k)) for k in (24, 12)] if whole else [F.substring(doc.cast("string"), 1, k) for k in (4, 12)]
+    return numbered(first, ["kind"], ["_at", "value_key"], cells, "_number").select("kind", "value_key", F.format_string("[%s_%04d]", "kind", "_number").alias("alias"))
 
 
 def mask(texts: DataFrame, hits: DataFrame, mode: str = "alias") -> DataFrame:

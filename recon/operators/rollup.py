@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formula import main_value
-from .tree import child_sums, parents, subtree_sums, without_ancestors
+from .tree import deepest, parents, with_family
 
 
-def check_children(items: DataFrame, keys: list[str], tolerance: float = 1.0, reported: DataFrame | None = None) -> DataFrame:
+def check_children(items: DataFrame, keys: list[str], tolerance: float = 1.0, reported: DataFrame | None = None, heads: tuple[str, str] | None = None) -> DataFrame:
     """Rows whose amount isn't the sum of their direct children, the deepest of each chain alone.
 
-    ``items(keys, pos, depth, amount, leaf)``. Columns: ``keys, pos, depth, amount, direct, leaf_total, verdict``; ``review`` where
-    all leaves below agree with the amount, so that only the levels were read otherwise, else ``error``. A row of ``reported`` and
-    any row above one is silent: one cause, one finding.
+    ``items(keys, pos, depth, amount, leaf)``. Columns: ``keys, pos, depth, amount, direct, leaf_total, verdict``; ``error``, or
+    ``review`` where all leaves below agree with the amount, so that only the levels were read otherwise, or where the row repeats a
+    headline that is wrong itself: ``heads`` names two columns of ``items``, the headline and the amount that it should be, of which
+    the first is the row's amount and the second the sum of its children. A row of ``reported`` and any row above one is silent: one
+    cause, one finding.
+
+    Defined results: a null amount is not checked and counts as 0 above; a row without children is not checked; rows that repeat a
+    place count once each in sums and are one row here; an empty table gives none.
     """
+    own = ["depth", "amount", *(heads or [])]
     tree = parents(items, keys)
-    sums = child_sums(tree, keys).withColumnRenamed("parent", "pos")
-    leaves = subtree_sums(tree, keys).select(*keys, "pos", "leaf_total")
-    off = tree.where("amount is not null").join(sums, [*keys, "pos"]).where(F.abs(F.col("direct") - F.col("amount")) > tolerance).join(leaves, [*keys, "pos"], "left")
-    off = off.withColumn("verdict", F.when(F.abs(F.col("leaf_total") - F.col("amount")) <= tolerance, "review").otherwise("error"))
-    errors = off.where("verdict = 'error'")
-    below = errors.select(*keys, "pos", "ancestors")
     if reported is not None:
-        known = tree.select(*keys, "pos", "ancestors").join(reported.select(*keys, "pos"), [*keys, "pos"], "left_semi")
-        off, below = off.join(known.select(*keys, "pos"), [*keys, "pos"], "left_anti"), below.union(known)
-    return without_ancestors(off, below, keys).select(*keys, "pos", "depth", "amount", "direct", "leaf_total", "verdict")
+        known = reported.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "pos"])], F.lit(True).alias("_known")).distinct()
+        on = [tree[c] == F.col(f"_k{i}") for i, c in enumerate([*keys, "pos"])]
+        tree = tree.join(known, on, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+        own = [*own, "_known"]
+    rows = with_family(tree, keys, own)
+    off = F.col("amount").isNotNull() & (F.col("children") > 0) & (F.abs(F.col("direct") - F.col("amount")) > tolerance)
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+    review = F.when(F.col("leaves") > 0, near(F.col("leaf_total"), F.col("amount"))).otherwise(F.lit(False))
+    if heads:
+        review = review | (near(F.col("amount"), F.col(heads[0])) & near(F.col("direct"), F.col(heads[1])))
+    rows = rows.withColumn("verdict", F.when(off, F.when(review, "review").otherwise("error"))).withColumn("leaf_total", F.when(F.col("leaves") > 0, F.col("leaf_total")))
+    bad = F.coalesce(F.col("verdict") == "error", F.lit(False))
+    if reported is not None:
+        rows, bad = rows.withColumn("verdict", F.when(~F.col("_known"), F.col("verdict"))), bad | F.col("_known")
+    found = deepest(rows.withColumn("_bad", bad).where("verdict is not null or _bad"), keys, ["depth", "amount", "direct", "leaf_total", "verdict"], "_bad")
+    return found.where("verdict is not null").select(*keys, "pos", "depth", "amount", "direct", "leaf_total", "verdict")
 
 
 def check_tree_all(items: DataFrame, keys: list[str], tolerance: float = 0.5) -> DataFrame:
     """As :func:`check_children` without the rule of the deepest: every broken row is reported."""
-    tree = parents(items, keys)
-    sums = child_sums(tree, keys).withColumnRenamed("parent", "pos")
-    return tree.where("amount is not null").join(sums, [*keys, "pos"]).where(F.abs(F.col("direct") - F.col("amount")) >= tolerance).select(*keys, "pos", "depth", "amount", "direct")
+    rows = with_family(parents(items, keys), keys, ["depth", "amount"])
+    return rows.where((F.col("children") > 0) & (F.abs(F.col("direct") - F.col("amount")) >= tolerance)).select(*keys, "pos", "depth", "amount", "direct")
 
 
 def check_leaves(items: DataFrame, tolerance: float = 1.0, value: Column | None = None) -> DataFrame:
@@ -85,8 +99,9 @@ def check_table_totals(groups: DataFrame, totals: DataFrame, keys: list[str], me
 
 
 def duplicate_pages(pages: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Pages that repeat an earlier one in every column of the key, with the first of them as ``first``."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*key).orderBy(order)
-    return pages.select("*", F.row_number().over(w).alias("_n"), F.first(order).over(w).alias("first")).where("_n > 1").drop("_n")
+    """Pages that repeat an earlier one in every column of the key, with the first of them as ``first``. Firsts are aggregated and
+    joined, so a page that is repeated very often is no single window. Nulls in the key are equal."""
+    first = pages.groupBy(*key).agg(F.min(order).alias("first"))
+    first = first.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "first")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)])
+    return pages.drop("first").join(first, same).where(F.col(order) != F.col("first")).drop(*[f"_k{i}" for i in range(len(key))])

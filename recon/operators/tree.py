@@ -11,30 +11,33 @@ DEPTHS = 6
 
 
 def parents(items: DataFrame, keys: list[str], pos: str = "pos", depth: str = "depth", depths: int = DEPTHS) -> DataFrame:
-    """``items`` with ``parent`` (place of the nearest row before it that is less deep) and ``ancestors`` (places, outermost first).
+    """``items`` with ``parent`` (place of the nearest row before it that is less deep), ``parent_depth`` and ``ancestors`` (places,
+    outermost first).
 
     All markers are windows of one select, so the plan has one exchange, one sort and one window; the partition is the document,
-    so that no key is larger than one document.
+    so that no key is larger than one document. Columns of these names are replaced; a row without a place or depth has no parent;
+    repeated places are ordered at random among themselves; an empty table gives none.
     """
+    items = items.drop("parent", "parent_depth", "ancestors")
     w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     marks = [F.last(F.when(F.col(depth) == k, F.col(pos)), ignorenulls=True).over(w).alias(f"_l{k}") for k in range(1, depths)]
     marked = items.select("*", *marks)
-    above = [F.when(F.col(depth) > k, F.col(f"_l{k}")) for k in range(1, depths)]
 
     def open_(k: int) -> Column:
         """The last row of depth k is still open: nothing less deep came after it."""
         newer = [F.coalesce(F.col(f"_l{k}") > F.col(f"_l{e}"), F.lit(True)) for e in range(1, k)]
-        return F.when(reduce(lambda a, b: a & b, newer, (F.col(depth) > k) & F.col(f"_l{k}").isNotNull()), F.col(f"_l{k}"))
+        return F.when(reduce(lambda a, b: a & b, newer, (F.col(depth) > k) & F.col(f"_l{k}").isNotNull()), F.struct(F.col(f"_l{k}").alias("at"), F.lit(k).alias("depth")))
 
     chain = F.filter(F.array(*[open_(k) for k in range(1, depths)]), lambda x: x.isNotNull())
-    return marked.select("*", F.greatest(*above).alias("parent"), chain.alias("ancestors")).drop(*[f"_l{k}" for k in range(1, depths)])
+    chained = marked.select(*[F.col(c) for c in items.columns], chain.alias("_chain"))
+    nearest = F.get("_chain", F.size("_chain") - 1)
+    return chained.select(*items.columns, nearest["at"].alias("parent"), nearest["depth"].alias("parent_depth"), F.transform("_chain", lambda x: x["at"]).alias("ancestors"))
 
 
 def child_sums(tree: DataFrame, keys: list[str], measure: str = "amount", pos: str = "pos", depth: str = "depth") -> DataFrame:
     """``keys, parent, children, direct``: number and sum of the direct children, one level down; null counts as 0."""
-    up = tree.select(*keys, F.col(pos).alias("parent"), F.col(depth).alias("_d"))
-    down = tree.where("parent is not null").select(*keys, "parent", F.col(depth).alias("_c"), F.col(measure).alias("_m"))
-    return down.join(up, [*keys, "parent"]).where("_c = _d + 1").groupBy(*keys, "parent").agg(F.count(F.lit(1)).alias("children"), F.sum(F.coalesce("_m", F.lit(0))).alias("direct"))
+    down = tree.where(F.col("parent_depth") == F.col(depth) - 1)
+    return down.groupBy(*keys, "parent").agg(F.count(F.lit(1)).alias("children"), F.sum(F.coalesce(measure, F.lit(0))).alias("direct"))
 
 
 def subtree_sums(tree: DataFrame, keys: list[str], measure: str = "amount", leaf: str = "leaf") -> DataFrame:
@@ -43,6 +46,37 @@ def subtree_sums(tree: DataFrame, keys: list[str], measure: str = "amount", leaf
     return rows.groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("leaves"), F.sum(F.coalesce("_m", F.lit(0))).alias("leaf_total"))
 
 
+def with_family(tree: DataFrame, keys: list[str], own: list[str], measure: str = "amount", depths: int = DEPTHS) -> DataFrame:
+    """A row for each place of ``tree``: the columns ``own``, its ``ancestors``, and ``children, direct, leaves, leaf_total`` of what is
+    below it (null sums if nothing is).
+
+    Every row goes to itself and to its ancestors, and one grouping by place adds up what arrived. As a document is in one partition
+    already, that needs no exchange and no join.
+    """
+    none = {c: F.lit(None).cast(tree.schema[c].dataType) for c in [*own, measure]}
+    value = F.coalesce(F.col(measure), F.lit(0).cast(tree.schema[measure].dataType))
+    chain = [F.get("ancestors", F.lit(k)).alias(f"_a{k}") for k in range(depths - 1)]
+    direct = F.col("parent_depth") == F.col("depth") - 1
+    self_ = F.struct(F.col("pos").alias("at"), F.lit(True).alias("self"), *[F.col(c).alias(f"o_{c}") for c in own], none[measure].alias("child"), none[measure].alias("leaf"))
+    up = F.transform("ancestors", lambda a: F.struct(a.alias("at"), F.lit(False).alias("self"), *[none[c].alias(f"o_{c}") for c in own], F.when(direct & (a == F.col("parent")), value).alias("child"), F.when(F.col("leaf"), value).alias("leaf")))
+    sent = tree.select(*keys, *chain, F.explode(F.concat(F.array(self_), up)).alias("x")).select(*keys, "x.*", *[F.when(F.col("x.self"), F.col(f"_a{k}")).alias(f"_a{k}") for k in range(depths - 1)])
+    sums = [F.count("child").alias("children"), F.sum("child").alias("direct"), F.count("leaf").alias("leaves"), F.sum("leaf").alias("leaf_total")]
+    met = sent.groupBy(*keys, F.col("at").alias("pos")).agg(*[F.max(f"o_{c}").alias(c) for c in own], *[F.max(f"_a{k}").alias(f"_a{k}") for k in range(depths - 1)], *sums)
+    above = F.filter(F.array(*[f"_a{k}" for k in range(depths - 1)]), lambda a: a.isNotNull())
+    return met.select(*keys, "pos", *own, above.alias("ancestors"), "children", "direct", "leaves", "leaf_total")
+
+
+def deepest(rows: DataFrame, keys: list[str], own: list[str], bad: str) -> DataFrame:
+    """``keys, pos`` and the columns ``own`` of the rows with nothing ``bad`` below them. Bad rows tell their ancestors, so that again
+    one grouping does without a join."""
+    none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in own}
+    self_ = F.struct(F.col("pos").alias("at"), F.lit(True).alias("self"), *[F.col(c).alias(f"o_{c}") for c in own])
+    up = F.transform("ancestors", lambda a: F.struct(a.alias("at"), F.lit(False).alias("self"), *[none[c].alias(f"o_{c}") for c in own]))
+    sent = rows.select(*keys, F.explode(F.concat(F.array(self_), F.when(F.col(bad), up).otherwise(F.slice(up, 1, 0)))).alias("x")).select(*keys, "x.*")
+    met = sent.groupBy(*keys, F.col("at").alias("pos")).agg(*[F.max(f"o_{c}").alias(c) for c in own], F.bool_and("self").alias("_alone"))
+    return met.where("_alone").select(*keys, "pos", *own)
+
+
 def without_ancestors(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` that have none of ``other`` below them: the deepest ones. Both have ``keys, pos, ancestors``."""
     above = other.select(*keys, F.explode("ancestors").alias("pos")).distinct()
@@ -60,9 +94,35 @@ def sibling_ordinals(tree: DataFrame, keys: list[str], pos: str = "pos", depth:
     return tree.withColumn("ordinal", F.row_number().over(w))
 
 
-def sequence(items: DataFrame, card: str, order: list[str]) -> DataFrame:
-    """``items`` with ``seq``, numbered within each card."""
-    return items.withColumn("seq", F.row_number().over(Window.partitionBy(card).orderBy(*order)))
+def numbered(rows: DataFrame, by: list[str], order: list[Column | str], cells: list[Column] | None = None, name: str = "seq") -> DataFrame:
+    """``rows`` with their number, from 1, within ``by`` in an order.
+
+    ``cells`` are values that never fall along the order (the year and the month of a date, beginnings of a text), coarse ones first
+    and each fixed by the next. With them rows are numbered within their finest cell and the rows of earlier cells are added level by
+    level, so that no window holds a whole ``by``, however large. Nulls are values like others and come first.
+    """
+    if not cells:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    at = [f"_cell{k}" for k in range(len(cells))]
+    placed = rows.withColumns(dict(zip(at, cells)))
+    inner = placed.withColumn("_n", F.row_number().over(Window.partitionBy(*by, *at).orderBy(*order)))
+    sizes = placed.groupBy(*by, *at).agg(F.count(F.lit(1)).alias("_size"))
+    for k in range(len(at), 0, -1):
+        level = sizes.groupBy(*by, *at[:k]).agg(F.sum("_size").alias("_size"))
+        earlier = F.coalesce(F.sum("_size").over(Window.partitionBy(*by, *at[:k - 1]).orderBy(at[k - 1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inner = _joined(inner, level.withColumn("_before", earlier).drop("_size"), [*by, *at[:k]]).withColumn("_n", F.col("_n") + F.col("_before")).drop("_before")
+    return inner.withColumn(name, F.col("_n").cast("bigint")).drop("_n", *at)
+
+
+def _joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the further columns of their row in ``other``; null keys are equal."""
+    renamed = other.withColumnsRenamed({c: f"_j_{c}" for c in keys})
+    return rows.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in keys])).drop(*[f"_j_{c}" for c in keys])
+
+
+def sequence(items: DataFrame, card: str, order: list[str], cells: list[Column] | None = None) -> DataFrame:
+    """``items`` with ``seq``, numbered within each card; ``cells`` as in :func:`numbered`, for cards of any size."""
+    return numbered(items, [card], order, cells)
 
 
 def paths(tree: DataFrame, keys: list[str], name: str = "name", pos: str = "pos") -> DataFrame:
@@ -80,9 +140,13 @@ def indent_depth(x: Column) -> Column:
     return F.floor((F.length(x) - F.length(F.ltrim(x))) / 2).cast("int") + 1
 
 
+# Letters of outline marks, and how a mark is written at each level (n: number, k: letter); the last holds beyond.
+LETTERS = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허"
+MARKS = ("{n}.", "{k}.", "{n})", "{k})", "({n})", "({k})")
+
+
 def prefix(level: Column, ordinal: Column) -> Column:
-    """The outline mark of a row by its level: ``1.``, ``가.``, ``1)``, ``가)``, ``(1)``, ``-``; letters start again after 14."""
-    letters = F.array(*[F.lit(c) for c in "가나다라마바사아자차카타파하"])
-    letter = F.element_at(letters, F.pmod(ordinal - 1, F.lit(14)).cast("int") + 1)
-    n = ordinal.cast("string")
-    return F.when(level == 1, F.concat(n, F.lit("."))).when(level == 2, F.concat(letter, F.lit("."))).when(level == 3, F.concat(n, F.lit(")"))).when(level == 4, F.concat(letter, F.lit(")"))).when(level == 5, F.concat(F.lit("("), n, F.lit(")"))).otherwise("-")
+    """The outline mark of a row by its level and its number among its siblings, from 1; letters start again after the last."""
+    letter = F.substr(F.lit(LETTERS), F.pmod(ordinal - 1, F.lit(len(LETTERS))).cast("int") + 1, F.lit(1))
+    shape = F.element_at(F.array(*map(F.lit, MARKS)), F.least(level.cast("int"), F.lit(len(MARKS))))
+    return F.replace(F.replace(shape, F.lit("{n}"), ordinal.cast("string")), F.lit("{k}"), letter)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import delta_value, main_value
@@ -16,8 +16,10 @@ KEYS = ["doc_id"]
 
 
 @BOOK.add(FOREST + """
-SELECT c.doc_id, c.pos, c.depth, p.pos AS parent FROM forest c LEFT JOIN forest p
-ON p.doc_id = c.doc_id AND p.depth = c.depth - 1 AND (c.depth = 2 OR p.a = c.a)""")
+, tops AS (SELECT doc_id, pos FROM forest WHERE depth = 1), mids AS (SELECT doc_id, a, pos FROM forest WHERE depth = 2)
+SELECT doc_id, pos, depth, NULL::BIGINT AS parent FROM forest WHERE depth = 1
+UNION ALL SELECT c.doc_id, c.pos, c.depth, p.pos FROM forest c JOIN tops p ON p.doc_id = c.doc_id WHERE c.depth = 2
+UNION ALL SELECT c.doc_id, c.pos, c.depth, p.pos FROM forest c JOIN mids p ON p.doc_id = c.doc_id AND p.a = c.a WHERE c.depth = 3""")
 def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.parents(forest(spark, sf_dir), KEYS).select("doc_id", "pos", "depth", "parent")
 
@@ -59,18 +61,42 @@ def depth_shape_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.check_shape(forest(spark, sf_dir), KEYS).select("doc_id", "pos", "depth", "problem")
 
 
-@BOOK.add(FOREST + """
-SELECT doc_id, pos, depth, ordinal, CASE depth WHEN 1 THEN ordinal || '.' WHEN 2 THEN substr('가나다라마바사아자차카타파하', ((ordinal - 1) % 14 + 1)::INT, 1) || '.' ELSE ordinal || ')' END AS mark
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, depth, CASE WHEN depth = 3 THEN a END ORDER BY pos) AS ordinal FROM forest)""")
+#: Order of the rows of the deep forest below an order: by flag, status, line number and the line itself.
+_DEEP = ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+
+
+def deep_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, orders, return flags, line statuses, line numbers and lines, six levels, as a pre-order list."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id")), F.col("o_orderkey") == F.col("l_orderkey"))
+    levels = [lines.groupBy("doc_id", *_DEEP[:k]).agg(F.count(F.lit(1)).alias("_n")).drop("_n").withColumn("depth", F.lit(k + 1)) for k in range(5)]
+    rows = lines.select("doc_id", *_DEEP).withColumn("depth", F.lit(6))
+    for level in levels:
+        rows = rows.unionByName(level, allowMissingColumns=True)
+    order = [F.asc_nulls_first(c) for c in _DEEP]
+    return rows.select("doc_id", "depth", *_DEEP, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).alias("pos"))
+
+
+_SAME_PATH = ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"]
+
+
+@BOOK.add(f"""
+WITH l AS (SELECT o_custkey AS doc_id, {', '.join(_DEEP)} FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+rows0 AS (SELECT *, 6 AS depth FROM l
+{' '.join(f"UNION ALL BY NAME SELECT DISTINCT {', '.join(['doc_id', *_DEEP[:k]])}, {k + 1} AS depth FROM l" for k in range(5))}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {', '.join(f'{c} ASC NULLS FIRST' for c in _DEEP)}) AS pos FROM rows0),
+told AS (SELECT *, CASE depth {' '.join(f"WHEN {k + 1} THEN row_number() OVER (PARTITION BY {', '.join(['doc_id', 'depth', *_SAME_PATH[:max(0, k - 1)]])} ORDER BY pos)" for k in range(6))} END AS ordinal FROM placed),
+marked AS (SELECT *, CASE WHEN depth IN (1, 3, 5) THEN '' || ordinal ELSE substr('가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허', ((ordinal - 1) % 28 + 1)::INT, 1) END AS sign FROM told)
+SELECT doc_id, pos, depth, ordinal, CASE WHEN depth <= 2 THEN sign || '.' WHEN depth <= 4 THEN sign || ')' ELSE '(' || sign || ')' END AS mark FROM marked""")
 def sibling_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tree.sibling_ordinals(tree.parents(forest(spark, sf_dir), KEYS), KEYS)
+    """Numbers among siblings and outline marks over six levels; many customers have more than 14 orders."""
+    rows = tree.sibling_ordinals(tree.parents(deep_forest(spark, sf_dir), KEYS), KEYS)
     return rows.select("doc_id", "pos", "depth", "ordinal", tree.prefix(F.col("depth"), F.col("ordinal")).alias("mark"))
 
 
 @BOOK.add("SELECT o_orderkey, card, row_number() OVER (PARTITION BY card ORDER BY o_orderdate, o_orderkey) AS seq FROM (SELECT *, c_mktsegment || '/' || c_nationkey AS card FROM orders JOIN customer ON o_custkey = c_custkey)")
 def sequence_per_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("card", F.concat_ws("/", "c_mktsegment", "c_nationkey"))
-    return tree.sequence(rows, "card", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "card", "seq")
+    return tree.sequence(rows, "card", ["o_orderdate", "o_orderkey"], [F.date_trunc("year", "o_orderdate"), F.date_trunc("day", "o_orderdate")]).select("o_orderkey", "card", "seq")
 
 
 @BOOK.add("""

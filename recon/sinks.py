@@ -11,7 +11,7 @@ from .operators.tree import sequence
 def write_load_sheets(rows: DataFrame, path: str) -> None:
     """``rows(card, project_ord, pos, code7, handover, …)`` as ``path/entry`` (by card, numbered within it), ``path/guide`` (with a flag
     for missing codes) and ``path/not_entered`` (with the reason)."""
-    entry = sequence(rows.where("not handover"), "card", ["project_ord", "pos"])
+    entry = sequence(rows.where("not handover"), "card", ["project_ord", "pos"], [F.floor(F.col("project_ord") / 4096), F.col("project_ord")])
     # Cards are dealt out with their rows; a large card is written by several tasks.
     entry.repartition("card", F.floor(F.col("seq") / 1_000_000)).sortWithinPartitions("card", "seq").write.partitionBy("card").parquet(f"{path}/entry")
     rows.where("not handover").withColumn("code_missing", F.coalesce("code7", F.lit("")) == "").write.parquet(f"{path}/guide")
@@ -27,7 +27,9 @@ def write_result(result: DataFrame, source: DataFrame, path: str, plan: str) ->
     """A result and its log: rows of the source, of the result, and left out."""
     result.write.parquet(f"{path}/result")
     spark = source.sparkSession
-    log = source.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(spark.read.schema(result.schema).parquet(f"{path}/result").agg(F.count(F.lit(1)).alias("result_rows")))
+    written = spark.read.schema(result.schema).parquet(f"{path}/result")
+    counts = source.agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("source")).unionByName(written.agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("result")))
+    log = counts.agg(F.max(F.when(F.col("of") == "source", F.col("n"))).alias("source_rows"), F.max(F.when(F.col("of") == "result", F.col("n"))).alias("result_rows"))
     log.select("source_rows", "result_rows", (F.col("source_rows") - F.col("result_rows")).alias("excluded"), F.lit(plan).alias("plan")).write.parquet(f"{path}/log")
 
 
@@ -47,7 +49,11 @@ def read_overrides(settings: DataFrame) -> DataFrame:
     return pair.select(parts[0].alias("code5"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("name"), "code7")
 
 
-def write_overrides(overrides: DataFrame) -> DataFrame:
-    """``json``: one map of all decisions."""
+def write_overrides(overrides: DataFrame, most: int = 100_000) -> DataFrame:
+    """``json``: one map of all decisions, as the settings file of one user holds them. More than ``most`` of them raise an error when
+    the result is read: such a table is kept as rows instead."""
     key = F.when(F.coalesce("name", F.lit("")) == "", F.col("code5")).otherwise(F.concat_ws("|", "code5", "name"))
-    return overrides.select(F.struct(key.alias("k"), F.col("code7").alias("v")).alias("e")).agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("json"))
+    rows = overrides.select(F.struct(key.alias("k"), F.col("code7").alias("v")).alias("e"))
+    # One row beyond the bound is enough to know; nothing larger is ever gathered.
+    held = rows.limit(most + 1).agg(F.collect_list("e").alias("e"))
+    return held.select(F.when(F.size("e") > most, F.raise_error(F.lit("more decisions than one settings map holds"))).otherwise(F.to_json(F.map_from_entries("e"))).alias("json"))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import shared_root
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below one of this machine where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new folder below the one that all machines share."""
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def learn_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, key: str, code: str) -> DataFrame:
@@ -34,12 +35,39 @@ def learn_stream(spark: SparkSession, folder: str, pattern: str, schema: StructT
 
 
 def scan_stream(spark: SparkSession, folder: str, schema: StructType, scan: Callable[[DataFrame], DataFrame], out: str) -> None:
-    """Applies a scan to new files of a folder and appends what it finds; a batch that fails leaves a row in ``out/failed``."""
+    """Applies a scan to new files of a folder and appends what it finds to ``out/found``.
+
+    A batch that fails is scanned again file by file: what the good files hold is found, and each bad file leaves a row in
+    ``out/failed``. ``out/files`` lists the files that are done, so no file is scanned twice. An empty folder gives nothing.
+    """
+    def plain(path: str) -> Column:
+        """A path as all readers write it."""
+        return F.regexp_replace(path, "^file:/+", "file:/")
+
+    def listed(path: str) -> DataFrame:
+        try:
+            return spark.read.schema("file string").parquet(path)
+        except Exception:  # nothing is written yet
+            return spark.createDataFrame([], "file string")
+
+    def done(batch: DataFrame, to: str) -> None:
+        scan(batch.drop("_file")).write.mode("overwrite").parquet(f"{out}/found/part={to}")
+
     def one(batch: DataFrame, number: int) -> None:
+        seen = listed(f"{out}/files")
+        fresh = batch.join(seen, F.col("_file") == F.col("file"), "left_anti") if seen.take(1) else batch
         try:
-            scan(batch).write.mode("overwrite").parquet(f"{out}/found/batch={number}")
-        except Exception as e:  # the next files are still scanned; the failure is on record
-            spark.createDataFrame([(number, f"{type(e).__name__}: {e}"[:2000])], "batch int, error string").write.mode("append").parquet(f"{out}/failed")
+            done(fresh, str(number))
+            fresh.select(F.col("_file").alias("file")).distinct().write.mode("append").parquet(f"{out}/files")
+        except Exception:
+            # Which files the batch has can't be asked of files that can't be read: all those of the folder that aren't done are tried.
+            there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain("path").alias("file"))
+            for r in there.join(seen, "file", "left_anti").orderBy("file").toLocalIterator():
+                try:
+                    done(spark.read.schema(schema).parquet(r.file).withColumn("_file", F.lit(r.file)), f"{number}-{zlib.crc32(r.file.encode()):08x}")
+                except Exception as e:  # the next files are still scanned; the failure is on record
+                    spark.createDataFrame([(r.file, f"{type(e).__name__}: {e}"[:2000])], "file string, error string").write.mode("append").parquet(f"{out}/failed")
+                spark.createDataFrame([(r.file,)], "file string").write.mode("append").parquet(f"{out}/files")
 
-    stream = spark.readStream.schema(schema).parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder).select("*", plain("_metadata.file_path").alias("_file"))
     stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()

@@ -20,6 +20,16 @@ def test_delta_formula(spark):
     assert values(spark, ["0=", "00", "1,200", "2천원×3명=", "x"], formula.basis_value) == pytest.approx([0, 0, 1200, 6, None])
 
 
+def test_terms_begin_only_where_one_is_complete(spark):
+    texts = ["2천원×3 - 1천원", "2천원×-3", "-2천원×3", "(5천원×2)+(1천원×3)", "1천원-1천원-1천원", "3천원 + 2천원 × 2", "2천원-△1천원", "1천원-", "5천원×2개월-", "2천원 / 2", "1,000원\t×3"]
+    assert values(spark, texts, formula.delta_value) == pytest.approx([5, -6, -6, 13, -1, 7, 3, 1, 10, 2, 3])
+
+
+def test_basis_texts(spark):
+    rows = spark.createDataFrame([("", 0.0), ("50,000원×2회", 100.0), ("5×2=", 1.0), (None, None), (None, 3.0)], "f string, a double")
+    assert [r.b for r in rows.select(formula.basis_text(F.col("f"), F.col("a")).alias("b")).collect()] == ["0=", "50,000원×2회=", "5×2=", "0=", ""]
+
+
 def test_number_texts(spark):
     assert values(spark, ["△1,000", "2,376,941", " -5 ", "1.5", "12-3", "", None], numbers.signed_number) == [-1000, 2376941, -5, 1.5, None, None, None]
     assert values(spark, ["△2,590천원", "2,590", None], numbers.unit_number) == [-2590, None, None]

@@ -1,5 +1,6 @@
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from recon import sinks
@@ -85,4 +86,28 @@ def test_streams(spark, tmp_path):
     scan_stream(spark, str(tmp_path / "all"), rows.schema, lambda b: b.where("k = 'a'"), str(tmp_path / "scan"))
     assert spark.read.parquet(str(tmp_path / "scan/found")).count() == 6
     scan_stream(spark, str(tmp_path / "all"), rows.schema, lambda b: b.select(F.col("missing")), str(tmp_path / "broken"))
-    assert spark.read.parquet(str(tmp_path / "broken/failed")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "broken/failed")).count() == 2
+    # A file that can't be read costs no other file of its batch, and new files are scanned afterwards, each once.
+    (tmp_path / "all" / "3.parquet").write_bytes(b"PAR1 no table PAR1")
+    for _ in range(2):
+        scan_stream(spark, str(tmp_path / "all"), rows.schema, lambda b: b.where("k = 'a'"), str(tmp_path / "mixed"))
+        assert spark.read.parquet(str(tmp_path / "mixed/found")).count() == 6
+        failed = [r.file for r in spark.read.parquet(str(tmp_path / "mixed/failed")).collect()]
+        assert len(failed) == 1 and failed[0].endswith("3.parquet")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in4"))
+    next((tmp_path / "in4").glob("*.parquet")).rename(tmp_path / "all" / "4.parquet")
+    scan_stream(spark, str(tmp_path / "all"), rows.schema, lambda b: b.where("k = 'a'"), str(tmp_path / "mixed"))
+    assert spark.read.parquet(str(tmp_path / "mixed/found")).count() == 9
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from recon.storage import shared_root
+
+    conf = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://a:7077"))
+    with pytest.raises(RuntimeError):
+        shared_root(session)
+    session.sparkContext.master = "local[2]"
+    assert shared_root(session) == conf["spark.checkpoint.dir"]

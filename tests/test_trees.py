@@ -105,7 +105,51 @@ def test_shape_ordinals_paths_and_marks(spark):
     assert {r.pos: r.ordinal for r in tree.sibling_ordinals(t, ["doc_id"]).collect()} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2}
     assert {r.pos: list(r.path) for r in tree.paths(t, ["doc_id"]).collect()} == {0: ["a"], 1: ["a", "b"], 2: ["a", "c"], 3: ["a", "d"], 4: ["e"]}
     marks = spark.range(1, 7).select(tree.prefix(F.col("id"), F.lit(2)).alias("m")).collect()
-    assert [r.m for r in marks] == ["2.", "나.", "2)", "나)", "(2)", "-"]
+    assert [r.m for r in marks] == ["2.", "나.", "2)", "나)", "(2)", "(나)"]
+    later = spark.range(1, 30).select("id", tree.prefix(F.lit(2), F.col("id")).alias("m"), tree.prefix(F.lit(9), F.col("id")).alias("deep")).collect()
+    assert [r.m for r in later if r.id in (1, 14, 15, 28, 29)] == ["가.", "하.", "거.", "허.", "가."] and later[14].deep == "(거)"
+
+
+def test_a_wrong_headline_repeated_in_a_row_is_a_review(spark):
+    items = frame(spark, SOUND).withColumn("amount", F.when(F.col("pos") == 0, 12000).otherwise(F.col("amount")).cast("decimal(20,6)"))
+    heads = items.withColumn("request", F.lit(12000)).withColumn("base", F.lit(10000))
+    found = lambda x: [(r.pos, r.verdict) for r in rollup.check_children(x, ["doc_id"], heads=("request", "base")).collect()]
+    assert found(heads) == [(0, "review")]
+    assert found(heads.withColumn("base", F.lit(11000))) == [(0, "error")]
+    assert found(heads.withColumn("request", F.lit(None).cast("int"))) == [(0, "error")]
+
+
+def test_nulls_repeats_clashing_columns_and_empty_trees(spark):
+    items = frame(spark, [(0, 0, 1, "a", 7, ""), (0, 1, 2, "b", None, "x"), (0, 2, 2, "c", 5, "x"), (0, 2, 2, "c", 5, "x"), (None, 0, 1, "d", 1, "")])
+    odd = items.withColumns({c: F.lit("x") for c in ("parent", "ancestors", "parent_depth", "verdict", "direct", "children", "at", "self")})
+    got = rollup.check_children(odd, ["doc_id"]).collect()
+    assert [(r.pos, r.direct, r.verdict) for r in got] == [(0, 10, "error")]
+    assert rollup.check_children(odd.where(F.lit(False)), ["doc_id"]).count() == 0 == tree.parents(odd.where(F.lit(False)), ["doc_id"]).count()
+
+
+def test_the_whole_roll_up_has_one_exchange(spark):
+    """Sums, deepest rows and all: nothing is scanned or sorted twice, and nothing is joined."""
+    plan = rollup.check_children(frame(spark, SOUND), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("Window [") == 1
+
+
+def test_the_query_of_roll_ups_has_few_exchanges(spark):
+    from recon.plans.trees import rollup_deepest_only
+
+    plan = rollup_deepest_only(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8 and plan.count("FileScan parquet") <= 6
+
+
+def test_numbers_by_cells_are_those_of_one_window(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i) for i in range(400)], "card string, x int, i int")
+    one = {r.i: r.seq for r in tree.sequence(rows, "card", ["x", "i"]).collect()}
+    assert {r.i: r.seq for r in tree.sequence(rows, "card", ["x", "i"], [F.floor(F.col("x") / 15), F.floor(F.col("x") / 5)]).collect()} == one
+
+
+def test_repeated_pages_name_their_first(spark):
+    pages = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "x"), (4, "a", None), (5, "b", None)], "no int, x string, y string")
+    assert {(r.no, r.first) for r in rollup.duplicate_pages(pages, ["x", "y"], "no").collect()} == {(2, 1), (4, 1)}
 
 
 def test_one_exchange_and_one_window(spark):
