@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_root
+
 #: White space that ends a word, as a character class for regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -16,15 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of this machine, which the setting then names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Kept:
     """Intermediate tables of one job, written as Parquet to the shared folder, so that a lost executor costs no recomputation."""
 
@@ -48,6 +44,14 @@ class Kept:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batch: pa.RecordBatch, room: int, *texts: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into parts in whose text columns there are about ``room`` characters; a longer row is a part of its own."""
+    sizes = sum((pc.fill_null(pc.utf8_length(batch.column(k)), 0).to_numpy().astype(np.int64) for k in texts), np.full(batch.num_rows, 16))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // room, prepend=-1)).tolist()
+    for at, end in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(at, end - at)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, components, read
+from .common import Kept, components, read, slices
 
 #: Characters of a shingle; Jaccard similarity from which lines are near-equal; bands and their rows: at 0.8, 99.4 % share a band.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 13, 5
@@ -123,26 +123,27 @@ def minima(lines: list[str]) -> np.ndarray:
 
 
 def bands(least: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each line: a hash of the band's number and its minima."""
+    """A positive key for each band of each line: the band's number, which sorts first, and a 59-bit hash of its minima."""
     out = np.empty((len(least), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(least), b + 1, np.uint64)
         for j in range(b * ROWS, (b + 1) * ROWS):
             key = (key ^ least[:, j]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        out[:, b] = key
+        out[:, b] = np.uint64(b << 59) | key >> np.uint64(5)
     return out
 
 
 def marks(least: np.ndarray) -> np.ndarray:
-    """Eight bits of each of the first minima, eight minima to a number."""
-    return (least[:, :MARKED] >> np.uint32(24)).astype(np.uint8).view(np.int64)
+    """The eight lowest bits of each of the first minima (the highest are zero: minima are small), eight minima to a number."""
+    return np.ascontiguousarray(least[:, :MARKED]).astype(np.uint8).view(np.int64)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, line_no, line, line_id``: each line with a character that isn't blank, without blanks around it."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))).alias("line_no", "line"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "_raw"))
+    rows = rows.select("doc_id", "text_hash", "line_no", F.btrim("_raw", F.lit(BLANKS)).alias("line"))
     return rows.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
@@ -189,11 +190,8 @@ def verified(pairs: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[bool] = []
-            x, y = batch.column(2), batch.column(3)
-            sizes = pc.add(pc.utf8_length(x), pc.utf8_length(y)).to_numpy()
-            slices = np.flatnonzero(np.diff(np.cumsum(sizes) // (4 * SLICE), prepend=-1)).tolist()
-            for at, end in zip(slices, [*slices[1:], batch.num_rows]):
-                left, right = x.slice(at, end - at).to_pylist(), y.slice(at, end - at).to_pylist()
+            for part in slices(batch, 4 * SLICE, 2, 3):
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
                 place = {t: k for k, t in enumerate(dict.fromkeys([*left, *right]))}
                 sets = shingle_codes(list(place))
                 keep += [similar(sets[place[t]], sets[place[u]]) for t, u in zip(left, right)]
@@ -202,39 +200,37 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def _open_pairs(one: list[dict], two: list[dict], key: int, same: bool, label: np.ndarray) -> np.ndarray:
+def _open_pairs(one: dict, two: dict, key: int, same: bool) -> np.ndarray:
     """Which pairs of two tiles are in different components, share this bucket first and agree enough in their marks."""
-    keys, seen = (np.array([m[c] for m in [*one, *two]], np.int64) for c in ("keys", "marks"))
-    seen, n = seen.view(np.uint8), len(one)
-    pairs = label[:n, None] != label[None, n:]
+    pairs = one["component"][:, None] != two["component"][None, :]
     if same:
         pairs = np.triu(pairs, 1)
-    for band in range(int(np.flatnonzero(keys[0] == key)[0])):
-        pairs &= keys[:n, band, None] != keys[None, n:, band]
+    for band in range(key >> 59):
+        pairs &= one["keys"][:, band, None] != two["keys"][None, :, band]
     if not pairs.any():
         return pairs
-    step = max(1, 4096 // max(1, len(two)))
-    for at in range(0, n, step):
-        rows = slice(at, min(n, at + step))
-        pairs[rows] &= (seen[rows, None] == seen[None, n:]).sum(axis=2) >= AGREE
+    mine, theirs = one["marks"].view(np.uint8), two["marks"].view(np.uint8)
+    step = max(1, 4096 // max(1, len(theirs)))
+    for at in range(0, len(mine), step):
+        rows = slice(at, min(len(mine), at + step))
+        pairs[rows] &= (mine[rows, None] == theirs[None, :]).sum(axis=2) >= AGREE
     return pairs
 
 
-def tile_links(one: list[dict], two: list[dict], key: int, same: bool = False) -> list[tuple[int, int]]:
+def tile_links(one: dict, two: dict, key: int, same: bool = False) -> list[tuple[int, int]]:
     """Index pairs of similar lines of two tiles of a bucket in different components, joining all that such pairs join; ``same``: the
-    two are one tile. Where many pairs of a tile have to be verified, shared shingles are counted for a line and the whole other
-    tile at once, over the lines that each shingle is in.
+    two are one tile. A tile is arrays of its lines' ``component``, ``keys`` and ``marks``, and a function ``line`` of places.
+
+    Where many pairs of a tile have to be verified, shared shingles are counted for a line and the whole other tile at once, over the
+    lines that each shingle is in.
     """
-    numbers: dict[int, int] = {}
-    label = np.array([numbers.setdefault(m["component"], len(numbers)) for m in [*one, *two]])
-    if len(numbers) < 2:
-        return []
-    pairs, out = _open_pairs(one, two, key, same, label), []
-    rows, columns = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
+    pairs = _open_pairs(one, two, key, same)
+    rows, columns, out = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0)), []
     if not len(rows):
         return []
-    sets = shingle_codes([one[i]["line"] for i in rows] + [two[j]["line"] for j in columns])
-    ours, others, mine, theirs = sets[:len(rows)], sets[len(rows):], label[:len(one)], label[len(one):]
+    sets = shingle_codes(one["line"](rows) + two["line"](columns))
+    label = np.concatenate([one["component"], two["component"]])
+    ours, others, mine, theirs = sets[:len(rows)], sets[len(rows):], label[:len(pairs)], label[len(pairs):]
     many = pairs.sum() > 32 * len(columns)
     if many:
         flat, owner = np.concatenate(others), np.repeat(np.arange(len(others)), list(map(len, others)))
@@ -256,16 +252,29 @@ def tile_links(one: list[dict], two: list[dict], key: int, same: bool = False) -
     return out
 
 
+def _tiles(column: pa.ListArray) -> list[dict | None]:
+    """The tiles of a column as arrays; None for null."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    ends, known = np.cumsum(size), column.is_valid().to_numpy(zero_copy_only=False)
+    values = dict(zip([f.name for f in column.type.value_type], column.flatten().flatten()))
+    wide = {c: values[c].flatten().to_numpy().reshape(len(values[c]), n) for c, n in (("keys", BANDS), ("marks", MARKED // 8))}
+    flat = {c: values[c].to_numpy() for c in ("line_id", "component")}
+
+    def tile(a: int, z: int) -> dict:
+        return {c: v[a:z] for c, v in (flat | wide).items()} | {"line": lambda at: values["line"].take(pa.array(a + at)).to_pylist()}
+
+    return [tile(z - n, z) if ok else None for n, z, ok in zip(size.tolist(), ends.tolist(), known)]
+
+
 def across(tiles: DataFrame) -> DataFrame:
     """``a, b``: links between lines of two tiles that are in different components, joining all that such similar pairs join."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                key, one, two = (c[row].as_py() for c in batch.columns)
-                found = tile_links(one, two or one, key, same=two is None)
-                two = two or one
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([one[i]["line_id"] for i, _ in found], pa.int64()), pa.array([two[j]["line_id"] for _, j in found], pa.int64())], ["a", "b"])
+            left, right = [], []
+            for key, one, two in zip(batch.column(0).to_pylist(), _tiles(batch.column(1)), _tiles(batch.column(2))):
+                for i, j in tile_links(one, two or one, key, same=two is None):
+                    left.append(one["line_id"][i]), right.append((two or one)["line_id"][j])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return tiles.select("key", "one", F.when(F.col("tile") != F.col("other"), F.col("two")).alias("two")).mapInArrow(compare, "a bigint, b bigint")
 
@@ -284,9 +293,11 @@ def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:
     own = marked.select("line_id", "marks")
     pairs = pairs.join(own.toDF("a", "marks_a"), "a").join(own.toDF("b", "marks_b"), "b").where(agreeing(F.col("marks_a"), F.col("marks_b")) >= AGREE)
     pairs = kept.keep(pairs.select("a", "b"))
-    # Beside the pairs, buckets of three lines or more may need texts: those of all lines but the first.
-    more = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
-    rest = kept.keep(members.where("line_id <> first").join(more, "key", "left_semi").select("key", "line_id"))
+    # Beside the pairs, buckets of three lines or more may need texts: those of all lines but the first. Of buckets with the same
+    # such lines the one of the earliest band is enough.
+    others = members.where("line_id <> first").select("key", "line_id")
+    sets = others.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("line_id").alias("x"), F.bit_xor(F.xxhash64("line_id", F.lit(7))).alias("y")).where("n > 1")
+    rest = kept.keep(others.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")), "key", "left_semi"))
     needed = kept.keep(pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(rest.select("line_id")).distinct())
     near = lines.select("line_id", "line").join(_side(needed), F.col("line_id") == F.col("w"), "left_semi")
     texts = kept.keep(near.groupBy("line_id").agg(F.min("line").alias("line")))
@@ -304,7 +315,15 @@ def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:
     tiles = kept.keep(open_.groupBy("key", "tile").agg(F.collect_list(F.struct("line_id", "component", "keys", "marks", "line")).alias("m")))
     both = tiles.select("key", "tile", F.col("m").alias("one")).join(tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("two")), "key").where("tile <= other")
     found = kept.keep(across(both))
-    return kept.keep(components(links.union(found), kept))
+    # What was found joins components: their smallest lines are linked, and lines follow their component.
+    part = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(side[0]))
+    known = parts.select("node", "component")
+    joints = found.join(known.select("node", F.struct("component").alias("a_")), F.col("a") == F.col("node"), "left").drop("node").join(known.select("node", F.struct("component").alias("b_")), F.col("b") == F.col("node"), "left").drop("node")
+    joints = kept.keep(joints.select(F.col("a").alias("line_a"), F.col("b").alias("line_b"), part("a_").alias("a"), part("b_").alias("b")))
+    over = kept.keep(components(joints.select("a", "b"), kept).toDF("c", "least"))
+    loose = joints.select(F.explode(F.array(F.struct(F.col("line_a").alias("node"), F.col("a").alias("component")), F.struct(F.col("line_b").alias("node"), F.col("b").alias("component")))).alias("x")).select("x.node", "x.component")
+    nodes = known.union(loose).distinct()
+    return kept.keep(nodes.join(over, F.col("component") == F.col("c"), "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -89,6 +89,10 @@ def test_similar_lines_share_a_band_and_agree():
             same = (m[0].view(np.uint8) == m[2].view(np.uint8)).sum()
             total, hits = total + 1, hits + bool((x[0] == x[2]).any() and same >= AGREE)
     assert total > 200 and hits / total > 0.985
+    # The marks tell lines apart: they agree about as often as the lines are similar.
+    texts = ["".join(rng.choices("abcdefghijklmnopqrst", k=300)) for _ in range(30)]
+    seen = marks(minima(texts)).view(np.uint8)
+    assert max((seen[i] == seen[j]).sum() for i in range(30) for j in range(i)) < AGREE / 4
     alone = np.stack([bands(minima([t]))[0] for t in ("abc", "x" * 50, "é日🙂" * 9)])
     assert (bands(minima(["abc", "x" * 50, "é日🙂" * 9])) == alone).all() and alone.shape == (3, BANDS)
 
@@ -196,10 +200,11 @@ def test_a_pair_is_verified_in_its_first_band_alone():
     line = "the same words again and again in one long line of text"
     least = minima([line, line + "."])
     keys, seen = bands(least).view(np.int64), marks(least)
-    one = [{"line_id": i, "component": i, "keys": keys[i].tolist(), "marks": seen[i].tolist(), "line": t} for i, t in enumerate([line, line + "."])]
+    texts = [line, line + "."]
+    tile = lambda i: {"component": np.array([i]), "keys": keys[i:i + 1], "marks": seen[i:i + 1], "line": lambda at: [texts[i] for _ in at]}
     shared = [k for k in keys[0].tolist() if k in keys[1].tolist()]
     assert len(shared) > 1
-    assert [bool(tile_links(one[:1], one[1:], k)) for k in shared] == [True] + [False] * (len(shared) - 1)
+    assert [bool(tile_links(tile(0), tile(1), k)) for k in shared] == [True] + [False] * (len(shared) - 1)
 
 
 def test_copies_nulls_and_cleaned_texts(spark):
