@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read, words
+from .common import Kept, let, read, words
 from .simhash_dedup import LOWER, UPPER
 
 BLANKS, SYMBOLS, WINDOW = " \t\n\x0b\x0c\r", "#*$%&|<>", 8
@@ -154,12 +154,15 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> list[Rule]:
     """Rules from at most ``max_fit`` labelled documents, the first by a hash of their doc_id; labels that contradict each other
-    teach nothing. A third of the documents, by the hash too, prunes."""
+    teach nothing, and of rows that repeat a doc_id the first text by order teaches. A third of the documents, by the hash too,
+    prunes. Statistics are made of the labelled texts alone, which are written down before.
+    """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
     sample = one.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
     # The sample's size is bounded by its limit.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = with_statistics(rows, "doc_id", "quality").where(~F.col("base_failed")).select("quality", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("growing"), *FEATURES).limit(4 * max_fit).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    texts = Kept(docs.sparkSession, "labelled").keep(texts.repartition(64, "doc_id"))
+    rows = with_statistics(texts, "doc_id", "quality").where(~F.col("base_failed")).select("quality", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0).alias("growing"), *FEATURES).collect()
     if not rows:
         return []
     x = np.array([[float(r[f]) for f in FEATURES] for r in rows])

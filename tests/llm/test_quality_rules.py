@@ -80,3 +80,30 @@ def test_labelled_documents_are_told_apart(spark):
     kept = {r.doc_id: r.kept for r in Q.judged(docs, rules, "doc_id").collect()}
     assert sum(kept[i] == (i % 4 != 0) for i in kept) >= 695
     assert Q.fit(docs, table.limit(0)) == [] and Q.judged(docs.where(F.lit(False)), rules, "doc_id").count() == 0
+
+
+def test_statistics_are_made_of_labelled_texts_alone(spark):
+    """The documents are read once for the labelled texts, without windows and hashes of words."""
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z"), (1, "a a", "x", "y", "z")], SCHEMA)
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    plans = []
+    keep = Q.Kept.keep
+    try:
+        Q.Kept.keep = lambda self, df, **o: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df, **o)
+        assert Q.fit(docs, labels) == []
+    finally:
+        Q.Kept.keep = keep
+    assert len(plans) == 1 and "transform" not in plans[0] and "xxhash64(x" not in plans[0]
+
+
+def test_accuracy_on_labels_of_other_documents(spark):
+    """Learned from three quarters of the labelled documents of the given tables, judged on the others: what is dropped is bad."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs, labels = read("documents").select("doc_id", "text"), read("labels")
+    rules = Q.fit(docs, labels.where(~held))
+    rows = Q.judged(docs, rules, "doc_id").join(labels.where(held), "doc_id").select("kept", "quality", "base_failed").collect()
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert len(good) > 30 and len(bad) > 10
+    dropped_good, dropped_bad = sum(not r.kept for r in good) / len(good), sum(not r.kept for r in bad) / len(bad)
+    assert dropped_good < 0.1 and dropped_bad > 0.6, (dropped_good, dropped_bad)
