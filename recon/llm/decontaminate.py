@@ -1,16 +1,19 @@
 """Benchmark decontamination: windows of an item's size whose weighted shingles are the item's to 0.8 or more.
 
-Similarity is the weighted Jaccard of two word runs: five-word shingles count as often as they occur (a run of fewer words is one
-shingle). A window shares at most as many shingles with an item as it has places whose shingle the item holds. These are counted for
-all windows at once by running sums, and where they would suffice the similarity itself is worked out, so nothing is lost: recall is 1.
-``distance`` tells how many bits the window's SimHash differs in. Fingerprints choose no windows, since those of similar windows
-can be far apart; the multi-index (64 bits in five blocks, each block's table holding every value within two bits of an item's, which
-meets all within 14 bits) is built only for who looks fingerprints up.
+Every window of an item's size that shares enough shingles with an item to be similar to it, which running sums tell for all windows
+at once, gets a SimHash fingerprint of its words and word pairs. The items' fingerprints are in a multi-index: 64 bits in five blocks,
+each block's table holding every value within three bits of an item's, so that every fingerprint within 19 bits is met in one of them.
+Windows that meet an item there are verified: similarity is the weighted Jaccard of two word runs, in which five-word shingles count
+as often as they occur (a run of fewer words is one shingle).
+
+A window's fingerprint differs from that of an item of similarity 0.8 in some nine bits; the radius leaves out none of thousands of
+windows just above the limit. Items of fewer than ten words have too few features for that; their fingerprints choose nothing.
 """
 
 from __future__ import annotations
 
 import itertools
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property
@@ -22,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import Kept, read
 
-SHINGLE, SIMILAR, RADIUS, BLOCKS = 5, 0.8, 14, (13, 13, 13, 13, 12)
-#: Items whose index one pass over the documents uses; a larger benchmark takes several passes.
-ITEMS_AT_ONCE = 4000
+SHINGLE, SIMILAR, BLOCKS, FLIPS, SHORT = 5, 0.8, (13, 13, 13, 13, 12), 3, 10
+#: Bits within which the multi-index meets every fingerprint: any more in all blocks would be one more than flips in each.
+RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
+#: Characters of items that one pass over the documents uses, in some 20 MB of index; a larger benchmark takes several passes.
+CHARS_AT_ONCE = 4_000_000
 _MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _COLUMNS = "item_id bigint, first_word int, n_words int, similarity double, distance int"
 
@@ -89,14 +94,28 @@ class Index:
             self.holders[width] = known, np.append(first, len(each)), k[order]
 
     @cached_property
-    def tables(self) -> dict[int, list[dict]]:
-        """By size of item and block: the items whose fingerprint has a value or one within two bits of it."""
-        out: dict[int, list[dict]] = defaultdict(lambda: [defaultdict(list) for _ in BLOCKS])
-        for k, n in enumerate(self.sizes):
-            for values, table, bits in zip(block_values(self.prints[k:k + 1]), out[n], BLOCKS):
-                for flips in itertools.chain([()], ((a,) for a in range(bits)), itertools.combinations(range(bits), 2)):
-                    table[int(values[0]) ^ sum(1 << f for f in flips)].append(k)
-        return {n: [dict(t) for t in ts] for n, ts in out.items()}
+    def tables(self) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """By size of item and block: values, sorted, and the items whose fingerprint has them or one within three bits of them."""
+        flips = [np.array([sum(1 << f for f in fs) for n in range(FLIPS + 1) for fs in itertools.combinations(range(bits), n)], np.int64) for bits in BLOCKS]
+        sizes, out = np.array(self.sizes), {}
+        for size in set(self.sizes):
+            items = np.flatnonzero(sizes == size)
+            out[size] = []
+            for values, masks in zip(block_values(self.prints[items]), flips):
+                each = (values[:, None] ^ masks[None, :]).ravel()
+                order = np.argsort(each, kind="stable")
+                out[size].append((each[order], np.repeat(items, len(masks))[order]))
+        return out
+
+    def meets(self, prints: np.ndarray, item: int) -> np.ndarray:
+        """Which fingerprints the multi-index leads to an item: all within ``RADIUS`` bits, and some beyond."""
+        hit = np.zeros(len(prints), bool)
+        for values, (known, items) in zip(block_values(prints), self.tables[self.sizes[item]]):
+            low, high = np.searchsorted(known, values), np.searchsorted(known, values, "right")
+            n = high - low
+            places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            hit |= np.bincount(np.repeat(np.arange(len(prints)), n), items[places] == item, len(prints)) > 0
+        return hit
 
     def search(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         """``item_id, first word, words, similarity, distance`` of the best window for each item that the text holds."""
@@ -126,13 +145,19 @@ class Index:
                 sums = np.concatenate([[0], np.cumsum(own)])
                 most = sums[places:] - sums[:-places]
                 starts = np.flatnonzero(most >= SIMILAR * (all_ - most) - 1e-6)
+                if not len(starts):
+                    continue
+                low, high = int(starts[0]), int(starts[-1]) + size
+                prints = window_prints(word_hashes(words[low:high]), starts - low, size)
+                if size >= SHORT and size == self.sizes[k]:
+                    met_there = self.meets(prints, k)
+                    starts, prints = starts[met_there], prints[met_there]
                 near = np.array([self.similarity(k, ids[a:a + size]) for a in starts.tolist()])
                 if len(near) and near.max() >= SIMILAR:
-                    starts = starts[near == near.max()]
-                    low, high = int(starts[0]), int(starts[-1]) + size
-                    distance = np.bitwise_count(window_prints(word_hashes(words[low:high]), starts - low, size) ^ self.prints[k])
+                    first = np.flatnonzero(near == near.max())
+                    distance = np.bitwise_count(prints[first] ^ self.prints[k])
                     j = int(np.argmin(distance))
-                    best[k] = float(near.max()), int(distance[j]), int(starts[j]), size
+                    best[k] = float(near.max()), int(distance[j]), int(starts[first[j]]), size
         return [(self.items[k][0], a, size, s, d) for k, (s, d, a, size) in sorted(best.items())]
 
     def similarity(self, item: int, ids: np.ndarray) -> float:
@@ -152,38 +177,46 @@ def rolled(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, chars_at_once: int = CHARS_AT_ONCE) -> DataFrame:
     """A row for each document and item it holds: ``doc_id, item_id, first_word, n_words, similarity, distance``.
 
     Defined results: null, empty and blank texts hold nothing, such items are held by nothing; items alike are all reported; rows
     that repeat a doc_id are searched each; a text shorter than an item is one window; an empty table gives none; further columns
-    are ignored. Only items reach the driver, ``items_at_once`` at a time.
+    are ignored. Only items reach the driver, about ``chars_at_once`` characters of them at a time: a larger benchmark is cut by a
+    hash, and what one part finds is written before the next one is read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = items.count()
-    passes = max(1, -(-n // items_at_once))
+    n = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = max(1, -(-n // chars_at_once))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
+    out, kept = None, Kept(spark, "leaks")
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
-        found.append(rows.mapInArrow(_searcher(shared), f"doc_id bigint, {_COLUMNS}"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+        found = rows.mapInArrow(_searcher(shared), f"doc_id bigint, {_COLUMNS}")
+        if passes > 1:
+            found = kept.keep(found)
+            shared.unpersist()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def _index_of(shared) -> Index:
+    """The index of the items, built once in each Python worker; a worker keeps the last one."""
+    held = sys.__dict__.setdefault("_recon_leak_index", [])
+    if not held or held[0] != shared.value:
+        held[:] = [shared.value, Index(shared.value)]
+    return held[1]
+
+
 def _searcher(shared):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = _index_of(shared)
         for b in batches:
             out: list[tuple] = []
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    out += [(doc, *hit) for hit in index.search(text)]
+            for doc, text in zip(b.column(0), b.column(1)):
+                out += [(doc.as_py(), *hit) for hit in index.search(text.as_py())]
             columns = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "first_word", "n_words", "similarity", "distance"])
