@@ -7,18 +7,25 @@ calibrated on documents that were not counted.
 
 from __future__ import annotations
 
+import math
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, read
+from .common import Kept, read, slices
 
 ORDER = 5
-#: Most n-grams of the highest order that a language keeps, the most frequent first; documents of a language used to calibrate.
-MAX_GRAMS, MAX_CALIBRATE = 250_000, 1500
+#: Most n-grams of each order that a language's model stores, the most frequent first, and that all languages store together; what is
+#: estimated (discounts, sums of contexts, continuation counts) comes of all n-grams. Documents of a language used to calibrate.
+MAX_GRAMS, MAX_ALL, MAX_CALIBRATE = 250_000, 4_000_000, 1500
+#: Characters of texts that are scored at once, and places of one text.
+SLICE = 400_000
 #: Characters from which each band of lengths begins. Texts are rejected above the usual excess of their band by so many robust standard
 #: deviations, and so many nats a character. A language with fewer texts in a band shares the limit of all languages there.
 BANDS, SPREADS, SLACK, FEW = (1, 16, 64, 256, 1024), 8, 0.5, 50
@@ -27,12 +34,12 @@ _letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """For each code point itself if it is a letter, else a blank."""
+    """For each code point itself if it is a letter or a mark that belongs to one, else a blank."""
     if not _letters:
         table = np.full(0x110000, _BLANK, np.uint32)
-        is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        table[is_letter] = np.flatnonzero(is_letter)
-        _letters.append(table)
+        kinds = np.array([0 if chr(c).isalpha() else 1 if unicodedata.category(chr(c))[0] == "M" else 2 for c in range(0x110000)], np.uint8)
+        table[kinds < 2] = np.flatnonzero(kinds < 2)
+        _letters.extend([table, kinds == 1])
     return _letters[0]
 
 
@@ -59,7 +66,10 @@ def normalised(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray,
     body = keep.copy()
     for k in range(order - 1):
         body[starts + k] = False
-    letters = np.add.reduceat(~blank, starts) if len(starts) else np.zeros(0, np.int64)
+    letters = ~blank
+    if len(c) and c.max() >= 0x300:
+        letters &= ~_letters[1][c]  # a mark alone is no letter
+    letters = np.add.reduceat(letters, starts) if len(starts) else np.zeros(0, np.int64)
     if (letters == 0).any():
         body &= np.repeat(letters > 0, size)
     at = (np.cumsum(keep) - 1)[body]
@@ -69,6 +79,12 @@ def normalised(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray,
 
 def gram_hashes(chars: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     """Hash of the ``m`` characters that end at each place."""
+    if 4 * len(at) < len(chars):  # few places: only what is before them is looked at
+        out = np.full(len(at), m, np.uint64)
+        for n in range(m - 1, -1, -1):
+            out = (out ^ chars[at - n].astype(np.uint64)) * _P
+            out ^= out >> np.uint64(31)
+        return out
     c = chars.astype(np.uint64)
     out = np.full(len(c), m, np.uint64)
     for k in range(m):
@@ -108,38 +124,37 @@ class Sorted:
         return out
 
 
+@dataclass
+class Level:
+    """What one language's model stores of one order: n-grams, their discounted share of their context, and what each one's context
+    leaves to the lower order."""
+
+    grams: list[str]
+    shares: np.ndarray
+    rests: np.ndarray
+
+
 class Models:
     """Kneser-Ney models of several languages over one set of hash arrays."""
 
-    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray], order: int = ORDER):
-        """``grams[k]``: code points of language k's n-grams, a row each; ``counts[k]``: how often they occur."""
+    def __init__(self, langs: list[str], levels: list[list[Level]], alphabets: list[int], order: int = ORDER):
+        """``levels[k][m - 1]``: what language k stores of order m; ``alphabets[k]``: its number of single characters."""
         self.langs, self.order, n_langs = langs, order, len(langs)
+        self.base = np.array([1 / (n + 1) for n in alphabets])
         found: list[dict] = [{} for _ in range(order + 1)]
         backs: list[dict] = [{} for _ in range(order + 1)]
-        self.base = np.zeros(n_langs)
-        for k, (g, c) in enumerate(zip(grams, counts)):
-            c = c.astype(np.float64)
-            for m in range(order, 0, -1):
-                at = np.arange(m - 1, m * len(g), m)
-                h = gram_hashes(g.ravel(), at, m)
-                ctx = gram_hashes(g.ravel(), at - 1, m - 1) if m > 1 else np.zeros(len(g), np.uint64)
-                once, twice = (c == 1).sum(), (c == 2).sum()
-                discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-                which, inverse = np.unique(ctx, return_inverse=True)
-                total, kinds = np.bincount(inverse, c), np.bincount(inverse)
-                found[m][k] = (h, (c - discount).clip(0) / total[inverse])
-                backs[m][k] = (which, discount * kinds / total)
-                if m > 1:
-                    _, first, c = np.unique(gram_hashes(g.ravel(), at, m - 1), return_index=True, return_counts=True)
-                    g, c = g[first, 1:], c.astype(np.float64)
-            self.base[k] = 1 / (len(g) + 1)
+        for k, own in enumerate(levels):
+            for m, level in enumerate(own, 1):
+                c = _code_points(level.grams)
+                at = np.arange(m - 1, m * len(level.grams), m)
+                found[m][k] = gram_hashes(c, at, m), level.shares
+                which, first = np.unique(gram_hashes(c, at - 1, m - 1) if m > 1 else np.zeros(len(at), np.uint64), return_index=True)
+                backs[m][k] = which, level.rests[first]
         self.found = [_table(x, n_langs, 0.0) for x in found]
         self.backs = [_table(x, n_langs, 1.0) for x in backs]
-        keys = [gram_hashes(g.ravel(), np.arange(order - 1, order * len(g), order), order) for g in grams]
-        if keys:
-            keys, first = np.unique(np.concatenate(keys), return_index=True)
-            rows = np.concatenate(grams)[first]
-            self.seen = Sorted(keys, self.logs(rows.ravel(), np.arange(order - 1, order * len(rows), order)).astype(np.float32))
+        rows = sorted({g for own in levels for g in own[-1].grams})
+        c, at = _code_points(rows), np.arange(order - 1, order * len(rows), order)
+        self.seen = Sorted(gram_hashes(c, at, order), self.logs(c, at).astype(np.float32)) if langs else None
         self.calibrated: dict = {}
 
     def logs(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -152,27 +167,36 @@ class Models:
             p[own >= 0] += self.found[m].values[own[own >= 0]]
         return np.log(p)
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text under each language, and its number of characters; 0 characters: no letter."""
-        chars, at, count = normalised(texts, self.order)
-        n = np.diff(count)
-        out = np.zeros((len(texts), len(self.langs)))
-        if not len(at):
-            return out, n
+    def _stored(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """As :meth:`logs`, from the table of known n-grams where it has them."""
         place = self.seen.find(gram_hashes(chars, at, self.order))
-        new = np.flatnonzero(place < 0)
-        logs = self.seen.values[place]
+        logs, new = self.seen.values[place] if len(self.seen.keys) else np.zeros((len(at), len(self.langs)), np.float32), np.flatnonzero(place < 0)
         if len(new):
             logs[new] = self.logs(chars, at[new])
-        some = np.flatnonzero(n)
-        out[some] = -np.add.reduceat(logs, count[:-1][some], axis=0, dtype=np.float64) / n[some, None]
-        return out, n
+        return logs
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character of each text under each language, and its number of characters; 0 characters: no letter."""
+        out, sizes, at = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), 0
+        lengths = np.cumsum([len(t or "") for t in texts]) if texts else np.zeros(0, int)
+        while at < len(texts):  # texts that are together no longer than a slice; at least one
+            end = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + SLICE)))
+            chars, places, count = normalised(texts[at:end], self.order)
+            n = np.diff(count)
+            sizes[at:end] = n
+            if end - at == 1:
+                sums = sum((self._stored(chars, places[k:k + SLICE]).sum(axis=0, dtype=np.float64) for k in range(0, len(places), SLICE)), np.zeros(len(self.langs)))
+                out[at] = -sums / max(1, n[0])
+            elif len(places):
+                some = np.flatnonzero(n)
+                out[at + some] = -np.add.reduceat(self._stored(chars, places), count[:-1][some], axis=0, dtype=np.float64) / n[some, None]
+            at = end
+        return out, sizes
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
         """Per language the usual cross-entropy and how far above it texts go, by length; and the temperature of the scores. Texts of a
         language that no text calibrates are not rejected."""
-        parts = [self.entropies(texts[at:at + 50]) for at in range(0, len(texts), 50)]
-        e, n = (np.concatenate(x) for x in zip(*parts)) if parts else self.entropies([])
+        e, n = self.entropies(texts)
         own = np.array([self.langs.index(x) for x in langs], int)
         ok = n > 0
         e, n, own = e[ok], n[ok], own[ok]
@@ -241,8 +265,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple] = {}
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in slices(b, 4 * SLICE, 1):
                 langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for lang in set(langs):
                     chars, places, _ = normalised([t for x, t in zip(langs, texts) if x == lang], order)
@@ -262,43 +285,85 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _code_points(grams: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _bucket(n: Column) -> Column:
+    """Counts as they are up to 4096, larger ones cut to their twelve highest bits, so that few kinds of counts are told apart."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(4096)).cast("double"))) - 12).cast("bigint")
+    return F.floor(n / unit).cast("bigint") * unit
+
+
+def stored_levels(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, max_all: int = MAX_ALL) -> tuple[list[str], list[list[Level]], list[int]]:
+    """Languages, what their models store, and the sizes of their alphabets, from all ``counts(lang, gram, n)``.
+
+    In each order the counts (in lower orders: of how many characters an n-gram follows) of all n-grams give the discount and the sums
+    of contexts. Then the most frequent are stored; the share of those that aren't is left to the lower order with the discounts, so
+    probabilities still add up to one. The driver gets ``max_grams`` n-grams a language and order at most, and ``max_all`` in all.
+    """
+    kept, spark = Kept(counts.sparkSession, "levels"), counts.sparkSession
+    langs: list[str] = []
+    levels: dict[str, list[Level]] = {}
+    alphabets: dict[str, int] = {}
+    level = counts
+    for m in range(order, 0, -1):
+        if m < order:
+            level = kept.keep(level.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        kinds: dict[str, list[tuple[int, int]]] = {}
+        for r in level.groupBy("lang", _bucket(F.col("n")).alias("n")).agg(F.count(F.lit(1)).alias("kinds")).collect():
+            kinds.setdefault(r.lang, []).append((r.n, r.kinds))
+        if m == order:
+            langs = sorted(kinds)
+            levels = {lang: [] for lang in langs}
+        if not langs:
+            return [], [], []
+        rules, most = [], min(max_grams, max_all // (order * len(langs)))
+        for lang in langs:
+            own = dict(kinds[lang])
+            once, twice = own.get(1, 0), own.get(2, 0)
+            sizes = sorted(own, reverse=True)
+            total = np.cumsum([own[n] for n in sizes])
+            # What is stored has at least the count of the last bucket that fits whole; the first fits in any case.
+            least = sizes[max(0, int(np.searchsorted(total, most, side="right")) - 1)]
+            rules.append((lang, min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5, int(least)))
+            alphabets[lang] = int(total[-1])
+        # One row a language.
+        rule = F.broadcast(spark.createDataFrame(rules, "lang string, discount double, least bigint"))
+        share = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0))
+        stays = F.col("n") >= F.col("least")
+        # A context is followed by as many kinds of characters as there are, at most.
+        w = Window.partitionBy("lang", F.substring("gram", 1, m - 1))
+        ruled = level.join(rule, "lang").select("lang", "gram", stays.alias("stays"), share.alias("share"), F.sum("n").over(w).alias("total"), F.sum(F.when(stays, share)).over(w).alias("stored"))
+        got = ruled.where("stays").select("lang", "gram", (F.col("share") / F.col("total")).alias("share"), (1 - F.col("stored") / F.col("total")).alias("rest")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
+        for lang in langs:
+            own = got.filter(pc.equal(got["lang"], lang))
+            levels[lang].insert(0, Level(own["gram"].to_pylist(), own["share"].to_numpy(), own["rest"].to_numpy()))
+    return langs, [levels[x] for x in langs], [alphabets[x] for x in langs]
+
+
 def fit(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, max_calibrate: int = MAX_CALIBRATE) -> Models:
     """Models of the languages of ``docs(doc_id, text, lang)``, learned where crc32(doc_id as text) mod 4 is not 2.
 
-    Remainders 0 and 1 are counted, all of them; of remainder 3 the first ``max_calibrate`` documents of each language by a hash
-    of their doc_id calibrate. The driver gets ``max_grams`` n-grams a language at most, whatever the input.
+    Remainders 0 and 1 are counted, all of them; of remainder 3 about ``max_calibrate`` documents of each language, the first by a hash
+    of their doc_id, calibrate; of rows that repeat a doc_id the first text by order. The driver gets what is stored of the counts,
+    and these documents.
     """
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     rows = docs.where("lang is not null and text is not null")
     counts = Kept(docs.sparkSession, "grams").keep(gram_counts(rows.where(part < 2), order))
-    # The least count that a language keeps is found on counts of counts, so that no task sorts all of a language's n-grams.
-    by_n = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("kinds")).toArrow().to_pylist()
-    total: dict[str, int] = {}
-    least: dict[str, int] = {}
-    for r in sorted(by_n, key=lambda r: -r["n"]):
-        total[r["lang"]] = total.get(r["lang"], 0) + r["kinds"]
-        if total[r["lang"]] <= max_grams:
-            least[r["lang"]] = r["n"]
-    langs = sorted(least)
-    keep = F.lit(False)
-    for lang in langs:
-        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= least[lang]))
-    table = counts.where(keep).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
-    grams, numbers = [], []
-    for lang in langs:
-        own = table.filter(pa.compute.equal(table["lang"], lang))
-        text = "".join(own["gram"].to_pylist())
-        grams.append(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order))
-        numbers.append(own["n"].to_numpy())
-    models = Models(langs, grams, numbers, order)
-    sample = rows.where(part == 3).where(F.col("lang").isin(langs)) if langs else rows.limit(0)
+    langs, levels, alphabets = stored_levels(counts, order, max_grams)
+    models = Models(langs, levels, alphabets, order)
+    if not langs:
+        return models
+    sample = rows.where((part == 3) & F.col("lang").isin(langs))
     sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
     chosen = F.lit(False)
     for lang, n in sizes.items():
-        share = min(1.0, max_calibrate / n)
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)))
-    picked = sample.where(chosen).select("lang", F.col("text")).limit(2 * max_calibrate * max(1, len(langs))).toArrow() if sizes else None
-    models.calibrate(picked["text"].to_pylist() if picked else [], picked["lang"].to_pylist() if picked else [])
+        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, max_calibrate / n))))
+    once = sample.where(chosen).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    picked = once.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(2 * max_calibrate * len(langs)).select("lang", "text").toArrow()
+    models.calibrate(picked["text"].to_pylist(), picked["lang"].to_pylist())
     return models
 
 
@@ -309,8 +374,7 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 300):
-                part = b.slice(at, 300)
+            for part in slices(b, 4 * SLICE, b.schema.get_field_index("text")):
                 lang, score, entropy, rejected = shared.value.judge(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(lang), pa.array(score), pa.array(entropy), pa.array(rejected)], [*rest, "lang_pred", "score", "entropy", "rejected"])
 

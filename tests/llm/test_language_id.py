@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recon.llm.language_id import Models, Sorted, fit, gram_counts, gram_hashes, identify, keep_identified, normalised, predict
+from recon.llm.language_id import Models, Sorted, fit, gram_counts, gram_hashes, identify, keep_identified, normalised, predict, stored_levels
 
 SCHEMA = "doc_id bigint, text string, lang string, score string, held_out string"
 SYLLABLES = {"aa": ["ta", "mi", "ro", "ka", "lu"], "bb": ["sch", "ung", "ein", "ö", "ver"], "cc": ["ión", "que", "lla", "ñe", "ado"]}
@@ -56,19 +56,26 @@ def slow_model(texts, order):
     return p, levels[1]
 
 
-def test_probabilities_against_dictionaries():
+def counted(texts, order):
+    c = Counter()
+    for t in texts:
+        padded = " " * (order - 1) + t + " "
+        c.update(padded[i:i + order] for i in range(len(padded) - order + 1))
+    return c
+
+
+def models_of(spark, texts, order=5, **options):
+    """Models of ``texts`` by language, through Spark."""
+    rows = [(k, g, n) for k, ts in texts.items() for g, n in counted(ts, order).items()]
+    return Models(*stored_levels(spark.createDataFrame(rows, "lang string, gram string, n bigint"), order, **options), order)
+
+
+def test_probabilities_against_dictionaries(spark):
     rng = random.Random(1)
     texts = {k: [prose(rng, k, 30) for _ in range(20)] for k in ("aa", "bb")}
-    order, grams, counts, slow = 3, [], [], []
-    for k, ts in texts.items():
-        c = Counter()
-        for t in ts:
-            padded = " " * (order - 1) + t + " "
-            c.update(padded[i:i + order] for i in range(len(padded) - order + 1))
-        grams.append(np.array([[ord(x) for x in g] for g in c], np.uint32))
-        counts.append(np.array(list(c.values())))
-        slow.append(slow_model(ts, order))
-    models = Models(["aa", "bb"], grams, counts, order)
+    order = 3
+    slow = [slow_model(ts, order) for ts in texts.values()]
+    models = models_of(spark, texts, order)
     for text in [*(t for ts in texts.values() for t in ts[:3]), "unseen zq", "ta", "a"]:
         e, n = models.entropies([text])
         padded = " " * (order - 1) + text + " "
@@ -80,6 +87,47 @@ def test_probabilities_against_dictionaries():
         assert sum(p(ctx, ch) for ch in alphabet) + p(ctx, "☃") == pytest.approx(1)
 
 
+def test_a_language_beyond_the_bound_keeps_its_estimates(spark):
+    """With a bound that most n-grams are over: those stored have the discounted share and lower-order counts of the whole corpus, and
+    what isn't stored goes to the lower order, so probabilities add up to one."""
+    rng = random.Random(12)
+    texts = {"aa": ["".join(rng.choices("abcdefg ", weights=[9, 7, 5, 3, 2, 1, 1, 4], k=400)).strip() for _ in range(8)]}
+    order, bound = 3, 60
+    p, alphabet = slow_model(texts["aa"], order)
+    whole, small = models_of(spark, texts, order), models_of(spark, texts, order, max_grams=bound)
+    assert len(whole.found[3].keys) > 3 * bound >= 3 * len(small.found[3].keys) > 0 and len(small.found[1].keys) == len(whole.found[1].keys) == len(alphabet)
+    common = set(small.found[3].keys.tolist())
+    chars, at, _ = normalised(texts["aa"][:1], order)
+    stored = np.array([h in common for h in gram_hashes(chars, at, order).tolist()])
+    assert 0.2 < stored.mean() < 1
+    for m in (2, 3):  # the stored shares are those of the whole corpus
+        place = whole.found[m].find(small.found[m].keys)
+        assert (place >= 0).all() and np.allclose(whole.found[m].values[place], small.found[m].values)
+    for ctx in ("ab", "ga", "  ", "zz"):
+        text = np.array([[ord(x) for x in ctx + ch] for ch in [*alphabet, "☃"]], np.uint32)
+        logs = small.logs(text.ravel(), np.arange(2, text.size, 3))
+        assert np.exp(logs[:, 0]).sum() == pytest.approx(1)
+    assert p("ab", "a") > 0
+
+
+def test_slices_and_long_texts_change_no_entropy(spark, monkeypatch):
+    import recon.llm.language_id as module
+
+    rng = random.Random(2)
+    models = models_of(spark, {k: [prose(rng, k, 30) for _ in range(20)] for k in ("aa", "bb")})
+    texts = [None, "", "12", *(prose(rng, "aa", n) for n in (1, 3, 400, 5)), "ta " * 3000, "x"]
+    whole = models.entropies(texts)
+    monkeypatch.setattr(module, "SLICE", 50)
+    cut = models.entropies(texts)
+    assert np.allclose(whole[0], cut[0]) and (whole[1] == cut[1]).all()
+
+
+def test_marks_belong_to_words_but_are_no_letters():
+    for text, want in [("हिन्दी में", "हिन्दी में "), ("ไทยนี้", "ไทยนี้ "), ("\u0301\u0300", ""), ("e\u0301 \u0301", "e\u0301 \u0301 ")]:
+        chars, at, count = normalised([text])
+        assert "".join(map(chr, chars[at[:count[1]]])) == want
+
+
 def test_normalisation_and_arrays():
     for text, want in [("  Ab, c!! ", "ab c "), ("", ""), ("12 !", ""), (None, ""), ("É\n\n9x", "é x "), ("a", "a ")]:
         chars, at, count = normalised([text, "zz"])
@@ -134,16 +182,10 @@ def test_filter_and_empty_tables(spark, docs):
     assert predict(docs.select("doc_id", "text"), fit(docs)).columns == ["doc_id", "lang_pred", "score", "entropy", "rejected"]
 
 
-def test_mislabelled_and_junk_texts_do_not_lift_the_limits():
+def test_mislabelled_and_junk_texts_do_not_lift_the_limits(spark):
     rng = random.Random(3)
     junk = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=n))
-    grams, counts = [], []
-    for lang in SYLLABLES:
-        chars, at, _ = normalised([prose(rng, lang, 40) for _ in range(60)])
-        _, first, n = np.unique(gram_hashes(chars, at, 5), return_index=True, return_counts=True)
-        grams.append(chars[at[first][:, None] + np.arange(-4, 1)])
-        counts.append(n)
-    models = Models(list(SYLLABLES), grams, counts)
+    models = models_of(spark, {lang: [prose(rng, lang, 40) for _ in range(60)] for lang in SYLLABLES})
     few = {"aa": 200, "bb": 200, "cc": 8}
     rows = [(prose(rng, lang, rng.choice([1, 5, 40, 300])), lang) for lang, n in few.items() for _ in range(n)]
     clean = [prose(rng, lang, n) for lang in few for n in (1, 2, 5, 40, 300) for _ in range(40)]
