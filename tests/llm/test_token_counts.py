@@ -33,13 +33,13 @@ def test_any_edits_give_the_count_of_the_new_text(slow):
     for case in range(120):
         t = text(rng, rng.choice([0, 1, 5, 200]))
         tree = Tree.of(t, counter, leaf_chars=rng.choice([1, 8, 40]))
-        assert tree.total == slow(t) and sum(tree.leaf_chars) == len(t)
+        assert tree.total == slow(t) and tree.chars[1] == len(t)
         for _ in range(12):
             start, removed, new = rng.randrange(len(t) + 3), rng.choice([0, 1, 2, 30, 10**6 if case % 40 == 0 else 3]), rng.choice(["", " ", "x", "\n", text(rng, 3), "'s"])
             want = t[:start] + new + t[min(len(t), start) + removed:]
             t, leaves, chars = tree.edit(t, start, removed, new, counter)
-            assert t == want and tree.total == slow(t) and sum(tree.leaf_chars) == len(t)
-            assert tree.sums[1] == sum(tree.sums[tree.first:]) and leaves <= len(tree.leaf_chars) and chars <= len(t)
+            assert t == want and tree.total == slow(t) and tree.chars[1] == len(t) == sum(c for c, _ in tree.leaves)
+            assert tree.tokens[1] == sum(tree.tokens[tree.first:]) and leaves <= tree.first and chars <= len(t)
 
 
 def test_an_edit_renews_few_leaves(slow):
@@ -50,6 +50,21 @@ def test_an_edit_renews_few_leaves(slow):
     assert leaves <= 3 and chars < 4 * 512 and tree.total == slow(t)
 
 
+def test_many_edits_at_one_place_keep_leaves_small(slow):
+    rng, counter = random.Random(6), PieceCounts(byte_bpe())
+    t = " ".join(rng.choices(["alpha", "beta", "gamma"], k=4000))
+    tree = Tree.of(t, counter)
+    for _ in range(200):
+        t, _, _ = tree.edit(t, 9_000, 0, " some more words here", counter)
+    assert tree.total == slow(t) and max(c for c, _ in tree.leaves) < 2 * 512
+    t, leaves, chars = tree.edit(t, 9_000, 5, "x", counter)
+    assert leaves <= 4 and chars <= 3 * 512 and tree.total == slow(t)
+    for _ in range(300):  # and the way back
+        t, leaves, _ = tree.edit(t, 2_000, 80, "", counter)
+        assert leaves <= 4
+    assert tree.total == slow(t) and tree.first <= 128
+
+
 def test_operator_over_a_table(spark, slow):
     rng = random.Random(5)
     rows = [(i, text(rng, rng.randrange(300)), "x", "y") for i in range(60)] + [(100, None, "x", "y"), (101, "", "x", "y"), (None, "no id", "x", "y"), (5, "again", "x", "y")]
