@@ -2,21 +2,28 @@
 
 Numbers, addresses and dates that are valid are replaced by a keyed permutation of their own format, a Feistel network of alternating
 halves: a card number becomes a card number with a right check digit, a date a date. The same value gives the same pseudonym
-wherever and however it is written, so documents stay linked, and no two values of a kind and length share one.
+wherever and however it is written, so documents stay linked, and no two values of a kind and length share one. The key is the
+caller's: whoever has it can undo the permutation.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, read
 
-ROUNDS, KEY = 8, "a key of your own"
+ROUNDS = 8
+#: The setting that holds the key of the query; its name makes Spark hide the value.
+SECRET = "spark.recon.pseudonyms.secret"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Digits after the country code where a country's numbers all have as many: such a number ends there, whatever follows it.
 _NATIONAL = {8: "45|47|65|852", 9: "31|33|34|41|48|61|351|380|420|971|972", 10: "7|44|52|57|90|91", 11: "86"}
 _EXACT = "|".join([r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}", *(rf"\+(?:{c})(?:[ .-]?\(?\d\)?){{{n - 1}}}[ .-]?\d" for n, c in _NATIONAL.items())])
+#: Country codes, which no other number begins: two digits in these ranges, one for zones 1 and 7, three for all others.
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Patterns by kind, in the order in which they are tried. Letters and digits may not touch a match.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -26,8 +33,10 @@ PATTERNS = {
     "date": r"(?:18|19|20|21)\d\d([-/.])\d\d\1\d\d|\d\d[./]\d\d[./](?:18|19|20|21)\d\d",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
-#: Dates of these years, in days: 286 times 295 of them.
-FIRST_DAY, LAST_DAY, DAY_HALVES = "1873-01-01", "2103-12-31", (286, 295)
+#: Dates of the years that the pattern can hold: 400 years are 189 times 773 days.
+FIRST_DAY, LAST_DAY, DAY_HALVES = "1800-01-01", "2199-12-31", (189, 773)
+#: What a match ends with: no letter or digit behind it, but for a date before a time of day.
+_END = r"(?:(?![A-Za-z0-9])|(?<=\d{4}-\d\d-\d\d)(?=T\d\d:?\d\d))"
 #: Written shapes of cards, which are tried before other groupings; other runs of digits as long as a card's, in few groups.
 SHAPES = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3})$"
 FEW_GROUPS = r"^\d+(?:[ -]\d+){1,4}$"
@@ -136,8 +145,9 @@ def _day(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a valid match of a kind."""
     card = let(digits(m), lambda d: let(F.concat(F.substr(d, F.lit(1), F.lit(1)), feistel_text(F.substr(d, F.lit(2), F.length(d) - 2), key, "card")), lambda x: refilled(m, F.concat(x, check_digit(x)))))
-    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d(?=\d)", 0)
-    phone = let(F.substr(m, F.length(country) + 1, F.length(m)), lambda rest: F.concat(country, refilled(rest, feistel_text(digits(rest), key, "phone"))))
+    # The country code stays. It is read from the digits alone, so that all spellings of a number have one pseudonym.
+    country = F.when(m.startswith("+"), F.regexp_extract(digits(m), f"^(?:{_COUNTRY})", 0)).otherwise(F.lit(""))
+    phone = let(country, lambda c: refilled(m, F.concat(c, feistel_text(F.substr(digits(m), F.length(c) + 1, F.lit(20)), key, "phone"))))
     ssn = let(feistel_numbers(F.substring(m, 5, 2).cast("bigint") - 1, F.substring(m, 8, 4).cast("bigint") - 1, (99, 9999), key, "ssn"),
               lambda s: F.concat_ws("-", F.substring(m, 1, 3), F.lpad((s["l"] + 1).cast("string"), 2, "0"), F.lpad((s["r"] + 1).cast("string"), 4, "0")))
     octet = lambda k: F.element_at(F.split(m, r"\."), k).cast("bigint")
@@ -163,9 +173,9 @@ def found_pattern(cards: Column | None = None) -> Column:
     """Pattern of all kinds for a text that holds these cards, as they are written there. No phone number begins with one of them."""
     first, others = (PATTERNS["email"], PATTERNS["ip"]), (PATTERNS["phone"], PATTERNS["ssn"], PATTERNS["date"])
     if cards is None:
-        return F.lit(r"(?<![A-Za-z0-9])(?:" + "|".join([*first, *others]) + r")(?![A-Za-z0-9])")
+        return F.lit(r"(?<![A-Za-z0-9])(?:" + "|".join([*first, *others]) + ")" + _END)
     start = r"(?<![A-Za-z0-9])(?:" + "|".join(first) + r"|(?!\+(?:\d{1,3}[ .-]?)?(?:"
-    return let(F.array_join(cards, "|"), lambda c: F.concat(F.lit(start), c, F.lit(r")(?![A-Za-z0-9]))(?:" + "|".join(others) + ")|"), c, F.lit(r")(?![A-Za-z0-9])")))
+    return let(F.array_join(cards, "|"), lambda c: F.concat(F.lit(start), c, F.lit(r")(?![A-Za-z0-9]))(?:" + "|".join(others) + ")|"), c, F.lit(")" + _END)))
 
 
 def text_pattern(text: Column) -> Column:
@@ -181,7 +191,7 @@ def text_pattern(text: Column) -> Column:
     return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), let(F.filter(valid_cards(text), lambda c: c.rlike(SHAPES)), both)).otherwise(found_pattern())
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """``struct(text, found array<struct(kind, pseudonym)>)`` of a text: the same but for its valid matches.
 
     The text is cut at its matches and put together again, so only what was matched changes. Texts without a digit or an at sign
@@ -201,7 +211,7 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike("[0-9@]"), done).otherwise(none)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text pseudonymised and a column ``found`` of the kinds and pseudonyms in it, in order.
 
     Defined results: null and empty texts stay as they are; what looks like a number but isn't valid stays; repeated rows are
@@ -211,7 +221,15 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     return done.withColumn(text, F.col("_done.text")).withColumn("found", F.col("_done.found")).drop("_done")
 
 
+def secret(spark: SparkSession) -> str:
+    """The key in the session's setting ``SECRET``. Where there is none the session gets a random one, which nobody else knows: its
+    pseudonyms agree with each other, and not with those of other sessions."""
+    if not spark.conf.get(SECRET, None):
+        spark.conf.set(SECRET, secrets.token_hex(32))
+    return spark.conf.get(SECRET)
+
+
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text, n_found`` and ``kinds`` over the whole table ``documents``."""
-    done = pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """``doc_id, text, n_found`` and ``kinds`` over the whole table ``documents``, with the key of the session."""
+    done = pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark))
     return done.select("doc_id", "text", F.size("found").cast("bigint").alias("n_found"), F.array_join(F.transform("found", lambda f: f["kind"]), ",").alias("kinds"))

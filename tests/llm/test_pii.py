@@ -5,8 +5,9 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from recon.llm.pii import FIRST_DAY, KEY, LAST_DAY, feistel_text, pseudonymise
+from recon.llm.pii import FIRST_DAY, LAST_DAY, SECRET, feistel_text, op7_pii_pseudonyms, pseudonymise, secret
 
+KEY = "the key of these tests"
 SCHEMA = "doc_id bigint, text string, found string, kind string"
 
 
@@ -36,7 +37,7 @@ def slow_feistel(x, kind, key=KEY, rounds=8):
 
 def run(spark, texts, **options):
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
-    rows = sorted(pseudonymise(docs, **options).collect(), key=lambda r: r.doc_id)
+    rows = sorted(pseudonymise(docs, **({"key": KEY} | options)).collect(), key=lambda r: r.doc_id)
     return [r.text for r in rows], [[(f.kind, f.pseudonym) for f in r.found] for r in rows]
 
 
@@ -88,7 +89,42 @@ def test_links_keys_and_table_shape(spark):
     card = texts[2]
     assert texts[0] == texts[1] == f"a {card} b" and texts[3].endswith(texts[0]) and other[0] != texts[0]
     docs = spark.createDataFrame([(1, one, "x", "y")], SCHEMA)
-    assert pseudonymise(docs).columns == docs.columns and pseudonymise(docs.limit(0)).count() == 0
+    assert pseudonymise(docs, KEY).columns == docs.columns and pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+#: Country code, rest of a number.
+PHONES = [("1", "7435553824"), ("7", "4951234567"), ("20", "1001234567"), ("27", "821234567"), ("31", "201234567"), ("33", "123456789"), ("39", "0612345678"), ("44", "2079460958"), ("49", "15112345678"), ("61", "412345678"),
+          ("65", "61234567"), ("81", "312345678"), ("82", "1012345678"), ("86", "13812345678"), ("91", "9812345678"), ("212", "612345678"), ("351", "912345678"), ("358", "401234567"), ("380", "441234567"), ("420", "601123456"), ("852", "21234567"), ("971", "501234567"), ("998", "901234567")]
+
+
+def test_all_spellings_of_a_phone_number_are_linked(spark):
+    spelled = []
+    for code, rest in PHONES:
+        a, b, c = rest[:3], rest[3:6], rest[6:]
+        spelled.append([f"+{code}{rest}", f"+{code} {a} {b} {c}", f"+{code}-{a}-{b}-{c}", f"+{code} {a}.{b}.{c}", f"+{code} ({a}) {b}-{c}"])
+    texts, found = run(spark, [x for xs in spelled for x in xs])
+    assert all([k for k, _ in f] == ["phone"] for f in found), [x for x, f in zip((x for xs in spelled for x in xs), found) if [k for k, _ in f] != ["phone"]]
+    for i, (code, rest) in enumerate(PHONES):
+        new = {"".join(c for c in t if c.isdigit()) for t in texts[5 * i:5 * i + 5]}
+        assert len(new) == 1 and new.pop() == code + slow_feistel(rest, "phone")
+
+
+def test_dates_before_a_time_and_of_all_centuries(spark):
+    texts, found = run(spark, ["2024-01-02", "at 2024-01-02T10:00:05Z", "at 2024-01-02T1000", "2024-01-02Tuesday", "1800-01-01 2199-12-31 1850-06-07"])
+    assert texts[1] == f"at {texts[0]}T10:00:05Z" and texts[2] == f"at {texts[0]}T1000" and texts[3] == "2024-01-02Tuesday"
+    assert [k for k, _ in found[4]] == ["date"] * 3 and len({*texts[4].split(), "1800-01-01", "2199-12-31", "1850-06-07"}) == 6
+
+
+def test_the_query_takes_the_session_s_key(spark):
+    spark.conf.unset(SECRET)
+    one = secret(spark)
+    assert len(one) == 64 and secret(spark) == one
+    spark.conf.set(SECRET, KEY)
+    rows = {r.doc_id: r for r in op7_pii_pseudonyms(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r.text for r in pseudonymise(docs.select("doc_id", "text"), KEY).collect()}
+    assert {i: r.text for i, r in rows.items()} == want and any(r.n_found for r in rows.values())
+    spark.conf.unset(SECRET)
 
 
 @pytest.mark.parametrize("n", [13, 15, 19])
