@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recon.llm.license_scan import TEMPLATES, UNKNOWN, classify, fit, grams, scan, template_ngrams, trigger_pattern, variants
+from recon.llm.license_scan import NONE, PRECISION, TEMPLATES, UNKNOWN, _slots, classify, fit, fitted, grams, paragraphs, probabilities, scan, template_ngrams, train, trigger_pattern, variants
 
 SCHEMA = "doc_id bigint, text string, family string, found string"
 
@@ -41,7 +41,7 @@ def test_families_are_found_and_clean_text_is_not(docs, model):
 
 
 def test_held_out_variants(spark, model):
-    rows = spark.createDataFrame(variants(seed=77, each=6), "want string, t string")
+    rows = spark.createDataFrame(variants(seed=77, each=6), "want string, k int, t string")
     got = rows.select("want", classify(F.col("t"), model, template_ngrams(spark)).alias("c")).select("want", "c.family").collect()
     named = [r for r in got if r.want != "none"]
     right = sum(r.family == r.want for r in named)
@@ -59,3 +59,54 @@ def test_only_paragraphs_with_a_trigger_can_be_licences(spark, docs, model):
 def test_ngrams(spark):
     row = spark.createDataFrame([("The  MIT-license, the MIT",), ("x",), ("",)], "t string").select(grams(F.col("t")).alias("g")).collect()
     assert [sorted(r.g) for r in row] == [sorted(["the", "mit", "license", "the mit", "mit license", "license the"]), ["x"], []]
+
+
+NOTICE = """/*
+ * Copyright (c) 2019 Somebody
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a
+ * copy of this software and associated documentation files (the "Software"),
+ * to deal in the Software without restriction, including without limitation
+ * the rights to use, copy, modify, merge, publish and sell copies.
+ */
+int main() { return 0; }
+# This program is free software: you can redistribute it and/or modify it
+# under the terms of the GNU General Public License as published by the
+# Free Software Foundation, either version 3 of the License.
+x = 1
+"""
+
+
+def test_wrapped_notices_in_comments_are_one_paragraph(spark, model):
+    docs = spark.createDataFrame([(1, NOTICE, "x", "y"), (2, NOTICE.replace("\n", "\r\n"), "x", "y")], SCHEMA)
+    for r in scan(docs, model).collect():
+        assert [f.family for f in r.found if f.family != UNKNOWN] == ["MIT", "GPL"]
+        whole = next(f for f in r.found if f.family == "MIT")
+        assert whole.text.startswith("Permission is hereby") and whole.text.endswith("sell copies.") and whole.similarity > 0.8
+    row = docs.where("doc_id = 1").select(paragraphs(F.col("text")).alias("p")).first()
+    assert len(row.p) == 5 and paragraphs is not None
+
+
+def test_templates_that_were_not_seen(spark):
+    """Models without a fifth of the templates name those by families they have other templates of: precision as calibrated, and most
+    are found as some licence at least."""
+    rows = spark.createDataFrame(variants(each=8), "family string, k int, t string").select("family", "k", grams(F.col("t")).alias("g")).collect()
+    known = [(r.family, r.k, r.g) for r in rows]
+    left = {(f, k) for f, ts in TEMPLATES.items() if len(ts) > 2 for k in (len(ts) - 2,)}
+    model = train([r for r in known if (r[0], r[1]) not in left], [], list(TEMPLATES))
+    held = [r for r in known if (r[0], r[1]) in left]
+    p = probabilities(model, [g for *_, g in held])
+    named = p[:, :-1].max(axis=1) >= model.limit
+    right = p[:, :-1].argmax(axis=1) == [model.families.index(f) for f, *_ in held]
+    assert named.sum() > 20 and (named & right).sum() / named.sum() >= PRECISION - 0.15
+    assert (named | (1 - p[:, -1] > model.other_limit)).mean() > 0.6
+
+
+def test_no_ngram_is_lost_to_another(spark, model):
+    tables = _slots(model)
+    stored = {n: w for names, rows in tables for n, w in zip(names, rows) if n}
+    assert sorted(stored) == sorted(model.vocabulary) and len(tables) > 1
+    texts = [n for names, _ in tables[1:] for n in names if n][:20]
+    for t, r in zip(texts, spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t", F.lit(1)).alias("h")).collect()):
+        assert tables[1][0][r.h % (1 << 16)] == t or len(tables) > 2
+    assert fitted([("a", ["x y"])] * 5 + [(NONE, ["z"])] * 5, [], ["a"], steps=20).families == ["a"]
