@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_root
 
+#: Whether Spark deletes shuffle files at the end of a query.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space that ends a word, as a character class for regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -29,9 +31,15 @@ class Kept:
         self.n = 0
 
     def keep(self, df: DataFrame, **options: str) -> DataFrame:
+        """``df`` as a table. What was shuffled for it is deleted once it is written, not when the driver happens to collect garbage."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.options(**options).parquet(path)
+        path, conf = f"{self.root}/{self.n}", self.spark.conf
+        before = conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            conf.set(CLEAN_UP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.kept_path = path
         return kept

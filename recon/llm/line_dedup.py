@@ -280,14 +280,15 @@ def across(tiles: DataFrame) -> DataFrame:
 
 
 def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:
-    """``node, component`` of the lines that are near-equal to another: the smallest line_id of their component. ``signed``: the
-    lines' ids, keys and marks."""
-    signed = signed.where("keys is not null")
-    keyed = signed.select("line_id", F.explode("keys").alias("key"))
+    """``node, component`` of the lines that are near-equal to another: the smallest line_id of their component. ``signed``: the kept
+    table of the lines' ids, keys and marks, which is dropped when it is no longer read."""
+    once = signed.where("keys is not null").select("line_id", "keys", "marks")
+    keyed = once.select("line_id", F.explode("keys").alias("key"))
     shared = kept.keep(keyed.groupBy("key").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last")).where("first <> last").select("key", "first"))
     members = kept.keep(keyed.join(_side(shared), "key").groupBy("key", "line_id").agg(F.first("first").alias("first")))
     wanted = members.select(F.col("line_id").alias("w")).distinct()
-    marked = kept.keep(signed.join(_side(kept.keep(wanted)), F.col("line_id") == F.col("w")).groupBy("line_id").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks")))
+    marked = kept.keep(once.join(_side(kept.keep(wanted)), F.col("line_id") == F.col("w")).groupBy("line_id").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks")))
+    kept.drop(signed)
 
     pairs = members.where("line_id <> first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     own = marked.select("line_id", "marks")
@@ -337,11 +338,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kept = Kept(spark, "lines")
     lines = lines_of(docs.select("doc_id", "text"))
-    each = kept.keep(signatures(lines))
-    found = _side(line_classes(lines, each.select("line_id", "keys", "marks"), kept))
-    named = each.join(found, F.col("line_id") == F.col("node"), "left").select("doc_id", "text_hash", "line_no", F.coalesce("component", "line_id").alias("class"))
+    # Keys and marks are random numbers: dictionaries of them would be built in vain.
+    each = kept.keep(signatures(lines), **{"parquet.enable.dictionary": "false", "compression": "lz4"})
+    places = kept.keep(each.select("doc_id", "text_hash", "line_no", "line_id"))
+    found = _side(line_classes(lines, each, kept))
+    named = places.join(found, F.col("line_id") == F.col("node"), "left").select("doc_id", "text_hash", "line_no", F.coalesce("component", "line_id").alias("class"))
     named = kept.keep(named)
-    kept.drop(each)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no")
     first = kept.keep(named.groupBy("class").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "at"))
     judged = named.join(_side(first), "class", "left")
