@@ -200,6 +200,13 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def _agree(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs of lines agree in enough of their marks."""
+    mine, theirs = np.ascontiguousarray(one).view(np.uint8), np.ascontiguousarray(two).view(np.uint8)
+    step = max(1, 4096 // max(1, len(theirs)))
+    return np.concatenate([(mine[at:at + step, None] == theirs[None, :]).sum(axis=2) >= AGREE for at in range(0, len(mine), step)])
+
+
 def _open_pairs(one: dict, two: dict, key: int, same: bool) -> np.ndarray:
     """Which pairs of two tiles are in different components, share this bucket first and agree enough in their marks."""
     pairs = one["component"][:, None] != two["component"][None, :]
@@ -209,12 +216,7 @@ def _open_pairs(one: dict, two: dict, key: int, same: bool) -> np.ndarray:
         pairs &= one["keys"][:, band, None] != two["keys"][None, :, band]
     if not pairs.any():
         return pairs
-    mine, theirs = one["marks"].view(np.uint8), two["marks"].view(np.uint8)
-    step = max(1, 4096 // max(1, len(theirs)))
-    for at in range(0, len(mine), step):
-        rows = slice(at, min(len(mine), at + step))
-        pairs[rows] &= (mine[rows, None] == theirs[None, :]).sum(axis=2) >= AGREE
-    return pairs
+    return pairs & _agree(one["marks"], two["marks"])
 
 
 def tile_links(one: dict, two: dict, key: int, same: bool = False) -> list[tuple[int, int]]:
@@ -253,12 +255,12 @@ def tile_links(one: dict, two: dict, key: int, same: bool = False) -> list[tuple
 
 
 def _tiles(column: pa.ListArray) -> list[dict | None]:
-    """The tiles of a column as arrays; None for null."""
+    """The tiles of a column as arrays, by the fields that they have; None for null."""
     size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
     ends, known = np.cumsum(size), column.is_valid().to_numpy(zero_copy_only=False)
     values = dict(zip([f.name for f in column.type.value_type], column.flatten().flatten()))
-    wide = {c: values[c].flatten().to_numpy().reshape(len(values[c]), n) for c, n in (("keys", BANDS), ("marks", MARKED // 8))}
-    flat = {c: values[c].to_numpy() for c in ("line_id", "component")}
+    wide = {c: values[c].flatten().to_numpy().reshape(len(values[c]), n) for c, n in (("keys", BANDS), ("marks", MARKED // 8)) if c in values}
+    flat = {c: values[c].to_numpy() for c in ("line_id", "component") if c in values}
 
     def tile(a: int, z: int) -> dict:
         return {c: v[a:z] for c, v in (flat | wide).items()} | {"line": lambda at: values["line"].take(pa.array(a + at)).to_pylist()}
@@ -266,6 +268,22 @@ def _tiles(column: pa.ListArray) -> list[dict | None]:
     return [tile(z - n, z) if ok else None for n, z, ok in zip(size.tolist(), ends.tolist(), known)]
 
 
+def with_partners(buckets: DataFrame) -> DataFrame:
+    """``key, line_id`` of the lines of ``buckets(key, m array<struct<line_id, marks>>)`` that agree enough with another of their bucket."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines = [], []
+            for key, tile in zip(batch.column(0).to_pylist(), _tiles(batch.column(1))):
+                agree = _agree(tile["marks"], tile["marks"])
+                np.fill_diagonal(agree, False)
+                lines.append(tile["line_id"][agree.any(axis=1)])
+                keys.append(np.full(len(lines[-1]), key, np.int64))
+            flat = lambda xs: pa.array(np.concatenate(xs) if xs else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([flat(keys), flat(lines)], ["key", "line_id"])
+
+    return buckets.select("key", "m").mapInArrow(look, "key bigint, line_id bigint")
+
+
 def across(tiles: DataFrame) -> DataFrame:
     """``a, b``: links between lines of two tiles that are in different components, joining all that such similar pairs join."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +312,12 @@ def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:
     own = marked.select("line_id", "marks")
     pairs = pairs.join(own.toDF("a", "marks_a"), "a").join(own.toDF("b", "marks_b"), "b").where(agreeing(F.col("marks_a"), F.col("marks_b")) >= AGREE)
     pairs = kept.keep(pairs.select("a", "b"))
-    # Beside the pairs, buckets of three lines or more may need texts: those of all lines but the first. Of buckets with the same
-    # such lines the one of the earliest band is enough.
+    # Beside the pairs, the other lines of a bucket may be similar to each other: those that agree with one of them. That is looked up
+    # bucket by bucket up to a tile's size; of larger ones all lines are taken, and compared in tiles below.
     others = members.where("line_id <> first").select("key", "line_id")
-    sets = others.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("line_id").alias("x"), F.bit_xor(F.xxhash64("line_id", F.lit(7))).alias("y")).where("n > 1")
-    rest = kept.keep(others.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")), "key", "left_semi"))
+    sizes = kept.keep(others.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    small = others.join(sizes.where(F.col("n") <= TILE), "key").join(own, "line_id").groupBy("key").agg(F.collect_list(F.struct("line_id", "marks")).alias("m"))
+    rest = kept.keep(with_partners(small).union(others.join(sizes.where(F.col("n") > TILE), "key").select("key", "line_id")))
     needed = kept.keep(pairs.select(F.col("a").alias("w")).union(pairs.select("b")).union(rest.select("line_id")).distinct())
     near = lines.select("line_id", "line").join(_side(needed), F.col("line_id") == F.col("w"), "left_semi")
     texts = kept.keep(near.groupBy("line_id").agg(F.min("line").alias("line")))
