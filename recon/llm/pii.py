@@ -170,12 +170,15 @@ def valid_cards(text: Column) -> Column:
 
 
 def found_pattern(cards: Column | None = None) -> Column:
-    """Pattern of all kinds for a text that holds these cards, as they are written there. No phone number begins with one of them."""
+    """Pattern of all kinds for a text that holds these cards, as they are written there. No phone number begins with one of them that is
+    longer than a phone number can be."""
     first, others = (PATTERNS["email"], PATTERNS["ip"]), (PATTERNS["phone"], PATTERNS["ssn"], PATTERNS["date"])
     if cards is None:
         return F.lit(r"(?<![A-Za-z0-9])(?:" + "|".join([*first, *others]) + ")" + _END)
     start = r"(?<![A-Za-z0-9])(?:" + "|".join(first) + r"|(?!\+(?:\d{1,3}[ .-]?)?(?:"
-    return let(F.array_join(cards, "|"), lambda c: F.concat(F.lit(start), c, F.lit(r")(?![A-Za-z0-9]))(?:" + "|".join(others) + ")|"), c, F.lit(")" + _END)))
+    # Phone numbers have 15 digits at most, so behind a plus only longer cards are cards.
+    long_ = let(F.filter(cards, lambda c: F.length(digits(c)) > 15), lambda cs: F.when(F.size(cs) > 0, F.array_join(cs, "|")).otherwise("(?!)"))
+    return F.concat(F.lit(start), long_, F.lit(r")(?![A-Za-z0-9]))(?:" + "|".join(others) + ")|"), F.array_join(cards, "|"), F.lit(")" + _END))
 
 
 def text_pattern(text: Column) -> Column:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recon.llm.license_scan import NONE, PRECISION, TEMPLATES, UNKNOWN, _slots, classify, fit, fitted, grams, paragraphs, probabilities, scan, template_ngrams, train, trigger_pattern, variants
+from recon.llm.license_scan import NONE, PRECISION, Model, TEMPLATES, UNKNOWN, _slots, classify, fit, fitted, grams, paragraphs, probabilities, scan, template_ngrams, train, trigger_pattern, variants
 
 SCHEMA = "doc_id bigint, text string, family string, found string"
 
@@ -102,11 +103,12 @@ def test_templates_that_were_not_seen(spark):
     assert (named | (1 - p[:, -1] > model.other_limit)).mean() > 0.6
 
 
-def test_no_ngram_is_lost_to_another(spark, model):
-    tables = _slots(model)
+def test_no_ngram_is_lost_to_another(spark):
+    """3,000 n-grams share some of the slots of a table; all are stored, and each is found by the hash of its table."""
+    words = [f"word{k}" for k in range(3000)]
+    tables = _slots(Model(["a"], words, np.arange(6000.0).reshape(3000, 2), np.zeros(2)))
     stored = {n: w for names, rows in tables for n, w in zip(names, rows) if n}
-    assert sorted(stored) == sorted(model.vocabulary) and len(tables) > 1
-    texts = [n for names, _ in tables[1:] for n in names if n][:20]
-    for t, r in zip(texts, spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t", F.lit(1)).alias("h")).collect()):
-        assert tables[1][0][r.h % (1 << 16)] == t or len(tables) > 2
+    assert stored == {w: [2.0 * k, 2.0 * k + 1] for k, w in enumerate(words)} and len(tables) > 1
+    hashes = spark.createDataFrame([(w,) for w in words], "t string").select("t", *[F.pmod(F.xxhash64("t", F.lit(k)), F.lit(1 << 16)).alias(f"h{k}") for k in range(len(tables))]).collect()
+    assert all(any(names[r[f"h{k}"]] == r.t for k, (names, _) in enumerate(tables)) for r in hashes)
     assert fitted([("a", ["x y"])] * 5 + [(NONE, ["z"])] * 5, [], ["a"], steps=20).families == ["a"]
