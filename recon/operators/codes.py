@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import without_markers
+from .findings import finding, union_findings
 
 #: The keys of the dictionaries, by kind.
 SHAPES = {"account": ["code5", "account"], "parent": ["code5", "parent", "name"], "name": ["code5", "name"], "code": ["code5"], "parent_only": ["parent", "name"], "name_only": ["name"]}
@@ -96,3 +97,47 @@ def common_names(rows: DataFrame, k: int = 3) -> DataFrame:
 def unanimous_detail(rows: DataFrame) -> DataFrame:
     """``code7, detail`` where a code always had one detail text."""
     return rows.where("coalesce(detail, '') <> ''").groupBy("code7").agg(F.min("detail").alias("detail"), F.max("detail").alias("_hi")).where("detail = _hi").drop("_hi")
+
+
+def unresolved(resolved: DataFrame, goal: str = "codes") -> DataFrame:
+    """Findings of rows ``resolved(doc_id, project, name, code5, code7, source)`` that the cascade left without a code: one a row, with
+    the reason. Rows that are handed over (``handover``, where there) are none."""
+    rows = resolved.where("code7 is null")
+    rows = rows.where(~F.coalesce("handover", F.lit(False))) if "handover" in rows.columns else rows
+    message = F.concat(F.lit("no code: "), "source", F.when(F.coalesce("code5", F.lit("")) != "", F.concat(F.lit(" ("), "code5", F.lit(")"))).otherwise(""))
+    return union_findings(rows.select(*finding(goal, "review", doc_id=F.col("doc_id"), project=F.col("project"), item=F.col("name"), message=message)))
+
+
+def code_list(known: DataFrame, items: DataFrame) -> DataFrame:
+    """``code7, name`` of all codes that can be chosen: ``known(code7, name)`` with the name of a code that has none borrowed from
+    ``items(code5, account)``, if its first five digits have one account name only. Repeated codes are one, with the first name."""
+    names = items.where("coalesce(account, '') <> ''").groupBy(F.regexp_replace("code5", "-", "").alias("_c")).agg(F.min("account").alias("_lo"), F.max("account").alias("_hi")).where("_lo = _hi and _c <> ''")
+    one = known.where("coalesce(code7, '') <> ''").groupBy("code7").agg(F.min(F.nullif(F.col("name"), F.lit(""))).alias("name"))
+    return one.join(names, F.substring("code7", 1, 5) == F.col("_c"), "left").select("code7", F.coalesce("name", "_lo", F.lit("")).alias("name"))
+
+
+def work_order(decisions: DataFrame) -> DataFrame:
+    """Open decisions first, those with most open rows, then most rows; ties by code."""
+    return decisions.orderBy(F.col("open_rows") == 0, F.desc("open_rows"), F.desc("rows"), "code5")
+
+
+def decision_totals(decisions: DataFrame) -> DataFrame:
+    """One row on :func:`open_decisions`: ``codes, open_codes, rows, settled_rows, split_codes, coded_kinds``; ``coded_kinds`` are the
+    codes with something to decide, those without a code apart."""
+    return decisions.agg(F.count(F.lit(1)).alias("codes"), F.count_if(F.col("open_rows") > 0).alias("open_codes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                         F.coalesce(F.sum(F.col("rows") - F.col("open_rows")), F.lit(0)).alias("settled_rows"), F.count_if("split").alias("split_codes"), F.count_if((F.col("open_rows") > 0) & (F.col("code5") != "")).alias("coded_kinds"))
+
+
+def named_kinds(resolved: DataFrame) -> DataFrame:
+    """One row: how many different names have to be decided among rows without a code (the part of ``parent > name`` that is the name)."""
+    open_ = resolved.where("code7 is null and coalesce(code5, '') = ''")
+    return open_.agg(F.count_distinct(without_markers(F.substring_index("name", " > ", -1))).alias("named_kinds"))
+
+
+def coverage(learned: DataFrame) -> DataFrame:
+    """``kind, keys, unanimous, rows`` of learned dictionaries: how many keys of each kind there are, and how many always had one code."""
+    each = None
+    for kind, cols in SHAPES.items():
+        one = learned.where(F.col("kind") == kind).groupBy(*cols).agg(F.count(F.lit(1)).alias("_codes"), F.sum("n").alias("_rows")).agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("_codes") == 1).alias("unanimous"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows")).select(F.lit(kind).alias("kind"), "keys", "unanimous", "rows")
+        each = one if each is None else each.unionByName(one)
+    return each

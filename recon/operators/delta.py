@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formula import basis_value, delta_value
+from ..functions.formula import basis_value, delta_value, main_value
 from ..functions.numbers import formula_ok, same
 from .findings import finding, union_findings
 from .rollup import check_table_totals
@@ -29,22 +29,26 @@ def classify_rows(rows: DataFrame) -> DataFrame:
     return at.withColumn("group_no", F.when(F.col("_open") == "group", number)).drop("_n", "_open")
 
 
-def line_depths(lines: DataFrame) -> DataFrame:
-    """``lines(GROUP, line_no, glyph)`` with ``depth``: a glyph met before in the group has its depth again and closes deeper ones, a
-    new one is one deeper than the line before. Sequential by nature; a group has some tens of lines."""
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+def line_depths(lines: DataFrame, dots: str = "") -> DataFrame:
+    """``lines(GROUP, line_no, glyph)`` with ``depth``. A dot is of depth 1. Another glyph has the depth that it had before in the group,
+    a new one is one deeper than the line before; either closes what is deeper. A line without a glyph is one deeper than a line with
+    one before it, and beside one without. Sequential by nature; a group has some tens of lines. Null glyphs are none."""
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema if f.name != "depth"}
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, known, depths = pdf.sort_values("line_no"), [], []
-        for glyph in pdf["glyph"]:
-            if glyph in known:
-                del known[known.index(glyph) + 1:]
+        pdf, known, depths, plain = pdf.sort_values("line_no"), {}, [], False
+        for glyph in pdf["glyph"].fillna(""):
+            last = depths[-1] if depths else 0
+            if glyph == "":
+                depth = last if plain else last + 1
             else:
-                known.append(glyph)
-            depths.append(min(len(known), 6))
-        return pdf.assign(depth=depths)
+                depth = 1 if glyph in dots else known.setdefault(glyph, last + 1)
+                known = {g: d for g, d in known.items() if d <= depth}
+            depths.append(depth)
+            plain = glyph == ""
+        return pdf.assign(depth=depths)[[*kinds, "depth"]]
 
-    return lines.groupBy(*GROUP).applyInPandas(walk, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", depth int")
+    return lines.drop("depth").groupBy(*GROUP).applyInPandas(walk, ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", depth int")
 
 
 def bullet_depths(items: DataFrame) -> DataFrame:
@@ -85,7 +89,8 @@ def check_groups(groups: DataFrame) -> DataFrame:
     label = {"doc_id": F.col("doc_id"), "project": F.col("project_no"), "item": F.col("title")}
     identity = groups.where(~same(gap, change) & gap.isNotNull() & change.isNotNull()).select(*finding("delta", "error", message=F.lit("after - before is not the change"), left=gap, right=change, **label))
     own = groups.where(F.col("own").isNotNull() & ~same(F.col("own").cast("double"), change)).select(*finding("delta", "error", message=F.lit("own amount is not the change"), left=F.col("own"), right=change, **label))
-    formula = groups.where(~formula_ok(value, change)).select(*finding("delta", "error", message=F.lit("formula is not the change"), left=value, right=change, **label))
+    aim = F.coalesce(F.col("own").cast("double"), change)
+    formula = groups.where(~formula_ok(value, aim)).select(*finding("delta", "error", message=F.lit("formula is not the amount"), left=value, right=aim, **label))
     idle = groups.where((F.col("kind") == "unreflected") & ~same(change, F.lit(0.0)) & change.isNotNull()).select(*finding("delta", "error", message=F.lit("not reflected, but not zero"), left=change, right=F.lit(0.0), **label))
     return union_findings(identity, own, formula, idle)
 
@@ -114,25 +119,54 @@ def check_tables(groups: DataFrame) -> DataFrame:
     return found.select(*finding("delta tables", "error", doc_id=F.col("doc_id"), project=F.col("project_no"), item=F.col("measure"), message=F.lit("total is not the sum"), left=F.col("written"), right=F.col("summed")))
 
 
-def check_form(rows: DataFrame, depths: int = 6) -> DataFrame:
-    """Findings on a delta load sheet, one a row: ``rows(doc_id, row_no, level, name, code7, basis_before, before, basis, amount, change, leaf)``.
+def check_form(rows: DataFrame, depths: int = 6, totals: DataFrame | None = None) -> DataFrame:
+    """Findings on a delta load sheet, one a row: ``rows(doc_id, row_no, level, name, code7, basis_before, before, basis, amount, change,
+    leaf)`` and, where known, ``indent`` and ``detail``; ``totals(doc_id, before, amount, change)`` is what the sheet says in all.
 
-    Basis texts are the amounts, after less before is the change, bottom rows have a code. Parents are the sums of their children in
-    three measures, of which the first that differs is named; rows above a broken one are silent.
+    The level is half the indent and one; basis texts are the amounts (one that can't be computed is skipped), after less before is the
+    change; bottom rows with an amount have a code, a detail text and a basis. Parents are the sums of their children in three measures,
+    of which the first that differs is named; rows above one whose amounts are broken are silent. First-level rows add up to the
+    totals. Null amounts count as 0 in sums; an empty table gives none.
     """
-    wrong = [F.when(~formula_ok(basis_value(F.col("basis_before")), F.col("before").cast("double")), "basis before"), F.when(~formula_ok(basis_value(F.col("basis")), F.col("amount").cast("double")), "basis"),
-             F.when(~same(F.coalesce("amount", F.lit(0)) - F.coalesce("before", F.lit(0)), F.coalesce("change", F.lit(0))), "change"), F.when(F.col("leaf") & (F.coalesce("code7", F.lit("")) == ""), "no code")]
-    tree = parents(rows.withColumnsRenamed({"row_no": "pos", "level": "depth"}), ["doc_id"], depths=depths)
-    problems = tree.withColumn("_p", F.filter(F.array(*wrong), lambda x: x.isNotNull()))
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    shown = F.floor(F.col("indent") / 2) + 1 if "indent" in rows.columns else F.col("level")
+    said = [("code7", "code"), ("detail", "detail"), ("basis", "basis")] if "detail" in rows.columns else [("code7", "code")]
+    bottom = F.col("leaf") & ((zero("amount") != 0) | (zero("before") != 0))
+    missing = F.filter(F.array(*[F.when(F.coalesce(c, F.lit("")) == "", word) for c, word in said]), lambda w: w.isNotNull())
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    values = {"before": F.col("_value_before"), "amount": F.col("_value")}
+    amounts = [F.when(~formula_ok(values["before"], F.col("before").cast("double")), "basis before"), F.when(~formula_ok(values["amount"], F.col("amount").cast("double")), "basis"),
+               F.when(F.col("change").isNotNull() & ~same(zero("amount") - zero("before"), zero("change")), "change")]
+    others = [F.when(F.col("level") != shown, "level"), F.when(bottom & (F.size(missing) > 0), F.concat(F.lit("no "), F.array_join(missing, ", no ")))]
+    # Values are columns of their own, so that each text is computed once.
+    valued = rows.withColumns({"_value_before": basis_value(text("basis_before")), "_value": basis_value(text("basis"))})
+    tree = parents(valued.withColumnsRenamed({"row_no": "pos", "level": "depth"}).withColumn("level", F.col("depth")), ["doc_id"], depths=depths)
+    problems = tree.withColumn("_a", F.filter(F.array(*amounts), lambda x: x.isNotNull())).withColumn("_p", F.concat("_a", F.filter(F.array(*others), lambda x: x.isNotNull())))
     own = problems.where(F.size("_p") > 0)
-    sums = None
-    for m in ("before", "amount", "change"):
-        s = child_sums(tree, ["doc_id"], m).select("doc_id", F.col("parent").alias("pos"), F.col("direct").alias(f"_{m}"))
-        sums = s if sums is None else sums.join(s, ["doc_id", "pos"])
-    off = F.coalesce(*[F.when(~same(F.coalesce(m, F.lit(0)).cast("double"), F.col(f"_{m}").cast("double")), m) for m in ("before", "amount", "change")])
+    blind = problems.select("doc_id", "pos", "name", F.explode(F.filter(F.array(*[F.when(text(c).isNotNull() & F.col(m).isNotNull() & values[m].isNull(), F.lit(c)) for c, m in (("basis_before", "before"), ("basis", "amount"))]), lambda x: x.isNotNull())).alias("_c"))
+    # Children and parents are in one document; sums of all measures are one grouping.
+    sums = tree.where("parent_depth = depth - 1").groupBy("doc_id", F.col("parent").alias("pos")).agg(*[F.sum(zero(m)).alias(f"_{m}") for m in ("before", "amount", "change")])
+    off = F.coalesce(*[F.when(~same(zero(m), F.col(f"_{m}")), m) for m in ("before", "amount", "change")])
     broken = tree.join(sums, ["doc_id", "pos"]).withColumn("_off", off).where("_off is not null")
-    above = broken.select("doc_id", "ancestors").union(own.select("doc_id", "ancestors")).select("doc_id", F.explode("ancestors").alias("pos")).distinct()
+    above = broken.select("doc_id", "ancestors").union(own.where(F.size("_a") > 0).select("doc_id", "ancestors")).select("doc_id", F.explode("ancestors").alias("pos")).distinct()
     deepest = broken.join(above, ["doc_id", "pos"], "left_anti")
-    a = own.select(*finding("form", "error", doc_id=F.col("doc_id"), project=F.col("pos"), item=F.col("name"), message=F.array_join("_p", ", ")))
-    b = deepest.select(*finding("form", "error", doc_id=F.col("doc_id"), project=F.col("pos"), item=F.col("name"), message=F.concat(F.lit("not the sum of its rows: "), "_off")))
-    return union_findings(a, b)
+    who = {"doc_id": F.col("doc_id"), "project": F.col("pos"), "item": F.col("name")}
+    found = [own.select(*finding("form", "error", message=F.array_join("_p", ", "), **who)), deepest.select(*finding("form", "error", message=F.concat(F.lit("not the sum of its rows: "), "_off"), **who)),
+             blind.select(*finding("form", "skipped", message=F.concat(F.lit("can't be computed: "), "_c"), **who))]
+    if totals is not None:
+        tops = tree.where("depth = 1").groupBy("doc_id").agg(*[F.sum(zero(m)).alias(f"_{m}") for m in ("before", "amount", "change")])
+        each = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("is"), F.col(f"_{m}").alias("sum")) for m in ("before", "amount", "change")]), lambda d: d["is"].isNotNull() & ~same(d["is"], d["sum"]))
+        found.append(totals.join(tops, "doc_id").select("doc_id", F.explode(each).alias("d")).select(*finding("form", "error", doc_id=F.col("doc_id"), item=F.col("d.m"), message=F.lit("total is not the sum of the projects"), left=F.col("d.is"), right=F.col("d.sum"))))
+    return union_findings(*found)
+
+
+def check_entered(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Findings on a main load sheet after entry: ``rows(doc_id, row_no, level, indent, name, basis, amount, code7)``. The level is half
+    the indent and one, the basis is the amount, and what has a basis has a code; what is null isn't compared."""
+    shown, value = F.floor(F.col("indent") / 2) + 1, main_value(F.col("basis"))
+    has = F.coalesce(F.col("basis") != "", F.lit(False))
+    one = lambda when, message, left, right: F.when(when, F.struct(F.lit(message).alias("message"), left.cast("double").alias("left"), right.cast("double").alias("right")))
+    checks = [one(F.col("level") != shown, "level is not the indent's", F.col("level"), shown), one(has & (F.abs(value - F.col("amount")) > tolerance), "basis is not the amount", F.col("amount"), value),
+              one(has & (F.coalesce("code7", F.lit("")) == ""), "no code", F.lit(None), F.lit(None))]
+    found = rows.select("doc_id", "row_no", "name", F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("c"))
+    return union_findings(found.select(*finding("entered", "error", doc_id=F.col("doc_id"), project=F.col("row_no"), item=F.col("name"), message=F.col("c.message"), left=F.col("c.left"), right=F.col("c.right"))))

@@ -32,6 +32,23 @@ def name_join(left: DataFrame, right: DataFrame, name: str, right_id: str, right
     return out.withColumn("match", F.coalesce(*[f"_m{k}" for k in range(n)])).withColumn("tier", tier).drop(*[f"_m{k}" for k in range(n)])
 
 
+def find_row(left: DataFrame, rows: DataFrame, name: str, row_id: str, row_name: str, idle: str) -> DataFrame:
+    """``left`` with ``match`` and ``tier``: the ledger row of a name. Of rows that are written the same the first counts; else the only
+    one that is the same once squeezed, or without status tags too; of several such rows only those count that aren't ``idle``.
+
+    Each tier is one grouping by its key, so a name that very many rows have is one row. Null names match nothing.
+    """
+    r = rows.select(F.col(row_id).alias("_id"), F.col(row_name).alias("_name"), F.coalesce(idle, F.lit(False)).alias("_idle"))
+    out = left
+    for k, tier in enumerate((strip, squeeze, match_key)):
+        n, busy = F.count(F.lit(1)), F.count_if(~F.col("_idle"))
+        only = F.min("_id") if k == 0 else F.when(n == 1, F.min("_id")).when(busy == 1, F.min(F.when(~F.col("_idle"), F.col("_id"))))
+        side = r.groupBy(tier(F.col("_name")).alias(f"_k{k}")).agg(only.alias(f"_m{k}"))
+        out = out.withColumn("_own", tier(F.col(name))).join(side, F.col("_own") == F.col(f"_k{k}"), "left").drop("_own", f"_k{k}")
+    tier = F.coalesce(*[F.when(F.col(f"_m{k}").isNotNull(), k + 1) for k in range(3)])
+    return out.withColumn("match", F.coalesce("_m0", "_m1", "_m2")).withColumn("tier", tier).drop("_m0", "_m1", "_m2")
+
+
 def amount_join(left: DataFrame, right: DataFrame, left_id: str, left_amount: str, right_id: str, right_amount: str, tolerance: float = 1.0) -> DataFrame:
     """``left_id, right_id`` where exactly one right row is within the tolerance of the left amount.
 
@@ -85,23 +102,35 @@ def diff_one_to_one(made: DataFrame, got: DataFrame, keys: list[str], code: str)
 def multiset_gap(left: DataFrame, right: DataFrame, amount: str | None = None, tolerance: float = 0.5) -> DataFrame:
     """Rows that one side has more often than the other: the columns, and ``side``.
 
-    With ``amount`` rows are equal if their other columns are and their amounts, in order of size, are nearer than the tolerance:
-    rows that are equal in full answer each other first, what is left is paired by place among the rows of its key.
+    With ``amount`` rows are equal if their other columns are and their amounts nearer than the tolerance, one for one: rows that are
+    equal in full answer each other first, then by place those of one rounded amount, then those of one amount rounded down. Nulls
+    equal nothing but nulls.
     """
     lost, more = left.exceptAll(right), right.exceptAll(left)
     if amount:
         keys = [c for c in left.columns if c != amount]
+        for cell in (F.bround(amount), F.floor(amount)):
+            lost, more = _unpaired(lost, more, keys, amount, cell, tolerance)
+    return lost.withColumn("side", F.lit("left")).unionByName(more.withColumn("side", F.lit("right")))
 
-        def placed(df: DataFrame, n: str) -> DataFrame:
-            return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(amount))).withColumn(n, F.col(amount)).drop(amount)
 
-        a, b = placed(lost, "_x"), placed(more, "_y")
-        on = reduce(lambda p, q: p & q, [a[c].eqNullSafe(b[c]) for c in [*keys, "_i"]])
-        both = a.join(b, on, "full_outer").where(~F.coalesce(F.abs(F.col("_x") - F.col("_y")) < tolerance, F.lit(False)))
-        mine = both.where(a["_i"].isNotNull()).select(*[a[c] for c in keys], F.col("_x").alias(amount))
-        theirs = both.where(b["_i"].isNotNull()).select(*[b[c] for c in keys], F.col("_y").alias(amount))
-        lost, more = mine.select(*left.columns), theirs.select(*left.columns)
-    return lost.withColumn("side", F.lit("left")).unionByName(more.withColumn("side", F.lit("right")))
+def _unpaired(lost: DataFrame, more: DataFrame, keys: list[str], amount: str, cell: Column, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the pairs of rows that have the same place among those of their keys and cell and are near."""
+    n = len(keys)
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        numbered = df.withColumn("_c", cell).withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(amount)))
+        return numbered.select(*[F.col(c).alias(f"{side}{k}") for k, c in enumerate([*keys, "_c", "_i", amount])])
+
+    on = reduce(lambda p, q: p & q, [F.col(f"_a{k}").eqNullSafe(F.col(f"_b{k}")) for k in range(n + 2)])
+    near = F.coalesce(F.abs(F.col(f"_a{n + 2}") - F.col(f"_b{n + 2}")) < tolerance, F.lit(False))
+    both = placed(lost, "_a").join(placed(more, "_b"), on, "full_outer").where(~near)
+
+    def side(s: str) -> DataFrame:
+        named = {c: F.col(f"{s}{k if k < n else n + 2}").alias(c) for k, c in enumerate([*keys, amount])}
+        return both.where(F.col(f"{s}{n + 1}").isNotNull()).select(*[named[c] for c in lost.columns])
+
+    return side("_a"), side("_b")
 
 
 def families(one: DataFrame, two: DataFrame, keys: list[str], amount: str, tolerance: float = 1.0) -> DataFrame:

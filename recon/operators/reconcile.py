@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import match_key, squeeze, without_markers
 from ..functions.numbers import same
 from .findings import finding, union_findings
-from .match import amount_join, name_join, nearest_candidate
+from .tree import parents
+from .match import amount_join, find_row, greedy_amounts, multiset_gap, name_join, nearest_candidate
 
 TIERS = [without_markers, squeeze]
 
@@ -68,8 +71,8 @@ def compare_delta(projects: DataFrame, ledger: DataFrame, summary: DataFrame, go
     that neither a page nor, under a name that holds its own, the summary has. A page that holds a part of what summary and ledger
     agree on is right.
     """
-    led = ledger.where("not unplanned").select(F.col("row_no").alias("_id"), F.col("name").alias("_ln"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
-    hit = name_join(projects, led, "name", "_id", "_ln").join(led, F.col("match") == led["_id"], "left")
+    led = ledger.select(F.col("row_no").alias("_id"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
+    hit = find_row(projects, ledger, "name", "row_no", "name", "unplanned").join(led, F.col("match") == led["_id"], "left")
     who = {"doc_id": F.col("doc_id"), "project": F.col("name")}
     gone = hit.where(F.col("match").isNull() & _neq(F.col("change"), F.lit(0))).select(*finding(goal, "error", message=F.lit("not in the ledger"), left=F.col("change"), **who))
     change = hit.where(F.col("match").isNotNull() & _neq(F.col("change"), F.col("_lc"))).select(*finding(goal, "error", message=F.lit("change differs from the ledger"), left=F.col("change"), right=F.col("_lc"), **who))
@@ -84,6 +87,92 @@ def compare_delta(projects: DataFrame, ledger: DataFrame, summary: DataFrame, go
     return union_findings(gone, change, before, lone)
 
 
+def agency_totals(total: DataFrame, ledger_total: DataFrame, goal: str = "delta ledger") -> DataFrame:
+    """Findings where the total of the summary table isn't the agency's in the ledger: both ``(change, before)`` and ``doc_id`` of the
+    document. A missing side is no finding."""
+    both = total.select("doc_id", "change", "before").join(ledger_total.select("doc_id", F.col("change").alias("_c"), F.col("before").alias("_b")), "doc_id")
+    off = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("mine"), F.col(t).cast("double").alias("theirs")) for m, t in (("change", "_c"), ("before", "_b"))]), lambda d: d["mine"].isNotNull() & ~same(d["mine"], d["theirs"]))
+    return union_findings(both.select("doc_id", F.explode(off).alias("d")).select(*finding(goal, "error", doc_id=F.col("doc_id"), item=F.col("d.m"), message=F.lit("total differs from the agency's"), left=F.col("d.mine"), right=F.col("d.theirs"))))
+
+
+def unplanned(headlines: Column, change: Column) -> Column:
+    """Whether a ledger row is not touched in this round: it has no headlines and no change."""
+    return (F.coalesce(F.size(headlines), F.lit(0)) <= 0) & same(change.cast("double"), F.lit(0.0))
+
+
+def pieces(headlines: Column) -> Column:
+    """The single amounts of a ledger row ``array<struct<label, amount, details array<struct<label, amount>>>>``: those of a headline's
+    details, or its own if no detail has one."""
+    def of(h: Column) -> Column:
+        details = F.filter(F.transform(F.coalesce(h["details"], F.array().cast("array<struct<label:string,amount:double>>")), lambda d: d["amount"]), lambda x: x.isNotNull())
+        return F.when(F.size(details) > 0, details).when(h["amount"].isNotNull(), F.array(h["amount"])).otherwise(F.array().cast("array<double>"))
+
+    return F.flatten(F.transform(headlines, of))
+
+
+def differing_pieces(groups: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``key, amount, side``: amounts of a page's groups ``groups(key, amount)`` and of its ledger row ``ledger(key, amount)`` that the
+    other side lacks, one for one and nearer than a half. Zeros and nulls are no pieces."""
+    some = lambda df: df.select("key", F.col("amount").cast("double").alias("amount")).where("abs(amount) >= 0.5")
+    return multiset_gap(some(groups), some(ledger), "amount")
+
+
+def compare_form(form: DataFrame, projects: DataFrame | None, ledger: DataFrame | None, groups: DataFrame | None = None, goal: str = "delta form") -> DataFrame:
+    """Findings of a downloaded delta load sheet against narrative and ledger.
+
+    ``form(doc_id, row_no, depth, name, before, after, change)``; its first-level rows are projects. ``projects(project_no, name, before,
+    after, change)``, ``ledger(row_no, name, before, change, unplanned)``, ``groups(project_no, group_no, title, before, after, change)``.
+    A project that the other side lacks or whose amounts differ is an error; where the change differs from the narrative's, nothing
+    else of that project is told; amounts before and after may differ where the form's is the ledger's (a page tells a part of it).
+    Each group with a change must be a row of its project with that change, used once, one with all amounts alike first.
+    Null amounts of the form count as 0.
+    """
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    tree = parents(form.withColumn("pos", F.col("row_no")), ["doc_id"])
+    tree = tree.select("doc_id", "pos", "depth", "name", *[zero(c).alias(c) for c in ("before", "after", "change")], F.coalesce(F.get("ancestors", F.lit(0)), "pos").alias("top"))
+    tops = tree.where("depth = 1")
+    who = {"doc_id": F.col("doc_id"), "project": F.col("name")}
+    reports = []
+    if ledger is not None:
+        led = ledger.select(F.col("row_no").alias("_id"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
+        tops = find_row(tops, ledger, "name", "row_no", "name", "unplanned").withColumnRenamed("match", "_row").drop("tier").join(led, F.col("_row") == F.col("_id"), "left").drop("_id")
+        reports.append(tops.where("_row is null").select(*finding(goal, "error", message=F.lit("not in the ledger"), **who)))
+        for c, other in (("change", "_lc"), ("before", "_lb")):
+            off = tops.where(F.col("_row").isNotNull() & ~same(F.col(c), zero(other)))
+            reports.append(off.select(*finding(goal, "error", message=F.lit(f"{c} differs from the ledger"), left=F.col(c), right=F.col(other), **who)))
+    if projects is not None:
+        partial = F.col("_row").isNotNull() & same(F.col("before"), zero("_lb")) if ledger is not None else F.lit(False)
+        pages = projects.groupBy(match_key(F.col("name")).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.col("project_no"), *[F.col(c).cast("double").alias(c) for c in ("before", "after", "change")])).alias("_p")).where("_n = 1")
+        met = tops.withColumn("_mk", match_key(F.col("name"))).join(pages, F.col("_mk") == F.col("_k"), "left")
+        reports.append(met.where("_p is null").select(*finding(goal, "error", message=F.lit("not in the narrative"), **who)))
+        wrong = _neq(F.col("_p.change"), F.col("change"))
+        reports.append(met.where(wrong).select(*finding(goal, "error", message=F.lit("change differs from the narrative"), left=F.col("change"), right=F.col("_p.change"), **who)))
+        right = met.where(F.col("_p").isNotNull() & ~wrong)
+        for c in ("before", "after"):
+            reports.append(right.where(_neq(F.col(f"_p.{c}"), F.col(c)) & ~partial).select(*finding(goal, "error", message=F.lit(f"{c} differs from the narrative"), left=F.col(c), right=F.col(f"_p.{c}"), **who)))
+        if groups is not None:
+            own = right.select("doc_id", F.col("pos").alias("top"), "name", F.col("_p.project_no").alias("project_no"))
+            need = groups.where("abs(change) >= 0.5").select("project_no", F.col("group_no").alias("pos"), "title", *[F.col(c).cast("double").alias(c) for c in ("before", "after", "change")]).join(own, "project_no")
+            have = tree.where("pos <> top").select("doc_id", "top", "pos", "before", "after", "change")
+            used = greedy_amounts(need, have, ["doc_id", "top"], "change", ["before", "after"])
+            lost = need.join(used, ["doc_id", "top", "pos"], "left_anti")
+            reports.append(lost.select(*finding(goal, "error", item=F.col("title"), message=F.lit("no row of the form has this change"), left=F.col("change"), **who)))
+    return union_findings(*reports)
+
+
+# Fixed value: words of projects that a ledger holds together with others.
+BUNDLED_WORDS = ("총액배분", "재원배분", "경상운영비")
+
+
+def bundled(projects: DataFrame) -> DataFrame:
+    """``projects(name, …)`` with ``bundled``: the ledger has no row of their own for those that are handed over, have no number, were
+    split or have parts (``handover, unnumbered, split, parts``, where there), or say so in their name."""
+    flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("handover", "unnumbered", "split") if c in projects.columns]
+    flags += [F.coalesce(F.size("parts") > 0, F.lit(False))] if "parts" in projects.columns else []
+    named = [F.coalesce(F.col("name").contains(w), F.lit(False)) for w in BUNDLED_WORDS]
+    return projects.withColumn("bundled", reduce(lambda a, b: a | b, [*flags, *named]))
+
+
 def compare_summary(projects: DataFrame, summary: DataFrame, goal: str = "delta summary") -> DataFrame:
     """Findings of pages against the summary table, one a page: by number if the name agrees, else by name, else by number;
     ``projects(doc_id, number, name, change, after, before, bundled)``, ``summary(number, name, change, after, before)``. A page whose

@@ -13,15 +13,20 @@ BOOK = Book()
 
 @BOOK.add("""
 WITH p AS (SELECT c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END AS name, c_acctbal AS v, c_custkey % 7 = 0 AS split FROM customer),
-l AS (SELECT c_custkey, c_name AS ln, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 40 ELSE 0 END AS la FROM customer WHERE c_custkey % 11 <> 4)
-SELECT p.name AS project, CASE WHEN l.ln IS NULL THEN 'not in the ledger' ELSE 'differs from the ledger' END AS message, CASE WHEN l.ln IS NOT NULL AND split THEN 'review' ELSE 'error' END AS severity FROM p LEFT JOIN l USING (c_custkey) WHERE l.ln IS NULL OR abs(la - v) > 1""")
+l AS (SELECT c_custkey, c_name AS ln, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 40 ELSE 0 END AS la FROM customer WHERE c_custkey % 11 <> 4),
+f AS (SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 17 = 0 THEN 60 ELSE 0 END AS fa FROM customer WHERE c_custkey % 13 <> 5)
+SELECT 'z' || c_custkey AS project, 'only in the load sheet' AS message, 'error' AS severity FROM customer WHERE c_custkey % 97 = 1
+UNION ALL SELECT p.name, CASE WHEN fa IS NULL THEN 'not in the load sheet' ELSE 'differs from the load sheet' END, CASE WHEN fa IS NOT NULL AND split THEN 'review' ELSE 'error' END FROM p LEFT JOIN f USING (c_custkey) WHERE c_custkey % 6 <> 0 AND (fa IS NULL OR abs(fa - v) > 1)
+UNION ALL SELECT p.name AS project, CASE WHEN l.ln IS NULL THEN 'not in the ledger' ELSE 'differs from the ledger' END AS message, CASE WHEN l.ln IS NOT NULL AND split THEN 'review' ELSE 'error' END AS severity FROM p LEFT JOIN l USING (c_custkey) WHERE l.ln IS NULL OR abs(la - v) > 1""")
 def three_way_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' balances as a narrative against a ledger that lacks some of them and differs for others."""
+    """Customers' balances as a narrative against a ledger and a load sheet that lack some of them and differ for others; those handed
+    over aren't entered."""
     c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
     cand = F.array(F.struct(F.lit("balance").alias("label"), F.col("c_acctbal").alias("value")))
-    projects = c.select(F.lit("d").alias("doc_id"), k.alias("project_no"), F.concat("c_name", F.when(k % 3 == 0, F.lit(" ")).otherwise("")).alias("name"), cand.alias("candidates"), (k % 7 == 0).alias("split"), F.lit(False).alias("restarted"), F.lit(False).alias("bundled"), F.lit(False).alias("handover"))
+    projects = c.select(F.lit("d").alias("doc_id"), k.alias("project_no"), F.concat("c_name", F.when(k % 3 == 0, F.lit(" ")).otherwise("")).alias("name"), cand.alias("candidates"), (k % 7 == 0).alias("split"), F.lit(False).alias("restarted"), F.lit(False).alias("bundled"), (k % 6 == 0).alias("handover"))
     ledger = c.where(k % 11 != 4).select(F.col("c_name").alias("name"), (F.col("c_acctbal") + F.when(k % 5 == 0, 40).otherwise(0)).alias("amount"))
-    return reconcile.compare_totals(projects, ledger, None, "totals").select("project", "message", "severity")
+    form = c.where(k % 13 != 5).select(F.col("c_name").alias("name"), (F.col("c_acctbal") + F.when(k % 17 == 0, 60).otherwise(0)).alias("amount")).union(c.where(k % 97 == 1).select(F.concat(F.lit("z"), k.cast("string")), F.lit(1.0)))
+    return reconcile.compare_totals(projects, ledger, form, "totals").select("project", "message", "severity")
 
 
 @BOOK.add("""

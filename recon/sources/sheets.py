@@ -87,3 +87,46 @@ def table_data(cells: DataFrame, header_row: int, end_row: int, note: int = 60)
     rows = body.groupBy(*SHEET, "row_no").agg(F.count(F.lit(1)).alias("_n"), F.max("value").alias("_v"))
     noted = (F.col("_n") == 1) & ((F.length("_v") > note) | F.col("_v").rlike("참고|주의|비고|합계|※"))
     return body.join(rows.where(~noted).select(*SHEET, "row_no"), [*SHEET, "row_no"], "left_semi")
+
+
+# Words by which the columns of load sheets are found.
+FORM_ROLES = {"level": ["레벨"], "seq": ["순번"], "label": ["사업항목"], "code7": ["원가통계"], "detail": ["상세내역"], "basis": ["산출기초"], "amount": ["금액"]}
+DELTA_ROLES = {"level": ["레벨"], "seq": ["순번"], "label": ["사업항목"], "code7": ["원가통계"], "detail": ["상세내역"], "basis_before": ["기정", "산출기초"], "before": ["기정", "금액"], "basis": ["최종요구", "산출기초"], "amount": ["최종요구", "금액"], "change": ["추경요구"]}
+BALANCE_ROLES = {"label": ["사업항목"], "code": ["원가통계비목"], "basis": ["산출기초"]}
+GRAND_TOTAL, OUTLINE = "총계", r"^\s*(?:\(?(?:[0-9]{1,3}|[가-힣])[.)]\s*)+"
+
+
+def number(value: Column) -> Column:
+    """A number as a sheet writes it; null for other text."""
+    return F.replace(F.trim(value), F.lit(","), F.lit("")).try_cast("double")
+
+
+def load_sheet(cells: DataFrame, rules: dict[str, list[str]] | None = None, header_rows: int = 2) -> DataFrame:
+    """Rows of a load sheet, of a delta one with ``rules=DELTA_ROLES``: the roles' columns, numbers as such, and ``name`` (the label without
+    outline marks), ``indent``, ``depth``, ``is_total`` for the row of the grand total. Rows without a label go."""
+    rules = rules or FORM_ROLES
+    rows = by_role(cells, rules, header_rows).where("trim(coalesce(label, '')) <> ''")
+    numbers = {c: number(F.col(c)) for c in ("level", "seq", "before", "amount", "change") if c in rules}
+    indent = F.length("label") - F.length(F.ltrim("label"))
+    named = rows.withColumns(numbers).withColumns({"indent": indent, "depth": (F.floor(indent / 2) + 1).cast("int"), "name": F.trim(F.regexp_replace("label", OUTLINE, "")), "is_total": F.trim("label") == GRAND_TOTAL})
+    texts = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("code7", "detail", "basis", "basis_before") if c in rules}
+    return named.withColumns(texts | {c: F.col(c).cast("int") for c in ("level", "seq") if c in rules})
+
+
+def grand_total(rows: DataFrame) -> DataFrame:
+    """``doc_id, sheet, amount`` of the first row of the grand total in each load sheet."""
+    return rows.where("is_total").groupBy(*SHEET).agg(F.min_by("amount", "row_no").alias("amount"))
+
+
+def balance_sheet(cells: DataFrame) -> DataFrame:
+    """Rows of a budget balance: ``doc_id, sheet, row_no, name, indent, depth, code7, account, basis``; the code's cell is
+    ``[seven digits] account``, the hierarchy the indent. Rows without a name go; other cells of codes give no code."""
+    rows = by_role(cells, BALANCE_ROLES, 1).where("trim(coalesce(label, '')) <> ''")
+    indent, cell = F.length("label") - F.length(F.ltrim("label")), F.trim(F.coalesce("code", F.lit("")))
+    return rows.select(*SHEET, "row_no", F.trim("label").alias("name"), indent.alias("indent"), (F.floor(indent / 2) + 1).cast("int").alias("depth"), F.regexp_extract(cell, r"^\[([0-9]{7})\]\s*(.*)$", 1).alias("code7"),
+                       F.trim(F.regexp_extract(cell, r"^\[([0-9]{7})\]\s*(.*)$", 2)).alias("account"), F.trim(F.coalesce("basis", F.lit(""))).alias("basis"))
+
+
+def adjustments(rows: DataFrame) -> DataFrame:
+    """``name, adjust`` of ledger rows ``(name, item, program, adjust)`` that were adjusted, added up by name; rows of agencies go."""
+    return ledger(rows).where("coalesce(adjust, 0) <> 0 and coalesce(name, '') <> ''").groupBy("name").agg(F.sum("adjust").alias("adjust")).where("adjust <> 0")

@@ -18,7 +18,7 @@ def groups(spark, *changes):
 
 def test_sound_groups_are_silent_and_each_error_is_found(spark):
     assert delta.check_groups(groups(spark)).count() == 0 and delta.check_tables(groups(spark)).count() == 0
-    for change, message in [((1, 2, 101), "after - before is not the change"), ((1, 6, 41), "own amount is not the change"), ((1, 7, "41천원×1회"), "formula is not the change"), ((3, 5, 1), "not reflected, but not zero")]:
+    for change, message in [((1, 2, 101), "after - before is not the change"), ((1, 6, 41), "own amount is not the change"), ((1, 7, "41천원×1회"), "formula is not the amount"), ((3, 5, 1), "not reflected, but not zero")]:
         assert message in [r.message for r in delta.check_groups(groups(spark, change)).collect()]
     assert [r.item for r in delta.check_tables(groups(spark, (9, 3, 96))).collect()] == ["before"]
     assert delta.check_tables(groups(spark, (9, 3, 96), (2, 3, None))).count() == 0
