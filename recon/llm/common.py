@@ -60,6 +60,41 @@ def slices(batch: pa.RecordBatch, room: int, *texts: int) -> Iterator[pa.RecordB
         yield batch.slice(at, end - at)
 
 
+class Places:
+    """Where a 64-bit number is in an array of distinct ones: a table of places, open to the next free one, looked up for many at once."""
+
+    def __init__(self, values: np.ndarray):
+        self.mask = np.uint64(max(2, 1 << (2 * len(values)).bit_length()) - 1)
+        self.keys, self.at = np.zeros(int(self.mask) + 1, np.uint64), np.full(int(self.mask) + 1, -1, np.int32)
+        left, values = np.arange(len(values)), values.astype(np.uint64)
+        slot = self._slot(values)
+        while len(left):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]
+            self.keys[slot[free]] = values[left[free]]
+            missed = self.at[slot] != left
+            left = left[missed]
+            slot = (slot[missed] + np.uint64(1)) & self.mask
+        # Of two that met at a free place the last one written holds it, and its key has to be its own.
+        held = self.at >= 0
+        self.keys[held] = values[self.at[held]]
+
+    def _slot(self, values: np.ndarray) -> np.ndarray:
+        return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) & self.mask
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for those that are not there."""
+        out, left, values = np.full(len(values), -1, np.int64), np.arange(len(values)), values.astype(np.uint64, copy=False)
+        slot = self._slot(values)
+        while len(left):
+            at = self.at[slot]
+            hit = (at >= 0) & (self.keys[slot] == values[left])
+            out[left[hit]] = at[hit]
+            on = (at >= 0) & ~hit
+            left, slot = left[on], (slot[on] + np.uint64(1)) & self.mask
+        return out
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
