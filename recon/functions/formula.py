@@ -1,7 +1,7 @@
 """Values of text formulas in thousand-won, as native expressions.
 
-A text is cut into terms and factors; each factor is parsed once, into a struct of its sign, number, divisor and unit, and the structs
-are folded. A factor that isn't one makes null.
+A text is cut into tokens once: numbers, units and single characters. One fold walks over them, with the factor, the product and the sum
+that it is in as its state. A factor without a number makes null.
 """
 
 from __future__ import annotations
@@ -11,55 +11,115 @@ from pyspark.sql import functions as F
 
 from .numbers import signed_number
 
-# How numbers, signs and units are written, and the signs of multiplication.
-_NUMBER, _UNIT, _MINUS, _TIMES = r"[0-9,]+(?:\.[0-9]+)?", "천원|원|%", "△▲-", "×xX*"
-_FIELDS = ("sign", "number", "over", "unit")
-_FACTOR = f"([{_MINUS}]?)({_NUMBER})(?:/({_NUMBER}))?({_UNIT})?"
-_BARE = f"()({_NUMBER})()({_UNIT})?"
-_BREAK = "\n"
+# Signs of multiplication, marks of what is taken away, units, and letters of multiplication in bracketed formulas.
+TIMES, MINUS, UNITS, BRACKETED = "×xX*", "△▲", ("천원", "원", "%"), "×xX"
+_TOKEN = r"[0-9,]+(?:\.[0-9]+)?|천원|원|%|."
+#: Kinds of tokens.
+_NUMBER, _OVER, _THOUSANDS, _ONES, _PERCENT, _MARK, _DASH, _PLUS, _TIMES, _OPEN, _OTHER, _END = range(1, 13)
+#: Where a factor is: nothing read, no number yet, behind its number, behind a stroke, behind the number below it, no more to read.
+_NEW, _WAITING, _READ, _BELOW, _DIVIDED, _DONE = range(6)
 
 
-def _plain(x: Column) -> Column:
-    return F.translate(x, ",", "").try_cast("double")
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _values(term: Column, signs: bool) -> Column:
-    """The values of a term's factors, in won: what is money or a percentage first, plain numbers after it."""
-    texts = F.filter(F.split(F.regexp_replace(term, r"\s+", ""), f"[{_TIMES}]"), lambda p: p != "")
-    pattern = _FACTOR if signs else _BARE
-    parts = F.transform(texts, lambda p: F.struct(*[F.regexp_extract(p, pattern, k).alias(name) for k, name in enumerate(_FIELDS, 1)]))
-    read = F.transform(parts, lambda s: F.struct(s["unit"].alias("unit"), _plain(s["number"]).alias("n"), F.when(s["over"] != "", _plain(s["over"])).otherwise(1.0).alias("over"), F.when(s["sign"] != "", -1.0).otherwise(1.0).alias("sign")))
-    signed = F.transform(read, lambda s: F.struct(s["unit"].alias("unit"), (s["sign"] * s["n"] / F.nullif(s["over"], F.lit(0.0)) if signs else s["n"]).alias("n")))
-    return F.transform(signed, lambda s, i: F.when(s["unit"] == "%", s["n"] / 100).when(i > 0, s["n"]).when(s["unit"] == "천원", s["n"] * 1000).when(s["unit"] == "원", s["n"]))
+def _tokens(text: Column, signs: bool) -> Column:
+    """``array<struct<kind, n>>`` of a text without white space, up to its first ``=``, and an end."""
+    cut = F.concat(F.regexp_extract_all(F.regexp_replace(F.substring_index(text, "=", 1), r"\s+", ""), F.lit(_TOKEN), F.lit(0)), F.array(F.lit("=")))
 
+    def kind(x: Column) -> Column:
+        out = F.when(F.ascii(x).between(48, 57) | (F.ascii(x) == 44), _NUMBER)
+        for token, k in [*zip(UNITS, (_THOUSANDS, _ONES, _PERCENT)), *((c, _TIMES) for c in TIMES), ("=", _END)]:
+            out = out.when(x == token, k)
+        if signs:
+            for token, k in [*((c, _MARK) for c in MINUS), ("-", _DASH), ("+", _PLUS), ("/", _OVER), ("(", _OPEN)]:
+                out = out.when(x == token, k)
+        return out.otherwise(_OTHER)
 
-def _product(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(1.0), lambda a, v: a * v) / 1000)
+    return F.transform(cut, lambda x: F.struct(kind(x).alias("kind"), F.translate(x, ",", "").try_cast("double").alias("n")))
+
+
+_STATE = {"total": "double", "sign": "double", "product": "double", "factors": "int", "at": "int", "n": "double", "below": "double", "unit": "int", "minus": "double", "before": "int", "held": "int"}
+_FACTOR = {"at": _NEW, "n": None, "below": 1.0, "unit": 0, "minus": 1.0}
+
+
+def _with(s: Column | None, **new: Column | float | int | None) -> Column:
+    """A state with some of its fields anew."""
+    given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in new.items()}
+    return F.struct(*[(given[c].cast(t) if c in given else s[c]).alias(c) for c, t in _STATE.items()])
+
+
+def _closed(s: Column) -> dict[str, Column | float | int | None]:
+    """The product with the factor that ends, if one began: first ones are money or percentages."""
+    plain = s["minus"] * s["n"] / F.nullif(s["below"], F.lit(0.0))
+    value = F.when(s["unit"] == _PERCENT, plain / 100).when(s["factors"] > 0, plain).when(s["unit"] == _THOUSANDS, plain * 1000).when(s["unit"] == _ONES, plain)
+    return {"product": F.when(s["at"] == _NEW, s["product"]).otherwise(s["product"] * value), "factors": s["factors"] + (s["at"] != _NEW).cast("int"), **_FACTOR}
+
+
+def _summed(s: Column) -> Column:
+    """The sum with the term that ends; a term without a factor makes null."""
+    closed = _closed(s)
+    return s["total"] + s["sign"] * F.when(closed["factors"] > 0, closed["product"] / 1000)
+
+
+def _resolved(s: Column, x: Column) -> Column:
+    """A plus or dash that was held: it begins a term if a number, a mark or a bracket follows, else it is a character like others."""
+    begins = x["kind"].isin(_NUMBER, _MARK, _OPEN)
+    term = _with(s, total=_summed(s), sign=F.when(s["held"] == _PLUS, 1.0).otherwise(-1.0), product=1.0, factors=0, **_FACTOR, before=_OTHER, held=0)
+    other = _with(s, at=F.when(s["at"] <= _WAITING, _WAITING).otherwise(_DONE), before=s["held"], held=0)
+    return F.when(s["held"] == 0, s).when(begins, term).otherwise(other)
+
+
+def _stepped(s: Column, x: Column) -> Column:
+    kind, at = x["kind"], s["at"]
+    complete = (s["before"] != 0) & ~s["before"].isin(_TIMES, _OVER, _OPEN)
+    fresh = (at <= _WAITING) & (kind == _NUMBER)
+    number = _with(s, at=_READ, n=x["n"], minus=F.when(s["before"].isin(_MARK, _DASH), -1.0).otherwise(1.0), before=kind)
+    divided = _with(s, at=_DIVIDED, below=x["n"], before=kind)
+    unit = _with(s, at=_DONE, unit=kind, before=kind)
+    rest = _with(s, at=F.when(at <= _WAITING, _WAITING).when((at == _READ) & (kind == _OVER), _BELOW).otherwise(_DONE), before=kind)
+    return (
+        F.when(kind == _END, _with(s, total=_summed(s))).when(kind.isin(_DASH, _PLUS) & complete, _with(s, held=kind)).when(kind == _TIMES, _with(s, **_closed(s), before=kind)).when(fresh, number)
+        .when((at == _BELOW) & (kind == _NUMBER), divided).when(at.isin(_READ, _DIVIDED) & kind.isin(_THOUSANDS, _ONES, _PERCENT), unit).otherwise(rest)
+    )
+
+
+def _walked(text: Column, signs: bool) -> Column:
+    begin = _with(None, total=0.0, sign=1.0, product=1.0, factors=0, **_FACTOR, before=0, held=0)
+    return F.aggregate(_tokens(text, signs), begin, (lambda s, x: let(_resolved(s, x), lambda r: _stepped(r, x))) if signs else _stepped, lambda s: s["total"])
 
 
 def main_value(formula: Column) -> Column:
     """``4,000,000원×2명×50%`` is 4000: what is left of ``=``, its factors multiplied. No signs, no fractions."""
-    return _product(_values(F.substring_index(formula, "=", 1), signs=False))
+    return _walked(formula, signs=False)
 
 
 def delta_value(formula: Column) -> Column:
     """As :func:`main_value` with signs (△), fractions (6/12), and terms added or taken away: ``△740천원×7명×6/12개월`` is -2590.
 
     A plus or minus begins a term if what goes before it is complete, i.e. no sign of multiplication, stroke or bracket that waits
-    for more, and if a number, sign or bracket follows. Terms are marked by a line break and then told by their first character.
+    for more, and if a number, mark or bracket follows.
     """
-    body = F.regexp_replace(F.trim(F.substring_index(formula, "=", 1)), r"\s+", "")
-    marked = F.regexp_replace(body, rf"([^{_TIMES}/(])([+-])(?=[0-9(△▲])", rf"$1{_BREAK}$2")
-    # The first term's sign is its first factor's; of the others, the sign is cut off and the text is what follows.
-    terms = F.transform(F.split(marked, _BREAK), lambda t, i: F.struct(F.when((i > 0) & t.startswith("-"), -1.0).otherwise(1.0).alias("sign"), F.when(i > 0, F.substring(t, 2, 1 << 30)).otherwise(t).alias("text")))
-    values = F.transform(terms, lambda t: t["sign"] * _product(_values(t["text"], signs=True)))
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return _walked(formula, signs=True)
+
+
+def name_and_formula(text: Column) -> tuple[Column, Column]:
+    """A name and the formula in the last bracket, if that ends the text, holds a sign of multiplication and no bracket, and a name is
+    before it; else the text and nothing."""
+    t = F.rtrim(F.regexp_replace(text, r"\s", " "))
+    last = F.substring_index(t, "(", -1)
+    inside = F.substring_index(last, ")", 1)
+    name = F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(last) - 1))
+    whole = (F.length(last) < F.length(t)) & (last == F.concat(inside, F.lit(")"))) & (F.translate(inside, BRACKETED, "") != inside) & (name != "")
+    return F.when(whole, name).otherwise(F.trim(text)), F.when(whole, F.trim(inside)).otherwise("")
 
 
 def basis_value(text: Column) -> Column:
     """The value of a basis text: a written zero, else the formula before its trailing ``=``."""
     body = F.trim(F.regexp_replace(text, r"\s*=\s*$", ""))
-    return F.when(body.rlike("^0+$"), F.lit(0.0)).when(signed_number(body).isNotNull(), signed_number(body)).otherwise(delta_value(body))
+    return F.coalesce(F.when(body.rlike("^0+$"), F.lit(0.0)), signed_number(body), delta_value(body))
 
 
 def basis_text(formula: Column, amount: Column) -> Column:

@@ -119,7 +119,7 @@ def check_tables(groups: DataFrame) -> DataFrame:
     return found.select(*finding("delta tables", "error", doc_id=F.col("doc_id"), project=F.col("project_no"), item=F.col("measure"), message=F.lit("total is not the sum"), left=F.col("written"), right=F.col("summed")))
 
 
-def check_form(rows: DataFrame, depths: int = 6, totals: DataFrame | None = None) -> DataFrame:
+def check_form(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Findings on a delta load sheet, one a row: ``rows(doc_id, row_no, level, name, code7, basis_before, before, basis, amount, change,
     leaf)`` and, where known, ``indent`` and ``detail``; ``totals(doc_id, before, amount, change)`` is what the sheet says in all.
 
@@ -140,7 +140,7 @@ def check_form(rows: DataFrame, depths: int = 6, totals: DataFrame | None = None
     others = [F.when(F.col("level") != shown, "level"), F.when(bottom & (F.size(missing) > 0), F.concat(F.lit("no "), F.array_join(missing, ", no ")))]
     # Values are columns of their own, so that each text is computed once.
     valued = rows.withColumns({"_value_before": basis_value(text("basis_before")), "_value": basis_value(text("basis"))})
-    tree = parents(valued.withColumnsRenamed({"row_no": "pos", "level": "depth"}).withColumn("level", F.col("depth")), ["doc_id"], depths=depths)
+    tree = parents(valued.withColumnsRenamed({"row_no": "pos", "level": "depth"}).withColumn("level", F.col("depth")), ["doc_id"])
     problems = tree.withColumn("_a", F.filter(F.array(*amounts), lambda x: x.isNotNull())).withColumn("_p", F.concat("_a", F.filter(F.array(*others), lambda x: x.isNotNull())))
     own = problems.where(F.size("_p") > 0)
     blind = problems.select("doc_id", "pos", "name", F.explode(F.filter(F.array(*[F.when(text(c).isNotNull() & F.col(m).isNotNull() & values[m].isNull(), F.lit(c)) for c, m in (("basis_before", "before"), ("basis", "amount"))]), lambda x: x.isNotNull())).alias("_c"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formula import name_and_formula
 from ..functions.keys import squeeze
 from ..functions.numbers import same, signed_number, unit_number, with_previous
 from .delta import GROUP, TOTAL_WORDS, check_groups, check_lines, check_tables
@@ -20,7 +21,6 @@ TABLE = ["doc_id", "project_no", "table_no"]
 # The word that names a table's columns, a row that repeats them, the words of a head table, dots and arrows before lines.
 HEAD_WORD, REPEATED, AFTER_WORD, DOTS, ARROWS = "사업명", "산출내역요구액", "추경예산안(A)", "․·ㆍ∙・", "▸▶►"
 _GLYPH = rf"^([{DOTS}{ARROWS}\x{{E000}}-\x{{F8FF}}\x{{F0000}}-\x{{FFFFD}}\x{{100000}}-\x{{10FFFD}}])\s*"
-_FORMULA = r"^(.*\S)\s*\(([^()]*[×xX][^()]*)\)\s*$"
 MEASURES = ("after", "before", "change")
 
 
@@ -28,11 +28,6 @@ def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
-def _name_and_formula(text: Column) -> list[Column]:
-    has = text.rlike(_FORMULA)
-    return [F.when(has, F.regexp_extract(text, _FORMULA, 1)).otherwise(F.trim(text)), F.when(has, F.regexp_extract(text, _FORMULA, 2)).otherwise("")]
-
-
 def change_rows(rows: DataFrame) -> DataFrame:
     """``rows(…, kind)`` of change tables below the row that names their columns, with ``role`` (group, total, line) and ``group_no``.
 
@@ -67,7 +62,7 @@ def groups_of(told: DataFrame) -> DataFrame:
     first = F.array_position(F.transform("_numbers", lambda v: v.isNotNull()), True).cast("int")
     own = _first(F.filter("_own", lambda v, i: (F.col("_at") == 0) | (i < F.col("_at") - 1)))
     is_change = F.col("kind") == "change"
-    title, formula = _name_and_formula(F.coalesce(F.get("_rest", F.lit(0)), F.lit("")))
+    title, formula = name_and_formula(F.coalesce(F.get("_rest", F.lit(0)), F.lit("")))
     one = g.withColumn("_at", first).select(*label, F.when(is_change, title).otherwise(business).alias("title"), business.alias("business"), F.when(is_change, formula).otherwise("").alias("formula"), signed_number(F.get("cells", F.col("at") - 1)).alias("after"),
         pair["now"].alias("before"), pair["previous"].alias("previous"), F.when(is_change, _first(F.col("_numbers"))).otherwise(signed_number(F.get("_rest", F.lit(0)))).alias("change"), F.when(is_change, own).alias("own"), F.lit(False).alias("is_total"), "row_no")
     said = F.filter(F.slice("cells", 2, 1000), lambda c: c != "")
@@ -81,7 +76,7 @@ def groups_of(told: DataFrame) -> DataFrame:
 def lines_of(told: DataFrame) -> DataFrame:
     """``GROUP, line_no, glyph, name, formula, amount`` of :func:`change_rows`: the amount is the first later cell with a number."""
     text = F.get("cells", F.lit(0))
-    name, formula = _name_and_formula(F.trim(F.regexp_replace(text, _GLYPH, "")))
+    name, formula = name_and_formula(F.trim(F.regexp_replace(text, _GLYPH, "")))
     amount = _first(F.transform(F.slice("cells", 2, 1000), lambda c: F.coalesce(unit_number(c), signed_number(c))))
     return told.where("role = 'line'").select(*TABLE, "group_no", F.col("row_no").alias("line_no"), F.regexp_extract(text, _GLYPH, 1).alias("glyph"), name.alias("name"), formula.alias("formula"), amount.alias("amount"))
 

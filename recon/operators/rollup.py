@@ -11,7 +11,7 @@ from ..functions.formula import main_value
 from .tree import deepest, parents, with_family
 
 
-def check_children(items: DataFrame, keys: list[str], tolerance: float = 1.0, reported: DataFrame | None = None, heads: tuple[str, str] | None = None) -> DataFrame:
+def check_children(items: DataFrame, keys: list[str], tolerance: float = 1.0, reported: DataFrame | None = None, heads: tuple[str, str] | None = None, depths: int | None = None) -> DataFrame:
     """Rows whose amount isn't the sum of their direct children, the deepest of each chain alone.
 
     ``items(keys, pos, depth, amount, leaf)``. Columns: ``keys, pos, depth, amount, direct, leaf_total, verdict``; ``error``, or
@@ -21,16 +21,17 @@ def check_children(items: DataFrame, keys: list[str], tolerance: float = 1.0, re
     cause, one finding.
 
     Defined results: a null amount is not checked and counts as 0 above; a row without children is not checked; rows that repeat a
-    place count once each in sums and are one row here; an empty table gives none.
+    place count once each in sums and are one row here; an empty table gives none. ``depths`` as in :func:`parents`: depths are any
+    numbers without it.
     """
     own = ["depth", "amount", *(heads or [])]
-    tree = parents(items, keys)
+    tree = parents(items, keys, depths=depths)
     if reported is not None:
         known = reported.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "pos"])], F.lit(True).alias("_known")).distinct()
         on = [tree[c] == F.col(f"_k{i}") for i, c in enumerate([*keys, "pos"])]
         tree = tree.join(known, on, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
         own = [*own, "_known"]
-    rows = with_family(tree, keys, own)
+    rows = with_family(tree, keys, own, depths=depths)
     off = F.col("amount").isNotNull() & (F.col("children") > 0) & (F.abs(F.col("direct") - F.col("amount")) > tolerance)
     near = lambda a, b: F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
     review = F.when(F.col("leaves") > 0, near(F.col("leaf_total"), F.col("amount"))).otherwise(F.lit(False))
@@ -44,9 +45,9 @@ def check_children(items: DataFrame, keys: list[str], tolerance: float = 1.0, re
     return found.where("verdict is not null").select(*keys, "pos", "depth", "amount", "direct", "leaf_total", "verdict")
 
 
-def check_tree_all(items: DataFrame, keys: list[str], tolerance: float = 0.5) -> DataFrame:
+def check_tree_all(items: DataFrame, keys: list[str], tolerance: float = 0.5, depths: int | None = None) -> DataFrame:
     """As :func:`check_children` without the rule of the deepest: every broken row is reported."""
-    rows = with_family(parents(items, keys), keys, ["depth", "amount"])
+    rows = with_family(parents(items, keys, depths=depths), keys, ["depth", "amount"], depths=depths)
     return rows.where((F.col("children") > 0) & (F.abs(F.col("direct") - F.col("amount")) >= tolerance)).select(*keys, "pos", "depth", "amount", "direct")
 
 

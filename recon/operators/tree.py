@@ -1,32 +1,46 @@
-"""Pre-order forests stored flat: rows have a place and a depth, edges are implied. One window over each document finds them all."""
+"""Pre-order forests stored flat: rows have a place and a depth, edges are implied.
+
+Where depths are few and known, windows over each document find all edges; else a stack over its rows in order, whatever their depths.
+A document of any size can be cut into blocks, each with a stack of its own, and what is open where a block begins.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+#: Depths of narratives and of load sheets of the main budget.
 DEPTHS = 6
 
 
-def parents(items: DataFrame, keys: list[str], pos: str = "pos", depth: str = "depth", depths: int = DEPTHS) -> DataFrame:
+def parents(items: DataFrame, keys: list[str], pos: str = "pos", depth: str = "depth", depths: int | None = None, block: int | None = None) -> DataFrame:
     """``items`` with ``parent`` (place of the nearest row before it that is less deep), ``parent_depth`` and ``ancestors`` (places,
     outermost first).
 
-    All markers are windows of one select, so the plan has one exchange, one sort and one window; the partition is the document,
-    so that no key is larger than one document. Columns of these names are replaced; a row without a place or depth has no parent;
-    repeated places are ordered at random among themselves; an empty table gives none.
+    With ``depths``, the greatest depth there is (a deeper row is an error), all of it is windows of one select: one exchange, one sort.
+    Without, depths may be any numbers. ``block``: documents are cut wherever the place passes a multiple of it, so that none is too
+    large for a task; places are whole numbers then. Columns of these names are replaced; a row without a place or depth has no parent;
+    repeated places are in the order of their depths; null keys are equal; an empty table gives none.
     """
     items = items.drop("parent", "parent_depth", "ancestors")
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    return _by_windows(items, keys, pos, depth, depths) if depths else _by_stacks(items, keys, pos, depth, block)
+
+
+def _by_windows(items: DataFrame, keys: list[str], pos: str, depth: str, depths: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(pos, depth).rowsBetween(Window.unboundedPreceding, -1)
     marks = [F.last(F.when(F.col(depth) == k, F.col(pos)), ignorenulls=True).over(w).alias(f"_l{k}") for k in range(1, depths)]
     marked = items.select("*", *marks)
+    deep = F.when(F.col(depth) > depths, F.raise_error(F.concat(F.lit(f"a row deeper than {depths}: "), F.col(depth).cast("string"))).cast("int")).otherwise(F.col(depth))
 
     def open_(k: int) -> Column:
         """The last row of depth k is still open: nothing less deep came after it."""
         newer = [F.coalesce(F.col(f"_l{k}") > F.col(f"_l{e}"), F.lit(True)) for e in range(1, k)]
-        return F.when(reduce(lambda a, b: a & b, newer, (F.col(depth) > k) & F.col(f"_l{k}").isNotNull()), F.struct(F.col(f"_l{k}").alias("at"), F.lit(k).alias("depth")))
+        return F.when(reduce(lambda a, b: a & b, newer, ((deep if k == 1 else F.col(depth)) > k) & F.col(f"_l{k}").isNotNull()), F.struct(F.col(f"_l{k}").alias("at"), F.lit(k).alias("depth")))
 
     chain = F.filter(F.array(*[open_(k) for k in range(1, depths)]), lambda x: x.isNotNull())
     chained = marked.select(*[F.col(c) for c in items.columns], chain.alias("_chain"))
@@ -34,6 +48,66 @@ def parents(items: DataFrame, keys: list[str], pos: str = "pos", depth: str = "d
     return chained.select(*items.columns, nearest["at"].alias("parent"), nearest["depth"].alias("parent_depth"), F.transform("_chain", lambda x: x["at"]).alias("ancestors"))
 
 
+def _by_stacks(items: DataFrame, keys: list[str], pos: str, depth: str, block: int | None) -> DataFrame:
+    """Each task reads its rows in order, with a stack of the rows that are open; rows aren't gathered."""
+    kind, names = items.schema[pos].dataType, items.columns
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    cell = F.floor(F.col(pos) / block) if block else F.lit(0)
+    rows = items.withColumns({"_cell": cell.cast("bigint"), "_there": F.lit(True)})
+    if block:
+        opened = open_rows(items, keys, pos, depth, block)
+        rows = rows.unionByName(opened.withColumn("_there", F.lit(False)), allowMissingColumns=True)
+
+    def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, deep = None, [], []
+        for b in batches:
+            own, deepness, up = [], [], []
+            for *key, p, d in zip(*(b.column(c).to_pylist() for c in [*keys, "_cell", pos, depth])):
+                if key != last:
+                    last, at, deep = key, [], []
+                if p is None or d is None:
+                    own.append(None), deepness.append(None), up.append([])
+                    continue
+                while deep and deep[-1] >= d:
+                    deep.pop(), at.pop()
+                own.append(at[-1] if at else None), deepness.append(deep[-1] if deep else None), up.append(at[:])
+                deep.append(d), at.append(p)
+            one = pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(x, t) for x, t in ((own, b.schema.field(pos).type), (deepness, pa.int32()), (up, pa.list_(b.schema.field(pos).type))))], [*names, "parent", "parent_depth", "ancestors"])
+            yield one.filter(b.column("_there"))
+
+    dealt = rows.repartition(*keys, "_cell").sortWithinPartitions(*keys, "_cell", pos, depth)
+    return dealt.mapInArrow(stack, f"{columns}, parent {kind.simpleString()}, parent_depth int, ancestors array<{kind.simpleString()}>")
+
+
+def open_rows(items: DataFrame, keys: list[str], pos: str, depth: str, block: int) -> DataFrame:
+    """``keys, _cell, pos, depth``: the rows of earlier blocks that are open where a block of ``block`` places begins.
+
+    Of a block only the last row of each depth counts, and of those only the ones after all that are less deep; a stack over these, block
+    after block, tells what is open. That is a row for each open depth and block, whatever the size of a document.
+    """
+    known = items.where(F.col(pos).isNotNull() & F.col(depth).isNotNull())
+    ends = known.groupBy(*keys, F.floor(F.col(pos) / block).cast("bigint").alias("_cell"), F.col(depth).alias(depth)).agg(F.max(pos).alias(pos))
+    schema = StructType([*(items.schema[k] for k in keys), StructField("_cell", ends.schema["_cell"].dataType), items.schema[pos], items.schema[depth]])
+
+    def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, cell, at, deep = None, None, [], []
+        for b in batches:
+            out: list[tuple] = []
+            for *key, c, p, d in zip(*(b.column(x).to_pylist() for x in [*keys, "_cell", pos, depth])):
+                if key != last:
+                    last, cell, at, deep = key, c, [], []
+                if c != cell:
+                    cell = c
+                    out += [(*key, c, x, y) for x, y in zip(at, deep)]
+                while deep and deep[-1] >= d:
+                    deep.pop(), at.pop()
+                deep.append(d), at.append(p)
+            names = [*keys, "_cell", pos, depth]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], b.schema.field(n).type) for k, n in enumerate(names)], names)
+
+    return ends.repartition(*keys).sortWithinPartitions(*keys, "_cell", pos).mapInArrow(stack, schema)
+
+
 def child_sums(tree: DataFrame, keys: list[str], measure: str = "amount", pos: str = "pos", depth: str = "depth") -> DataFrame:
     """``keys, parent, children, direct``: number and sum of the direct children, one level down; null counts as 0."""
     down = tree.where(F.col("parent_depth") == F.col(depth) - 1)
@@ -41,28 +115,29 @@ def child_sums(tree: DataFrame, keys: list[str], measure: str = "amount", pos: s
 
 
 def subtree_sums(tree: DataFrame, keys: list[str], measure: str = "amount", leaf: str = "leaf") -> DataFrame:
-    """``keys, pos, leaves, leaf_total`` of every row with leaves below it; rows are exploded by their ancestors, six at most."""
+    """``keys, pos, leaves, leaf_total`` of every row with leaves below it; rows are exploded by their ancestors."""
     rows = tree.where(F.col(leaf)).select(*keys, F.explode("ancestors").alias("pos"), F.col(measure).alias("_m"))
     return rows.groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("leaves"), F.sum(F.coalesce("_m", F.lit(0))).alias("leaf_total"))
 
 
-def with_family(tree: DataFrame, keys: list[str], own: list[str], measure: str = "amount", depths: int = DEPTHS) -> DataFrame:
+def with_family(tree: DataFrame, keys: list[str], own: list[str], measure: str = "amount", depths: int | None = None) -> DataFrame:
     """A row for each place of ``tree``: the columns ``own``, its ``ancestors``, and ``children, direct, leaves, leaf_total`` of what is
     below it (null sums if nothing is).
 
-    Every row goes to itself and to its ancestors, and one grouping by place adds up what arrived. As a document is in one partition
-    already, that needs no exchange and no join.
+    Every row goes to itself and to its ancestors, and one grouping by place adds up what arrived, without a join. With ``depths``, that of
+    :func:`parents`, a document is in one partition already, and ancestors go along as plain columns: no exchange, no sort.
     """
     none = {c: F.lit(None).cast(tree.schema[c].dataType) for c in [*own, measure]}
     value = F.coalesce(F.col(measure), F.lit(0).cast(tree.schema[measure].dataType))
-    chain = [F.get("ancestors", F.lit(k)).alias(f"_a{k}") for k in range(depths - 1)]
+    chain = [F.get("ancestors", F.lit(k)).alias(f"_a{k}") for k in range(depths - 1)] if depths else [F.col("ancestors").alias("_a0")]
+    up_ = [f"_a{k}" for k in range(len(chain))]
     direct = F.col("parent_depth") == F.col("depth") - 1
     self_ = F.struct(F.col("pos").alias("at"), F.lit(True).alias("self"), *[F.col(c).alias(f"o_{c}") for c in own], none[measure].alias("child"), none[measure].alias("leaf"))
     up = F.transform("ancestors", lambda a: F.struct(a.alias("at"), F.lit(False).alias("self"), *[none[c].alias(f"o_{c}") for c in own], F.when(direct & (a == F.col("parent")), value).alias("child"), F.when(F.col("leaf"), value).alias("leaf")))
-    sent = tree.select(*keys, *chain, F.explode(F.concat(F.array(self_), up)).alias("x")).select(*keys, "x.*", *[F.when(F.col("x.self"), F.col(f"_a{k}")).alias(f"_a{k}") for k in range(depths - 1)])
+    sent = tree.select(*keys, *chain, F.explode(F.concat(F.array(self_), up)).alias("x")).select(*keys, "x.*", *[F.when(F.col("x.self"), F.col(a)).alias(a) for a in up_])
     sums = [F.count("child").alias("children"), F.sum("child").alias("direct"), F.count("leaf").alias("leaves"), F.sum("leaf").alias("leaf_total")]
-    met = sent.groupBy(*keys, F.col("at").alias("pos")).agg(*[F.max(f"o_{c}").alias(c) for c in own], *[F.max(f"_a{k}").alias(f"_a{k}") for k in range(depths - 1)], *sums)
-    above = F.filter(F.array(*[f"_a{k}" for k in range(depths - 1)]), lambda a: a.isNotNull())
+    met = sent.groupBy(*keys, F.col("at").alias("pos")).agg(*[F.max(f"o_{c}").alias(c) for c in own], *[F.max(a).alias(a) for a in up_], *sums)
+    above = F.filter(F.array(*up_), lambda a: a.isNotNull()) if depths else F.col("_a0")
     return met.select(*keys, "pos", *own, above.alias("ancestors"), "children", "direct", "leaves", "leaf_total")
 
 

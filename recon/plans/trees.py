@@ -21,14 +21,14 @@ SELECT doc_id, pos, depth, NULL::BIGINT AS parent FROM forest WHERE depth = 1
 UNION ALL SELECT c.doc_id, c.pos, c.depth, p.pos FROM forest c JOIN tops p ON p.doc_id = c.doc_id WHERE c.depth = 2
 UNION ALL SELECT c.doc_id, c.pos, c.depth, p.pos FROM forest c JOIN mids p ON p.doc_id = c.doc_id AND p.a = c.a WHERE c.depth = 3""")
 def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.parents(forest(spark, sf_dir), KEYS).select("doc_id", "pos", "depth", "parent")
+    return tree.parents(forest(spark, sf_dir), KEYS, depths=3).select("doc_id", "pos", "depth", "parent")
 
 
 @BOOK.add(FOREST + """
 SELECT doc_id, pos, leaves, leaf_total FROM (
  SELECT f.doc_id, f.pos, count(*) AS leaves, sum(l.amount)::DECIMAL(28,2) AS leaf_total FROM forest f JOIN forest l ON l.doc_id = f.doc_id AND l.leaf AND (f.depth = 1 OR (f.depth = 2 AND f.a = l.a)) GROUP BY f.doc_id, f.pos)""")
 def tree_subtree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.subtree_sums(tree.parents(forest(spark, sf_dir), KEYS), KEYS).select("doc_id", "pos", "leaves", F.col("leaf_total").cast("decimal(28,2)").alias("leaf_total"))
+    return tree.subtree_sums(tree.parents(forest(spark, sf_dir), KEYS, depths=3), KEYS).select("doc_id", "pos", "leaves", F.col("leaf_total").cast("decimal(28,2)").alias("leaf_total"))
 
 
 _BROKEN = FOREST + """,
@@ -45,12 +45,12 @@ named AS (SELECT *, CASE WHEN abs(leaf_total - amount) <= 1 THEN 'review' ELSE '
 SELECT doc_id, pos, depth, amount, direct::DECIMAL(28,2) AS direct, verdict FROM named n
 WHERE NOT (n.depth = 1 AND EXISTS (SELECT 1 FROM named m WHERE m.doc_id = n.doc_id AND m.depth = 2 AND m.verdict = 'error'))""")
 def rollup_deepest_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.check_children(forest(spark, sf_dir), KEYS).select("doc_id", "pos", "depth", "amount", F.col("direct").cast("decimal(28,2)").alias("direct"), "verdict")
+    return rollup.check_children(forest(spark, sf_dir), KEYS, depths=3).select("doc_id", "pos", "depth", "amount", F.col("direct").cast("decimal(28,2)").alias("direct"), "verdict")
 
 
 @BOOK.add(_BROKEN + " SELECT doc_id, pos, depth, amount, direct::DECIMAL(28,2) AS direct FROM off0 WHERE abs(direct - amount) >= 0.5")
 def rollup_every_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.check_tree_all(forest(spark, sf_dir), KEYS).select("doc_id", "pos", "depth", "amount", F.col("direct").cast("decimal(28,2)").alias("direct"))
+    return rollup.check_tree_all(forest(spark, sf_dir), KEYS, depths=3).select("doc_id", "pos", "depth", "amount", F.col("direct").cast("decimal(28,2)").alias("direct"))
 
 
 @BOOK.add(FOREST + """
@@ -89,10 +89,46 @@ marked AS (SELECT *, CASE WHEN depth IN (1, 3, 5) THEN '' || ordinal ELSE substr
 SELECT doc_id, pos, depth, ordinal, CASE WHEN depth <= 2 THEN sign || '.' WHEN depth <= 4 THEN sign || ')' ELSE '(' || sign || ')' END AS mark FROM marked""")
 def sibling_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers among siblings and outline marks over six levels; many customers have more than 14 orders."""
-    rows = tree.sibling_ordinals(tree.parents(deep_forest(spark, sf_dir), KEYS), KEYS)
+    rows = tree.sibling_ordinals(tree.parents(deep_forest(spark, sf_dir), KEYS, depths=6), KEYS)
     return rows.select("doc_id", "pos", "depth", "ordinal", tree.prefix(F.col("depth"), F.col("ordinal")).alias("mark"))
 
 
+def digits_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of nine levels: each year of order dates is a document, and an order hangs below the beginnings of its number, digit by
+    digit; orders of even numbers have a row below them. A seventh level that ends in 3 says five too much."""
+    o = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("doc_id"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("k"), cents("o_totalprice").alias("amount"))
+    levels = o.select("doc_id", "amount", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.struct(d.alias("depth"), F.substring(F.col("k"), F.lit(1), d).alias("k")))).alias("x"))
+    rows = levels.groupBy("doc_id", "x.depth", "x.k").agg(F.sum("amount").alias("amount"))
+    off = F.when((F.col("depth") == 7) & F.col("k").endswith("3"), 5).otherwise(0)
+    rows = rows.withColumns({"amount": (F.col("amount") + off).cast("decimal(18,2)"), "leaf": F.col("depth") == 8})
+    more = rows.where(F.col("leaf") & F.col("k").substr(8, 1).isin(*"02468")).withColumns({"depth": F.lit(9), "k": F.concat("k", F.lit("0"))})
+    rows = rows.withColumn("leaf", F.col("leaf") & ~F.col("k").substr(8, 1).isin(*"02468")).unionByName(more)
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).cast("bigint"))
+
+
+_DIGITS = """
+WITH o AS (SELECT year(o_orderdate) AS doc_id, lpad(o_orderkey::VARCHAR, 8, '0') AS k, o_totalprice::DECIMAL(18,2) AS amount FROM orders),
+level AS (SELECT doc_id, d.d AS depth, substr(k, 1, d.d::INT) AS k, (sum(amount) + CASE WHEN d.d = 7 AND substr(k, 7, 1) = '3' THEN 5 ELSE 0 END)::DECIMAL(18,2) AS amount FROM o, (SELECT unnest(range(1, 9)) AS d) d GROUP BY doc_id, d.d, substr(k, 1, d.d::INT), CASE WHEN d.d = 7 AND substr(k, 7, 1) = '3' THEN 5 ELSE 0 END),
+rows0 AS (SELECT * FROM level UNION ALL SELECT doc_id, 9, k || '0', amount FROM level WHERE depth = 8 AND k[8] IN ('0', '2', '4', '6', '8')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM rows0)
+"""
+
+
+@BOOK.add(_DIGITS + "SELECT c.doc_id, c.pos, c.depth, p.pos AS parent, c.depth - 1 AS above FROM placed c LEFT JOIN placed p ON p.doc_id = c.doc_id AND p.depth = c.depth - 1 AND p.k = substr(c.k, 1, c.depth::INT - 1)")
+def tree_parents_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents in trees of nine levels, in documents that are cut into blocks of a thousand places."""
+    rows = tree.parents(digits_forest(spark, sf_dir), KEYS, block=1000)
+    return rows.select("doc_id", "pos", F.col("depth").cast("bigint").alias("depth"), "parent", F.size("ancestors").cast("bigint").alias("above"))
+
+
+@BOOK.add(_DIGITS + """, kids AS (SELECT doc_id, substr(k, 1, depth::INT - 1) AS k, sum(amount) AS direct FROM placed WHERE depth > 1 GROUP BY ALL),
+off0 AS (SELECT p.*, direct FROM placed p JOIN kids USING (doc_id, k) WHERE abs(direct - amount) > 1)
+SELECT doc_id, pos, depth::BIGINT AS depth, amount, direct::DECIMAL(28,2) AS direct FROM off0 n WHERE depth = 7 OR NOT EXISTS (SELECT 1 FROM off0 m WHERE m.doc_id = n.doc_id AND m.depth > n.depth AND starts_with(m.k, n.k))""")
+def rollup_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest wrong sums of trees of nine levels: what is wrong is at the seventh, which the sixth doesn't add up to either."""
+    return rollup.check_children(digits_forest(spark, sf_dir), KEYS).select("doc_id", "pos", F.col("depth").cast("bigint").alias("depth"), "amount", F.col("direct").cast("decimal(28,2)").alias("direct"))
+
+
 @BOOK.add("SELECT o_orderkey, card, row_number() OVER (PARTITION BY card ORDER BY o_orderdate, o_orderkey) AS seq FROM (SELECT *, c_mktsegment || '/' || c_nationkey AS card FROM orders JOIN customer ON o_custkey = c_custkey)")
 def sequence_per_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("card", F.concat_ws("/", "c_mktsegment", "c_nationkey"))

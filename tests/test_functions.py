@@ -25,6 +25,54 @@ def test_terms_begin_only_where_one_is_complete(spark):
     assert values(spark, texts, formula.delta_value) == pytest.approx([5, -6, -6, 13, -1, 7, 3, 1, 10, 2, 3])
 
 
+def test_names_and_their_formulas(spark):
+    texts = ["여비 (5천원×2명)", "여비(5천원 x 2)  ", "(5×2)", "여비 (5천원)", "a (b) (3X2)", "a (b (3×2))", "a (3×2) b", "a (2)×3)", " 여비 ", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    name, tail = formula.name_and_formula(F.col("t"))
+    assert [(r.n, r.f) for r in rows.select("i", name.alias("n"), tail.alias("f")).orderBy("i").collect()] == [
+        ("여비", "5천원×2명"), ("여비", "5천원 x 2"), ("(5×2)", ""), ("여비 (5천원)", ""), ("a (b)", "3X2"), ("a (b (3×2))", ""), ("a (3×2) b", ""), ("a (2)×3)", ""), ("여비", ""), (None, "")]
+
+
+def slow_delta(text):
+    """Terms by a walk over characters, factors by a search in each."""
+    import re
+
+    body = re.sub(r"\s+", "", text.split("=")[0])
+    terms, sign, at = [], 1, 0
+    for i, c in enumerate(body):
+        if c in "+-" and i and body[i - 1] not in "×xX*/(" and i + 1 < len(body) and (body[i + 1].isdigit() or body[i + 1] in "(△▲") and i > at - 1 and not (i == at and at):
+            terms.append((sign, body[at:i]))
+            sign, at = (1 if c == "+" else -1), i + 1
+    total = 0.0
+    for sign, term in [*terms, (sign, body[at:])]:
+        product, n = 1.0, 0
+        for factor in [f for f in re.split("[×xX*]", term) if f]:
+            m = re.search(r"([△▲-]?)([0-9,]+(?:\.[0-9]+)?)(?:/([0-9,]+(?:\.[0-9]+)?))?(천원|원|%)?", factor)
+            try:
+                x = float(m[2].replace(",", "")) / float((m[3] or "1").replace(",", ""))
+            except (TypeError, ValueError, ZeroDivisionError):
+                return None
+            if m[4] != "%" and n == 0 and m[4] is None:
+                return None
+            x *= 0.01 if m[4] == "%" else {"천원": 1000, "원": 1}[m[4]] if n == 0 else 1
+            product, n = product * x * (-1 if m[1] else 1), n + 1
+        if not n:
+            return None
+        total += sign * product / 1000
+    return total
+
+
+def test_the_fold_against_a_walk_over_random_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["1", "25", "3.5", "1,000", "천원", "천원", "원", "%", "×", "×", "x", "+", "-", "△", "/", "(", ")", "명", " ", "회"]
+    texts = ["2천원" + "".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(1500)]
+    for text, got in zip(texts, values(spark, texts, formula.delta_value)):
+        want = slow_delta(text)
+        assert (got is None) == (want is None) and (got is None or got == pytest.approx(want)), text
+
+
 def test_basis_texts(spark):
     rows = spark.createDataFrame([("", 0.0), ("50,000원×2회", 100.0), ("5×2=", 1.0), (None, None), (None, 3.0)], "f string, a double")
     assert [r.b for r in rows.select(formula.basis_text(F.col("f"), F.col("a")).alias("b")).collect()] == ["0=", "50,000원×2회=", "5×2=", "0=", ""]

@@ -50,8 +50,9 @@ def forests():
     return [random_forest(rng, d) for d in range(120)]
 
 
-def test_parents_and_ancestors_of_random_forests(spark, forests):
-    got = {(r.doc_id, r.pos): r for r in tree.parents(frame(spark, sum(forests, [])), ["doc_id"]).collect()}
+@pytest.mark.parametrize("how", [{}, {"depths": 6}, {"block": 4}])
+def test_parents_and_ancestors_of_random_forests(spark, forests, how):
+    got = {(r.doc_id, r.pos): r for r in tree.parents(frame(spark, sum(forests, [])), ["doc_id"], **how).collect()}
     for rows in forests:
         for i, r in enumerate(rows):
             assert got[r[0], i].parent == slow_parent(rows, i)
@@ -129,7 +130,7 @@ def test_nulls_repeats_clashing_columns_and_empty_trees(spark):
 
 def test_the_whole_roll_up_has_one_exchange(spark):
     """Sums, deepest rows and all: nothing is scanned or sorted twice, and nothing is joined."""
-    plan = rollup.check_children(frame(spark, SOUND), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    plan = rollup.check_children(frame(spark, SOUND), ["doc_id"], depths=6)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("Window [") == 1
 
 
@@ -140,6 +141,38 @@ def test_the_query_of_roll_ups_has_few_exchanges(spark):
     assert plan.count("Exchange hashpartitioning") <= 8 and plan.count("FileScan parquet") <= 6
 
 
+def test_forests_of_any_depth_in_blocks_of_any_size(spark):
+    rng, rows = random.Random(9), []
+    for d, n in ((0, 400), (1, 90), (None, 60), (3, 1)):
+        depth = 7
+        for i in range(n):
+            depth = max(-2, min(40, depth + rng.choice([-9, -3, -2, -1, 0, 1, 1, 2, 3])))
+            rows.append((d, 3 * i, depth))
+    want = {}
+    for d, p, k in rows:
+        chain, least = [], k
+        for e, q, j in reversed([r for r in rows if r[0] == d and r[1] < p]):
+            if j < least:
+                chain.append(q)
+                least = j
+        want[d, p] = chain[::-1]
+    items = spark.createDataFrame([*rows, (0, None, 4), (1, 5, None)], "doc_id int, pos bigint, depth int").repartition(5)
+    for block in (None, 1, 10, 64, 10_000):
+        got = {(r.doc_id, r.pos): r for r in tree.parents(items, ["doc_id"], block=block).where("pos is not null and depth is not null").collect()}
+        assert {k: list(r.ancestors) for k, r in got.items()} == want
+        assert all(r.parent == (want[k][-1] if want[k] else None) for k, r in got.items())
+    odd = tree.parents(items, ["doc_id"], block=10).where("pos is null or depth is null").collect()
+    assert len(odd) == 2 and all(r.parent is None and list(r.ancestors) == [] for r in odd)
+    assert tree.parents(items.where("false"), ["doc_id"], block=10).count() == 0
+
+
+def test_a_wrong_sum_below_the_sixth_level_is_found_and_a_bound_is_kept(spark):
+    rows = [(0, i, i + 1, f"n{i}", 9 if i >= 6 else 5, "") for i in range(9)]
+    assert [(r.pos, r.depth, r.direct) for r in rollup.check_children(frame(spark, rows), ["doc_id"]).collect()] == [(5, 6, 9)]
+    with pytest.raises(Exception, match="deeper than 6"):
+        tree.parents(frame(spark, rows), ["doc_id"], depths=6).collect()
+
+
 def test_numbers_by_cells_are_those_of_one_window(spark):
     rng = random.Random(3)
     rows = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i) for i in range(400)], "card string, x int, i int")
@@ -153,7 +186,7 @@ def test_repeated_pages_name_their_first(spark):
 
 
 def test_one_exchange_and_one_window(spark):
-    plan = tree.parents(frame(spark, SOUND), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    plan = tree.parents(frame(spark, SOUND), ["doc_id"], depths=6)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("Exchange ") <= 1
 
 
