@@ -1,108 +1,104 @@
-"""Values of text formulas in thousand-won, as native expressions.
+"""Values of text formulas in thousand-won.
 
-A text is cut into tokens once: numbers, units and single characters. One fold walks over them, with the factor, the product and the sum
-that it is in as its state. A factor without a number makes null.
+A text is cut into tokens: numbers, units and single characters. One walk over them keeps the factor, the product and the sum that it is
+in. A factor without a number makes null. The walk is Python on Arrow batches: the same walk as a native fold with a state of eleven
+fields took more than twice the time of the expressions before it, since higher-order functions aren't compiled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import signed_number
 
-# Signs of multiplication, marks of what is taken away, units, and letters of multiplication in bracketed formulas.
-TIMES, MINUS, UNITS, BRACKETED = "×xX*", "△▲", ("천원", "원", "%"), "×xX"
-_TOKEN = r"[0-9,]+(?:\.[0-9]+)?|천원|원|%|."
-#: Kinds of tokens.
-_NUMBER, _OVER, _THOUSANDS, _ONES, _PERCENT, _MARK, _DASH, _PLUS, _TIMES, _OPEN, _OTHER, _END = range(1, 13)
-#: Where a factor is: nothing read, no number yet, behind its number, behind a stroke, behind the number below it, no more to read.
-_NEW, _WAITING, _READ, _BELOW, _DIVIDED, _DONE = range(6)
-
-
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _tokens(text: Column, signs: bool) -> Column:
-    """``array<struct<kind, n>>`` of a text without white space, up to its first ``=``, and an end."""
-    cut = F.concat(F.regexp_extract_all(F.regexp_replace(F.substring_index(text, "=", 1), r"\s+", ""), F.lit(_TOKEN), F.lit(0)), F.array(F.lit("=")))
-
-    def kind(x: Column) -> Column:
-        out = F.when(F.ascii(x).between(48, 57) | (F.ascii(x) == 44), _NUMBER)
-        for token, k in [*zip(UNITS, (_THOUSANDS, _ONES, _PERCENT)), *((c, _TIMES) for c in TIMES), ("=", _END)]:
-            out = out.when(x == token, k)
-        if signs:
-            for token, k in [*((c, _MARK) for c in MINUS), ("-", _DASH), ("+", _PLUS), ("/", _OVER), ("(", _OPEN)]:
-                out = out.when(x == token, k)
-        return out.otherwise(_OTHER)
-
-    return F.transform(cut, lambda x: F.struct(kind(x).alias("kind"), F.translate(x, ",", "").try_cast("double").alias("n")))
-
-
-_STATE = {"total": "double", "sign": "double", "product": "double", "factors": "int", "at": "int", "n": "double", "below": "double", "unit": "int", "minus": "double", "before": "int", "held": "int"}
-_FACTOR = {"at": _NEW, "n": None, "below": 1.0, "unit": 0, "minus": 1.0}
-
-
-def _with(s: Column | None, **new: Column | float | int | None) -> Column:
-    """A state with some of its fields anew."""
-    given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in new.items()}
-    return F.struct(*[(given[c].cast(t) if c in given else s[c]).alias(c) for c, t in _STATE.items()])
-
-
-def _closed(s: Column) -> dict[str, Column | float | int | None]:
-    """The product with the factor that ends, if one began: first ones are money or percentages."""
-    plain = s["minus"] * s["n"] / F.nullif(s["below"], F.lit(0.0))
-    value = F.when(s["unit"] == _PERCENT, plain / 100).when(s["factors"] > 0, plain).when(s["unit"] == _THOUSANDS, plain * 1000).when(s["unit"] == _ONES, plain)
-    return {"product": F.when(s["at"] == _NEW, s["product"]).otherwise(s["product"] * value), "factors": s["factors"] + (s["at"] != _NEW).cast("int"), **_FACTOR}
-
-
-def _summed(s: Column) -> Column:
-    """The sum with the term that ends; a term without a factor makes null."""
-    closed = _closed(s)
-    return s["total"] + s["sign"] * F.when(closed["factors"] > 0, closed["product"] / 1000)
-
-
-def _resolved(s: Column, x: Column) -> Column:
-    """A plus or dash that was held: it begins a term if a number, a mark or a bracket follows, else it is a character like others."""
-    begins = x["kind"].isin(_NUMBER, _MARK, _OPEN)
-    term = _with(s, total=_summed(s), sign=F.when(s["held"] == _PLUS, 1.0).otherwise(-1.0), product=1.0, factors=0, **_FACTOR, before=_OTHER, held=0)
-    other = _with(s, at=F.when(s["at"] <= _WAITING, _WAITING).otherwise(_DONE), before=s["held"], held=0)
-    return F.when(s["held"] == 0, s).when(begins, term).otherwise(other)
-
-
-def _stepped(s: Column, x: Column) -> Column:
-    kind, at = x["kind"], s["at"]
-    complete = (s["before"] != 0) & ~s["before"].isin(_TIMES, _OVER, _OPEN)
-    fresh = (at <= _WAITING) & (kind == _NUMBER)
-    number = _with(s, at=_READ, n=x["n"], minus=F.when(s["before"].isin(_MARK, _DASH), -1.0).otherwise(1.0), before=kind)
-    divided = _with(s, at=_DIVIDED, below=x["n"], before=kind)
-    unit = _with(s, at=_DONE, unit=kind, before=kind)
-    rest = _with(s, at=F.when(at <= _WAITING, _WAITING).when((at == _READ) & (kind == _OVER), _BELOW).otherwise(_DONE), before=kind)
-    return (
-        F.when(kind == _END, _with(s, total=_summed(s))).when(kind.isin(_DASH, _PLUS) & complete, _with(s, held=kind)).when(kind == _TIMES, _with(s, **_closed(s), before=kind)).when(fresh, number)
-        .when((at == _BELOW) & (kind == _NUMBER), divided).when(at.isin(_READ, _DIVIDED) & kind.isin(_THOUSANDS, _ONES, _PERCENT), unit).otherwise(rest)
-    )
-
-
-def _walked(text: Column, signs: bool) -> Column:
-    begin = _with(None, total=0.0, sign=1.0, product=1.0, factors=0, **_FACTOR, before=0, held=0)
-    return F.aggregate(_tokens(text, signs), begin, (lambda s, x: let(_resolved(s, x), lambda r: _stepped(r, x))) if signs else _stepped, lambda s: s["total"])
+# Signs of multiplication, marks of what is taken away, units in won, and letters of multiplication in bracketed formulas.
+TIMES, MINUS, UNITS, BRACKETED = "×xX*", "△▲", {"천원": 1000.0, "원": 1.0, "%": 0.01}, "×xX"
+_tokens = re.compile(r"[0-9,]+(?:\.[0-9]+)?|천원|.").findall
+_DIGITS, _SIGNS, _WAITS = frozenset("0123456789"), frozenset(MINUS + "-"), frozenset(TIMES + "/(")
+
+
+class _Factor:
+    """What is read of a factor: nothing (``new``), no number yet, its number, a stroke, the number below it, or all that counts."""
+
+    __slots__ = ("at", "n", "unit")
+
+    def __init__(self) -> None:
+        self.at, self.n, self.unit = "new", None, ""
+
+    def read(self, token: str, before: str, signs: bool) -> None:
+        number = token[0] in _DIGITS or token[0] == ","
+        if self.at in ("new", "waiting"):
+            self.at = "number" if number else "waiting"
+            if number:
+                self.n = _float(token) * (-1.0 if signs and before in _SIGNS else 1.0)
+        elif self.at == "stroke" and number:
+            below = _float(token)
+            self.at, self.n = "divided", self.n / below if below else float("nan")
+        elif self.at in ("number", "divided") and token in UNITS:
+            self.at, self.unit = "done", token
+        else:
+            self.at = "stroke" if signs and self.at == "number" and token == "/" else "done"
+
+    def value(self, first: bool) -> float:
+        """Not a number if it has none, or if it comes first and is neither money nor a percentage."""
+        if self.n is None or first and not self.unit:
+            return float("nan")
+        return self.n * UNITS[self.unit] if self.unit == "%" or first else self.n
+
+
+def _float(token: str) -> float:
+    try:
+        return float(token.replace(",", ""))
+    except ValueError:
+        return float("nan")
+
+
+def walked(text: str | None, signs: bool) -> float | None:
+    """The value of a formula up to its first ``=``. With ``signs`` there are marks, fractions and terms: a plus or dash begins a term if
+    what goes before it is complete, i.e. no sign of multiplication, stroke or bracket that waits for more, and if a number, mark or
+    bracket follows."""
+    if text is None:
+        return None
+    tokens = _tokens("".join(text.partition("=")[0].split()))
+    total, sign, product, factors, factor, before = 0.0, 1.0, 1.0, 0, _Factor(), ""
+    for token, after in zip(tokens, [*tokens[1:], ""]):
+        begins = signs and token in ("+", "-") and before and before not in _WAITS and after and (after[0] in _DIGITS or after in MINUS or after == "(")
+        if begins or token in TIMES:
+            if factor.at != "new":
+                product, factors, factor = product * factor.value(not factors), factors + 1, _Factor()
+            if begins:
+                total, product = total + sign * (product if factors else float("nan")), 1.0
+                sign, factors, token = 1.0 if token == "+" else -1.0, 0, " "
+        else:
+            factor.read(token, before, signs)
+        before = token
+    if factor.at != "new":
+        product, factors = product * factor.value(not factors), factors + 1
+    total += sign * (product if factors else float("nan"))
+    return total / 1000 if total == total else None
+
+
+def _values(signs: bool):
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([walked(t, signs) for t in texts.to_pylist()], pa.float64())
+
+    return F.arrow_udf(of, "double")
 
 
 def main_value(formula: Column) -> Column:
     """``4,000,000원×2명×50%`` is 4000: what is left of ``=``, its factors multiplied. No signs, no fractions."""
-    return _walked(formula, signs=False)
+    return _values(False)(formula)
 
 
 def delta_value(formula: Column) -> Column:
-    """As :func:`main_value` with signs (△), fractions (6/12), and terms added or taken away: ``△740천원×7명×6/12개월`` is -2590.
-
-    A plus or minus begins a term if what goes before it is complete, i.e. no sign of multiplication, stroke or bracket that waits
-    for more, and if a number, mark or bracket follows.
-    """
-    return _walked(formula, signs=True)
+    """As :func:`main_value` with signs (△), fractions (6/12), and terms added or taken away: ``△740천원×7명×6/12개월`` is -2590."""
+    return _values(True)(formula)
 
 
 def name_and_formula(text: Column) -> tuple[Column, Column]:
