@@ -3,7 +3,7 @@
 Numbers, addresses and dates that are valid are replaced by a keyed permutation of their own format, a Feistel network of alternating
 halves: a card number becomes a card number with a right check digit, a date a date. The same value gives the same pseudonym
 wherever and however it is written, so documents stay linked, and no two values of a kind and length share one. The key is the
-caller's: whoever has it can undo the permutation.
+caller's: whoever has it can undo the permutation. It is the one row of a table, which a scalar subquery reads, so no plan shows it.
 """
 
 from __future__ import annotations
@@ -42,6 +42,11 @@ SHAPES = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -]
 FEW_GROUPS = r"^\d+(?:[ -]\d+){1,4}$"
 
 
+def held_key(spark: SparkSession, key: str) -> Column:
+    """The key as the value of a scalar subquery: plans, the UI and event logs name the subquery, not its value."""
+    return spark.createDataFrame([(key,)], "pseudonym_key string").scalar()
+
+
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -51,13 +56,13 @@ def luhn(x: Column) -> Column:
     return F.call_function("luhn_check", x)
 
 
-def _number(key: str, kind: Column | str, step: Column, seen: Column) -> Column:
+def _number(key: Column, kind: Column | str, step: Column, seen: Column) -> Column:
     """A keyed number below 2^52 of what a round sees of the other half."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, step.cast("string"), seen.cast("string")), 256), 1, 13), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", key, kind, step.cast("string"), seen.cast("string")), 256), 1, 13), 16, 10).cast("bigint")
 
 
-def feistel_numbers(left: Column, right: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
+def feistel_numbers(left: Column, right: Column, sizes: tuple[int, int], key: Column, kind: str) -> Column:
     """A keyed permutation of the pairs ``left`` below ``sizes[0]``, ``right`` below ``sizes[1]``."""
     a, b = sizes
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
@@ -69,7 +74,7 @@ def feistel_numbers(left: Column, right: Column, sizes: tuple[int, int], key: st
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def feistel_text(x: Column, key: str, kind: Column | str) -> Column:
+def feistel_text(x: Column, key: Column, kind: Column | str) -> Column:
     """A keyed permutation of texts that moves digits among digits and letters among letters of their case; the two halves take
     turns, and a round sees the other half in lower case, so that spellings stay linked."""
     name = F.lit(kind) if isinstance(kind, str) else kind
@@ -84,7 +89,7 @@ def feistel_text(x: Column, key: str, kind: Column | str) -> Column:
         return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(parts, moved), ""))
 
     def digest(step: Column, seen: Column, size: Column) -> Column:
-        return F.sha2(F.concat_ws("|", F.lit(key), name, size.cast("string"), step.cast("string"), F.lower(seen)), 256)
+        return F.sha2(F.concat_ws("|", key, name, size.cast("string"), step.cast("string"), F.lower(seen)), 256)
 
     def step(s: Column, i: Column) -> Column:
         size = F.length(s["l"]) + F.length(s["r"])
@@ -142,7 +147,7 @@ def _day(m: Column) -> Column:
     return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), n)
 
 
-def pseudonym(m: Column, kind: Column, key: str) -> Column:
+def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     """The pseudonym of a valid match of a kind."""
     card = let(digits(m), lambda d: let(F.concat(F.substr(d, F.lit(1), F.lit(1)), feistel_text(F.substr(d, F.lit(2), F.length(d) - 2), key, "card")), lambda x: refilled(m, F.concat(x, check_digit(x)))))
     # The country code stays. It is read from the digits alone, so that all spellings of a number have one pseudonym.
@@ -194,7 +199,7 @@ def text_pattern(text: Column) -> Column:
     return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), let(F.filter(valid_cards(text), lambda c: c.rlike(SHAPES)), both)).otherwise(found_pattern())
 
 
-def pseudonymised(text: Column, key: str) -> Column:
+def pseudonymised(text: Column, key: Column) -> Column:
     """``struct(text, found array<struct(kind, pseudonym)>)`` of a text: the same but for its valid matches.
 
     The text is cut at its matches and put together again, so only what was matched changes. Texts without a digit or an at sign
@@ -220,7 +225,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Defined results: null and empty texts stay as they are; what looks like a number but isn't valid stays; repeated rows are
     treated alike; an empty table gives none; other columns pass, but for one named ``found``, which is replaced.
     """
-    done = docs.withColumn("_done", pseudonymised(F.col(text), key))
+    keyed = docs.withColumn("_key", held_key(docs.sparkSession, key))
+    done = keyed.withColumn("_done", pseudonymised(F.col(text), F.col("_key"))).drop("_key")
     return done.withColumn(text, F.col("_done.text")).withColumn("found", F.col("_done.found")).drop("_done")
 
 

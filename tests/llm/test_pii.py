@@ -44,10 +44,10 @@ def run(spark, texts, **options):
 def test_text_permutation_against_slow_one(spark):
     rng = random.Random(1)
     values = ["", "7", "42", "ab", "A1.b-Z", *["".join(rng.choices("0123456789", k=n)) for n in range(3, 20)], "Long.Name_With-Many.Parts12345" * 3]
-    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", feistel_text(F.col("v"), KEY, "k").alias("p")).collect()
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", feistel_text(F.col("v"), F.lit(KEY), "k").alias("p")).collect()
     assert {r.v: r.p for r in rows} == {v: slow_feistel(v, "k") for v in values}
     every = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("v"))
-    assert every.select(feistel_text(F.col("v"), KEY, "k").alias("p")).distinct().count() == 10000
+    assert every.select(feistel_text(F.col("v"), F.lit(KEY), "k").alias("p")).distinct().count() == 10000
 
 
 def test_numbers_keep_their_format(spark):
@@ -163,3 +163,15 @@ def test_neighbouring_numbers_do_not_change_phones(spark):
     for a in ("{} 2020", "2020 {}", "{}-12", "{} 15 1234"):
         texts, found = run(spark, [a.replace("{}", p) for p in phones])
         assert texts == [a.replace("{}", n) for n in alone] and [[k for k, _ in f] for f in found] == [["phone"]] * 4
+
+
+def test_no_plan_holds_the_key(spark, capsys):
+    secret = "a key that nobody may read 4711"
+    docs = spark.createDataFrame([(1, "call +44 20 7946 0958 or 2001:db8::1, card 4111 1111 1111 1111", "x", "y")], "doc_id bigint, text string, found string, _n string")
+    done = pseudonymise(docs, secret)
+    done.collect()
+    for mode in ("extended", "formatted", "codegen"):
+        done.explain(mode)
+    plans = done._jdf.queryExecution()
+    shown = plans.toString() + plans.executedPlan().treeString() + capsys.readouterr().out
+    assert len(shown) > 10_000 and secret not in shown and "Python" not in plans.executedPlan().toString()
