@@ -1,13 +1,16 @@
 """Benchmark decontamination: windows of an item's size whose weighted shingles are the item's to 0.8 or more.
 
-Every window of an item's size that shares enough shingles with an item to be similar to it, which running sums tell for all windows
-at once, gets a SimHash fingerprint of its words and word pairs. The items' fingerprints are in a multi-index: 64 bits in five blocks,
-each block's table holding every value within three bits of an item's, so that every fingerprint within 19 bits is met in one of them.
-Windows that meet an item there are verified: similarity is the weighted Jaccard of two word runs, in which five-word shingles count
-as often as they occur (a run of fewer words is one shingle).
-
-A window's fingerprint differs from that of an item of similarity 0.8 in some nine bits; the radius leaves out none of thousands of
-windows just above the limit. Items of fewer than ten words have too few features for that; their fingerprints choose nothing.
+Every window of an item's size gets a SimHash fingerprint of its words and word pairs, by running sums. The items' fingerprints are in a
+multi-index: 64 bits in five blocks, each block's table holding every value within three bits of an item's, so that every fingerprint
+within 19 bits is met in one of them. Windows that meet an item there within that radius are verified: similarity is the weighted Jaccard
+of two word runs, in which five-word shingles count as often as they occur (a run of fewer words is one shingle).
+
+A window is passed over without a fingerprint only where it can't be similar to any item of its size: each word that no such item has
+leaves at least one more of the window's shingles without a partner.
+
+A fingerprint of few different words tells little: rotated refrains of two to four words have fingerprints far apart. Items of fewer than
+ten different words are therefore met by all windows that can be similar to them, whatever their fingerprints. Of others the radius leaves
+out few of the windows just above the limit: none of the thousands in the tests.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Kept, read
 
-SHINGLE, SIMILAR, BLOCKS, FLIPS, SHORT = 5, 0.8, (13, 13, 13, 13, 12), 3, 10
+SHINGLE, SIMILAR, BLOCKS, FLIPS, FEW = 5, 0.8, (13, 13, 13, 13, 12), 3, 10
 #: Bits within which the multi-index meets every fingerprint: any more in all blocks would be one more than flips in each.
 RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
 #: Characters of items that one pass over the documents uses, in some 20 MB of index; a larger benchmark takes several passes.
@@ -67,39 +70,42 @@ def block_values(prints: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def spare_words(n: int, size: int) -> int:
+    """How many words of a window of ``n`` words may be in no item of ``size`` words, if it is to be similar to one; below 0: it can't be."""
+    width = min(SHINGLE, size)
+    own, all_ = n - width + 1, n + size - 2 * width + 2
+    return -1 if own < 1 else int(np.floor(own - SIMILAR / (1 + SIMILAR) * all_ + 1e-6))
+
+
 class Index:
-    """Items by shingle, and by fingerprint among those of one size."""
+    """Items by fingerprint among those of one size."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, w) for i, t in items if (w := split_words(t))]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
+        self.hashes = np.concatenate(([np.uint64(0)], word_hashes(list(self.vocabulary))))
         self.shingles, self.sizes = [], [len(w) for _, w in self.items]
-        holders: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        self.prints = np.zeros(len(self.items), np.uint64)
+        self.prints, self.own = np.zeros(len(self.items), np.uint64), []
+        strong: dict[int, list[int]] = defaultdict(list)
+        self.weak: list[int] = []
         for k, (_, words) in enumerate(self.items):
-            width = min(SHINGLE, len(words))
-            grams = rolled(np.array([self.vocabulary[w] for w in words], np.uint64), width)
-            self.shingles.append(Counter(grams.tolist()))
-            own = np.unique(grams)
-            holders[width][0].append(own)
-            holders[width][1].append(np.full(len(own), k))
+            ids = np.array([self.vocabulary[w] for w in words], np.uint64)
+            self.shingles.append(Counter(rolled(ids, min(SHINGLE, len(words))).tolist()))
             self.prints[k] = window_prints(word_hashes(words), np.array([0]), len(words))[0]
-        self.words, self.totals = np.array(self.sizes, np.int64), np.array([c.total() for c in self.shingles], np.int64)
-        #: For each width of shingle: the shingles, sorted, where each one's items begin, and the items.
-        self.holders = {}
-        for width, (grams, items_) in holders.items():
-            each, k = np.concatenate(grams), np.concatenate(items_)
-            order = np.argsort(each, kind="stable")
-            known, first = np.unique(each[order], return_index=True)
-            self.holders[width] = known, np.append(first, len(each)), k[order]
+            self.own.append(np.unique(ids))
+            if len(self.own[k]) < FEW:
+                self.weak.append(k)
+            else:
+                strong[len(words)].append(k)
+        #: Items with enough different words, by size, smallest first.
+        self.strong = {n: np.array(ks) for n, ks in sorted(strong.items())}
 
     @cached_property
     def tables(self) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
         """By size of item and block: values, sorted, and the items whose fingerprint has them or one within three bits of them."""
         flips = [np.array([sum(1 << f for f in fs) for n in range(FLIPS + 1) for fs in itertools.combinations(range(bits), n)], np.int64) for bits in BLOCKS]
-        sizes, out = np.array(self.sizes), {}
-        for size in set(self.sizes):
-            items = np.flatnonzero(sizes == size)
+        out: dict[int, list] = {}
+        for size, items in self.strong.items():
             out[size] = []
             for values, masks in zip(block_values(self.prints[items]), flips):
                 each = (values[:, None] ^ masks[None, :]).ravel()
@@ -107,58 +113,58 @@ class Index:
                 out[size].append((each[order], np.repeat(items, len(masks))[order]))
         return out
 
-    def meets(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Which fingerprints the multi-index leads to an item: all within ``RADIUS`` bits, and some beyond."""
-        hit = np.zeros(len(prints), bool)
-        for values, (known, items) in zip(block_values(prints), self.tables[self.sizes[item]]):
+    def met(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of fingerprints and items of a size that the multi-index leads to within ``RADIUS`` bits: all there are."""
+        places, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for values, (known, held) in zip(block_values(prints), self.tables[size]):
             low, high = np.searchsorted(known, values), np.searchsorted(known, values, "right")
             n = high - low
-            places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            hit |= np.bincount(np.repeat(np.arange(len(prints)), n), items[places] == item, len(prints)) > 0
-        return hit
+            places.append(np.repeat(np.arange(len(prints)), n))
+            items.append(held[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        at, item = np.concatenate(places), np.concatenate(items)
+        near = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
+        both = np.unique(at[near] * len(self.items) + item[near])
+        return both // len(self.items), both % len(self.items)
 
     def search(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
         """``item_id, first word, words, similarity, distance`` of the best window for each item that the text holds."""
         words = split_words(text)
         ids = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.uint64, len(words))
-        best: dict[int, tuple] = {}
-        for width, (known, first, items) in self.holders.items():
-            if len(ids) < width:
-                continue
-            whole = np.convolve(ids == 0, np.ones(width, np.int8), "valid") == 0
-            if not whole.any():
-                continue
-            grams = rolled(ids, width)
-            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            place = np.where(whole & (known[at] == grams), at, -1)  # number of the shingle at each word
-            met, often = np.unique(place[place >= 0], return_counts=True)
-            if not len(met):
-                continue
-            n = first[met + 1] - first[met]
-            held = items[np.repeat(first[met] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            total = np.bincount(held, np.repeat(often, n), len(self.items))
-            most = np.minimum(total, np.minimum(self.words, len(ids)) - width + 1)
-            for k in np.flatnonzero((total > 0) & (most >= SIMILAR * (np.minimum(self.words, len(ids)) - width + 1 + self.totals - most) - 1e-6)).tolist():
-                size = min(self.sizes[k], len(ids))
-                places, all_ = size - width + 1, size - width + 1 + self.shingles[k].total()
-                own = np.isin(place, np.searchsorted(known, np.fromiter(self.shingles[k], np.uint64)))
-                sums = np.concatenate([[0], np.cumsum(own)])
-                most = sums[places:] - sums[:-places]
-                starts = np.flatnonzero(most >= SIMILAR * (all_ - most) - 1e-6)
-                if not len(starts):
-                    continue
-                low, high = int(starts[0]), int(starts[-1]) + size
-                prints = window_prints(word_hashes(words[low:high]), starts - low, size)
-                if size >= SHORT and size == self.sizes[k]:
-                    met_there = self.meets(prints, k)
-                    starts, prints = starts[met_there], prints[met_there]
-                near = np.array([self.similarity(k, ids[a:a + size]) for a in starts.tolist()])
-                if len(near) and near.max() >= SIMILAR:
-                    first = np.flatnonzero(near == near.max())
-                    distance = np.bitwise_count(prints[first] ^ self.prints[k])
-                    j = int(np.argmin(distance))
-                    best[k] = float(near.max()), int(distance[j]), int(starts[first[j]]), size
-        return [(self.items[k][0], a, size, s, d) for k, (s, d, a, size) in sorted(best.items())]
+        if not ids.any():
+            return []
+        prints = Prints(ids, words, self.hashes)
+        found: dict[int, list[tuple[float, int, int, int]]] = defaultdict(list)
+
+        def verify(starts: np.ndarray, n: int, ks: np.ndarray, own: np.ndarray) -> None:
+            for a, k, p in zip(starts.tolist(), ks.tolist(), own):
+                near = self.similarity(k, ids[a:a + n])
+                if near >= SIMILAR:
+                    found[k].append((-near, int(np.bitwise_count(p ^ self.prints[k])), a, n))
+
+        foreign = np.concatenate(([0], np.cumsum(ids == 0)))
+        for size in self.strong if self._some(foreign) else ():
+            n = min(size, len(ids))
+            starts = np.flatnonzero(foreign[n:] - foreign[:-n] <= spare_words(n, size))
+            if len(starts):
+                own = prints.of(starts, n)
+                at, ks = self.met(own, size)
+                verify(starts[at], n, ks, own[at])
+        for k in self.weak:
+            n = min(self.sizes[k], len(ids))
+            other = np.concatenate(([0], np.cumsum(~np.isin(ids, self.own[k]))))
+            starts = np.flatnonzero(other[n:] - other[:-n] <= spare_words(n, self.sizes[k]))
+            if len(starts):
+                verify(starts, n, np.full(len(starts), k), prints.of(starts, n))
+        best = {k: min(hits) for k, hits in found.items()}
+        return [(self.items[k][0], a, n, -s, d) for k, (s, d, a, n) in sorted(best.items())]
+
+    def _some(self, foreign: np.ndarray) -> bool:
+        """Whether any window can be similar: of a large window that can, one of its parts as small as the smallest one has few foreign words."""
+        sizes = list(self.strong)
+        if not sizes or len(foreign) - 1 < sizes[-1]:
+            return bool(sizes)
+        least = sizes[0]
+        return bool((foreign[least:] - foreign[:-least]).min() <= max(spare_words(n, n) // (n // least) for n in sizes))
 
     def similarity(self, item: int, ids: np.ndarray) -> float:
         own, width = self.shingles[item], min(SHINGLE, self.sizes[item])
@@ -169,6 +175,31 @@ class Index:
         return shared / (len(ids) - width + 1 + own.total() - shared)
 
 
+class Prints:
+    """Fingerprints of windows of a text, whose running sums are made once, when the first window is asked for."""
+
+    def __init__(self, ids: np.ndarray, words: list[str], known: np.ndarray):
+        self.ids, self.words, self.known = ids, words, known
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """The words' hashes: those of items' words are known."""
+        h = self.known[self.ids.astype(np.int64)]
+        other = np.flatnonzero(self.ids == 0)
+        h[other] = word_hashes([self.words[k] for k in other.tolist()])
+        return h
+
+    def of(self, starts: np.ndarray, n: int, together: int = 4096) -> np.ndarray:
+        """Those of the ``n`` words from each of the ascending starts; starts that are near each other share running sums."""
+        out, cut = [], np.flatnonzero(np.diff(starts, prepend=starts[0]) > 2 * n)
+        for part in np.split(starts, cut):
+            for at in range(0, len(part), together):
+                some = part[at:at + together]
+                low, high = int(some[0]), int(some[-1]) + n
+                out.append(window_prints(self.hashes[low:high], some - low, n))
+        return np.concatenate(out)
+
+
 def rolled(ids: np.ndarray, width: int) -> np.ndarray:
     """One number for each run of ``width`` words."""
     n, out = len(ids) - width + 1, np.zeros(max(0, len(ids) - width + 1), np.uint64)
