@@ -19,7 +19,7 @@ import itertools
 import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,7 @@ def block_values(prints: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+@cache
 def spare_words(n: int, size: int) -> int:
     """How many words of a window of ``n`` words may be in no item of ``size`` words, if it is to be similar to one; below 0: it can't be."""
     width = min(SHINGLE, size)
@@ -84,13 +85,14 @@ class Index:
         self.items = [(i, w) for i, t in items if (w := split_words(t))]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.hashes = np.concatenate(([np.uint64(0)], word_hashes(list(self.vocabulary))))
-        self.shingles, self.sizes = [], [len(w) for _, w in self.items]
+        self.shingles, self.grams, self.sizes = [], [], [len(w) for _, w in self.items]
         self.prints, self.own = np.zeros(len(self.items), np.uint64), []
         strong: dict[int, list[int]] = defaultdict(list)
         self.weak: list[int] = []
         for k, (_, words) in enumerate(self.items):
             ids = np.array([self.vocabulary[w] for w in words], np.uint64)
             self.shingles.append(Counter(rolled(ids, min(SHINGLE, len(words))).tolist()))
+            self.grams.append(np.array(sorted(self.shingles[k]), np.uint64))
             self.prints[k] = window_prints(word_hashes(words), np.array([0]), len(words))[0]
             self.own.append(np.unique(ids))
             if len(self.own[k]) < FEW:
@@ -99,6 +101,10 @@ class Index:
                 strong[len(words)].append(k)
         #: Items with enough different words, by size, smallest first.
         self.strong = {n: np.array(ks) for n, ks in sorted(strong.items())}
+        #: For each size whether its items have a word, by the word's number.
+        self.known = {n: np.isin(np.arange(len(self.hashes)), np.concatenate([self.own[k] for k in ks])) for n, ks in self.strong.items()}
+        #: Of a large window that can be similar, one of its parts as small as the smallest item has no more foreign words than this.
+        self.most_foreign = max((spare_words(n, n) // (n // min(self.strong)) for n in self.strong), default=-1)
 
     @cached_property
     def tables(self) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
@@ -135,36 +141,50 @@ class Index:
         prints = Prints(ids, words, self.hashes)
         found: dict[int, list[tuple[float, int, int, int]]] = defaultdict(list)
 
-        def verify(starts: np.ndarray, n: int, ks: np.ndarray, own: np.ndarray) -> None:
-            for a, k, p in zip(starts.tolist(), ks.tolist(), own):
+        def verify(k: int, starts: np.ndarray, n: int, own: np.ndarray) -> None:
+            """Windows with enough shingles that the item has, by running sums, are compared in full."""
+            grams, low = rolled(ids[starts[0]:starts[-1] + n], min(SHINGLE, self.sizes[k])), int(starts[0])
+            sums = np.concatenate(([0], np.cumsum(np.isin(grams, self.grams[k]))))
+            places = n - min(SHINGLE, self.sizes[k]) + 1
+            shared = sums[starts - low + places] - sums[starts - low]
+            likely = np.flatnonzero(shared >= SIMILAR * (places + self.shingles[k].total() - shared) - 1e-6)
+            for a, p in zip(starts[likely].tolist(), own[likely]):
                 near = self.similarity(k, ids[a:a + n])
                 if near >= SIMILAR:
                     found[k].append((-near, int(np.bitwise_count(p ^ self.prints[k])), a, n))
 
-        foreign = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size in self.strong if self._some(foreign) else ():
-            n = min(size, len(ids))
-            starts = np.flatnonzero(foreign[n:] - foreign[:-n] <= spare_words(n, size))
-            if len(starts):
-                own = prints.of(starts, n)
-                at, ks = self.met(own, size)
-                verify(starts[at], n, ks, own[at])
+        foreign = np.concatenate(([0], np.cumsum(ids == 0, dtype=np.int32)))
+        for low, high in self._parts(foreign):
+            for size in self.strong:
+                n, inner = min(size, len(ids)), foreign[low:high + 1]
+                spare, there = spare_words(n, size), inner[n:] - inner[:-n]
+                if there.min() > spare:
+                    continue
+                starts = np.flatnonzero(there <= spare)
+                other = np.concatenate(([0], np.cumsum(~self.known[size][ids[low:high]])))
+                starts = low + starts[other[starts + n] - other[starts] <= spare]
+                if len(starts):
+                    own = prints.of(starts, n)
+                    at, ks = self.met(own, size)
+                    for k in np.unique(ks).tolist():
+                        verify(k, starts[at[ks == k]], n, own[at[ks == k]])
         for k in self.weak:
             n = min(self.sizes[k], len(ids))
             other = np.concatenate(([0], np.cumsum(~np.isin(ids, self.own[k]))))
             starts = np.flatnonzero(other[n:] - other[:-n] <= spare_words(n, self.sizes[k]))
             if len(starts):
-                verify(starts, n, np.full(len(starts), k), prints.of(starts, n))
+                verify(k, starts, n, prints.of(starts, n))
         best = {k: min(hits) for k, hits in found.items()}
         return [(self.items[k][0], a, n, -s, d) for k, (s, d, a, n) in sorted(best.items())]
 
-    def _some(self, foreign: np.ndarray) -> bool:
-        """Whether any window can be similar: of a large window that can, one of its parts as small as the smallest one has few foreign words."""
-        sizes = list(self.strong)
-        if not sizes or len(foreign) - 1 < sizes[-1]:
-            return bool(sizes)
-        least = sizes[0]
-        return bool((foreign[least:] - foreign[:-least]).min() <= max(spare_words(n, n) // (n // least) for n in sizes))
+    def _parts(self, foreign: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of a text that hold all windows that can be similar, by the windows of the smallest size."""
+        n, sizes = len(foreign) - 1, list(self.strong)
+        if not sizes or n < sizes[-1]:
+            return [(0, n)] * bool(sizes)
+        at = np.flatnonzero(foreign[sizes[0]:] - foreign[:-sizes[0]] <= self.most_foreign)
+        ends = np.flatnonzero(np.diff(at, append=2 * n + 4 * sizes[-1]) > 2 * sizes[-1])
+        return [(max(0, int(at[a]) - sizes[-1]), min(n, int(at[z]) + sizes[0] + sizes[-1])) for a, z in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())] if len(at) else []
 
     def similarity(self, item: int, ids: np.ndarray) -> float:
         own, width = self.shingles[item], min(SHINGLE, self.sizes[item])
