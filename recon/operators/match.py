@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import match_key, squeeze, strip
+from .tree import _joined
 
 
 def unique_by(df: DataFrame, key: Column, name: str = "_key") -> DataFrame:
@@ -79,58 +83,143 @@ def nearest_candidate(candidates: Column, other: Column, tolerance: float = 1.0)
     return F.when(best.isNotNull() & other.isNotNull(), F.struct((best["gap"] <= tolerance).alias("ok"), best["label"].alias("label"), best["value"].alias("value")))
 
 
-def diff_one_to_one(made: DataFrame, got: DataFrame, keys: list[str], code: str) -> DataFrame:
-    """Rows of one side that no row of the other answers, one for one: ``keys, code, side``.
+def diff_one_to_one(made: DataFrame, got: DataFrame, keys: list[str], code: str, amount: str | None = None, tolerance: float = 0.5) -> DataFrame:
+    """Rows of one side that no row of the other answers, one for one: ``keys, code, side`` (and ``amount``).
 
-    Rows are paired by key, code and their number among equal ones; a made row without a code then takes any row left with its key.
-    Coded rows are matched first, so a row without a code never takes what a coded one needs.
+    Rows answer each other if key and code are equal; a made row without a code then takes any row left with its key, the first codes
+    first. Coded rows are matched first, so a row without a code never takes what a coded one needs. With ``amount`` rows also have to
+    be nearer than the tolerance in it, and as many are paired as can be. Rows are counted, not numbered: a key that is repeated very
+    often is one row. Nulls are equal to each other; an empty code is none; an empty side answers nothing.
     """
-    def numbered(df: DataFrame, *by: str) -> DataFrame:
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.coalesce(code, F.lit("")))))
+    none = F.coalesce(code, F.lit("")) == ""
+    by = [*keys, "_code", *([amount] if amount else [])]
+    m, g = (df.select(*keys, F.when(~none, F.col(code)).alias("_code"), *([amount] if amount else [])) for df in (made, got))
+    coded = _counted(m.where("_code is not null"), g, by)
+    coded = _nearest(coded, [*keys, "_code"], amount, tolerance) if amount else _answered(coded)
+    loose = coded.where("n_r > 0").select(*by, F.lit(0).cast("bigint").alias("n_l"), "n_r").unionByName(m.where("_code is null").groupBy(*by).agg(F.count(F.lit(1)).alias("n_l")).withColumn("n_r", F.lit(0).cast("bigint")))
+    left = _nearest(loose, keys, amount, tolerance, "_code") if amount else _taken(loose, keys)
+    lost = coded.where("n_l > 0").withColumn("n_r", F.lit(0).cast("bigint")).unionByName(left)
+    each = _each(lost, by)
+    return each.select(*keys, F.coalesce("_code", F.lit("")).alias(code), *([amount] if amount else []), F.when(F.col("side") == "left", "made").otherwise("got").alias("side"))
 
-    m, g = made.select(*keys, code), got.select(*keys, code)
-    coded, blank = m.where(F.coalesce(code, F.lit("")) != ""), m.where(F.coalesce(code, F.lit("")) == "")
-    on = [*keys, code, "_n"]
-    a, b = numbered(coded, *keys, code), numbered(g, *keys, code)
-    lost, left = a.join(b, on, "left_anti"), b.join(a, on, "left_anti").drop("_n")
-    loose = [*keys, "_n"]
-    x, y = numbered(blank, *keys), numbered(left, *keys)
-    gone, more = x.join(y, loose, "left_anti"), y.join(x, loose, "left_anti")
-    return lost.select(*keys, code, F.lit("made").alias("side")).unionByName(gone.select(*keys, code, F.lit("made").alias("side"))).unionByName(more.select(*keys, code, F.lit("got").alias("side")))
+
+def _counted(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``by, n_l, n_r``: how often each row is on each side; nulls are equal."""
+    both = left.select(*by, F.lit(1).alias("_s")).unionByName(right.select(*by, F.lit(0).alias("_s")))
+    return both.groupBy(*by).agg(F.sum("_s").cast("bigint").alias("n_l"), F.sum(1 - F.col("_s")).cast("bigint").alias("n_r"))
+
+
+def _answered(counted: DataFrame) -> DataFrame:
+    """What equal rows leave of each side."""
+    both = F.least("n_l", "n_r")
+    return counted.withColumns({"n_l": F.col("n_l") - both, "n_r": F.col("n_r") - both}).where("n_l + n_r > 0")
+
+
+def _taken(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left when the left rows of each key take its right rows in the order of their codes."""
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n_r").over(w.orderBy(F.asc_nulls_first("_code")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = rows.withColumns({"_want": F.sum("n_l").over(w), "_have": F.sum("n_r").over(w), "_before": before})
+    right = F.greatest(F.lit(0), F.least("n_r", F.col("_before") + F.col("n_r") - F.col("_want")))
+    return at.withColumns({"n_l": F.when(F.col("n_l") > 0, F.greatest(F.lit(0), F.col("n_l") - F.col("_have"))).otherwise(0).cast("bigint"), "n_r": right.cast("bigint")}).drop("_want", "_have", "_before").where("n_l + n_r > 0")
+
+
+def _each(counted: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each that is counted, with its side."""
+    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("n_l").alias("n")), F.struct(F.lit("right").alias("side"), F.col("n_r").alias("n"))))
+    rows = counted.select(*by, sides.alias("_x")).where("_x.n > 0")
+    return rows.select(*by, F.col("_x.side").alias("side"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_x.n")))).drop("col")
 
 
 def multiset_gap(left: DataFrame, right: DataFrame, amount: str | None = None, tolerance: float = 0.5) -> DataFrame:
     """Rows that one side has more often than the other: the columns, and ``side``.
 
-    With ``amount`` rows are equal if their other columns are and their amounts nearer than the tolerance, one for one: rows that are
-    equal in full answer each other first, then by place those of one rounded amount, then those of one amount rounded down. Nulls
-    equal nothing but nulls.
+    With ``amount`` rows are equal if their other columns are and their amounts nearer than the tolerance, one for one, and as many are
+    paired as can be. Nulls equal nothing but nulls; rows are counted, so that one repeated very often is one row.
     """
-    lost, more = left.exceptAll(right), right.exceptAll(left)
-    if amount:
-        keys = [c for c in left.columns if c != amount]
-        for cell in (F.bround(amount), F.floor(amount)):
-            lost, more = _unpaired(lost, more, keys, amount, cell, tolerance)
-    return lost.withColumn("side", F.lit("left")).unionByName(more.withColumn("side", F.lit("right")))
-
+    if not amount:
+        return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    keys = [c for c in left.columns if c != amount]
+    return _each(_nearest(_counted(left, right, [*keys, amount]), keys, amount, tolerance), left.columns)
 
-def _unpaired(lost: DataFrame, more: DataFrame, keys: list[str], amount: str, cell: Column, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Both sides without the pairs of rows that have the same place among those of their keys and cell and are near."""
-    n = len(keys)
 
-    def placed(df: DataFrame, side: str) -> DataFrame:
-        numbered = df.withColumn("_c", cell).withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(amount)))
-        return numbered.select(*[F.col(c).alias(f"{side}{k}") for k, c in enumerate([*keys, "_c", "_i", amount])])
+#: Tolerances in a cell of amounts, within which runs of neighbours are told by one window.
+CELL = 1024
 
-    on = reduce(lambda p, q: p & q, [F.col(f"_a{k}").eqNullSafe(F.col(f"_b{k}")) for k in range(n + 2)])
-    near = F.coalesce(F.abs(F.col(f"_a{n + 2}") - F.col(f"_b{n + 2}")) < tolerance, F.lit(False))
-    both = placed(lost, "_a").join(placed(more, "_b"), on, "full_outer").where(~near)
 
-    def side(s: str) -> DataFrame:
-        named = {c: F.col(f"{s}{k if k < n else n + 2}").alias(c) for k, c in enumerate([*keys, amount])}
-        return both.where(F.col(f"{s}{n + 1}").isNotNull()).select(*[named[c] for c in lost.columns])
+def _nearest(counted: DataFrame, keys: list[str], amount: str, tolerance: float, label: str | None = None) -> DataFrame:
+    """``counted(keys, amount, n_l, n_r)``, and a ``label`` of rows where there is one, without the pairs of a greatest matching of left
+    and right rows whose amounts are nearer than ``tolerance``.
 
-    return side("_a"), side("_b")
+    The amounts of a key are a line, on which the least row of one side and the least of the other are paired if they are near, else the
+    lesser one is left: that pairs as many as any matching can. Where two neighbours are not near nothing pairs across, so a key is cut
+    there into runs; a run with one amount or of one side needs no walk.
+    """
+    runs = _runs(counted, keys, amount, tolerance).where(f"`{amount}` is not null")
+    per = [*keys, "_run"]
+    size = runs.groupBy(*per).agg((F.count_distinct(amount) if label is None else F.count(F.lit(1))).alias("_n"), F.sum("n_l").alias("_l"), F.sum("n_r").alias("_r"))
+    known = _joined(runs, size, per)
+    plain, walk = (known.where(c).drop("_n", "_l", "_r") for c in ("_n = 1 or _l = 0 or _r = 0", "not (_n = 1 or _l = 0 or _r = 0)"))
+    order = [amount, *([label] if label else [])]
+    columns = [f for f in counted.schema if f.name not in ("n_l", "n_r")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns), "n_l bigint", "n_r bigint"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order; those that wait for a partner are all of one side."""
+        last, waiting, where = None, deque(), 0
+        for b in batches:
+            out: list[tuple] = []
+            rows = list(zip(*(b.column(f.name).to_pylist() for f in columns)))
+            at = [f.name for f in columns].index(amount)
+            for row, key, n_l, n_r in zip(rows, zip(*(b.column(k).to_pylist() for k in per)), b.column("n_l").to_pylist(), b.column("n_r").to_pylist()):
+                if key != last:
+                    out += [(*r, *((n, 0) if where == 0 else (0, n))) for r, n in waiting]
+                    last, waiting = key, deque()
+                while waiting and float(row[at]) - float(waiting[0][0][at]) >= tolerance:
+                    r, n = waiting.popleft()
+                    out.append((*r, *((n, 0) if where == 0 else (0, n))))
+                here = [n_l, n_r]
+                while waiting and here[1 - where]:
+                    r, n = waiting.popleft()
+                    pairs = min(n, here[1 - where])
+                    here[1 - where] -= pairs
+                    if n > pairs:
+                        waiting.appendleft((r, n - pairs))
+                pairs = min(here)
+                here = [here[0] - pairs, here[1] - pairs]
+                for side in (0, 1):
+                    if here[side]:
+                        where = side if not waiting else where
+                        waiting.append((row, here[side]))
+            yield _batch(out, b, columns)
+        if waiting:
+            yield _batch([(*r, *((n, 0) if where == 0 else (0, n))) for r, n in waiting], b, columns)
+
+    walked = walk.repartition(*per).sortWithinPartitions(*per, *order).mapInArrow(pair, schema)
+    empty = _answered(counted.where(F.col(amount).isNull()))
+    names = [f.name for f in columns]
+    return _answered(plain.select(*names, "n_l", "n_r")).unionByName(walked).unionByName(empty.select(*names, "n_l", "n_r"))
+
+
+def _batch(rows: list[tuple], like: pa.RecordBatch, columns: list) -> pa.RecordBatch:
+    kinds = [like.schema.field(f.name).type for f in columns] + [pa.int64()] * 2
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [*(f.name for f in columns), "n_l", "n_r"])
+
+
+def _runs(rows: DataFrame, keys: list[str], amount: str, tolerance: float) -> DataFrame:
+    """``rows`` with ``_run``: a number for the neighbours on a key's line that are nearer than the tolerance, one after the other.
+
+    Gaps are counted within cells of amounts, then between the cells of a key, which are few; so no window holds a key with many amounts.
+    """
+    x = rows.withColumns({"_a": F.col(amount).cast("double"), "_cell": F.floor(F.col(amount).cast("double") / (tolerance * CELL))})
+    inner = Window.partitionBy(*keys, "_cell").orderBy("_a")
+    x = x.withColumn("_gap", F.coalesce((F.col("_a") - F.lag("_a").over(inner) >= tolerance).cast("int"), F.lit(0)))
+    x = x.withColumn("_inner", F.sum("_gap").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = x.groupBy(*keys, "_cell").agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"), F.max("_inner").alias("_gaps"))
+    outer = Window.partitionBy(*keys).orderBy("_cell")
+    step = F.coalesce((F.col("_lo") - F.lag("_hi").over(outer) >= tolerance).cast("int"), F.lit(0)) + F.coalesce(F.lag("_gaps").over(outer), F.lit(0))
+    cells = cells.withColumn("_step", step).withColumn("_base", F.sum("_step").over(outer.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "_cell", "_base")
+    return _joined(x, cells, [*keys, "_cell"]).withColumn("_run", F.col("_base") + F.col("_inner")).drop("_a", "_cell", "_gap", "_inner", "_base")
 
 
 def families(one: DataFrame, two: DataFrame, keys: list[str], amount: str, tolerance: float = 1.0) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from recon.operators import codes, dims, match, rounds
@@ -24,6 +27,59 @@ def test_rows_without_a_code_take_what_coded_ones_leave(spark):
     assert {(r.name, r.code, r.side) for r in rows} == {("b", "Y", "made"), ("b", "Q", "got")}
 
 
+def greatest(left, right, near):
+    """How many pairs the greatest matching has, by augmenting paths."""
+    partner = {}
+
+    def find(i, seen):
+        for j, y in enumerate(right):
+            if j not in seen and near(left[i], y):
+                seen.add(j)
+                if j not in partner or find(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    return sum(find(i, set()) for i in range(len(left)))
+
+
+def test_as_many_amounts_are_paired_as_can_be(spark):
+    rng, left, right = random.Random(2), [], []
+    for key in [None, *range(60)]:
+        spread = rng.choice([1, 3, 10, 2000])
+        left += [(key, rng.choice([round(rng.random() * spread, 2), None, -3.0]) if rng.random() < 0.9 else 0.25) for _ in range(rng.randrange(9))]
+        right += [(key, rng.choice([round(rng.random() * spread, 2), None, -3.4]) if rng.random() < 0.9 else 0.25) for _ in range(rng.randrange(9))]
+    a, b = (spark.createDataFrame(x, "k int, amount double") for x in (left, right))
+    got = [tuple(r) for r in match.multiset_gap(a, b, "amount").collect()]
+    for key in [None, *range(60)]:
+        sides = [[x for k, x in rows if k == key] for rows in (left, right)]
+        near = lambda x, y: x is None and y is None or None not in (x, y) and abs(x - y) < 0.5
+        pairs = greatest(*sides, near)
+        lost, more = ([x for k, x, s in got if k == key and s == side] for side in ("left", "right"))
+        assert len(lost) == len(sides[0]) - pairs and len(more) == len(sides[1]) - pairs
+        assert not Counter(lost) - Counter(sides[0]) and not Counter(more) - Counter(sides[1]) and greatest(lost, more, near) == 0
+    pieces = match.multiset_gap(spark.createDataFrame([(1, 1.05), (1, 1.40)], "k int, amount double"), spark.createDataFrame([(1, 1.58)], "k int, amount double"), "amount").collect()
+    assert [(r.amount, r.side) for r in pieces] == [(1.05, "left")] or [(r.amount, r.side) for r in pieces] == [(1.40, "left")]
+    assert match.multiset_gap(a.limit(0), b.limit(0), "amount").count() == 0
+
+
+def test_a_key_with_very_many_amounts_is_cut_into_runs(spark):
+    a = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 2).cast("double").alias("amount"))
+    b = a.where("amount % 10 <> 0").select("k", (F.col("amount") + 0.25).alias("amount")).union(a.limit(1).select("k", F.lit(-7.0)))
+    got = match.multiset_gap(a, b, "amount")
+    assert got.groupBy("side").count().orderBy("side").collect() == [("left", 4000), ("right", 1)]
+    runs = match._runs(a.withColumns({"n_l": F.lit(1), "n_r": F.lit(0)}), ["k"], "amount", 0.5)
+    assert runs.select("_run").distinct().count() == 20_000
+
+
+def test_rows_of_near_amounts_answer_each_other_by_code(spark):
+    cols = "name string, code string, amount double"
+    made = spark.createDataFrame([("a", "", 1.0), ("a", "X", 1.3), ("a", None, 5.0), ("b", "Y", 2.0), ("c", "Z", 3.0)], cols)
+    got = spark.createDataFrame([("a", "X", 1.0), ("a", "W", 1.2), ("a", "V", 5.6), ("b", "Y", 2.5), ("c", "Z", 3.4)], cols)
+    rows = match.diff_one_to_one(made, got, ["name"], "code", "amount").collect()
+    assert {(r.name, r.code, r.amount, r.side) for r in rows} == {("a", "", 5.0, "made"), ("a", "V", 5.6, "got"), ("b", "Y", 2.0, "made"), ("b", "Y", 2.5, "got")}
+
+
 def test_prefix_cards(spark):
     projects = spark.createDataFrame([(1, "유-보-초 이음교육 운영"), (2, "영유아교육내실화 지원"), (3, "다른 것")], "project_no int, name string")
     cards = spark.createDataFrame([(5, "유보초이음교육운영(특교포함)"), (6, "영유아교육내실화"), (7, "놀고 있음")], "card_no int, name string")
