@@ -100,8 +100,8 @@ def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 WITH p AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, (o_orderkey // 3) % 2 AS s FROM orders),
 t AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY key ORDER BY i) OR lag(s) OVER (PARTITION BY key ORDER BY i) IS NULL THEN 1 ELSE 0 END AS begins FROM p),
 g AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY i) AS part FROM t),
-n AS (SELECT *, row_number() OVER (PARTITION BY key, part ORDER BY i) AS at, count(*) OVER (PARTITION BY key, part) AS size FROM g)
-SELECT key, round(i * 0.4, 1)::DOUBLE AS amount, CASE WHEN s = 0 THEN 'left' ELSE 'right' END AS side FROM n WHERE size % 2 = 1 AND at = size""")
+n AS (SELECT *, row_number() OVER (PARTITION BY key, part ORDER BY i) AS k, count(*) OVER (PARTITION BY key, part) AS m FROM g)
+SELECT key, round(i * 0.4, 1)::DOUBLE AS amount, CASE WHEN s = 0 THEN 'left' ELSE 'right' END AS side FROM n WHERE m % 2 = 1 AND k = m""")
 def nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts of a customer on a line, 0.4 apart, each of one side or the other: only neighbours are near, so where sides take turns every
     second one is paired, and of an odd number the last is left."""
