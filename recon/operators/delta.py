@@ -86,7 +86,7 @@ def check_groups(groups: DataFrame) -> DataFrame:
     change = F.col("change").cast("double")
     gap = F.col("after").cast("double") - F.col("before").cast("double")
     value = delta_value(F.col("formula"))
-    label = {"doc_id": F.col("doc_id"), "project": F.col("project_no"), "item": F.col("title")}
+    label = {"doc_id": F.col("doc_id"), "project": F.col("project_no"), "item": F.col("title"), "place": F.concat_ws("/", *[F.col(c).cast("string") for c in ("table_no", "group_no") if c in groups.columns])}
     identity = groups.where(~same(gap, change) & gap.isNotNull() & change.isNotNull()).select(*finding("delta", "error", message=F.lit("after - before is not the change"), left=gap, right=change, **label))
     own = groups.where(F.col("own").isNotNull() & ~same(F.col("own").cast("double"), change)).select(*finding("delta", "error", message=F.lit("own amount is not the change"), left=F.col("own"), right=change, **label))
     aim = F.coalesce(F.col("own").cast("double"), change)
@@ -98,7 +98,8 @@ def check_groups(groups: DataFrame) -> DataFrame:
 def check_lines(lines: DataFrame, groups: DataFrame) -> DataFrame:
     """Findings on lines: a formula that isn't the amount, a parent that isn't the sum of its children (every one), and first-level
     lines that add up neither to the group's own amount nor to its change. ``lines(GROUP, line_no, depth, name, formula, amount)``."""
-    label = {"doc_id": F.col("doc_id"), "project": F.col("project_no"), "item": F.col("name")}
+    place = F.concat_ws("/", *[F.col(c).cast("string") for c in ("table_no", "group_no", "line_no") if c in lines.columns])
+    label = {"doc_id": F.col("doc_id"), "project": F.col("project_no"), "item": F.col("name"), "place": place}
     amount, value = F.col("amount").cast("double"), delta_value(F.col("formula"))
     formula = lines.where(~formula_ok(value, amount)).select(*finding("delta lines", "error", message=F.lit("formula is not the amount"), left=amount, right=value, **label))
     tree = parents(lines, GROUP, pos="line_no")
@@ -150,7 +151,7 @@ def check_form(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     broken = tree.join(sums, ["doc_id", "pos"]).withColumn("_off", off).where("_off is not null")
     above = broken.select("doc_id", "ancestors").union(own.where(F.size("_a") > 0).select("doc_id", "ancestors")).select("doc_id", F.explode("ancestors").alias("pos")).distinct()
     deepest = broken.join(above, ["doc_id", "pos"], "left_anti")
-    who = {"doc_id": F.col("doc_id"), "project": F.col("pos"), "item": F.col("name")}
+    who = {"doc_id": F.col("doc_id"), "project": F.col("pos"), "item": F.col("name"), "place": F.col("pos")}
     found = [own.select(*finding("form", "error", message=F.array_join("_p", ", "), **who)), deepest.select(*finding("form", "error", message=F.concat(F.lit("not the sum of its rows: "), "_off"), **who)),
              blind.select(*finding("form", "skipped", message=F.concat(F.lit("can't be computed: "), "_c"), **who))]
     if totals is not None:

@@ -164,10 +164,10 @@ def check_status(rows: DataFrame) -> DataFrame:
     tree = parents(rows.withColumns({"pos": F.col("row_no"), "depth": F.col("level") + 1}), ["doc_id"])
     sums = tree.where("parent_depth = depth - 1").groupBy("doc_id", F.col("parent").alias("pos")).agg(*[F.sum(m).cast("double").alias(f"_{m}") for m in MEASURES])
     label = {"doc_id": F.col("doc_id"), "project": F.col("name")}
-    own = rows.where(~same((F.col("after") - F.col("before")).cast("double"), F.col("change").cast("double"))).select(*finding("delta status", "error", message=F.lit("after - before is not the change"), left=F.col("change"), right=F.col("after") - F.col("before"), **label))
+    own = rows.where(~same((F.col("after") - F.col("before")).cast("double"), F.col("change").cast("double"))).select(*finding("delta status", "error", place=F.col("row_no"), message=F.lit("after - before is not the change"), left=F.col("change"), right=F.col("after") - F.col("before"), **label))
     both = tree.join(sums, ["doc_id", "pos"])
     off = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("is"), F.col(f"_{m}").alias("sum")) for m in MEASURES]), lambda d: ~same(d["is"], d["sum"]))
-    nodes = both.select("doc_id", "name", F.explode(off).alias("d")).select(*finding("delta status", "error", item=F.col("d.m"), message=F.lit("not the sum of the rows below"), left=F.col("d.is"), right=F.col("d.sum"), **label))
+    nodes = both.select("doc_id", "name", "pos", F.explode(off).alias("d")).select(*finding("delta status", "error", item=F.col("d.m"), place=F.col("pos"), message=F.lit("not the sum of the rows below"), left=F.col("d.is"), right=F.col("d.sum"), **label))
     return union_findings(own, nodes)
 
 
@@ -180,7 +180,8 @@ def check_names(projects: DataFrame) -> DataFrame:
 def check_summary_table(summary: DataFrame) -> DataFrame:
     """Findings within summary tables: the change of a row, and the written totals against the sums of the rows."""
     rows, total = summary.where("not is_total"), summary.where("is_total")
-    own = rows.where(~same((F.col("after") - F.col("before")).cast("double"), F.col("change").cast("double"))).select(*finding("delta summary", "error", doc_id=F.col("doc_id"), project=F.col("name"), message=F.lit("after - before is not the change"), left=F.col("change"), right=F.col("after") - F.col("before")))
+    place = F.concat_ws("/", *[F.col(c).cast("string") for c in ("table_no", "row_no") if c in summary.columns])
+    own = rows.where(~same((F.col("after") - F.col("before")).cast("double"), F.col("change").cast("double"))).select(*finding("delta summary", "error", doc_id=F.col("doc_id"), project=F.col("name"), place=place, message=F.lit("after - before is not the change"), left=F.col("change"), right=F.col("after") - F.col("before")))
     sums = rows.groupBy("doc_id").agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("double").alias(f"_{m}") for m in MEASURES])
     off = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("is"), F.col(f"_{m}").alias("sum")) for m in MEASURES]), lambda d: d["is"].isNotNull() & ~same(d["is"], d["sum"]))
     totals = total.join(sums, "doc_id").select("doc_id", F.explode(off).alias("d")).select(*finding("delta summary", "error", doc_id=F.col("doc_id"), item=F.col("d.m"), message=F.lit("total is not the sum"), left=F.col("d.is"), right=F.col("d.sum")))

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = ["goal", "severity", "route", "doc_id", "project", "item", "message", "left", "right"]
+COLUMNS = ["goal", "severity", "route", "doc_id", "project", "item", "place", "message", "left", "right"]
 SEVERITIES = ("error", "review", "skipped", "dropped")
 
 
 def finding(goal: str, severity: Column | str, **columns: Column) -> list[Column]:
-    """The columns of a finding; what isn't given is null."""
+    """The columns of a finding; what isn't given is null. ``place`` is where it is in its document: a row, a table or a group."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
     kinds = {"left": "double", "right": "double"}
     given = {"goal": F.lit(goal), "severity": severity, "route": route(severity)} | columns
@@ -25,8 +25,9 @@ def route(severity: Column) -> Column:
 
 
 def union_findings(*reports: DataFrame) -> DataFrame:
-    """All findings, each once, with their gap."""
-    return reduce(lambda a, b: a.unionByName(b), reports).dropDuplicates(COLUMNS[:2] + COLUMNS[3:7]).withColumn("gap", F.col("left") - F.col("right"))
+    """All findings with their gap, each once: findings that differ in their place or in one of their amounts are two, as rows of one name
+    may be wrong in one way for several reasons. Nulls are equal; no reports aren't a table."""
+    return reduce(lambda a, b: a.unionByName(b), [r.drop("gap") for r in reports]).dropDuplicates(COLUMNS).withColumn("gap", F.col("left") - F.col("right"))
 
 
 def search(findings: DataFrame, severity: str | None = None, text: str = "") -> DataFrame:

@@ -14,58 +14,73 @@ from ..functions.keys import match_key, squeeze, strip
 from .tree import _joined
 
 
-def unique_by(df: DataFrame, key: Column, name: str = "_key") -> DataFrame:
-    """The rows of ``df`` whose key no other row has; the columns as they are, and the key. Aggregated, so no window over a hot key."""
+def unique_by(df: DataFrame, key: Column, name: str = "_key", by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` whose key no other row has, within ``by``; the columns as they are, and the key. Aggregated, so no window over a
+    hot key."""
     keyed = df.withColumn(name, key)
-    one = keyed.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_r")).where("_n = 1")
+    one = keyed.where(F.col(name).isNotNull()).groupBy(name, *by).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_r")).where("_n = 1")
     return one.select(name, *[F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def name_join(left: DataFrame, right: DataFrame, name: str, right_id: str, right_name: str, tiers: list | None = None) -> DataFrame:
+def scope(*tables: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> tuple[str, ...]:
+    """Those of ``by`` that all tables have: rows are compared within a document, or with a table that is all documents' alike."""
+    return tuple(c for c in by if all(c in t.columns for t in tables))
+
+
+def _within(out: DataFrame, side: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_own") == F.col(f"_k{k}"))
+    return out.join(side, on, "left").drop("_own", f"_k{k}", *[f"_by_{c}" for c in by])
+
+
+def name_join(left: DataFrame, right: DataFrame, name: str, right_id: str, right_name: str, tiers: list | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``left`` with ``match`` (``right_id``) and ``tier``: the right row of the same name in the first tier that has just one.
 
-    Tiers are functions of a name; by default as it is written, squeezed, and squeezed without status tags.
+    Tiers are functions of a name; by default as it is written, squeezed, and squeezed without status tags. ``by`` are columns of both
+    sides within which names count, nulls being equal. Null names match nothing; repeated left rows are matched alike, a right row that
+    is repeated is two answers; columns named ``match`` and ``tier`` are replaced; an empty side matches nothing.
     """
-    out = left
+    out = left.drop("match", "tier")
     for k, tier in enumerate(tiers or [strip, squeeze, match_key]):
-        side = unique_by(right.select(F.col(right_id).alias("_id"), F.col(right_name).alias("_name")), tier(F.col("_name"))).select(F.col("_key").alias(f"_k{k}"), F.col("_id").alias(f"_m{k}"))
-        out = out.withColumn("_own", tier(F.col(name)))
-        out = out.join(side, out["_own"] == side[f"_k{k}"], "left").drop("_own", f"_k{k}")
+        side = unique_by(right.select(F.col(right_id).alias("_id"), F.col(right_name).alias("_name"), *by), tier(F.col("_name")), by=by)
+        side = side.select(F.col("_key").alias(f"_k{k}"), F.col("_id").alias(f"_m{k}"), *[F.col(c).alias(f"_by_{c}") for c in by])
+        out = _within(out.withColumn("_own", tier(F.col(name))), side, k, by)
     n = len(tiers or [0, 0, 0])
     tier = F.coalesce(*[F.when(F.col(f"_m{k}").isNotNull(), k + 1) for k in range(n)])
     return out.withColumn("match", F.coalesce(*[f"_m{k}" for k in range(n)])).withColumn("tier", tier).drop(*[f"_m{k}" for k in range(n)])
 
 
-def find_row(left: DataFrame, rows: DataFrame, name: str, row_id: str, row_name: str, idle: str) -> DataFrame:
+def find_row(left: DataFrame, rows: DataFrame, name: str, row_id: str, row_name: str, idle: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``left`` with ``match`` and ``tier``: the ledger row of a name. Of rows that are written the same the first counts; else the only
     one that is the same once squeezed, or without status tags too; of several such rows only those count that aren't ``idle``.
 
-    Each tier is one grouping by its key, so a name that very many rows have is one row. Null names match nothing.
+    Each tier is one grouping by its key, so a name that very many rows have is one row. ``by`` as in :func:`name_join`. Null names match
+    nothing; columns named ``match`` and ``tier`` are replaced.
     """
-    r = rows.select(F.col(row_id).alias("_id"), F.col(row_name).alias("_name"), F.coalesce(idle, F.lit(False)).alias("_idle"))
-    out = left
+    r = rows.select(F.col(row_id).alias("_id"), F.col(row_name).alias("_name"), F.coalesce(idle, F.lit(False)).alias("_idle"), *[F.col(c).alias(f"_by_{c}") for c in by])
+    out = left.drop("match", "tier")
     for k, tier in enumerate((strip, squeeze, match_key)):
         n, busy = F.count(F.lit(1)), F.count_if(~F.col("_idle"))
         only = F.min("_id") if k == 0 else F.when(n == 1, F.min("_id")).when(busy == 1, F.min(F.when(~F.col("_idle"), F.col("_id"))))
-        side = r.groupBy(tier(F.col("_name")).alias(f"_k{k}")).agg(only.alias(f"_m{k}"))
-        out = out.withColumn("_own", tier(F.col(name))).join(side, F.col("_own") == F.col(f"_k{k}"), "left").drop("_own", f"_k{k}")
+        side = r.groupBy(tier(F.col("_name")).alias(f"_k{k}"), *[f"_by_{c}" for c in by]).agg(only.alias(f"_m{k}"))
+        out = _within(out.withColumn("_own", tier(F.col(name))), side, k, by)
     tier = F.coalesce(*[F.when(F.col(f"_m{k}").isNotNull(), k + 1) for k in range(3)])
     return out.withColumn("match", F.coalesce("_m0", "_m1", "_m2")).withColumn("tier", tier).drop("_m0", "_m1", "_m2")
 
 
-def amount_join(left: DataFrame, right: DataFrame, left_id: str, left_amount: str, right_id: str, right_amount: str, tolerance: float = 1.0) -> DataFrame:
+def amount_join(left: DataFrame, right: DataFrame, left_id: str, left_amount: str, right_id: str, right_amount: str, tolerance: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """``left_id, right_id`` where exactly one right row is within the tolerance of the left amount.
 
     An equi-join on buckets as wide as the tolerance: a left row goes to its bucket and both beside it. Null amounts match nothing;
-    left ids tell rows apart, repeated right rows are several answers, hence none; empty tables give none.
+    left ids tell rows apart, repeated right rows are several answers, hence none; ``by`` are columns of both sides within which amounts
+    count, null in none; empty tables give none.
     """
     bucket = lambda x: F.floor(x / tolerance)
-    a = left.where(F.col(left_amount).isNotNull()).select(F.col(left_id).alias("_l"), F.col(left_amount).cast("double").alias("_a"))
+    a = left.where(F.col(left_amount).isNotNull()).select(F.col(left_id).alias("_l"), F.col(left_amount).cast("double").alias("_a"), *by)
     a = a.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(F.col("_a")) + d)))
-    b = right.where(F.col(right_amount).isNotNull()).select(F.col(right_id).alias("_r"), F.col(right_amount).cast("double").alias("_v"))
+    b = right.where(F.col(right_amount).isNotNull()).select(F.col(right_id).alias("_r"), F.col(right_amount).cast("double").alias("_v"), *by)
     # A popular amount is one row here, however many have it.
-    b = b.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"), F.min("_r").alias("_r")).withColumn("_b", bucket(F.col("_v")))
-    near = a.join(b, "_b").where(F.abs(F.col("_a") - F.col("_v")) <= tolerance)
+    b = b.groupBy("_v", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_r").alias("_r")).withColumn("_b", bucket(F.col("_v")))
+    near = a.join(b, ["_b", *by]).where(F.abs(F.col("_a") - F.col("_v")) <= tolerance)
     return near.groupBy("_l").agg(F.sum("_c").alias("_n"), F.min("_r").alias("_r")).where("_n = 1").select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
 
 

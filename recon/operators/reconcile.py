@@ -11,7 +11,7 @@ from ..functions.keys import match_key, squeeze, without_markers
 from ..functions.numbers import same
 from .findings import finding, union_findings
 from .tree import parents
-from .match import amount_join, find_row, greedy_amounts, multiset_gap, name_join, nearest_candidate
+from .match import amount_join, find_row, greedy_amounts, multiset_gap, name_join, nearest_candidate, scope
 
 TIERS = [without_markers, squeeze]
 
@@ -28,34 +28,39 @@ def compare_totals(projects: DataFrame, ledger: DataFrame, form: DataFrame | Non
     """Findings of narrative against ledger and load sheet.
 
     ``projects(doc_id, project_no, name, candidates array<struct<label, value>>, split, restarted, bundled, handover)``,
-    ``ledger(name, amount)`` and ``form(name, amount)``, a row a name. A name that the ledger lacks is no error if exactly one ledger
+    ``ledger(name, amount)`` and ``form(name, amount)``, a row a name. Where these have a ``doc_id``, each document is compared with its
+    own; else they are all documents' alike. A name that the ledger lacks is no error if exactly one ledger
     row that no other project's name takes has one of its amounts, or if pages were numbered anew or bundled.
     """
     cands = F.filter("candidates", lambda c: c["value"].isNotNull())
     rows = projects.withColumn("candidates", cands)
     usable = rows.where(F.size("candidates") > 0)
     blind = rows.where(F.size("candidates") == 0).select(*finding(goal, "skipped", doc_id=F.col("doc_id"), project=F.col("name"), message=F.lit("no amount in the narrative")))
-    led = ledger.select(F.col("name").alias("_ln"), F.col("amount").cast("double").alias("_la"))
-    named = name_join(usable, led.withColumn("_id", F.col("_ln")), "name", "_id", "_ln", TIERS)
-    found = named.join(led, named["match"] == led["_ln"], "left")
-    free = led.join(named.where("match is not null").select(F.col("match").alias("_ln")).distinct(), "_ln", "left_anti")
+    own = scope(projects, ledger)
+    led = ledger.select(F.struct("name", *own).alias("_id"), F.col("name").alias("_ln"), F.col("amount").cast("double").alias("_la"), *own)
+    named = name_join(usable, led, "name", "_id", "_ln", TIERS, own)
+    found = named.join(led.drop(*own).withColumnRenamed("_id", "_lid"), F.col("match") == F.col("_lid"), "left")
+    free = led.join(named.where("match is not null").select(F.col("match").alias("_id")).distinct(), "_id", "left_anti")
     lost = found.where("match is null").select("doc_id", "project_no", "name", "candidates", "restarted", "bundled")
-    each = lost.select(F.struct("doc_id", "project_no").alias("_p"), F.explode("candidates.value").alias("_v")).distinct()
-    by_amount = amount_join(each.withColumn("_q", F.struct("_p", "_v")), free.withColumn("_r", F.col("_ln")), "_q", "_v", "_r", "_la")
+    each = lost.select(F.struct("doc_id", "project_no").alias("_p"), F.explode("candidates.value").alias("_v"), *own).distinct()
+    by_amount = amount_join(each.withColumn("_q", F.struct("_p", "_v")), free.withColumn("_r", F.col("_ln")), "_q", "_v", "_r", "_la", by=own)
     one = by_amount.groupBy(F.col("_q._p").alias("_p")).agg(F.count_distinct("_r").alias("_n")).where("_n = 1").select("_p")
     missing = lost.where(~F.coalesce("restarted", F.lit(False)) & ~F.coalesce("bundled", F.lit(False))).withColumn("_p", F.struct("doc_id", "project_no")).join(one, "_p", "left_anti")
     missing = missing.select(*finding(goal, "error", doc_id=F.col("doc_id"), project=F.col("name"), message=F.lit("not in the ledger")))
     reports = [blind, missing, _compared(found.where("match is not null"), "_la", goal, "the ledger")]
     if form is not None:
-        sheet = form.select(F.col("name").alias("_fn"), F.col("amount").cast("double").alias("_fa"))
+        mine = scope(projects, form)
+        sheet = form.select(F.struct("name", *mine).alias("_id"), F.col("name").alias("_fn"), F.col("amount").cast("double").alias("_fa"), *mine)
         entered = usable.where("not handover")
-        joined = name_join(entered, sheet.withColumn("_id", F.col("_fn")), "name", "_id", "_fn", TIERS)
-        with_form = joined.join(sheet, joined["match"] == sheet["_fn"], "left")
+        joined = name_join(entered, sheet, "name", "_id", "_fn", TIERS, mine)
+        with_form = joined.join(sheet.drop(*mine).withColumnRenamed("_id", "_fid"), F.col("match") == F.col("_fid"), "left")
         reports.append(with_form.where("match is null").select(*finding(goal, "error", doc_id=F.col("doc_id"), project=F.col("name"), message=F.lit("not in the load sheet"))))
         reports.append(_compared(with_form.where("match is not null"), "_fa", goal, "the load sheet"))
-        known = projects.select(without_markers(F.col("name")).alias("k")).union(projects.select(squeeze(F.col("name")))).distinct()
-        extra = sheet.join(known, without_markers(F.col("_fn")) == known.k, "left_anti").join(known, squeeze(F.col("_fn")) == known.k, "left_anti")
-        reports.append(extra.select(*finding(goal, "error", project=F.col("_fn"), message=F.lit("only in the load sheet"), right=F.col("_fa"))))
+        known = projects.select(without_markers(F.col("name")).alias("k"), *mine).union(projects.select(squeeze(F.col("name")), *mine)).distinct()
+        extra = sheet
+        for key in (without_markers, squeeze):
+            extra = extra.withColumn("k", key(F.col("_fn"))).join(known, ["k", *mine], "left_anti").drop("k")
+        reports.append(extra.select(*finding(goal, "error", project=F.col("_fn"), message=F.lit("only in the load sheet"), right=F.col("_fa"), **{c: F.col(c) for c in mine})))
     return union_findings(*reports)
 
 
@@ -65,28 +70,54 @@ def _neq(a: Column, b: Column) -> Column:
 
 def compare_delta(projects: DataFrame, ledger: DataFrame, summary: DataFrame, goal: str = "delta ledger") -> DataFrame:
     """Findings of delta pages against the ledger: ``projects(doc_id, name, change, before)``, ``ledger(row_no, name, change, before,
-    unplanned)``, ``summary(name, change, before)``.
+    unplanned)``, ``summary(name, change, before)``. Where ledger and summary have a ``doc_id``, each document is compared with its own;
+    else they are all documents' alike.
 
     A page's change or amount before that isn't the ledger's; a page with a change that the ledger lacks; a ledger row with a change
     that neither a page nor, under a name that holds its own, the summary has. A page that holds a part of what summary and ledger
     agree on is right.
     """
-    led = ledger.select(F.col("row_no").alias("_id"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
-    hit = find_row(projects, ledger, "name", "row_no", "name", "unplanned").join(led, F.col("match") == led["_id"], "left")
+    own, told = scope(projects, ledger), scope(ledger, summary)
+    rows = ledger.withColumn("_rid", F.struct("row_no", *own))
+    led = rows.select(F.col("_rid").alias("_id"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
+    hit = find_row(projects, rows, "name", "_rid", "name", "unplanned", own).join(led, F.col("match") == led["_id"], "left")
     who = {"doc_id": F.col("doc_id"), "project": F.col("name")}
     gone = hit.where(F.col("match").isNull() & _neq(F.col("change"), F.lit(0))).select(*finding(goal, "error", message=F.lit("not in the ledger"), left=F.col("change"), **who))
     change = hit.where(F.col("match").isNotNull() & _neq(F.col("change"), F.col("_lc"))).select(*finding(goal, "error", message=F.lit("change differs from the ledger"), left=F.col("change"), right=F.col("_lc"), **who))
-    total = summary.groupBy(match_key(F.col("name")).alias("_k")).agg(F.max("before").alias("_sb"))
-    part = hit.where(F.col("match").isNotNull() & _neq(F.col("before"), F.col("_lb"))).withColumn("_k", match_key(F.col("name"))).join(total, "_k", "left")
+    named = scope(projects, summary)
+    total = summary.groupBy(match_key(F.col("name")).alias("_k"), *named).agg(F.max("before").alias("_sb"))
+    part = hit.where(F.col("match").isNotNull() & _neq(F.col("before"), F.col("_lb"))).withColumn("_k", match_key(F.col("name"))).join(total, ["_k", *named], "left")
     before = part.where(~same(F.col("_sb").cast("double"), F.col("_lb").cast("double"))).select(*finding(goal, "error", message=F.lit("amount before differs from the ledger"), left=F.col("before"), right=F.col("_lb"), **who))
-    used = hit.where("match is not null").select(F.col("match").alias("row_no")).distinct()
-    orphan = ledger.where(~same(F.col("change").cast("double"), F.lit(0.0))).join(used, "row_no", "left_anti").withColumn("_k", match_key(F.col("name"))).withColumn("_c", F.bround(F.col("change")))
-    listed = summary.select(match_key(F.col("name")).alias("_sk"), F.bround(F.col("change")).alias("_c"))
-    saved = orphan.join(listed, "_c").where((F.col("_k") != "") & F.col("_sk").contains(F.col("_k"))).select("row_no").distinct()
-    lone = orphan.join(saved, "row_no", "left_anti").select(*finding(goal, "error", project=F.col("name"), message=F.lit("only in the ledger"), right=F.col("change")))
+    used = hit.where("match is not null").select(F.col("match").alias("_rid")).distinct()
+    orphan = rows.where(~same(F.col("change").cast("double"), F.lit(0.0))).join(used, "_rid", "left_anti").withColumn("_k", match_key(F.col("name"))).withColumn("_c", F.bround(F.col("change")))
+    # A popular name is one row on either side, however many rows have it.
+    listed = summary.select(match_key(F.col("name")).alias("_sk"), F.bround(F.col("change")).alias("_c"), *told).distinct()
+    held = holders(orphan.where("_k <> ''").select("_k", "_c", *told).distinct(), listed, ["_c", *told])
+    lone = orphan.join(held, reduce(lambda p, q: p & q, [orphan[c].eqNullSafe(held[c]) for c in ("_k", "_c", *told)]), "left_anti")
+    lone = lone.select(*finding(goal, "error", project=F.col("name"), place=F.col("row_no"), message=F.lit("only in the ledger"), right=F.col("change"), **{c: F.col(c) for c in own}))
     return union_findings(gone, change, before, lone)
 
 
+#: Characters of the pieces over which names meet names that hold them.
+PIECE = 3
+
+
+def holders(short: DataFrame, long: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``short(_k, by)`` whose ``_k`` is within an ``_sk`` of ``long(_sk, by)``.
+
+    They meet over a piece of three characters of the shorter name, the one that fewest of the longer names have, so a popular amount makes
+    no pairs of all names that have it; names of fewer characters meet over themselves. Both sides have each row once.
+    """
+    cut = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (PIECE - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(PIECE))))
+    every = lambda x: F.array_distinct(F.flatten(F.array(cut(x), *[F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(x, i, F.lit(n))) for n in range(1, PIECE)])))
+    held = long.select("_sk", *by, F.explode(every(F.col("_sk"))).alias("_p"))
+    often = held.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    asked = short.select("_k", *by, F.explode(F.when(F.length("_k") < PIECE, F.array("_k")).otherwise(cut(F.col("_k")))).alias("_p"))
+    # A piece that no longer name has, has no row here: its short name is held by none, and no piece of it is asked for.
+    met = asked.join(often, [*by, "_p"], "left").groupBy("_k", *by).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_p")).alias("_r")).where("_r.n > 0").select("_k", *by, F.col("_r._p").alias("_p"))
+    return met.join(held, [*by, "_p"]).where(F.col("_sk").contains(F.col("_k"))).select("_k", *by).distinct()
+
+
 def agency_totals(total: DataFrame, ledger_total: DataFrame, goal: str = "delta ledger") -> DataFrame:
     """Findings where the total of the summary table isn't the agency's in the ledger: both ``(change, before)`` and ``doc_id`` of the
     document. A missing side is no finding."""
@@ -120,6 +151,7 @@ def differing_pieces(groups: DataFrame, ledger: DataFrame) -> DataFrame:
 def compare_form(form: DataFrame, projects: DataFrame | None, ledger: DataFrame | None, groups: DataFrame | None = None, goal: str = "delta form") -> DataFrame:
     """Findings of a downloaded delta load sheet against narrative and ledger.
 
+    Where narrative, ledger and groups have a ``doc_id``, each form is compared with its own document's; else they are all forms' alike.
     ``form(doc_id, row_no, depth, name, before, after, change)``; its first-level rows are projects. ``projects(project_no, name, before,
     after, change)``, ``ledger(row_no, name, before, change, unplanned)``, ``groups(project_no, group_no, title, before, after, change)``.
     A project that the other side lacks or whose amounts differ is an error; where the change differs from the narrative's, nothing
@@ -134,16 +166,19 @@ def compare_form(form: DataFrame, projects: DataFrame | None, ledger: DataFrame
     who = {"doc_id": F.col("doc_id"), "project": F.col("name")}
     reports = []
     if ledger is not None:
-        led = ledger.select(F.col("row_no").alias("_id"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
-        tops = find_row(tops, ledger, "name", "row_no", "name", "unplanned").withColumnRenamed("match", "_row").drop("tier").join(led, F.col("_row") == F.col("_id"), "left").drop("_id")
+        own = scope(ledger)
+        rows = ledger.withColumn("_rid", F.struct("row_no", *own))
+        led = rows.select(F.col("_rid").alias("_id"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
+        tops = find_row(tops, rows, "name", "_rid", "name", "unplanned", own).withColumnRenamed("match", "_row").drop("tier").join(led, F.col("_row") == F.col("_id"), "left").drop("_id")
         reports.append(tops.where("_row is null").select(*finding(goal, "error", message=F.lit("not in the ledger"), **who)))
         for c, other in (("change", "_lc"), ("before", "_lb")):
             off = tops.where(F.col("_row").isNotNull() & ~same(F.col(c), zero(other)))
             reports.append(off.select(*finding(goal, "error", message=F.lit(f"{c} differs from the ledger"), left=F.col(c), right=F.col(other), **who)))
     if projects is not None:
         partial = F.col("_row").isNotNull() & same(F.col("before"), zero("_lb")) if ledger is not None else F.lit(False)
-        pages = projects.groupBy(match_key(F.col("name")).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.col("project_no"), *[F.col(c).cast("double").alias(c) for c in ("before", "after", "change")])).alias("_p")).where("_n = 1")
-        met = tops.withColumn("_mk", match_key(F.col("name"))).join(pages, F.col("_mk") == F.col("_k"), "left")
+        own = scope(projects)
+        pages = projects.groupBy(match_key(F.col("name")).alias("_k"), *own).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.col("project_no"), *[F.col(c).cast("double").alias(c) for c in ("before", "after", "change")])).alias("_p")).where("_n = 1")
+        met = tops.withColumn("_k", match_key(F.col("name"))).join(pages, ["_k", *own], "left")
         reports.append(met.where("_p is null").select(*finding(goal, "error", message=F.lit("not in the narrative"), **who)))
         wrong = _neq(F.col("_p.change"), F.col("change"))
         reports.append(met.where(wrong).select(*finding(goal, "error", message=F.lit("change differs from the narrative"), left=F.col("change"), right=F.col("_p.change"), **who)))
@@ -151,8 +186,9 @@ def compare_form(form: DataFrame, projects: DataFrame | None, ledger: DataFrame
         for c in ("before", "after"):
             reports.append(right.where(_neq(F.col(f"_p.{c}"), F.col(c)) & ~partial).select(*finding(goal, "error", message=F.lit(f"{c} differs from the narrative"), left=F.col(c), right=F.col(f"_p.{c}"), **who)))
         if groups is not None:
-            own = right.select("doc_id", F.col("pos").alias("top"), "name", F.col("_p.project_no").alias("project_no"))
-            need = groups.where("abs(change) >= 0.5").select("project_no", F.col("group_no").alias("pos"), "title", *[F.col(c).cast("double").alias(c) for c in ("before", "after", "change")]).join(own, "project_no")
+            page = right.select("doc_id", F.col("pos").alias("top"), "name", F.col("_p.project_no").alias("project_no"))
+            shared = scope(groups)
+            need = groups.where("abs(change) >= 0.5").select("project_no", *shared, F.col("group_no").alias("pos"), "title", *[F.col(c).cast("double").alias(c) for c in ("before", "after", "change")]).join(page, ["project_no", *shared])
             have = tree.where("pos <> top").select("doc_id", "top", "pos", "before", "after", "change")
             used = greedy_amounts(need, have, ["doc_id", "top"], "change", ["before", "after"])
             lost = need.join(used, ["doc_id", "top", "pos"], "left_anti")
@@ -175,13 +211,15 @@ def bundled(projects: DataFrame) -> DataFrame:
 
 def compare_summary(projects: DataFrame, summary: DataFrame, goal: str = "delta summary") -> DataFrame:
     """Findings of pages against the summary table, one a page: by number if the name agrees, else by name, else by number;
-    ``projects(doc_id, number, name, change, after, before, bundled)``, ``summary(number, name, change, after, before)``. A page whose
+    ``projects(doc_id, number, name, change, after, before, bundled)``, ``summary(doc_id, number, name, change, after, before)``; without a
+    ``doc_id`` the summary is all documents' alike. Of summary rows that share number or name the least counts. A page whose
     change agrees and that is part of a bundle is a review."""
-    s = summary.select(F.col("number").alias("_no"), squeeze(F.col("name")).alias("_k"), F.struct("change", "after", "before").alias("_s"))
-    p = projects.withColumn("_pk", squeeze(F.col("name")))
-    by_number = s.where("_no is not null").groupBy("_no").agg(F.first(F.struct("_k", "_s")).alias("_n"))
-    by_name = s.groupBy("_k").agg(F.first("_s").alias("_m"))
-    both = p.join(by_number, p.number == F.col("_no"), "left").join(by_name, F.col("_pk") == F.col("_k"), "left")
+    own = scope(projects, summary)
+    s = summary.select(F.col("number").alias("_no"), squeeze(F.col("name")).alias("_pk"), F.struct("change", "after", "before").alias("_s"), *own)
+    p = projects.withColumns({"_pk": squeeze(F.col("name")), "_no": F.col("number")})
+    by_number = s.where("_no is not null").groupBy("_no", *own).agg(F.min(F.struct(F.col("_pk").alias("_k"), "_s")).alias("_n"))
+    by_name = s.groupBy("_pk", *own).agg(F.min("_s").alias("_m"))
+    both = p.join(by_number, ["_no", *own], "left").join(by_name, ["_pk", *own], "left")
     row = F.when(F.col("_n._k") == F.col("_pk"), F.col("_n._s")).otherwise(F.coalesce("_m", F.col("_n._s")))
     both = both.withColumn("_row", row)
     who = {"doc_id": F.col("doc_id"), "project": F.col("name")}

@@ -67,7 +67,7 @@ _STATUS = """SELECT n_name AS doc, c_mktsegment AS seg, year(o_orderdate) AS y,
 @BOOK.add(f"""
 WITH y AS ({_STATUS}), ys AS (SELECT *, CASE WHEN y % 3 = 0 THEN c + 1 ELSE c END AS ch FROM y), s AS (SELECT doc, seg, sum(a) + CASE WHEN seg = 'BUILDING' THEN 4 ELSE 0 END AS a, sum(a - c) AS b, sum(ch) AS ch, sum(a) AS ra, sum(a - c) AS rb, sum(ch) AS rc FROM ys GROUP BY doc, seg),
 n AS (SELECT doc, sum(a) AS a, sum(b) AS b, sum(ch) + CASE WHEN doc LIKE '%1%' THEN 2 ELSE 0 END AS ch, sum(a) AS ra, sum(b) AS rb, sum(ch) AS rc FROM s GROUP BY doc),
-r AS (SELECT doc, doc || '/' || seg || '/' || y AS name, a, a - c AS b, ch, NULL AS ra, NULL AS rb, NULL AS rc FROM ys UNION ALL SELECT doc, doc || '/' || seg, a, b, ch, ra, rb, rc FROM s UNION ALL SELECT doc, doc, a, b, ch, ra, rb, rc FROM n)
+r AS (SELECT doc, y::VARCHAR AS name, a, a - c AS b, ch, NULL AS ra, NULL AS rb, NULL AS rc FROM ys UNION ALL SELECT doc, seg, a, b, ch, ra, rb, rc FROM s UNION ALL SELECT doc, 'all', a, b, ch, ra, rb, rc FROM n)
 SELECT doc AS doc_id, name AS project, NULL AS item, ch::DOUBLE AS "left", (a - b)::DOUBLE AS "right" FROM r WHERE a - b <> ch
 UNION ALL SELECT doc, name, 'after', a, ra FROM r WHERE a <> ra UNION ALL SELECT doc, name, 'before', b, rb FROM r WHERE b <> rb UNION ALL SELECT doc, name, 'change', ch, rc FROM r WHERE ch <> rc""")
 def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = y.groupBy("doc", "seg").agg(*sums).select("doc", "seg", F.lit(None).cast("int").alias("y"), F.lit(1).alias("level"), (F.col("a") + F.when(F.col("seg") == "BUILDING", 4).otherwise(0)).alias("a"), "b", "ch")
     n = s.groupBy("doc").agg(*sums).select("doc", F.lit(None).cast("string").alias("seg"), F.lit(None).cast("int").alias("y"), F.lit(0).alias("level"), "a", "b", (F.col("ch") + F.when(F.col("doc").contains("1"), 2).otherwise(0)).alias("ch"))
     at = F.row_number().over(Window.partitionBy("doc").orderBy(F.asc_nulls_first("seg"), F.asc_nulls_first("y")))
-    rows = y.unionByName(s).unionByName(n).select(F.col("doc").alias("doc_id"), at.alias("row_no"), "level", F.concat_ws("/", "doc", "seg", "y").alias("name"), *[F.col(x).cast("double").alias(to) for x, to in (("a", "after"), ("b", "before"), ("ch", "change"))])
+    rows = y.unionByName(s).unionByName(n).select(F.col("doc").alias("doc_id"), at.alias("row_no"), "level", F.coalesce(F.col("y").cast("string"), "seg", F.lit("all")).alias("name"), *[F.col(x).cast("double").alias(to) for x, to in (("a", "after"), ("b", "before"), ("ch", "change"))])
     return delta_document.check_status(rows).select("doc_id", "project", "item", "left", "right")
 
 
@@ -95,14 +95,17 @@ def summary_table_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(f"""
-WITH {_HEADS}, s2 AS (SELECT k, CASE WHEN k % 4 = 0 THEN NULL ELSE k END AS no, CASE WHEN k % 4 = 1 THEN 'x' ELSE 'c' || k END AS name, a, b, c + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS c FROM p WHERE k % 10 <> 9)
-SELECT 'c' || p.k AS project, CASE WHEN s2.k IS NULL THEN 'not in the summary' ELSE 'change differ from the summary' END AS message FROM p LEFT JOIN s2 USING (k) WHERE s2.k IS NULL OR s2.c <> p.c""")
+WITH {_HEADS}, d AS (SELECT * FROM (VALUES ('one', 7, 0), ('two', 5, 1000)) v(doc, m, plus)), pages AS (SELECT doc, m, k, a + plus AS a, b + plus AS b, c FROM p, d),
+s2 AS (SELECT doc, k, CASE WHEN k % 4 = 0 THEN NULL ELSE k END AS no, CASE WHEN k % 4 = 1 THEN 'x' ELSE 'c' || k END AS name, a, b, c + CASE WHEN k % m = 0 THEN 1 ELSE 0 END AS c FROM pages WHERE k % 10 <> 9)
+SELECT p.doc AS doc_id, 'c' || p.k AS project, CASE WHEN s2.k IS NULL THEN 'not in the summary' ELSE 'change differ from the summary' END AS message FROM pages p LEFT JOIN s2 USING (doc, k) WHERE s2.k IS NULL OR s2.c <> p.c""")
 def pages_against_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages found in the summary by number and name, by number alone, or by name alone."""
-    p, k = _pages(spark, sf_dir), F.col("project_no")
-    summary = p.where(k % 10 != 9).select(F.when(k % 4 != 0, k).alias("number"), F.when(k % 4 == 1, "x").otherwise(F.col("name")).alias("name"), "after", "before", (F.col("change") + F.when(k % 7 == 0, 1).otherwise(0)).alias("change"))
+    """Pages of two documents with the same names and numbers, found in their own summary by number and name, by number alone, or by name alone."""
+    k = F.col("project_no")
+    docs = F.explode(F.array(*[F.struct(F.lit(d).alias("doc"), F.lit(m).alias("m"), F.lit(plus).alias("plus")) for d, m, plus in (("one", 7, 0), ("two", 5, 1000))])).alias("d")
+    p = _pages(spark, sf_dir).select("project_no", "name", "change", "after", "before", docs).select("project_no", "name", "change", F.col("d.doc").alias("doc_id"), F.col("d.m").alias("m"), *[(F.col(c) + F.col("d.plus")).alias(c) for c in ("after", "before")])
+    summary = p.where(k % 10 != 9).select("doc_id", F.when(k % 4 != 0, k).alias("number"), F.when(k % 4 == 1, "x").otherwise(F.col("name")).alias("name"), "after", "before", (F.col("change") + F.when(k % F.col("m") == 0, 1).otherwise(0)).alias("change"))
     pages = p.withColumn("number", k).withColumn("bundled", F.lit(False))
-    return reconcile.compare_summary(pages, summary).select("project", "message")
+    return reconcile.compare_summary(pages, summary).select("doc_id", "project", "message")
 
 
 @BOOK.add("SELECT c_nationkey::VARCHAR AS doc_id, 'p ' || (c_custkey % 97) AS project, count(*)::DOUBLE AS n FROM customer GROUP BY c_nationkey, c_custkey % 97 HAVING count(*) > 1")
@@ -147,20 +150,21 @@ def entered_form_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add(f"""
 WITH {_FORM}, led AS (SELECT k, b + CASE WHEN k % 8 = 3 THEN 2 ELSE 0 END AS b, c + CASE WHEN k % 9 = 4 THEN 2 ELSE 0 END AS c FROM t WHERE k % 12 <> 7), nar AS (SELECT k, b + CASE WHEN k % 5 = 2 THEN 6 ELSE 0 END AS b, a, c + CASE WHEN k % 14 = 5 THEN 1 ELSE 0 END AS c FROM t WHERE k % 15 <> 8),
 m AS (SELECT t.*, led.k AS lk, led.b AS lb, led.c AS lc, nar.k AS nk, nar.b AS nb, nar.c AS nc FROM t LEFT JOIN led USING (k) LEFT JOIN nar USING (k))
-SELECT 'c' || k AS project, NULL AS item, 'not in the ledger' AS message FROM m WHERE lk IS NULL UNION ALL SELECT 'c' || k, NULL, 'change differs from the ledger' FROM m WHERE lc <> c UNION ALL SELECT 'c' || k, NULL, 'before differs from the ledger' FROM m WHERE lb <> b
-UNION ALL SELECT 'c' || k, NULL, 'not in the narrative' FROM m WHERE nk IS NULL UNION ALL SELECT 'c' || k, NULL, 'change differs from the narrative' FROM m WHERE nc <> c
-UNION ALL SELECT 'c' || k, NULL, 'before differs from the narrative' FROM m WHERE nc = c AND nb <> b AND NOT (lk IS NOT NULL AND lb = b)
-UNION ALL SELECT 'c' || k, 'g' || g, 'no row of the form has this change' FROM f JOIN m USING (k) WHERE g % 43 = 0 AND nc = m.c""")
+SELECT 'd' || k AS doc_id, NULL AS item, 'not in the ledger' AS message FROM m WHERE lk IS NULL UNION ALL SELECT 'd' || k, NULL, 'change differs from the ledger' FROM m WHERE lc <> c UNION ALL SELECT 'd' || k, NULL, 'before differs from the ledger' FROM m WHERE lb <> b
+UNION ALL SELECT 'd' || k, NULL, 'not in the narrative' FROM m WHERE nk IS NULL UNION ALL SELECT 'd' || k, NULL, 'change differs from the narrative' FROM m WHERE nc <> c
+UNION ALL SELECT 'd' || k, NULL, 'before differs from the narrative' FROM m WHERE nc = c AND nb <> b AND NOT (lk IS NOT NULL AND lb = b)
+UNION ALL SELECT 'd' || k, 'g' || g, 'no row of the form has this change' FROM f JOIN m USING (k) WHERE g % 43 = 0 AND nc = m.c""")
 def form_against_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A downloaded sheet against narrative and ledger, both with planted differences; some groups have a change that no row has."""
+    """Downloaded sheets against narrative and ledger, both with planted differences; some groups have a change that no row has. All documents
+    have a project of the same name and number."""
     f = _form(spark, sf_dir).withColumn("k", F.substring("doc_id", 2, 20).cast("bigint"))
-    rows = f.select(F.lit("d").alias("x"), "doc_id", "row_no", F.col("level").alias("depth"), F.when(F.col("leaf"), F.col("name")).otherwise(F.concat(F.lit("c"), F.col("k").cast("string"))).alias("name"), "before", F.col("amount").alias("after"), "change").drop("x")
-    top, k = f.where("not leaf").select("k", F.concat(F.lit("c"), F.col("k").cast("string")).alias("name"), "before", F.col("amount").alias("after"), "change"), F.col("k")
+    rows = f.select(F.lit("d").alias("x"), "doc_id", "row_no", F.col("level").alias("depth"), F.when(F.col("leaf"), F.col("name")).otherwise("road").alias("name"), "before", F.col("amount").alias("after"), "change").drop("x")
+    top, k = f.where("not leaf").select("k", "doc_id", F.lit("road").alias("name"), "before", F.col("amount").alias("after"), "change"), F.col("k")
     plus = lambda c, when, n: (F.col(c) + F.when(when, n).otherwise(0)).alias(c)
-    ledger = top.where(k % 12 != 7).select(k.alias("row_no"), "name", plus("before", k % 8 == 3, 2), plus("change", k % 9 == 4, 2), F.lit(False).alias("unplanned"))
-    pages = top.where(k % 15 != 8).select(k.alias("project_no"), "name", plus("before", k % 5 == 2, 6), "after", plus("change", k % 14 == 5, 1))
-    groups = f.where("leaf").select(k.alias("project_no"), F.col("row_no").alias("group_no"), F.concat(F.lit("g"), F.col("row_no").cast("string")).alias("title"), "before", F.col("amount").alias("after"), plus("change", F.col("row_no") % 43 == 0, 1000))
-    return reconcile.compare_form(rows, pages, ledger, groups).select("project", "item", "message")
+    ledger = top.where(k % 12 != 7).select("doc_id", F.lit(1).alias("row_no"), "name", plus("before", k % 8 == 3, 2), plus("change", k % 9 == 4, 2), F.lit(False).alias("unplanned"))
+    pages = top.where(k % 15 != 8).select("doc_id", F.lit(1).alias("project_no"), "name", plus("before", k % 5 == 2, 6), "after", plus("change", k % 14 == 5, 1))
+    groups = f.where("leaf").select("doc_id", F.lit(1).alias("project_no"), F.col("row_no").alias("group_no"), F.concat(F.lit("g"), F.col("row_no").cast("string")).alias("title"), "before", F.col("amount").alias("after"), plus("change", F.col("row_no") % 43 == 0, 1000))
+    return reconcile.compare_form(rows, pages, ledger, groups).select("doc_id", "item", "message")
 
 
 @BOOK.add("""

@@ -226,11 +226,11 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_findings(a, b)
 
 
-@BOOK.add(_FIND + """ SELECT DISTINCT goal, severity, doc_id, project, item, message, CASE WHEN severity IN ('error', 'review') THEN 'issue' ELSE severity END AS route FROM f""")
+@BOOK.add(_FIND + """ SELECT DISTINCT goal, severity, doc_id, project, item, message, "left", "right", "left" - "right" AS gap, CASE WHEN severity IN ('error', 'review') THEN 'issue' ELSE severity END AS route FROM f""")
 def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).select("goal", "severity", "doc_id", "project", "item", "message", "route")
+    return _findings(spark, sf_dir).select("goal", "severity", "doc_id", "project", "item", "message", "left", "right", "gap", "route")
 
 
-@BOOK.add(_FIND + """, u AS (SELECT DISTINCT goal, severity, doc_id, project, item, message FROM f) SELECT goal, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'review') AS reviews, count(*) FILTER (severity = 'skipped') AS skipped, count(*) FILTER (severity = 'dropped') AS dropped FROM u GROUP BY goal""")
+@BOOK.add(_FIND + """, u AS (SELECT DISTINCT goal, severity, doc_id, project, item, message, "left", "right" FROM f) SELECT goal, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'review') AS reviews, count(*) FILTER (severity = 'skipped') AS skipped, count(*) FILTER (severity = 'dropped') AS dropped FROM u GROUP BY goal""")
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(_findings(spark, sf_dir))

@@ -221,3 +221,30 @@ def test_columns_by_family_and_kind(spark):
     got = {r.name: (r.column, round(r.score, 2), r.ambiguous) for r in match_columns(wanted, columns).collect()}
     assert got == {"금액": ("지급액", 0.93, False), "이름": ("성명", 0.93, False), "부서": ("소속 부서", 0.92, False)}
     assert match_columns(wanted.drop("kind"), columns.drop("kind")).where("name = '금액'").first().ambiguous
+
+
+def test_rows_of_one_name_keep_their_findings_and_documents_their_own_rows(spark):
+    cols = "doc_id string, row_no int, level int, name string, after double, before double, change double"
+    rows = spark.createDataFrame([("a", 0, 0, "top", 10.0, 0.0, 10.0), ("a", 1, 1, "pay", 3.0, 0.0, 0.0), ("a", 2, 1, "pay", 7.0, 0.0, 0.0), ("a", 3, 1, "pay", 0.0, 0.0, 10.0), ("a", 4, 1, "pay", 0.0, 0.0, 0.0)], cols)
+    found = [r for r in D.check_status(rows).collect() if r.message == "after - before is not the change"]
+    assert sorted((r.place, r.left, r.right) for r in found) == [("1", 0.0, 3.0), ("2", 0.0, 7.0), ("3", 10.0, 0.0)]
+    pages = spark.createDataFrame([("a", 1, "road", 5.0, 5.0, 0.0, False), ("b", 1, "road", 9.0, 9.0, 0.0, False)], "doc_id string, number int, name string, change double, after double, before double, bundled boolean")
+    assert reconcile.compare_summary(pages, pages.drop("bundled")).count() == 0
+    assert {r.doc_id for r in reconcile.compare_summary(pages, pages.drop("bundled", "doc_id")).collect()} == {"b"}
+    ledger = pages.selectExpr("doc_id", "1 as row_no", "name", "change", "before", "false as unplanned")
+    summary = pages.select("doc_id", "name", "change", "before")
+    assert reconcile.compare_delta(pages, ledger, summary).count() == 0
+    assert reconcile.compare_delta(pages, ledger.withColumn("doc_id", F.when(F.col("doc_id") == "a", "b").otherwise("a")), summary).count() == 2
+    form = pages.selectExpr("doc_id", "0 as row_no", "1 as depth", "name", "before", "after", "change")
+    assert reconcile.compare_form(form, pages.withColumn("project_no", F.lit(1)), ledger).count() == 0
+
+
+def test_names_within_names_meet_over_rare_pieces(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randrange(1, 9)))
+    long = [(word(), rng.randrange(3)) for _ in range(300)]
+    short = [(word()[:rng.randrange(1, 5)], rng.randrange(3)) for _ in range(200)]
+    got = {tuple(r) for r in reconcile.holders(spark.createDataFrame(short, "_k string, c int").distinct(), spark.createDataFrame(long, "_sk string, c int").distinct(), ["c"]).select("_k", "c").collect()}
+    assert got == {(k, c) for k, c in short if any(d == c and k in x for x, d in long)}
