@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import tile_pairs
 from .common import Kept, components, read, slices
 
 #: Characters of a shingle; Jaccard similarity from which lines are near-equal; bands and their rows: at 0.8, 99.4 % share a band.
@@ -326,14 +327,13 @@ def line_classes(lines: DataFrame, signed: DataFrame, kept: Kept) -> DataFrame:
     links = kept.keep(verified(pairs.join(one, "a").join(two, "b").sortWithinPartitions("a")))
     parts = kept.keep(components(links, kept))
 
-    placed = kept.keep(rest.join(parts, rest.line_id == parts.node, "left").select("key", "line_id", F.coalesce("component", "line_id").alias("component")))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = kept.keep(placed.join(mixed, "key", "left_semi").join(texts, "line_id").join(marked, "line_id"))
-    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
-    sizes = sizes.select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("chars") / TILE_CHARS)).cast("int").alias("tiles"))
-    open_ = open_.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("line_id", F.lit(3)), F.col("tiles")).cast("int"))
-    tiles = kept.keep(open_.groupBy("key", "tile").agg(F.collect_list(F.struct("line_id", "component", "keys", "marks", "line")).alias("m")))
-    both = tiles.select("key", "tile", F.col("m").alias("one")).join(tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("two")), "key").where("tile <= other")
+    placed = rest.join(parts, rest.line_id == parts.node, "left").select("key", "line_id", F.coalesce("component", "line_id").alias("component"))
+    placed = placed.join(texts.select("line_id", F.length("line").alias("weight")), "line_id").withColumnRenamed("line_id", "id")
+    numbered, met = tile_pairs(kept.keep(placed), kept, TILE, TILE_CHARS)
+    body = texts.join(marked, "line_id")
+    packed = numbered.join(body, F.col("id") == F.col("line_id")).groupBy("key", "tile").agg(F.collect_list(F.struct("line_id", "component", "keys", "marks", "line")).alias("m"))
+    tiles = kept.keep(packed)
+    both = met.join(tiles.withColumnRenamed("m", "one"), ["key", "tile"]).join(tiles.select("key", F.col("tile").alias("other"), F.col("m").alias("two")), ["key", "other"])
     found = kept.keep(across(both))
     # What was found joins components: their smallest lines are linked, and lines follow their component.
     part = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(side[0]))
