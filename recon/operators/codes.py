@@ -65,8 +65,13 @@ def resolve(items: DataFrame, learned: DataFrame) -> DataFrame:
 
 def decide(items: DataFrame, overrides: DataFrame) -> DataFrame:
     """``items`` with what people decided before what was learned: by name (by parent and name without a code), by bare name without
-    a code, by code; ``overrides(code5, name, code7)``, where a decision for a whole code has no name."""
+    a code, by code; ``overrides(code5, name, code7)``, where a decision for a whole code has no name.
+
+    A decision that is repeated counts once, two different ones for the same are none; null codes and names are empty; rows stay as many as
+    they are; no overrides change nothing.
+    """
     o = overrides.select(F.coalesce("code5", F.lit("")).alias("_oc"), F.coalesce("name", F.lit("")).alias("_on"), F.col("code7").alias("_o"))
+    o = o.groupBy("_oc", "_on").agg(F.count_distinct("_o").alias("_n"), F.max("_o").alias("_o")).where("_n = 1").drop("_n")
     own = F.coalesce("code5", F.lit(""))
     keys = [("_1", own, F.when(own == "", F.concat_ws(" > ", F.nullif(F.coalesce("parent", F.lit("")), F.lit("")), "name")).otherwise(F.col("name"))), ("_2", F.when(own == "", own), F.col("name")), ("_3", F.when(own != "", own), F.lit(""))]
     out = items

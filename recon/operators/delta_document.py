@@ -28,6 +28,11 @@ def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
+def _behind(cells: str) -> Column:
+    """All cells but the first."""
+    return F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
+
+
 def change_rows(rows: DataFrame) -> DataFrame:
     """``rows(…, kind)`` of change tables below the row that names their columns, with ``role`` (group, total, line) and ``group_no``.
 
@@ -58,14 +63,14 @@ def groups_of(told: DataFrame) -> DataFrame:
     pair = with_previous(F.get("cells", F.col("at")))
     rest = F.slice("cells", F.col("at") + 2, F.greatest(F.size("cells") - F.col("at") - 1, F.lit(0)))
     business = F.when(F.col("at") >= 2, F.get("cells", F.col("at") - 2)).otherwise("")
-    g = g.withColumn("_rest", rest).withColumn("_numbers", F.transform(F.slice("_rest", 2, 1000), signed_number)).withColumn("_own", F.transform(F.slice("_rest", 2, 1000), unit_number))
+    g = g.withColumn("_rest", rest).withColumn("_numbers", F.transform(_behind("_rest"), signed_number)).withColumn("_own", F.transform(_behind("_rest"), unit_number))
     first = F.array_position(F.transform("_numbers", lambda v: v.isNotNull()), True).cast("int")
     own = _first(F.filter("_own", lambda v, i: (F.col("_at") == 0) | (i < F.col("_at") - 1)))
     is_change = F.col("kind") == "change"
     title, formula = name_and_formula(F.coalesce(F.get("_rest", F.lit(0)), F.lit("")))
     one = g.withColumn("_at", first).select(*label, F.when(is_change, title).otherwise(business).alias("title"), business.alias("business"), F.when(is_change, formula).otherwise("").alias("formula"), signed_number(F.get("cells", F.col("at") - 1)).alias("after"),
         pair["now"].alias("before"), pair["previous"].alias("previous"), F.when(is_change, _first(F.col("_numbers"))).otherwise(signed_number(F.get("_rest", F.lit(0)))).alias("change"), F.when(is_change, own).alias("own"), F.lit(False).alias("is_total"), "row_no")
-    said = F.filter(F.slice("cells", 2, 1000), lambda c: c != "")
+    said = F.filter(_behind("cells"), lambda c: c != "")
     t = told.where("role = 'total'").withColumn("_said", said).withColumn("_pair", _first(F.transform("_said", with_previous))).withColumn("_n", F.filter(F.transform("_said", signed_number), lambda v: v.isNotNull()))
     none = F.lit(None).cast("double")
     total = t.select(*label, F.lit("합계").alias("title"), F.lit("").alias("business"), F.lit("").alias("formula"), F.get("_n", F.lit(0)).alias("after"), F.col("_pair.now").alias("before"), F.col("_pair.previous").alias("previous"),
@@ -77,7 +82,7 @@ def lines_of(told: DataFrame) -> DataFrame:
     """``GROUP, line_no, glyph, name, formula, amount`` of :func:`change_rows`: the amount is the first later cell with a number."""
     text = F.get("cells", F.lit(0))
     name, formula = name_and_formula(F.trim(F.regexp_replace(text, _GLYPH, "")))
-    amount = _first(F.transform(F.slice("cells", 2, 1000), lambda c: F.coalesce(unit_number(c), signed_number(c))))
+    amount = _first(F.transform(_behind("cells"), lambda c: F.coalesce(unit_number(c), signed_number(c))))
     return told.where("role = 'line'").select(*TABLE, "group_no", F.col("row_no").alias("line_no"), F.regexp_extract(text, _GLYPH, 1).alias("glyph"), name.alias("name"), formula.alias("formula"), amount.alias("amount"))
 
 

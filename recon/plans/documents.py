@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import basis_text, basis_value
 from ..functions.numbers import unit_number, with_previous
 from ..operators import codes, delta, delta_document, dims, match, personal_data, reconcile, summaries
-from ..sources import sheets
+from ..sources import delimited, sheets
+from ..storage import shared_root
 from .common import Book, read
 from .joins import _LEARN, _RESOLVE, _learned, _resolved
 
@@ -350,3 +353,15 @@ SELECT d AS doc_id, 'v' || v AS value_key, max(confidence)::DOUBLE AS confidence
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = read(spark, sf_dir, "orders").select(C().alias("doc_id"), F.lit("l").alias("location"), F.lit("k").alias("kind"), F.concat(F.lit("v"), (K() % 7).cast("string")).alias("value_key"), F.when(K() % 2 == 0, "ocr").otherwise("text").alias("source"), ((K() % 5) / 4.0).alias("confidence"))
     return personal_data.best_evidence(hits).select("doc_id", "value_key", "confidence", "source")
+
+
+@BOOK.add("""
+SELECT o_orderkey::VARCHAR AS k, 'said "' || o_orderpriority || '",' || chr(10) || 'line ' || o_custkey AS note, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'x' || (o_orderkey % 7) END AS tail FROM orders""")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV files with commas, quotes and line breaks in their cells and a column without a name, read back in pieces."""
+    folder = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    note = F.concat(F.lit('said "'), F.col("o_orderpriority"), F.lit('",\n'), F.lit("line "), C().cast("string"))
+    rows = read(spark, sf_dir, "orders").select(K().cast("string").alias("k"), F.lit("unnamed").alias(" "), note.alias("note"), F.when(K() % 3 == 0, "").otherwise(F.concat(F.lit("x"), (K() % 7).cast("string"))).alias("tail"))
+    rows.repartition(5, "k").write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(folder)
+    found = delimited.csv_tables(spark, folder)
+    return found.select(*[F.get("values", F.lit(n)).alias(c) for n, c in enumerate(("k", "note", "tail"))])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-import zlib
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +64,7 @@ def scan_stream(spark: SparkSession, folder: str, schema: StructType, scan: Call
             there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain("path").alias("file"))
             for r in there.join(seen, "file", "left_anti").orderBy("file").toLocalIterator():
                 try:
-                    done(spark.read.schema(schema).parquet(r.file).withColumn("_file", F.lit(r.file)), f"{number}-{zlib.crc32(r.file.encode()):08x}")
+                    done(spark.read.schema(schema).parquet(r.file).withColumn("_file", F.lit(r.file)), f"{number}-{hashlib.sha256(r.file.encode()).hexdigest()[:32]}")
                 except Exception as e:  # the next files are still scanned; the failure is on record
                     spark.createDataFrame([(r.file, f"{type(e).__name__}: {e}"[:2000])], "file string, error string").write.mode("append").parquet(f"{out}/failed")
                 spark.createDataFrame([(r.file,)], "file string").write.mode("append").parquet(f"{out}/files")

@@ -100,6 +100,9 @@ def test_parent_decides_and_ambiguity_stops(spark):
     over = spark.createDataFrame([("21006", "기본", "1111111"), ("21001", None, "2222222"), (None, "강사수당 > 기본", "3333333")], "code5 string, name string, code7 string")
     again = codes.decide(codes.resolve(items.withColumn("code5", F.regexp_replace("code5", "-", "")), learned), over)
     by = {r.i: (r.code7, r.source) for r in again.collect()}
+    twice = codes.decide(codes.resolve(items.withColumn("code5", F.regexp_replace("code5", "-", "")), learned), over.union(over).union(spark.createDataFrame([("21006", "기본", "9999999")], over.schema)))
+    other = {r.i: (r.code7, r.source) for r in twice.collect()}
+    assert twice.count() == items.count() and other[4] == ("2222222", "decided") and other[2] == (None, "several by name")
     assert by[2] == ("1111111", "decided") and by[4] == ("2222222", "decided") and by[7] == (None, "several by name only")
 
 
