@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .tree import numbered
 
@@ -116,19 +117,38 @@ def select_confident(hits: DataFrame, least: float = 0.75) -> DataFrame:
     return hits.withColumn("selected", F.col("confidence") >= least).withColumn("low", F.col("confidence") < 0.7)
 
 
+#: Documents that borders of ranges are taken from, and ranges of the coarse and of each fine level.
+SAMPLED, COARSE = 4096, 16
+
+
 def aliases(hits: DataFrame) -> DataFrame:
     """``kind, value_key, alias``: numbers of a kind's values by first appearance, over all documents at once.
 
-    Values are numbered within a range of documents that they appear in first, after those of all ranges before it (ranges of whole
-    ids by their size, of others by their first characters), so no task holds all values of a kind. Null documents come first.
+    Values are numbered within a range of documents that they appear in first, after those of all ranges before it, so no task holds all
+    values of a kind. Ranges of whole ids are given by their size; those of other ids lie between borders out of a sample of ``SAMPLED`` ids,
+    whatever they begin with. Null documents come first; the ranges change no number.
     """
     first = hits.groupBy("kind", "value_key").agg(F.min(F.struct("doc_id", "location")).alias("_at"))
     doc = F.col("_at.doc_id")
     whole = hits.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    cells = [F.floor(doc / (1 << k)) for k in (24, 12)] if whole else [F.substring(doc.cast("string"), 1, k) for k in (4, 12)]
+    cells = [F.floor(doc / (1 << k)) for k in (24, 12)] if whole else ranges(first.select(doc.alias("x")), doc)
     return numbered(first, ["kind"], ["_at", "value_key"], cells, "_number").select("kind", "value_key", F.format_string("[%s_%04d]", "kind", "_number").alias("alias"))
 
 
+def ranges(values: DataFrame, x: Column) -> list[Column]:
+    """Two numbers that never fall as ``x`` rises, the coarser first, so that about as many of ``values(x)`` have each."""
+    kind = values.schema["x"].dataType
+    some = sorted(r.x for r in values.where("x is not null").distinct().orderBy(F.xxhash64("x")).limit(SAMPLED).collect())
+    step = max(1, len(some) // (COARSE * COARSE))
+    borders = some[step::step]
+    parts = [borders[k:k + COARSE] for k in range(0, len(borders), COARSE)]
+    listed = lambda xs: F.array(*[F.lit(v).cast(kind) for v in xs]) if xs else F.array().cast(ArrayType(kind))
+    passed = lambda xs, v: F.size(F.filter(xs, lambda b: b <= v))
+    coarse = passed(listed([p[0] for p in parts]), x)
+    fine = F.coalesce(passed(F.get(F.array(listed([]), *map(listed, parts)), coarse), x), F.lit(0))
+    return [coarse, fine]
+
+
 def mask(texts: DataFrame, hits: DataFrame, mode: str = "alias") -> DataFrame:
     """``texts`` with their selected values replaced, the longest first, whatever their case and spacing.
 

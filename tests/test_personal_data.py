@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recon.operators import personal_data as pii
@@ -55,3 +56,15 @@ def test_name_columns_evidence_and_report(spark):
     best = pii.best_evidence(hits)
     assert {(r.kind, r.source) for r in best.collect()} == {("name", "text"), ("ip", "ocr")}
     assert tuple(pii.report(best).first()) == (1, 2, 1, 1)
+
+
+def test_numbers_of_string_ids_of_one_prefix_are_those_of_one_window(spark):
+    n = 30_000
+    hits = spark.range(n).select(F.when(F.col("id") % 500 != 7, F.concat(F.lit("s3://bucket/docs/"), F.lpad((F.col("id") * 7919 % n).cast("string"), 9, "0"))).alias("doc_id"), F.lit(1).alias("location"),
+                                 F.when(F.col("id") % 3 == 0, "email").otherwise("phone").alias("kind"), F.concat(F.lit("v"), (F.col("id") % 9000).cast("string")).alias("value_key"))
+    first = hits.groupBy("kind", "value_key").agg(F.min(F.struct("doc_id", "location")).alias("_at"))
+    one = first.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("_at", "value_key")))
+    want = {(r.kind, r.value_key): f"[{r.kind}_{r.n:04d}]" for r in one.collect()}
+    assert {(r.kind, r.value_key): r.alias for r in pii.aliases(hits).collect()} == want
+    cells = first.groupBy("kind", *pii.ranges(first.select(F.col("_at.doc_id").alias("x")), F.col("_at.doc_id"))).count()
+    assert cells.agg(F.max("count")).first()[0] < first.count() / 40
