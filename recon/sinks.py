@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators.summaries import labelled
 from .operators.tree import sequence
 
 
@@ -23,6 +24,25 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.partitionBy("route").parquet(path)
 
 
+def write_report(findings: DataFrame, resolved: DataFrame, projects: DataFrame, numbers: DataFrame, path: str) -> None:
+    """What one reads after a run: ``path/issues`` (findings with their project's label), ``path/skipped`` (what couldn't be checked, so that no
+    findings isn't read as all right), ``path/unresolved`` (a row for each code, account, project, name and reason that is left without a
+    code, with how many rows it has) and ``path/summary`` (``measure, value``: ``numbers``, and the findings of each goal and severity).
+
+    ``resolved(project, name, code5, account, code7, source)`` with ``handover`` where rows may be handed over, ``projects(number, name)``,
+    ``numbers(measure, value)``. A missing code is the empty text; rows that repeat are counted; empty tables give empty parts.
+    """
+    named = labelled(findings, projects)
+    named.where("route = 'issue'").select("severity", "goal", "doc_id", "label", "item", "place", "message", "left", "right", "gap").write.parquet(f"{path}/issues")
+    named.where("route = 'skipped'").select("goal", "doc_id", "label", "item", "place", "message").write.parquet(f"{path}/skipped")
+    open_ = resolved.where("code7 is null")
+    open_ = open_.where(~F.coalesce("handover", F.lit(False))) if "handover" in resolved.columns else open_
+    rows = labelled(open_, projects).groupBy(F.coalesce("code5", F.lit("")).alias("code5"), F.coalesce("account", F.lit("")).alias("account"), "label", "name", F.col("source").alias("reason"))
+    rows.agg(F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/unresolved")
+    counted = findings.groupBy(F.concat_ws(" ", "goal", "severity").alias("measure")).agg(F.count(F.lit(1)).alias("value"))
+    numbers.select("measure", F.col("value").cast("bigint").alias("value")).unionByName(counted).write.parquet(f"{path}/summary")
+
+
 def write_result(result: DataFrame, source: DataFrame, path: str, plan: str) -> None:
     """A result and its log: rows of the source, of the result, and left out."""
     result.write.parquet(f"{path}/result")

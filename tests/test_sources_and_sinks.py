@@ -3,6 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from recon.operators.findings import finding, union_findings
 from recon import sinks
 from recon.sources import documents, sheets
 from recon.streaming.learn import learn_stream, scan_stream
@@ -73,6 +74,21 @@ def test_outputs_are_read_back(spark, tmp_path):
     assert sorted((r.found, r.selected, len(r.sha256), len(r.file)) for r in sinks.processing_report(files, hits).collect()) == [(0, 0, 64, 12), (2, 1, 64, 12)]
 
 
+def test_a_report_has_issues_skipped_unresolved_and_numbers(spark, tmp_path):
+    found = "goal string, severity string, project string, item string"
+    rows = spark.createDataFrame([("totals", "error", "road", "a"), ("totals", "skipped", "road", "b"), ("form", "review", "none", "c"), ("form", "dropped", "road", "d")], found)
+    findings = union_findings(rows.select(*finding("x", F.col("severity"), project=F.col("project"), item=F.col("item"), left=F.lit(3), right=F.lit(1))).withColumn("goal", F.lit("totals")))
+    resolved = spark.createDataFrame([("road", "pay", "21006", "x", None, "several by code", False), ("road", "pay", "21006", "x", None, "several by code", False), ("road", "trip", None, None, None, "unknown code", False), ("road", "ok", "1", "", "2100143", "name", False), ("road", "away", "1", "", None, "unknown code", True)],
+                                     "project string, name string, code5 string, account string, code7 string, source string, handover boolean")
+    projects = spark.createDataFrame([("15", "road")], "number string, name string")
+    sinks.write_report(findings, resolved, projects, spark.createDataFrame([("projects", 1)], "measure string, value int"), str(tmp_path / "r"))
+    part = lambda name: spark.read.parquet(str(tmp_path / "r" / name))
+    assert sorted((r.severity, r.label, r.item, r.gap) for r in part("issues").collect()) == [("error", "15. road", "a", 2.0), ("review", "none", "c", 2.0)]
+    assert [(r.label, r.item) for r in part("skipped").collect()] == [("15. road", "b")]
+    assert sorted(map(tuple, part("unresolved").collect())) == [("", "", "15. road", "trip", "unknown code", 1), ("21006", "x", "15. road", "pay", "several by code", 2)]
+    assert dict(map(tuple, part("summary").collect())) == {"projects": 1, "totals error": 1, "totals skipped": 1, "totals review": 1, "totals dropped": 1}
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1")] * 3 + [("b", "2")], "k string, c string")
     for n in range(2):
