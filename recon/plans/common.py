@@ -36,6 +36,15 @@ def cents(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")
 
 
+#: Rows of a table that a task holds when they are dealt by a key.
+TASK_ROWS = 200_000
+
+
+def parts(rows: DataFrame) -> int:
+    """Partitions for a table and what is made of it, so that a task's share doesn't grow with the table; those of the session at least."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -44,7 +53,9 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An order declares the sum of its lines, every 97th five too many; a customer the sum of its orders, every 101st seven too many.
     """
-    lines = read(spark, sf_dir, "lineitem").select("*", cents("l_extendedprice").alias("amount"))
+    table = read(spark, sf_dir, "lineitem")
+    n = parts(table)
+    lines = table.select("*", cents("l_extendedprice").alias("amount")).repartition(n, "l_orderkey")
     sums = lines.groupBy("l_orderkey").agg(F.sum("amount").alias("s"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     declared = F.coalesce("s", F.lit(0)) + F.when(F.col("o_orderkey") % 97 == 0, 5).otherwise(0)
@@ -55,7 +66,7 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = heads.select("doc_id", F.lit(-1).cast("bigint").alias("a"), F.lit(0).alias("b"), F.lit(1).alias("depth"), F.lit("customer").alias("name"), "amount", F.lit(False).alias("leaf"))
     rows = rows.unionByName(orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("a"), F.lit(0).alias("b"), F.lit(2).alias("depth"), F.lit("order").alias("name"), "amount", F.lit(False).alias("leaf")))
     rows = rows.unionByName(leaves.select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("a"), F.col("line").alias("b"), F.lit(3).alias("depth"), F.lit("line").alias("name"), "amount", F.lit(True).alias("leaf")))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b"))).drop("a", "b")
+    return rows.repartition(n, "doc_id").withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b"))).drop("a", "b")
 
 
 FOREST = f"""

@@ -9,7 +9,7 @@ from ..functions.formula import delta_value, main_value
 from ..functions.numbers import formula_ok
 from ..operators import rollup, tree
 from ..operators.match import families
-from .common import FOREST, Book, cents, forest, read
+from .common import FOREST, Book, cents, forest, parts, read
 
 BOOK = Book()
 KEYS = ["doc_id"]
@@ -67,13 +67,15 @@ _DEEP = ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partke
 
 def deep_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers, orders, return flags, line statuses, line numbers and lines, six levels, as a pre-order list."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id")), F.col("o_orderkey") == F.col("l_orderkey"))
+    table = read(spark, sf_dir, "lineitem")
+    n = parts(table)
+    lines = table.repartition(n, "l_orderkey").join(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_id")), F.col("o_orderkey") == F.col("l_orderkey"))
     levels = [lines.groupBy("doc_id", *_DEEP[:k]).agg(F.count(F.lit(1)).alias("_n")).drop("_n").withColumn("depth", F.lit(k + 1)) for k in range(5)]
     rows = lines.select("doc_id", *_DEEP).withColumn("depth", F.lit(6))
     for level in levels:
         rows = rows.unionByName(level, allowMissingColumns=True)
     order = [F.asc_nulls_first(c) for c in _DEEP]
-    return rows.select("doc_id", "depth", *_DEEP, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).alias("pos"))
+    return rows.repartition(n, "doc_id").select("doc_id", "depth", *_DEEP, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).alias("pos"))
 
 
 _SAME_PATH = ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"]
@@ -103,7 +105,7 @@ def digits_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"amount": (F.col("amount") + off).cast("decimal(18,2)"), "leaf": F.col("depth") == 8})
     more = rows.where(F.col("leaf") & F.col("k").substr(8, 1).isin(*"02468")).withColumns({"depth": F.lit(9), "k": F.concat("k", F.lit("0"))})
     rows = rows.withColumn("leaf", F.col("leaf") & ~F.col("k").substr(8, 1).isin(*"02468")).unionByName(more)
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).cast("bigint"))
+    return tree.numbered(rows, ["doc_id"], ["k"], [F.substring("k", 1, 3), F.substring("k", 1, 5)], "pos")
 
 
 _DIGITS = """
