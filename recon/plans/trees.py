@@ -128,7 +128,7 @@ off0 AS (SELECT p.*, direct FROM placed p JOIN kids USING (doc_id, k) WHERE abs(
 SELECT doc_id, pos, depth::BIGINT AS depth, amount, direct::DECIMAL(28,2) AS direct FROM off0 n WHERE depth = 7 OR NOT EXISTS (SELECT 1 FROM off0 m WHERE m.doc_id = n.doc_id AND m.depth > n.depth AND starts_with(m.k, n.k))""")
 def rollup_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest wrong sums of trees of nine levels: what is wrong is at the seventh, which the sixth doesn't add up to either."""
-    return rollup.check_children(digits_forest(spark, sf_dir), KEYS).select("doc_id", "pos", F.col("depth").cast("bigint").alias("depth"), "amount", F.col("direct").cast("decimal(28,2)").alias("direct"))
+    return rollup.check_children(digits_forest(spark, sf_dir), KEYS, block=1000).select("doc_id", "pos", F.col("depth").cast("bigint").alias("depth"), "amount", F.col("direct").cast("decimal(28,2)").alias("direct"))
 
 
 @BOOK.add("SELECT o_orderkey, card, row_number() OVER (PARTITION BY card ORDER BY o_orderdate, o_orderkey) AS seq FROM (SELECT *, c_mktsegment || '/' || c_nationkey AS card FROM orders JOIN customer ON o_custkey = c_custkey)")
