@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 ENCODINGS = ("utf-8-sig", "cp949")
 #: What is taken where no encoding fits.
 LOSSY = "utf-8 with replacements"
-_COMMA, _QUOTE, _RETURN = b',"\r'
+_COMMA, _RETURN = b",\r"
 
 
 def quoted_after(line: bytes, inside: bool) -> bool:
@@ -26,14 +26,13 @@ def quoted_after(line: bytes, inside: bool) -> bool:
     two quotes in a field are one, and what follows a closing quote is plain."""
     if b'"' not in line:
         return inside
+    # What stands between two quotes matters by its last byte alone.
     state = "quoted" if inside else "begin"
-    for c in line:
-        if state == "quoted":
-            state = "closing" if c == _QUOTE else state
-        elif c == _QUOTE and state in ("begin", "closing"):
-            state = "quoted"
-        else:
-            state = "begin" if c in (_COMMA, _RETURN) else "plain"
+    for k, part in enumerate(line.split(b'"')):
+        if k:
+            state = "closing" if state == "quoted" else "quoted" if state != "plain" else state
+        if part and state != "quoted":
+            state = "begin" if part[-1] in (_COMMA, _RETURN) else "plain"
     return state == "quoted"
 
 
