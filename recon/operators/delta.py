@@ -95,17 +95,18 @@ def check_groups(groups: DataFrame) -> DataFrame:
     return union_findings(identity, own, formula, idle)
 
 
-def check_lines(lines: DataFrame, groups: DataFrame) -> DataFrame:
+def check_lines(lines: DataFrame, groups: DataFrame, depths: int | None = None) -> DataFrame:
     """Findings on lines: a formula that isn't the amount, a parent that isn't the sum of its children (every one), and first-level
-    lines that add up neither to the group's own amount nor to its change. ``lines(GROUP, line_no, depth, name, formula, amount)``."""
+    lines that add up neither to the group's own amount nor to its change. ``lines(GROUP, line_no, depth, name, formula, amount)``;
+    ``depths`` as in :func:`parents`."""
     place = F.concat_ws("/", *[F.col(c).cast("string") for c in ("table_no", "group_no", "line_no") if c in lines.columns])
     label = {"doc_id": F.col("doc_id"), "project": F.col("project_no"), "item": F.col("name"), "place": place}
     amount, value = F.col("amount").cast("double"), delta_value(F.col("formula"))
     formula = lines.where(~formula_ok(value, amount)).select(*finding("delta lines", "error", message=F.lit("formula is not the amount"), left=amount, right=value, **label))
-    tree = parents(lines, GROUP, pos="line_no")
+    tree = parents(lines, GROUP, pos="line_no", depths=depths)
     sums = child_sums(tree, GROUP, pos="line_no").withColumnRenamed("parent", "line_no")
     direct = F.col("direct").cast("double")
-    nodes = tree.join(sums, [*GROUP, "line_no"]).where(amount.isNotNull() & ~same(amount, direct)).select(*finding("delta lines", "error", message=F.lit("not the sum of its lines"), left=amount, right=direct, **label))
+    nodes = lines.join(sums, [*GROUP, "line_no"]).where(amount.isNotNull() & ~same(amount, direct)).select(*finding("delta lines", "error", message=F.lit("not the sum of its lines"), left=amount, right=direct, **label))
     top = lines.where("depth = 1").groupBy(*GROUP).agg(F.sum("amount").cast("double").alias("top"))
     both = groups.join(top, GROUP)
     off = both.where(~same(F.col("top"), F.col("change").cast("double")) & ~same(F.col("top"), F.col("own").cast("double")) & F.col("top").isNotNull())
