@@ -148,7 +148,7 @@ def differing_pieces(groups: DataFrame, ledger: DataFrame) -> DataFrame:
     return multiset_gap(some(groups), some(ledger), "amount")
 
 
-def compare_form(form: DataFrame, projects: DataFrame | None, ledger: DataFrame | None, groups: DataFrame | None = None, goal: str = "delta form") -> DataFrame:
+def compare_form(form: DataFrame, projects: DataFrame | None, ledger: DataFrame | None, groups: DataFrame | None = None, goal: str = "delta form", depths: int | None = None) -> DataFrame:
     """Findings of a downloaded delta load sheet against narrative and ledger.
 
     Where narrative, ledger and groups have a ``doc_id``, each form is compared with its own document's; else they are all forms' alike.
@@ -157,10 +157,10 @@ def compare_form(form: DataFrame, projects: DataFrame | None, ledger: DataFrame
     A project that the other side lacks or whose amounts differ is an error; where the change differs from the narrative's, nothing
     else of that project is told; amounts before and after may differ where the form's is the ledger's (a page tells a part of it).
     Each group with a change must be a row of its project with that change, used once, one with all amounts alike first.
-    Null amounts of the form count as 0.
+    Null amounts of the form count as 0. ``depths`` as in :func:`parents`.
     """
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    tree = parents(form.withColumn("pos", F.col("row_no")), ["doc_id"])
+    tree = parents(form.withColumn("pos", F.col("row_no")), ["doc_id"], depths=depths)
     tree = tree.select("doc_id", "pos", "depth", "name", *[zero(c).alias(c) for c in ("before", "after", "change")], F.coalesce(F.get("ancestors", F.lit(0)), "pos").alias("top"))
     tops = tree.where("depth = 1")
     who = {"doc_id": F.col("doc_id"), "project": F.col("name")}
