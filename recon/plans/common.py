@@ -40,9 +40,10 @@ def cents(c: str | Column) -> Column:
 TASK_ROWS = 200_000
 
 
-def parts(rows: DataFrame) -> int:
-    """Partitions for a table and what is made of it, so that a task's share doesn't grow with the table; those of the session at least."""
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+def parts(rows: DataFrame, each: int = 1) -> int:
+    """Partitions for a table and the ``each`` rows made of one of its rows, so that a task's share doesn't grow with the table; those of the
+    session at least."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * each // TASK_ROWS))
 
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]

@@ -12,7 +12,7 @@ from ..functions.numbers import unit_number, with_previous
 from ..operators import codes, delta, delta_document, dims, match, personal_data, reconcile, summaries
 from ..sources import delimited, sheets
 from ..storage import shared_root
-from .common import Book, read
+from .common import Book, parts, read
 from .joins import _LEARN, _RESOLVE, _learned, _resolved
 
 BOOK = Book()
@@ -167,7 +167,7 @@ def form_against_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = top.where(k % 12 != 7).select("doc_id", F.lit(1).alias("row_no"), "name", plus("before", k % 8 == 3, 2), plus("change", k % 9 == 4, 2), F.lit(False).alias("unplanned"))
     pages = top.where(k % 15 != 8).select("doc_id", F.lit(1).alias("project_no"), "name", plus("before", k % 5 == 2, 6), "after", plus("change", k % 14 == 5, 1))
     groups = f.where("leaf").select("doc_id", F.lit(1).alias("project_no"), F.col("row_no").alias("group_no"), F.concat(F.lit("g"), F.col("row_no").cast("string")).alias("title"), "before", F.col("amount").alias("after"), plus("change", F.col("row_no") % 43 == 0, 1000))
-    return reconcile.compare_form(rows, pages, ledger, groups).select("doc_id", "item", "message")
+    return reconcile.compare_form(rows, pages, ledger, groups, depths=2).select("doc_id", "item", "message")
 
 
 @BOOK.add("""
@@ -270,32 +270,34 @@ def ledger_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.adjustments(rows).select("name", "adjust")
 
 
-def _sheet(rows: DataFrame, columns: list[tuple[str, str, Column]], first: int) -> DataFrame:
-    """Cells of a sheet for each document, with two header rows."""
+def _sheet(rows: DataFrame, columns: list[tuple[str, str, Column]], first: int, n: int) -> DataFrame:
+    """Cells of a sheet for each document, with two header rows; documents are dealt in ``n`` partitions, once for all that follows."""
     body = rows.select("doc_id", F.lit("s").alias("sheet"), (F.col("i") + first).cast("int").alias("row_no"), F.posexplode(F.array(*[c.cast("string") for *_, c in columns])).alias("c", "value"))
     docs = rows.select("doc_id").distinct()
     head = docs.select("doc_id", F.lit("s").alias("sheet"), F.explode(F.array(*[F.struct(F.lit(r).alias("row_no"), F.lit(k).alias("c"), F.lit(x[r - 1]).alias("value")) for k, x in enumerate(columns) for r in (1, 2)])).alias("h")).select("doc_id", "sheet", "h.*")
-    return body.unionByName(head).select("doc_id", "sheet", "row_no", (F.col("c") + 1).alias("col_no"), "value")
+    return body.unionByName(head).select("doc_id", "sheet", "row_no", (F.col("c") + 1).alias("col_no"), "value").repartition(n, "doc_id")
 
 
 @BOOK.add("""
 SELECT o_custkey::VARCHAR AS doc_id, 'n' || o_orderkey AS name, (CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END) AS depth, (o_orderkey % 4)::BIGINT AS level, floor(o_totalprice)::DOUBLE AS amount, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 7)::DOUBLE END AS change FROM orders""")
 def load_sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delta load sheets with merged headers, one a customer, read by the words of their columns."""
-    rows = read(spark, sf_dir, "orders").select(C().cast("string").alias("doc_id"), "o_orderkey", "o_totalprice", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("i"))
+    table = read(spark, sf_dir, "orders")
+    rows = table.select(C().cast("string").alias("doc_id"), "o_orderkey", "o_totalprice", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("i"))
     label = F.concat(F.when(K() % 2 == 0, "  ").otherwise(""), F.when(K() % 3 == 0, "1. ").when(K() % 3 == 1, "(가) ").otherwise(""), F.lit("n"), K().cast("string"))
     columns = [("레벨", "", K() % 4), ("* 사업항목", "", label), ("최종 요구", "산출기초②", F.lit("1천원=")), ("", "금액②", F.format_number(F.floor("o_totalprice"), 0)), ("추경요구", "", F.when(K() % 5 == 0, "-").otherwise((K() % 7).cast("string")))]
-    return sheets.load_sheet(_sheet(rows, columns, 2), {k: v for k, v in sheets.DELTA_ROLES.items() if k in ("level", "label", "basis", "amount", "change")}).select("doc_id", "name", "depth", F.col("level").cast("bigint").alias("level"), "amount", "change")
+    return sheets.load_sheet(_sheet(rows, columns, 2, parts(table, len(columns))), {k: v for k, v in sheets.DELTA_ROLES.items() if k in ("level", "label", "basis", "amount", "change")}).select("doc_id", "name", "depth", F.col("level").cast("bigint").alias("level"), "amount", "change")
 
 
 @BOOK.add("""
 SELECT s_nationkey::VARCHAR AS doc_id, s_name AS name, 1 + s_suppkey % 3 AS depth, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE printf('%07d', s_suppkey) END AS code7, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'a ' || (s_suppkey % 9) END AS account FROM supplier""")
 def balance_sheet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("doc_id"), "s_suppkey", "s_name", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("i"))
+    table = read(spark, sf_dir, "supplier")
+    rows = table.select(F.col("s_nationkey").cast("string").alias("doc_id"), "s_suppkey", "s_name", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("i"))
     cell = F.when(k % 4 == 0, F.concat(F.lit("[12] "), "s_name")).otherwise(F.concat(F.lit(" ["), F.lpad(k.cast("string"), 7, "0"), F.lit("] a "), (k % 9).cast("string")))
     columns = [("사업 항목", "", F.concat(F.repeat(F.lit("  "), (k % 3).cast("int")), "s_name")), ("원가통계비목", "", cell)]
-    found = sheets.balance_sheet(_sheet(rows, columns, 2))
+    found = sheets.balance_sheet(_sheet(rows, columns, 2, parts(table, len(columns))))
     return found.select("doc_id", "name", F.col("depth").cast("bigint").alias("depth"), "code7", "account")
 
 
@@ -344,7 +346,7 @@ def delta_line_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     plus = lambda m, n: F.col("s") + F.when(K() % m == 0, n).otherwise(0)
     top = sums.select(*group, F.lit(0).alias("line_no"), F.lit(1).alias("depth"), name("h").alias("name"), F.lit("").alias("formula"), plus(23, 3).alias("amount"))
     groups = sums.select(*group, name("g").alias("title"), plus(29, 3).alias("change"), F.lit(None).cast("double").alias("own"))
-    return delta.check_lines(low.unionByName(top), groups).select("item", "message")
+    return delta.check_lines(low.unionByName(top), groups, depths=2).select("item", "message")
 
 
 @BOOK.add("""
@@ -361,7 +363,8 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as CSV files with commas, quotes and line breaks in their cells and a column without a name, read back in pieces."""
     folder = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
     note = F.concat(F.lit('said "'), F.col("o_orderpriority"), F.lit('",\n'), F.lit("line "), C().cast("string"))
-    rows = read(spark, sf_dir, "orders").select(K().cast("string").alias("k"), F.lit("unnamed").alias(" "), note.alias("note"), F.when(K() % 3 == 0, "").otherwise(F.concat(F.lit("x"), (K() % 7).cast("string"))).alias("tail"))
-    rows.repartition(5, "k").write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(folder)
+    table = read(spark, sf_dir, "orders")
+    rows = table.select(K().cast("string").alias("k"), F.lit("unnamed").alias(" "), note.alias("note"), F.when(K() % 3 == 0, "").otherwise(F.concat(F.lit("x"), (K() % 7).cast("string"))).alias("tail"))
+    rows.repartition(parts(table), "k").write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(folder)
     found = delimited.csv_tables(spark, folder)
     return found.select(*[F.get("values", F.lit(n)).alias(c) for n, c in enumerate(("k", "note", "tail"))])
