@@ -27,6 +27,11 @@ def scope(*tables: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> tuple[str, .
     return tuple(c for c in by if all(c in t.columns for t in tables))
 
 
+def deal(rows: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """``rows`` in ``parts`` partitions by a key; as they are where no number is given."""
+    return rows.repartition(parts, key) if parts else rows
+
+
 def _within(out: DataFrame, side: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
     on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_own") == F.col(f"_k{k}"))
     return out.join(side, on, "left").drop("_own", f"_k{k}", *[f"_by_{c}" for c in by])
@@ -49,20 +54,23 @@ def name_join(left: DataFrame, right: DataFrame, name: str, right_id: str, right
     return out.withColumn("match", F.coalesce(*[f"_m{k}" for k in range(n)])).withColumn("tier", tier).drop(*[f"_m{k}" for k in range(n)])
 
 
-def find_row(left: DataFrame, rows: DataFrame, name: str, row_id: str, row_name: str, idle: str, by: tuple[str, ...] = ()) -> DataFrame:
+def find_row(left: DataFrame, rows: DataFrame, name: str, row_id: str, row_name: str, idle: str, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """``left`` with ``match`` and ``tier``: the ledger row of a name. Of rows that are written the same the first counts; else the only
     one that is the same once squeezed, or without status tags too; of several such rows only those count that aren't ``idle``.
 
-    Each tier is one grouping by its key, so a name that very many rows have is one row. ``by`` as in :func:`name_join`. Null names match
-    nothing; columns named ``match`` and ``tier`` are replaced.
+    Each tier is one grouping by its key, so a name that very many rows have is one row. ``by`` as in :func:`name_join`. Both sides are
+    dealt in ``parts`` partitions for each tier, if given, else in the session's. Null names match nothing; columns named ``match`` and
+    ``tier`` are replaced.
     """
-    r = rows.select(F.col(row_id).alias("_id"), F.col(row_name).alias("_name"), F.coalesce(idle, F.lit(False)).alias("_idle"), *[F.col(c).alias(f"_by_{c}") for c in by])
+    r = rows.select(F.col(row_id).alias("_id"), F.col(row_name).alias("_name"), F.coalesce(idle, F.lit(False)).alias("_idle"), *by)
+    # Name and scope are one key, in which nulls of the scope are equal, so that a table dealt by it needn't be dealt again for the join.
+    whole = lambda name: F.when(name.isNotNull(), F.struct(name.alias("name"), *by))
     out = left.drop("match", "tier")
     for k, tier in enumerate((strip, squeeze, match_key)):
         n, busy = F.count(F.lit(1)), F.count_if(~F.col("_idle"))
         only = F.min("_id") if k == 0 else F.when(n == 1, F.min("_id")).when(busy == 1, F.min(F.when(~F.col("_idle"), F.col("_id"))))
-        side = r.groupBy(tier(F.col("_name")).alias(f"_k{k}"), *[f"_by_{c}" for c in by]).agg(only.alias(f"_m{k}"))
-        out = _within(out.withColumn("_own", tier(F.col(name))), side, k, by)
+        side = deal(r.withColumn(f"_k{k}", whole(tier(F.col("_name")))), f"_k{k}", parts).groupBy(f"_k{k}").agg(only.alias(f"_m{k}"))
+        out = deal(out.withColumn("_own", whole(tier(F.col(name)))), "_own", parts).join(side, F.col("_own") == F.col(f"_k{k}"), "left").drop("_own", f"_k{k}")
     tier = F.coalesce(*[F.when(F.col(f"_m{k}").isNotNull(), k + 1) for k in range(3)])
     return out.withColumn("match", F.coalesce("_m0", "_m1", "_m2")).withColumn("tier", tier).drop("_m0", "_m1", "_m2")
 

@@ -11,7 +11,7 @@ from ..functions.keys import match_key, squeeze, without_markers
 from ..functions.numbers import same
 from .findings import finding, union_findings
 from .tree import parents
-from .match import amount_join, find_row, greedy_amounts, multiset_gap, name_join, nearest_candidate, scope
+from .match import amount_join, deal, find_row, greedy_amounts, multiset_gap, name_join, nearest_candidate, scope
 
 TIERS = [without_markers, squeeze]
 
@@ -68,34 +68,40 @@ def _neq(a: Column, b: Column) -> Column:
     return a.isNotNull() & ~same(a.cast("double"), b.cast("double"))
 
 
-def compare_delta(projects: DataFrame, ledger: DataFrame, summary: DataFrame, goal: str = "delta ledger") -> DataFrame:
+def compare_delta(projects: DataFrame, ledger: DataFrame, summary: DataFrame, goal: str = "delta ledger", parts: int | None = None) -> DataFrame:
     """Findings of delta pages against the ledger: ``projects(doc_id, name, change, before)``, ``ledger(row_no, name, change, before,
     unplanned)``, ``summary(name, change, before)``. Where ledger and summary have a ``doc_id``, each document is compared with its own;
     else they are all documents' alike.
 
     A page's change or amount before that isn't the ledger's; a page with a change that the ledger lacks; a ledger row with a change
     that neither a page nor, under a name that holds its own, the summary has. A page that holds a part of what summary and ledger
-    agree on is right.
+    agree on is right. Pages and ledger are dealt in ``parts`` partitions, if given, else in the session's.
     """
     own, told = scope(projects, ledger), scope(ledger, summary)
     rows = ledger.withColumn("_rid", F.struct("row_no", *own))
     led = rows.select(F.col("_rid").alias("_id"), F.col("change").alias("_lc"), F.col("before").alias("_lb"))
-    hit = find_row(projects, rows, "name", "_rid", "name", "unplanned", own).join(led, F.col("match") == led["_id"], "left")
+    found = find_row(projects, rows, "name", "_rid", "name", "unplanned", own, parts)
     who = {"doc_id": F.col("doc_id"), "project": F.col("name")}
-    gone = hit.where(F.col("match").isNull() & _neq(F.col("change"), F.lit(0))).select(*finding(goal, "error", message=F.lit("not in the ledger"), left=F.col("change"), **who))
-    change = hit.where(F.col("match").isNotNull() & _neq(F.col("change"), F.col("_lc"))).select(*finding(goal, "error", message=F.lit("change differs from the ledger"), left=F.col("change"), right=F.col("_lc"), **who))
+    # Pages without a row are told here: joined with the ledger, all of them would be one task's.
+    gone = found.where(F.col("match").isNull() & _neq(F.col("change"), F.lit(0))).select(*finding(goal, "error", message=F.lit("not in the ledger"), left=F.col("change"), **who))
+    hit = deal(found.where("match is not null"), "match", parts).join(deal(led, "_id", parts), F.col("match") == F.col("_id"))
     named = scope(projects, summary)
     total = summary.groupBy(match_key(F.col("name")).alias("_k"), *named).agg(F.max("before").alias("_sb"))
-    part = hit.where(F.col("match").isNotNull() & _neq(F.col("before"), F.col("_lb"))).withColumn("_k", match_key(F.col("name"))).join(total, ["_k", *named], "left")
-    before = part.where(~same(F.col("_sb").cast("double"), F.col("_lb").cast("double"))).select(*finding(goal, "error", message=F.lit("amount before differs from the ledger"), left=F.col("before"), right=F.col("_lb"), **who))
-    used = hit.where("match is not null").select(F.col("match").alias("_rid")).distinct()
-    orphan = rows.where(~same(F.col("change").cast("double"), F.lit(0.0))).join(used, "_rid", "left_anti").withColumn("_k", match_key(F.col("name"))).withColumn("_c", F.bround(F.col("change")))
+    # Both amounts in one pass over the pages.
+    differs = {c: _neq(F.col(c), F.col(other)) for c, other in (("change", "_lc"), ("before", "_lb"))}
+    off = hit.where(differs["change"] | differs["before"]).withColumn("_k", match_key(F.col("name"))).join(total, ["_k", *named], "left")
+    partial = same(F.col("_sb").cast("double"), F.col("_lb").cast("double"))
+    entry = lambda message, c, other: F.struct(F.lit(message).alias("m"), F.col(c).cast("double").alias("mine"), F.col(other).cast("double").alias("theirs"))
+    reasons = F.array_compact(F.array(F.when(differs["change"], entry("change differs from the ledger", "change", "_lc")), F.when(differs["before"] & ~partial, entry("amount before differs from the ledger", "before", "_lb"))))
+    wrong = off.select("doc_id", "name", F.explode(reasons).alias("d")).select(*finding(goal, "error", message=F.col("d.m"), left=F.col("d.mine"), right=F.col("d.theirs"), **who))
+    used = deal(found.where("match is not null").select(F.col("match").alias("_rid")), "_rid", parts)
+    orphan = deal(rows.where(~same(F.col("change").cast("double"), F.lit(0.0))), "_rid", parts).join(used, "_rid", "left_anti").withColumn("_k", match_key(F.col("name"))).withColumn("_c", F.bround(F.col("change")))
     # A popular name is one row on either side, however many rows have it.
     listed = summary.select(match_key(F.col("name")).alias("_sk"), F.bround(F.col("change")).alias("_c"), *told).distinct()
     held = holders(orphan.where("_k <> ''").select("_k", "_c", *told).distinct(), listed, ["_c", *told])
     lone = orphan.join(held, reduce(lambda p, q: p & q, [orphan[c].eqNullSafe(held[c]) for c in ("_k", "_c", *told)]), "left_anti")
     lone = lone.select(*finding(goal, "error", project=F.col("name"), place=F.col("row_no"), message=F.lit("only in the ledger"), right=F.col("change"), **{c: F.col(c) for c in own}))
-    return union_findings(gone, change, before, lone)
+    return union_findings(gone, wrong, lone)
 
 
 #: Characters of the pieces over which names meet names that hold them.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import delta, reconcile
-from .common import Book, cents, read
+from .common import Book, cents, parts, read
 
 BOOK = Book()
 
@@ -48,7 +48,7 @@ def delta_against_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = o.where(k % 29 == 1).select((k + 99_999_999).alias("o_orderkey"))
     lone = more.select(doc, row, name, F.lit(5.0).alias("change"), F.lit(0.0).alias("before"), F.lit(False).alias("unplanned"))
     summary = o.where((k % 23 == 0) & (k % 2 == 1)).select("doc_id", "name", F.lit(-9.0).alias("change"), (F.col("before") + 3).alias("before"))
-    return reconcile.compare_delta(pages, there.unionByName(lone), summary).select("doc_id", "project", "message")
+    return reconcile.compare_delta(pages, there.unionByName(lone), summary, parts=parts(o, 2)).select("doc_id", "project", "message")
 
 
 @BOOK.add("""

@@ -28,6 +28,24 @@ def test_delta_against_ledger_and_summary(spark):
     assert got == {("b(신규)", "before differ from the summary", "error"), ("part", "after, before differ from the summary", "review"), ("none", "not in the summary", "error")}
 
 
+def test_delta_against_ledger_in_parts(spark):
+    pages = spark.createDataFrame([(d, f"p{i}", float(i), 1.0) for d in ("d", "e", None) for i in range(40)], "doc_id string, name string, change double, before double")
+    ledger = spark.createDataFrame([(d, i, f"p{i}", float(i + i % 3), 1.0 + i % 2, False) for d in ("d", None) for i in range(4, 44)], "doc_id string, row_no int, name string, change double, before double, unplanned boolean")
+    summary = spark.createDataFrame([("d", "p7", 0.0, 2.0), ("d", "has p41 in it", 43.0, 0.0)], "doc_id string, name string, change double, before double")
+    found = reconcile.compare_delta(pages, ledger, summary, parts=7).select("doc_id", "project", "message", "left", "right")
+    want = {("e", f"p{i}", "not in the ledger", float(i), None) for i in range(1, 40)}
+    for d in ("d", None):
+        want |= {(d, f"p{i}", "not in the ledger", float(i), None) for i in range(1, 4)} | {(d, f"p{i}", "only in the ledger", None, float(i + i % 3)) for i in range(40, 44) if (d, i) != ("d", 41)}
+        want |= {(d, f"p{i}", "change differs from the ledger", float(i), float(i + i % 3)) for i in range(4, 40) if i % 3}
+        want |= {(d, f"p{i}", "amount before differs from the ledger", 1.0, 2.0) for i in range(4, 40) if i % 2 and (d, i) != ("d", 7)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # Pages without a row aren't joined with the ledger by their null, and names and matches are dealt in the parts given.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and not [x for x in plan.splitlines() if "Join" in x and "LeftOuter" in x and "match#" in x]
+    assert all(", 7)" in x for x in plan.splitlines() if "Exchange hashpartitioning(_own" in x or "Exchange hashpartitioning(match" in x)
+
+
 def test_headlines_candidates_and_handover(spark):
     d = Decimal
     projects = spark.createDataFrame([("d", 1, d(100), d(90), [("p", d(40), d(50)), ("q", d(7), None)]), ("d", 2, d(5), d(5), [])], "doc_id string, project_no int, request decimal(20,6), base decimal(20,6), parts array<struct<name:string,request:decimal(20,6),year_request:decimal(20,6)>>")
