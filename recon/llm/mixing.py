@@ -31,10 +31,11 @@ def before(df: DataFrame, group: str, chunk: str, order: list[Column], amount: C
     coarse = coarse.withColumn("_far", F.sum("_m").over(Window.partitionBy(group).orderBy("_coarse")) - F.col("_m"))
     fine = sums.withColumn("_coarse", F.floor(F.col(chunk) / 1024))
     fine = fine.withColumn("_near", F.sum("_n").over(Window.partitionBy(group, "_coarse").orderBy(chunk)) - F.col("_n"))
-    base = kept.keep(fine.join(coarse, [group, "_coarse"]).select(group, chunk, (F.col("_near") + F.col("_far")).alias("_base")))
+    # Joins that merge need no table in the driver's memory, and one side of each is dealt and sorted by its keys already.
+    base = kept.keep(fine.join(coarse.hint("merge"), [group, "_coarse"]).select(group, chunk, (F.col("_near") + F.col("_far")).alias("_base")))
     w = Window.partitionBy(group, chunk).orderBy(*order)
     own = df.withColumn("_own", F.sum("_amount").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_amount")).withColumn("place", F.row_number().over(w))
-    return own.join(base, [group, chunk]).withColumn("before", F.col("_base") + F.col("_own")).drop("_amount", "_own", "_base")
+    return own.join(base.hint("merge"), [group, chunk]).withColumn("before", F.col("_base") + F.col("_own")).drop("_amount", "_own", "_base")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -69,18 +70,17 @@ def slots(sources: DataFrame, kept: Kept, block: int = BLOCK) -> DataFrame:
     n = math.ceil(total / block)
     line = sources.where("target > 0").withColumn("high", F.sum("target").over(Window.orderBy("sid")) / F.lit(total or 1.0))
     line = line.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("sid")), F.lit(0.0)))
-    line = line.select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS).cast("bigint")))).alias("cell"))
+    line = line.select("sid", "low", "high", F.ceil(F.round("target") / block).alias("need"), F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS).cast("bigint")))).alias("cell"))
     points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * GOLDEN % 1.0).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = points.join(line, "cell").where("u >= low and u < high").select("slot", "sid", F.floor(F.col("slot") / (CHUNK * 8)).alias("chunk"))
+    hit = points.join(line, "cell").where("u >= low and u < high").select("slot", "sid", "need", F.floor(F.col("slot") / (CHUNK * 8)).alias("chunk"))
     hit = kept.keep(hit)
-    ranked = before(hit, "sid", "chunk", [F.col("slot")], F.lit(1).cast("bigint"), kept).select("slot", "sid", F.col("before").alias("rank"))
+    ranked = before(hit, "sid", "chunk", [F.col("slot")], F.lit(1).cast("bigint"), kept).select("slot", "sid", "need", F.col("before").alias("rank"))
     need = sources.where("target > 0").select("sid", F.ceil(F.round("target") / block).alias("need"))
     met = hit.groupBy("sid").agg(F.count(F.lit(1)).alias("met"))
-    short = need.join(met, "sid", "left").where("coalesce(met, 0) < need")
+    short = need.join(met.hint("merge"), "sid", "left").where("coalesce(met, 0) < need")
     added = short.select("sid", F.explode(F.sequence(F.coalesce("met", F.lit(0)), F.col("need") - 1)).alias("rank"))
     added = added.select((F.lit(n) + F.col("rank")).alias("slot"), "sid", "rank")
-    side = F.broadcast(need) if _few(sources) else need
-    return ranked.join(side, "sid").where("rank < need").select("slot", "sid", "rank").unionByName(added)
+    return ranked.where("rank < need").select("slot", "sid", "rank").unionByName(added)
 
 
 def _few(sources: DataFrame) -> bool:
@@ -113,7 +113,9 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     blocks = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.floor(r["a"] / block), F.floor((r["z"] - 1) / block)), lambda b: F.struct(b.alias("rank"), (F.greatest(r["a"], b * block) - r["from"]).alias("first_word"), (F.least(r["z"], (b + 1) * block) - F.greatest(r["a"], b * block)).alias("n_words")))))
     columns = ["doc_id", "text_hash", "source", "size", "source_size", "target", "sid", "chunk", "place"]
     pieces = laid.select(*columns, F.explode_outer(blocks).alias("b")).select(*columns, "b.rank", "b.first_word", "b.n_words")
-    return pieces.join(slots(sources, kept, block), ["sid", "rank"], "left").select(*columns, "slot", "first_word", F.when(F.col("slot").isNotNull(), F.col("n_words")).alias("n_words"))
+    # A table of its own: the plan of both, looked through anew after each of its stages, is the driver's largest.
+    dealt = kept.keep(slots(sources, kept, block))
+    return pieces.join(dealt.hint("merge"), ["sid", "rank"], "left").select(*columns, "slot", "first_word", F.when(F.col("slot").isNotNull(), F.col("n_words")).alias("n_words"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
@@ -134,7 +136,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     got = taken(docs.select("doc_id", "text", "source"), **options).where("taken > 0")
     got = kept.keep(got.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("source").alias("s")).agg(F.max("size").alias("words"), F.max("taken").alias("taken")))
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    met = docs.join(got, docs.doc_id.eqNullSafe(F.col("d")) & (mark == F.col("h")) & docs.source.eqNullSafe(F.col("s")))
+    met = docs.join(got.hint("merge"), docs.doc_id.eqNullSafe(F.col("d")) & (mark == F.col("h")) & docs.source.eqNullSafe(F.col("s")))
     parts = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), F.floor(F.col("taken") / F.col("words")).cast("int")), F.when(F.col("taken") % F.col("words") > 0, F.array(F.col("taken") % F.col("words"))).otherwise(F.array().cast("array<bigint>")))
     rows = met.withColumn("_part", F.explode(parts))
     cut = F.when(F.col("_part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("_part").cast("int")), " "))

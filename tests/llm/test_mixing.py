@@ -95,3 +95,9 @@ def test_empty_table(spark):
     assert taken(table(spark, []).limit(0)).count() == 0
     assert mixed_documents(table(spark, []).limit(0)).count() == 0
     assert targets(spark.createDataFrame([(None, 0)], "source string, size bigint")).first().target == 0
+
+
+def test_driver_gets_no_table_but_the_sources(spark, rows):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(schedule(table(spark, rows), block=32)).count("BroadcastHashJoin") == 1
+    assert "BroadcastHashJoin" not in plan(mixed_documents(table(spark, rows), block=32))
